@@ -5,19 +5,48 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from covaria.llm import sharding
-from covaria.llm.common import cut, read
+from covaria.llm import decontamination, mixing, quality, sharding, simhash
+from covaria.llm.common import cut, read, word_count
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on this stage's labelled rows, doesn't reject."""
+    model = quality.train(docs, read(spark, sf_dir, "labels"))
+    return quality.scored(docs, model).where("predicted = 1").select(docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id; rows without an id stay."""
+    prints = cut(docs.select("doc_id", simhash.fingerprint(F.col("text")).alias("fp")))
+    others = simhash.near_duplicates(prints).where("doc_id != component_id").select("doc_id")
+    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    return decontamination.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: every document as often as it is taken."""
+    taken = mixing.mix(docs.withColumn("_size", word_count(F.col("text"))), size_col="_size").where("copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(docs.columns)
+
+
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its shard and its slot there."""
     return sharding.shard(docs, 16)
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", good_quality),
+    ("SimHash near-dedup", one_of_each),
+    ("benchmark decontamination", decontaminated),
+    ("mixing", mixed),
     ("sharding", shards),
 ]
 

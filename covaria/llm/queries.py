@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding, simhash
+from . import decontamination, mixing, quality, sharding, simhash
 from .common import read
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(read(spark, sf_dir, "documents"), 16)
 
@@ -16,13 +20,19 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(read(spark, sf_dir, "documents"))
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op3_sharding": op3_sharding,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_mixing": op7_mixing,
 }
 ORACLES: dict[str, str] = {"op7_mixing": mixing.ORACLE}
