@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, quality, sharding, simhash
+from . import chat, decontamination, mixing, quality, sharding, simhash, urls
 from .common import read
 
 
@@ -12,6 +12,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(read(spark, sf_dir, "conversations"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(read(spark, sf_dir, "documents"), 16)
 
@@ -28,11 +32,17 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(read(spark, sf_dir, "documents"))
 
 
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.digest(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_chat_formatting": op2_chat_formatting,
     "op3_sharding": op3_sharding,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_mixing": op7_mixing,
+    "op9_url_filters": op9_url_filters,
 }
-ORACLES: dict[str, str] = {"op7_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op2_chat_formatting": chat.ORACLE, "op7_mixing": mixing.ORACLE}
