@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, mixing, quality, sharding, simhash, urls, vectors
+from . import chat, decontamination, mixing, quality, sharding, simhash, toxicity, urls, vectors
 from .common import read
 
 
@@ -36,6 +36,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(read(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.digest(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_mixing": op7_mixing,
+    "op8_toxicity": op8_toxicity,
     "op9_url_filters": op9_url_filters,
 }
 ORACLES: dict[str, str] = {"op2_chat_formatting": chat.ORACLE, "op7_mixing": mixing.ORACLE}
