@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, mixing, quality, sharding, simhash, toxicity, urls, vectors
+from . import chat, decontamination, lines, mixing, quality, sharding, simhash, toxicity, urls, vectors
 from .common import read
 
 
@@ -44,6 +44,10 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.digest(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_chat_formatting": op2_chat_formatting,
@@ -54,5 +58,6 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_url_filters": op9_url_filters,
+    "op10_line_dedup": op10_line_dedup,
 }
 ORACLES: dict[str, str] = {"op2_chat_formatting": chat.ORACLE, "op7_mixing": mixing.ORACLE}
