@@ -1 +1 @@
-
+"""Measures over streams of epochs."""
