@@ -75,7 +75,7 @@ def fit(vectors: DataFrame, lags: int = 1, l2_reg: float | None = 0.0, model: st
             for r in rows.itertuples():
                 a = solved(r.g, r.k, lags, ridge)
                 if forward_backward:
-                    a = _root(a @ np.linalg.inv(solved(r.back, r.k, 1, ridge)))
+                    a = _root(a @ np.linalg.pinv(solved(r.back, r.k, 1, ridge)))
                 i, c = np.indices(a.shape)
                 yield pd.DataFrame({"epoch": None if model == "avg-epochs" else r.epoch, "i": i.ravel(), "j": c.ravel() % r.k, "lag": c.ravel() // r.k + 1, "value": a.ravel()}).astype({"epoch": "Int64"})
 
@@ -122,9 +122,9 @@ def predicted(vectors: DataFrame, coefficients: DataFrame) -> DataFrame:
 
 def companion(coefficients: DataFrame) -> DataFrame:
     """(epoch, row, col, value): the block companion matrix; for one lag the coefficients themselves."""
-    size = coefficients.groupBy("epoch").agg((F.max("i") + 1).alias("k"), F.max("lag").alias("p"))
-    top = coefficients.join(size, coefficients.epoch.eqNullSafe(size.epoch)).select(coefficients.epoch, F.col("i").alias("row"), (F.col("j") + (F.col("lag") - 1) * F.col("k")).alias("col"), "value")
-    below = size.where("p > 1").select("epoch", F.explode(F.expr("sequence(0, k * (p - 1) - 1)")).alias("c"), "k")
+    size = coefficients.groupBy(F.col("epoch").alias("e")).agg((F.max("i") + 1).alias("k"), F.max("lag").alias("p"))
+    top = coefficients.join(size, F.col("epoch").eqNullSafe(F.col("e"))).select("epoch", F.col("i").alias("row"), (F.col("j") + (F.col("lag") - 1) * F.col("k")).alias("col"), "value")
+    below = size.where("p > 1").select(F.col("e").alias("epoch"), F.explode(F.expr("sequence(0, k * (p - 1) - 1)")).alias("c"), "k")
     return top.union(below.select("epoch", (F.col("c") + F.col("k")).cast("int"), F.col("c").cast("int"), F.lit(1.0)))
 
 
