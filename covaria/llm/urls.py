@@ -5,7 +5,8 @@ extension. Then, level by level, the children of a node with more than ``FAN`` d
 one wildcard. What is left are the templates of a host. Siblings, the templates of one parent, are
 merged where their shares of bad pages don't differ: one that a two-proportion z-test tells from the
 others of its parent stays alone, the rest are counted together. A template is rejected if its
-share of bad pages among labelled ones, smoothed towards the share of all pages, is at least ``PURE``.
+share of bad pages among labelled ones, smoothed towards the share of all pages (or half of ``PURE``
+where that is less, so that no template is rejected for what others are), is at least ``PURE``.
 
 Counting by host and first template precedes every other step, so a host with a third of all
 pages is a few counted rows when the tree is built.
@@ -79,7 +80,7 @@ def templates(pages: DataFrame) -> DataFrame:
     branches = counted.groupBy("host", "parent", "branch").agg(F.sum("known").alias("b_known"), F.sum("bads").alias("b_bads"))
     usual = counted.agg((F.sum("bads") / F.nullif(F.sum("known"), F.lit(0))).alias("usual"))
     judged = branches.crossJoin(F.broadcast(usual))  # one row
-    pure = (F.col("b_bads") + PRIOR * F.col("usual")) / (F.col("b_known") + PRIOR)
+    pure = (F.col("b_bads") + PRIOR * F.least(F.col("usual"), F.lit(PURE / 2))) / (F.col("b_known") + PRIOR)
     judged = counted.join(judged.select("host", "parent", "branch", F.coalesce(pure >= PURE, F.lit(False)).alias("rejected")), ["host", "parent", "branch"])
     return tree.join(judged.select(*by_template, "rejected"), by_template).select("host", "first", "template", "rejected")
 
