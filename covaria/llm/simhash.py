@@ -118,8 +118,9 @@ def links(prints: DataFrame, many: int = MANY, block: int = BLOCK) -> DataFrame:
         return plain
 
     def dealt(rows: DataFrame, own: str, opposite: str) -> DataFrame:
-        spread = F.pmod(F.xxhash64("fp"), F.col("n") / block + 1).cast("int")
-        return rows.withColumn(own, spread).withColumn(opposite, F.explode(F.expr(f"sequence(0, cast(n / {block} as int))")))
+        n_blocks = F.floor(F.col("n") / block) + 1
+        spread = F.pmod(F.xxhash64("fp"), n_blocks).cast("int")
+        return rows.withColumn(own, spread).withColumn(opposite, F.explode(F.sequence(F.lit(0), (n_blocks - 1).cast("int"))))
 
     at_home = dealt(homes.join(crowded, ["half", "anchor"]), "hb", "vb").withColumn("is_home", F.lit(True))
     visiting = dealt(visits.join(crowded, ["half", "anchor"]), "vb", "hb").withColumn("is_home", F.lit(False))
