@@ -105,3 +105,39 @@ def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
 def digest(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of op9."""
     return judged(cut(labelled(pages.select("page_id", "url"), labels))).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _oracle() -> str:
+    host, path = "translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')", "regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+    shown = "CASE WHEN regexp_matches(s, '\\d') OR length(s) > 40 THEN '*' || regexp_extract(s, '(\\.[A-Za-z]{1,5})$', 1) ELSE s END"
+    steps = []
+    for d in range(DEPTH):
+        steps.append(f"""w{d} AS (SELECT host, above FROM (SELECT DISTINCT host, template[1:{d}] AS above, template[{d + 1}] AS here FROM t{d} WHERE len(template) > {d}) GROUP BY ALL HAVING count(*) > {FAN}),
+t{d + 1} AS (SELECT t.host, t.first, t.known, t.bads, CASE WHEN w.host IS NOT NULL AND len(template) > {d} THEN template[1:{d}] || ['*'] || template[{d + 2}:] ELSE template END AS template
+      FROM t{d} t LEFT JOIN w{d} w ON w.host = t.host AND w.above = t.template[1:{d}])""")
+    ordered = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = [(f"(p.host = '{h}' OR ends_with(p.host, '.{h}')) AND starts_with(p.path, '{p}')", h + p, a) for a, h, p in ordered]
+    rule, verdict = (f"CASE {' '.join(f"WHEN {f[0]} THEN '{f[k]}'" for f in fits)} END" for k in (1, 2))
+    return f"""
+WITH l AS (SELECT doc_id, min(quality) = 0 AS bad FROM labels GROUP BY doc_id),
+u AS (SELECT page_id, {host} AS host, {path} AS path FROM pages),
+f AS (SELECT u.*, l.bad, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: {shown}) AS parts
+      FROM u LEFT JOIN l ON l.doc_id = TRY_CAST(regexp_extract(path, '/([0-9]{{1,18}})', 1) AS BIGINT)),
+p AS (SELECT *, CASE WHEN len(parts) > {DEPTH} THEN parts[1:{DEPTH}] || ['**'] ELSE parts END AS first FROM f),
+t0 AS (SELECT host, first, count(bad) AS known, coalesce(sum(CAST(bad AS INT)), 0) AS bads, first AS template FROM p GROUP BY host, first),
+{", ".join(steps)},
+t AS (SELECT host, first, known, bads, array_to_string(template, '/') AS template FROM t{DEPTH}),
+c AS (SELECT host, template, sum(known) AS known, sum(bads) AS bads, regexp_replace(template, '/?[^/]*$', '') AS parent FROM t GROUP BY ALL),
+a AS (SELECT *, sum(known) OVER w AS ak, sum(bads) OVER w AS ab FROM c WINDOW w AS (PARTITION BY host, parent)),
+z AS (SELECT *, abs(bads / nullif(known, 0) - (ab - bads) / nullif(ak - known, 0))
+      / nullif(sqrt((ab / nullif(ak, 0)) * (1 - ab / nullif(ak, 0)) * (1 / nullif(known, 0) + 1 / nullif(ak - known, 0))), 0) AS apart FROM a),
+b AS (SELECT *, CASE WHEN coalesce(apart, 0) > {Z} THEN template ELSE parent || '/~' END AS branch FROM z),
+j AS (SELECT host, template, (sum(bads) OVER w + {PRIOR} * least((SELECT sum(bads) / nullif(sum(known), 0) FROM c), {PURE / 2})) / (sum(known) OVER w + {PRIOR}) >= {PURE} AS rejected
+      FROM b WINDOW w AS (PARTITION BY host, parent, branch))
+SELECT page_id, p.host, p.path, {rule} AS rule, coalesce({verdict}, CASE WHEN j.rejected THEN 'block' END, 'allow') AS verdict
+FROM p JOIN t ON t.host = p.host AND t.first = p.first JOIN j ON j.host = t.host AND j.template = t.template
+"""
+
+
+#: The rows of op9 by DuckDB.
+ORACLE = _oracle()
