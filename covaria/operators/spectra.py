@@ -158,19 +158,18 @@ def psd(spectra: DataFrame) -> DataFrame:
 def csd(spectra: DataFrame, edges: DataFrame | None = None, diagonal: bool = False) -> DataFrame:
     """Cross-spectra (epoch, seed, target, f, freq[, t], re, im, pxx, pyy) of pairs.
 
-    A self equi-join on epoch, bin (and time): tapers of a signal travel in one array, so they are
-    summed within the row and the join is neither repeated nor grouped for them. Without edges the
-    pairs are seed > target; edges, a list, are broadcast. diagonal: all pairs, each way, and itself.
+    One shuffle: what an epoch has at a bin (and time) becomes one row with an entry for each channel,
+    as long as there are channels and tapers, and pairs are made within the row. Without edges they are
+    seed > target; edges, a list, are broadcast. diagonal: all pairs, each way, and itself.
     """
     keys = ["epoch", "f", "freq"] + (["t"] if "t" in spectra.columns else [])
-    packed = spectra.groupBy(*keys, "ch").agg(F.array_sort(F.collect_list(F.struct("taper", (F.col("re") * F.col("weight")).alias("re"), (F.col("im") * F.col("weight")).alias("im"), (F.col("weight") * F.col("weight")).alias("w2")))).alias("s"))
-    a = packed.select(*keys, F.col("ch").alias("seed"), F.col("s").alias("a"))
-    b = packed.select(*keys, F.col("ch").alias("target"), F.col("s").alias("b"))
-    pairs = a.join(b, keys)
+    entry = F.struct("ch", "taper", (F.col("re") * F.col("weight")).alias("re"), (F.col("im") * F.col("weight")).alias("im"), (F.col("weight") * F.col("weight")).alias("w2"))
+    rows = spectra.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("s"))
+    rows = rows.select(*keys, F.expr("transform(array_distinct(transform(s, e -> e.ch)), c -> struct(c as ch, filter(s, e -> e.ch = c) as s))").alias("all"))
+    rows = rows.select(*keys, F.explode("all").alias("p"), "all").select(*keys, "p", F.explode(F.col("all") if diagonal or edges is not None else F.expr("filter(all, q -> q.ch < p.ch)")).alias("q"))
+    pairs = rows.select(*keys, F.col("p.ch").alias("seed"), F.col("q.ch").alias("target"), F.col("p.s").alias("a"), F.col("q.s").alias("b"))
     if edges is not None:
         pairs = pairs.join(F.broadcast(edges), ["seed", "target"])
-    elif not diagonal:
-        pairs = pairs.where("seed > target")
     total = lambda expr: F.expr(f"aggregate(zip_with(a, b, (x, y) -> {expr}), 0d, (s, v) -> s + v)")
     scale = F.sqrt(total("x.w2")) * F.sqrt(total("y.w2")) / 2
     own = lambda side: F.expr(f"aggregate({side}, 0d, (s, v) -> s + v.re * v.re + v.im * v.im) * 2 / aggregate({side}, 0d, (s, v) -> s + v.w2)")

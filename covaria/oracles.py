@@ -266,3 +266,10 @@ p AS (SELECT f, a00 * i02 + a01 * i12 AS p00, a00 * i03 + a01 * i13 AS p01, a01
 m AS (SELECT f, p00 * q00 + p01 * q10 AS m00, p00 * q01 + p01 * q11 AS m01, p10 * q00 + p11 * q10 AS m10, p10 * q01 + p11 * q11 AS m11 FROM p)"""
 ORACLES["mim_2x2"] = f"{TWO} SELECT CAST(0 AS INT) AS con, f, {_r('m00 + m11', 'mim')} FROM m"
 ORACLES["mic_2x2_abs"] = f"{TWO} SELECT CAST(0 AS INT) AS con, f, {_r('sqrt(((m00 + m11) + sqrt(greatest((m00 + m11) ** 2 - 4 * (m00 * m11 - m01 * m10), 0))) / 2)', 'mic')} FROM m"
+
+ORACLES["signals_selected"] = f"WITH {DAYS} SELECT epoch, ch, t, {_r('value', 'value')} FROM sig WHERE epoch % 7 IN (2, 3)"
+ORACLES["coh_from_spectra"] = f"{CROSS} SELECT seed, target, f, {_r(MEASURES['coh'], 'value')} FROM x WHERE f BETWEEN 2 AND 6 GROUP BY ALL"
+ORACLES["var_residual"] = f"""{_var()} SELECT l.epoch, CAST(k.ch AS INT) AS ch, t, {_r(f'CASE k.ch WHEN 0 THEN {_E[0]} ELSE {_E[1]} END', 'residual', 4)}
+FROM l JOIN a ON l.epoch = a.epoch CROSS JOIN (VALUES (0), (1)) k(ch) WHERE p0 IS NOT NULL"""
+ORACLES["conn_topn_distance"] = f"""{_envelope(orth=False)}, g AS (SELECT seed, target, avg(v) AS v FROM e GROUP BY ALL), r AS (SELECT *, rank() OVER (ORDER BY abs(v) DESC) AS k FROM g)
+SELECT seed, target, {_r('v', 'value')} FROM r WHERE k <= 6 AND abs(seed - target) >= 1.5"""

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -17,6 +19,9 @@ MULTIVARIATE = ("mic", "mim", "cacoh", "gc", "gc_tr")
 
 
 def _shape(vectors: DataFrame) -> tuple[int, int]:
+    if "x" not in vectors.columns:
+        top = vectors.agg(F.max("ch")).first()[0]
+        return (top if top is not None else -1) + 1, 0
     top, n_times = vectors.agg(F.max("ch"), F.max(F.size("x"))).first()
     return (top if top is not None else -1) + 1, n_times or 0
 
@@ -40,14 +45,24 @@ def _frames(values: DataFrame, methods: list[str], meta: Meta) -> list[ConnFrame
 
 
 def spectral_connectivity_epochs(vectors: DataFrame, method: str | Sequence[str] = "coh", indices=None, sfreq: float = 1.0, mode: str = "multitaper", fmin=None, fmax=None, fskip: int = 0, faverage: bool = False, mt_bandwidth: float | None = None, mt_adaptive: bool = False, mt_low_bias: bool = True, cwt_freqs=None, cwt_n_cycles=7.0, gc_n_lags: int = 40, rank=None, n_components: int | None = 1) -> ConnFrame | list[ConnFrame]:
-    """Connectivity over epochs; a list of frames for several methods."""
+    """Connectivity over epochs; a list of frames for several methods.
+
+    vectors are samples (epoch, ch, x), or spectra made before (epoch, ch, taper, f, freq, re, im, weight[, t]),
+    which are used as they are between fmin and fmax; measures of sets then ask for ranks.
+    """
     methods = [method] if isinstance(method, str) else list(method)
     multi = [m for m in methods if m in MULTIVARIATE]
     if multi and len(multi) != len(methods):
         raise ValueError("measures of pairs and of sets can't be mixed in a call")
     n_nodes, n_times = _shape(vectors)
-    bands = _bands(fmin, fmax, n_times, sfreq)
-    if mode == "cwt_morlet":
+    given = "re" in vectors.columns
+    bands = _bands(0.0 if given and fmin is None else fmin, fmax, n_times, sfreq)
+    if given:
+        if multi and rank is None:
+            raise ValueError("measures of sets from spectra ask for ranks")
+        inside = [(F.col("freq") >= a) & (F.col("freq") <= b) for a, b in bands]
+        found, mode = vectors.where(reduce(or_, inside)), "given"
+    elif mode == "cwt_morlet":
         if cwt_freqs is None:
             raise ValueError("cwt_morlet asks for cwt_freqs")
         freqs = [f for f in cwt_freqs if any(a <= f <= b for a, b in bands)]

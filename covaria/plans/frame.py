@@ -129,11 +129,16 @@ class ConnFrame:
         names = F.array(*[F.lit(n) for n in self.names])
         return self.df.withColumns({"seed_name": F.get(names, F.col("seed")), "target_name": F.get(names, F.col("target"))})
 
-    def strongest(self, n: int, absolute: bool = False) -> DataFrame:
-        """The n largest values and whatever equals the last of them."""
+    def strongest(self, n: int, absolute: bool = False, positions: list[tuple[float, ...]] | None = None, min_distance: float = 0.0) -> DataFrame:
+        """The n largest values and whatever equals the last of them; then without pairs of nodes nearer than min_distance."""
         size = F.abs(self.values[0]) if absolute else F.col(self.values[0])
         last = self.df.select(size.alias("v")).orderBy(F.desc("v")).limit(n).agg(F.min("v").alias("_least"))
-        return self.df.crossJoin(F.broadcast(last)).where(size >= F.col("_least")).drop("_least")  # one row
+        top = self.df.crossJoin(F.broadcast(last)).where(size >= F.col("_least")).drop("_least")  # one row
+        if positions is None:
+            return top
+        places = F.array(*[F.array(*[F.lit(float(x)) for x in p]) for p in positions])
+        apart = F.aggregate(F.zip_with(F.get(places, F.col("seed")), F.get(places, F.col("target")), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+        return top.where(F.sqrt(apart) >= min_distance)
 
     def save(self, path: str) -> None:
         """A folder of two tables: values, and one row of metadata."""
@@ -173,10 +178,10 @@ def read_connectivity(spark: SparkSession, path: str) -> ConnFrame:
     return ConnFrame(spark.read.parquet(f"{path}/values"), Meta(**json.loads(meta.meta)))
 
 
-def degree(dense: DataFrame, n_nodes: int, threshold_prop: float = 0.2, value: str = "value") -> DataFrame:
+def degree(dense: DataFrame, n_nodes: int, threshold_prop: float = 0.2, value: str = "value", symmetric: bool | None = None) -> DataFrame:
     """(node, degree) over the strongest share of edges of a dense (seed, target, value).
 
-    Symmetric values are counted once and mirrored; edges of value 0 or less don't count; where the
+    Symmetric values (looked for in the data unless said) are counted once and mirrored; edges of value 0 or less don't count; where the
     share rounds to no edge at all, all are kept. Ties go by seed and target. The edges of one graph
     are one ordering.
     """
@@ -185,8 +190,9 @@ def degree(dense: DataFrame, n_nodes: int, threshold_prop: float = 0.2, value: s
     if not 0 < threshold_prop <= 1:
         raise ValueError("threshold_prop lies between 0 and 1")
     off = dense.where("seed != target").select("seed", "target", F.col(value).alias("v"))
-    other = off.select(F.col("seed").alias("target"), F.col("target").alias("seed"), F.col("v").alias("w"))
-    symmetric = off.join(other, ["seed", "target"]).agg((F.max(F.abs(F.col("v") - F.col("w"))) <= 1e-8).alias("s")).first().s
+    if symmetric is None:
+        other = off.select(F.col("seed").alias("target"), F.col("target").alias("seed"), F.col("v").alias("w"))
+        symmetric = off.join(other, ["seed", "target"]).agg((F.max(F.abs(F.col("v") - F.col("w"))) <= 1e-8).alias("s")).first().s
     half = off.where("seed < target") if symmetric else off
     keep = int(np.round((n_nodes**2 - n_nodes) * threshold_prop / (2 if symmetric else 1)))
     if keep:

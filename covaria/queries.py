@@ -84,6 +84,14 @@ def signals_stacked(spark, sf):
     return rounded(signals.to_long(signals.stacked(signals.without(x, [2, 3, 4]), x.where("ch = 2"))))
 
 
+@query
+def signals_selected(spark, sf):
+    """Epochs of chosen events: here the day of the week is an epoch's code."""
+    x = days(spark, sf)
+    codes = x.select("epoch").distinct().select("epoch", (F.col("epoch") % 7).cast("int").alias("code"))
+    return rounded(signals.to_long(signals.selected(x, codes, [2, 3])))
+
+
 @query
 def edges_lower_tri(spark, sf):
     return edges.lower_triangle(signals.channels_of(table(spark, sf, "events"), "event_type"))
@@ -212,6 +220,12 @@ def coh_embeddings(spark, sf):
     return rounded(bivariate.over_epochs(spectra.csd(found), ["coh", "imcoh", "plv"]).drop("freq"))
 
 
+@query
+def coh_from_spectra(spark, sf):
+    frame = covaria.spectral_connectivity_epochs(_fourier(days(spark, sf)), "coh", fmin=2, fmax=6)
+    return rounded(frame.df.select("seed", "target", "f", "value"))
+
+
 @query
 def psi_fourier(spark, sf):
     cohy = bivariate.over_epochs(spectra.csd(_fourier(days(spark, sf))), ["cohy"])
@@ -409,6 +423,13 @@ def var_predict(spark, sf):
     return rounded(autoregression.predicted(x, autoregression.fit(x)), 4)
 
 
+@query
+def var_residual(spark, sf):
+    x = _two(spark, sf)
+    seen = autoregression.predicted(x, autoregression.fit(x)).where("t > 0")
+    return rounded(seen.select("epoch", "ch", "t", (F.col("value") - F.col("predicted")).alias("residual")), 4)
+
+
 @query
 def var_residual_cov(spark, sf):
     return rounded(autoregression.residual_covariance(_two(spark, sf)), 2)
@@ -469,7 +490,7 @@ def conn_append(spark, sf):
 def conn_degree(spark, sf):
     frame = covaria.spectral_connectivity_epochs(days(spark, sf), "coh", sfreq=SFREQ, mode="fourier", fmin=3.5, fmax=4.5)
     meta = Meta("coh", 5, "symmetric")
-    return degree(ConnFrame(frame.df.drop("f", "freq"), meta).get_data("dense").fillna(0.0, ["value"]), 5, 0.4)
+    return degree(ConnFrame(frame.df.drop("f", "freq"), meta).get_data("dense").fillna(0.0, ["value"]), 5, 0.4, symmetric=True)
 
 
 @query
@@ -478,6 +499,13 @@ def conn_topn(spark, sf):
     return rounded(frame.strongest(4))
 
 
+@query
+def conn_topn_distance(spark, sf):
+    """By size whatever the sign, without neighbours on a line."""
+    frame = _envelope(spark, sf, orthogonalize=False).combine("mean")
+    return rounded(frame.strongest(6, absolute=True, positions=[(float(i), 0.0, 0.0) for i in range(5)], min_distance=1.5))
+
+
 @query
 def conn_rename(spark, sf):
     frame = _envelope(spark, sf).combine("mean").rename_nodes(lambda n: f"channel {n}")
