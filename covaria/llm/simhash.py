@@ -134,7 +134,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", fp_col: str = "fp")
     joined = components(links(prints.select("fp")))
     least = joined.join(prints, joined.node == prints.fp).groupBy("component").agg(F.min("least").alias("component_id"))
     moved = joined.join(least, "component").select(F.col("node").alias("fp"), "component_id")
-    classes = prints.join(moved, "fp", "left").select(F.col("fp").alias(fp_col), F.coalesce("component_id", "least").alias("component_id"))
+    # written, so that the join below has an exchange of its own on either side and Spark can split a fingerprint that many documents have
+    classes = cut(prints.join(moved, "fp", "left").select(F.col("fp").alias(fp_col), F.coalesce("component_id", "least").alias("component_id")))
     return docs.drop("component_id").join(classes, fp_col)
 
 
