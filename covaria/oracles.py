@@ -273,3 +273,4 @@ ORACLES["var_residual"] = f"""{_var()} SELECT l.epoch, CAST(k.ch AS INT) AS ch,
 FROM l JOIN a ON l.epoch = a.epoch CROSS JOIN (VALUES (0), (1)) k(ch) WHERE p0 IS NOT NULL"""
 ORACLES["conn_topn_distance"] = f"""{_envelope(orth=False)}, g AS (SELECT seed, target, avg(v) AS v FROM e GROUP BY ALL), r AS (SELECT *, rank() OVER (ORDER BY abs(v) DESC) AS k FROM g)
 SELECT seed, target, {_r('v', 'value')} FROM r WHERE k <= 6 AND abs(seed - target) >= 1.5"""
+ORACLES["coh_from_tfr"] = f"{TCROSS} SELECT epoch, seed, target, f, {_r(MEASURES['coh'], 'value')} FROM x GROUP BY ALL"

@@ -112,16 +112,22 @@ def _multivariate(vectors, cross, methods, indices, n_nodes, meta, lags, rank, n
 
 
 def spectral_connectivity_time(vectors: DataFrame, freqs, method: str | Sequence[str] = "coh", average: bool = False, indices=None, sfreq: float = 1.0, fmin=None, fmax=None, faverage: bool = False, sm_times: float = 0, sm_freqs: int = 1, sm_kernel: str = "hanning", padding: float = 0, mode: str = "cwt_morlet", mt_bandwidth: float | None = None, n_cycles=7.0, decim: int = 1, gc_n_lags: int = 40, rank=None, n_components: int | None = 1, strict_bands: bool = False) -> ConnFrame | list[ConnFrame]:
-    """Connectivity over time within each epoch, averaged over epochs on demand."""
+    """Connectivity over time within each epoch, averaged over epochs on demand.
+
+    vectors are samples, or time-frequency coefficients made before (with t), whose bins freqs lists.
+    """
     methods = [method] if isinstance(method, str) else list(method)
     freqs = [float(f) for f in freqs]
     if any(a >= b for a, b in zip(freqs, freqs[1:], strict=False)) or freqs[-1] > sfreq / 2:
         raise ValueError("freqs must rise and stay below Nyquist")
     n_nodes, n_times = _shape(vectors)
-    if not 0 <= padding < n_times / sfreq / 2:
+    given = "re" in vectors.columns
+    if not given and not 0 <= padding < n_times / sfreq / 2:
         raise ValueError("padding must leave samples between")
     cropped = int(np.floor(padding * sfreq / decim))
-    if mode == "cwt_morlet":
+    if given:
+        found, mode = vectors.where(F.col("t") % decim == 0).withColumn("t", (F.col("t") / decim).cast("int")), "given"
+    elif mode == "cwt_morlet":
         found = spectra.wavelet(vectors, sfreq, freqs, n_cycles, decim=decim, padding=cropped)
     elif mode == "multitaper":
         found = spectra.tapered_tfr(vectors, sfreq, freqs, n_cycles, mt_bandwidth or 4.0)

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from covaria.operators import autoregression
 
+#: Pairs of nodes up to which a grid of them is broadcast.
+SMALL_GRID = 1_000_000
 DIMS = ("epoch", "con", "seed", "target", "component", "f", "freq", "band", "t", "time", "lag")
 
 
@@ -55,6 +57,11 @@ class ConnFrame:
     def names(self) -> list[str]:
         return self.meta.names or [str(i) for i in range(self.meta.n_nodes)]
 
+    @property
+    def shape(self) -> tuple[int, ...]:
+        """How many values each dimension has."""
+        return tuple(self.df.agg(*[F.count_distinct(d) for d in self.dims]).first())
+
     def coords(self, dim: str) -> DataFrame:
         """The values that a dimension has."""
         return self.df.select(dim).distinct()
@@ -73,14 +80,15 @@ class ConnFrame:
             raise ValueError("connections of several channels have no dense form")
         others = [c for c in self.dims if c not in ("con", "seed", "target")]
         spark = self.df.sparkSession
-        nodes = spark.range(self.meta.n_nodes)
-        grid = nodes.select(F.col("id").cast("int").alias("seed")).crossJoin(F.broadcast(nodes.select(F.col("id").cast("int").alias("target"))))  # nodes squared, once
+        n = self.meta.n_nodes
+        small = F.broadcast if n * n <= SMALL_GRID else (lambda df: df)
+        grid = spark.range(n * n).select((F.col("id") / n).cast("int").alias("seed"), (F.col("id") % n).cast("int").alias("target"))
         rows = self.df
         if self.meta.indices == "symmetric":
             mirror = rows.where("seed != target").withColumns({"seed": F.col("target"), "target": F.col("seed")})
             rows = rows.unionByName(mirror)
         if others:
-            grid = rows.select(*others).distinct().crossJoin(F.broadcast(grid))
+            grid = rows.select(*others).distinct().crossJoin(small(grid))
         dense = grid.join(rows.select(*others, "seed", "target", *self.values), [*others, "seed", "target"], "left")
         return dense if self.meta.indices == "raveled" else dense.fillna(0.0, self.values)
 

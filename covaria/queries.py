@@ -276,6 +276,12 @@ def time_average(spark, sf):
     return rounded(bivariate.over_time(spectra.csd(_tfr(spark, sf)), ["coh"], average=True).drop("freq"))
 
 
+@query
+def coh_from_tfr(spark, sf):
+    frame = covaria.spectral_connectivity_time(_tfr(spark, sf), FREQS, "coh", sfreq=SFREQ)
+    return rounded(frame.df.select("epoch", "seed", "target", "f", "value"))
+
+
 @query
 def time_faverage(spark, sf):
     values = bivariate.over_time(spectra.csd(_tfr(spark, sf)), ["coh"])

@@ -12,14 +12,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: A row of an epoch holds all its channels and pairs are made of them, so their number is bounded.
+MOST_CHANNELS = 10_000
+
+
 def densify(cells: DataFrame, channels: DataFrame, n_times: int) -> DataFrame:
     """Cells (epoch, ch, t, value) to vectors with zeros where there is no cell.
 
     One shuffle by epoch: an epoch's cells become a map that every channel is read from, so neither
-    a product of dimensions nor a join of it with the cells is needed. channels is the list of channels.
+    a product of dimensions nor a join of it with the cells is needed. The list of channels is read
+    first, and refused if it has more than MOST_CHANNELS.
     """
+    listed = [r.ch for r in channels.select("ch").distinct().orderBy("ch").limit(MOST_CHANNELS + 1).collect()]
+    if len(listed) > MOST_CHANNELS:
+        raise ValueError(f"more than {MOST_CHANNELS} channels")
     found = cells.where(F.col("ch").isNotNull()).groupBy("epoch").agg(F.map_from_entries(F.collect_list(F.struct(F.col("ch") * n_times + F.col("t"), F.col("value")))).alias("cells"))
-    rows = found.crossJoin(F.broadcast(channels.select("ch").distinct()))  # a list of channels, not of samples
+    rows = found.select("epoch", "cells", F.explode(F.lit(listed) if listed else F.array().cast("array<int>")).alias("ch"))
     at = lambda t: F.coalesce(F.try_element_at("cells", (F.col("ch") * n_times + t).cast("int")), F.lit(0.0))
     return rows.select("epoch", F.col("ch").cast("int").alias("ch"), F.transform(F.sequence(F.lit(0), F.lit(n_times - 1)), at).alias("x"))
 
@@ -45,7 +53,7 @@ def events(table: DataFrame) -> DataFrame:
     """Days by event type by hour: the sum of values, 24 samples a day."""
     cells = table.groupBy(F.to_date("ts").alias("day"), "event_type", F.hour("ts").alias("t")).agg(F.sum("value").alias("value"))
     names = channels_of(table, "event_type")
-    keyed = cells.join(F.broadcast(names), F.col("event_type") == F.col("name"))  # event types are a short list
+    keyed = cells.join(names, F.col("event_type") == F.col("name"))
     return densify(keyed.select(F.unix_date("day").cast("long").alias("epoch"), "ch", "t", "value"), names, 24)
 
 
@@ -60,7 +68,7 @@ def orders(table: DataFrame, n_times: int = 90) -> DataFrame:
     cells = table.select((F.year("o_orderdate") * 4 + F.quarter("o_orderdate")).cast("long").alias("epoch"), "o_orderpriority", F.datediff("o_orderdate", start).alias("t"), "o_totalprice")
     cells = cells.where(F.col("t") < n_times).groupBy("epoch", "o_orderpriority", "t").agg(F.sum("o_totalprice").alias("value"))
     names = channels_of(table, "o_orderpriority")
-    return densify(cells.join(F.broadcast(names), F.col("o_orderpriority") == F.col("name")).select("epoch", "ch", "t", "value"), names, n_times)
+    return densify(cells.join(names, F.col("o_orderpriority") == F.col("name")).select("epoch", "ch", "t", "value"), names, n_times)
 
 
 def stacked(*blocks: DataFrame) -> DataFrame:
