@@ -60,4 +60,4 @@ QUERIES = {
     "op9_url_filters": op9_url_filters,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLES: dict[str, str] = {"op2_chat_formatting": chat.ORACLE, "op7_mixing": mixing.ORACLE, "op9_url_filters": urls.ORACLE}
+ORACLES: dict[str, str] = {"op2_chat_formatting": chat.ORACLE, "op4_embedding_near_dedup": vectors.ORACLE, "op7_mixing": mixing.ORACLE, "op9_url_filters": urls.ORACLE}

@@ -127,3 +127,17 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 def digest(vectors: DataFrame) -> DataFrame:
     """The rows of op4."""
     return linked(vectors)
+
+
+#: The rows of op4 by DuckDB: all pairs of a label, and what each vector reaches.
+ORACLE = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+    WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.e, b.e) >= {LEAST}),
+r(n, m) AS (SELECT a, b FROM p UNION SELECT r.n, p.b FROM r JOIN p ON r.m = p.a),
+c AS (SELECT n, min(m) AS least FROM r GROUP BY n), k AS (SELECT a, count(*) AS links FROM p GROUP BY a)
+SELECT vec_id, coalesce(k.links, 0) AS n_links, least(vec_id, coalesce(c.least, vec_id)) AS component_id, vec_id <= coalesce(c.least, vec_id) AS kept
+FROM embeddings LEFT JOIN k ON k.a = vec_id LEFT JOIN c ON c.n = vec_id
+"""

@@ -36,7 +36,7 @@ def test_stages(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "conversations", "pages", "labels"):
+    for table in ("documents", "conversations", "pages", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     df = entry.queries()[name](spark, SF)
     columns = sorted(df.columns)
@@ -47,3 +47,12 @@ def test_query_equals_sql(spark, name):
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))
+
+
+def test_stages_on_odd_rows(spark):
+    rows = [(i, f"some words number {i} and a few more of them {i * 7}", "en", "a", 0, "x", "y") for i in range(40)]
+    rows += [(100, None, None, None, None, None, None), (101, "", "en", "b", 0, "", ""), (None, "no id", "en", None, 1, "", ""), (102, "word " * 40_000, "en", "c", 0, "", ""), rows[3], rows[3]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string, shard string")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() > 0
+        assert stage(spark, docs.limit(0), SF).collect() == []
