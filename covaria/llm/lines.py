@@ -10,7 +10,9 @@ longest such copy at each position is found by one scan of the order in each dir
 of ever earlier positions; partitions of the order are scanned at once, each starting from what the
 partitions before it leave open, which is at most one entry for each length of a common prefix.
 
-Lines covered by a later copy of at least ``LEAST_WORDS`` words are deleted. Corpus order is by id.
+Lines covered by a later copy of at least ``LEAST_WORDS`` words are deleted. Corpus order is by id,
+then by a hash of the text. A row is known by both, so texts are neither written nor numbered; rows
+that repeat both are later copies as a whole.
 
 Counts by line precede all else, so a line that is everywhere is one row a task; the order is cut by
 ranges of (name, position), so its positions are dealt out too.
@@ -33,8 +35,9 @@ from pyspark.sql.window import Window
 from .common import cut, word_count
 
 LEAST_WORDS = 5
-#: Position in the corpus: null ids last, then rows as they were read.
-PLACE = ["late", "doc", "row", "line"]
+#: A row, and a position in the corpus: null ids come last, and of one id the smaller hash of the text first.
+ROW = ["late", "doc", "row"]
+PLACE = [*ROW, "line"]
 
 
 def _named(rows: DataFrame, key: list[str], name: str) -> DataFrame:
@@ -45,20 +48,21 @@ def _named(rows: DataFrame, key: list[str], name: str) -> DataFrame:
 
 
 def segments(lines: DataFrame) -> DataFrame:
-    """(place, digest, words) of all lines to the positions of repeated ones: seg, at, left, r0, words, place."""
-    repeated = lines.groupBy("digest").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    ordered = repeated.repartitionByRange("digest").sortWithinPartitions("digest").withColumn("r0", F.monotonically_increasing_id())
-    kept = lines.join(cut(ordered.select("digest", "r0")), "digest").drop("digest")
-    of_row = Window.partitionBy("row").orderBy("line")
+    """(place, d1, d2, words) of all lines to the positions of repeated ones: stretch, at, left, r0, words, place."""
+    repeated = lines.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    ordered = repeated.repartitionByRange("d1", "d2").sortWithinPartitions("d1", "d2").withColumn("r0", F.monotonically_increasing_id())
+    kept = lines.join(cut(ordered.select("d1", "d2", "r0")), ["d1", "d2"]).drop("d1", "d2")
+    of_row = Window.partitionBy(*ROW).orderBy("line")
+    kept = kept.withColumn("last", F.lag("line").over(of_row)).where("last IS NULL OR last < line").drop("last")  # repeated rows once
     kept = kept.withColumn("stretch", F.col("line") - F.row_number().over(of_row))
-    of_seg = Window.partitionBy("row", "stretch")
+    of_seg = Window.partitionBy(*ROW, "stretch")
     return kept.withColumns({"at": (F.row_number().over(of_seg.orderBy("line")) - 1).cast("int"), "left": F.count(F.lit(1)).over(of_seg).cast("int")}).withColumn("left", F.col("left") - F.col("at"))
 
 
 def suffix_ranks(kept: DataFrame) -> tuple[DataFrame, int]:
     """Positions with names r0..rK, and K: no two segments share 2^K lines unless both end there."""
     kept, k = cut(kept), 0
-    of_seg = Window.partitionBy("row", "stretch").orderBy("at")
+    of_seg = Window.partitionBy(*ROW, "stretch").orderBy("at")
     while True:
         step = 1 << k
         pairs = kept.withColumn("next", F.coalesce(F.lead(f"r{k}", step).over(of_seg), F.lit(-1)))
@@ -74,7 +78,7 @@ def neighbours(ranked: DataFrame, top: int) -> tuple[DataFrame, DataFrame]:
     order = [f"r{top}", *PLACE]
     array = cut(ranked.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("t", F.monotonically_increasing_id()))
     part = F.shiftright("t", 33)
-    seen = ["row", "stretch", "at", "left", *[f"r{k}" for k in range(top + 1)]]
+    seen = [*ROW, "stretch", "at", "left", *[f"r{k}" for k in range(top + 1)]]
     before = Window.partitionBy("part").orderBy("t")
     pairs = array.withColumn("part", part).select("t", "part", *seen, *[F.lag(c).over(before).alias(f"p_{c}") for c in seen])
     lasts = array.withColumn("part", part).groupBy("part").agg(F.max_by(F.struct(*seen), "t").alias("last"))
@@ -85,7 +89,7 @@ def neighbours(ranked: DataFrame, top: int) -> tuple[DataFrame, DataFrame]:
     shared = F.when(F.col(f"r{top}") == F.col(f"p_r{top}"), F.col("left"))
     for k in range(top - 1, -1, -1):
         shared = shared.when(F.col(f"r{k}") == F.col(f"p_r{k}"), F.least(F.lit(1 << k), "left", "p_left"))
-    small = ["t", "row", "stretch", "at", "left", "p_row", "p_stretch", "p_at", "p_left"]
+    small = ["t", *ROW, "stretch", "at", "left", *[f"p_{c}" for c in ROW], "p_stretch", "p_at", "p_left"]
     level = F.greatest(*[F.when((F.col(f"r{k}") == F.col(f"p_r{k}")), k).otherwise(-1) for k in range(top + 1)], F.lit(-1))
     pairs = cut(pairs.select(*small, F.coalesce(shared, F.lit(0)).cast("int").alias("lcp"), level.alias("level")))
     done = pairs.where((F.col("level") < 1) | (F.col("level") == top)).select("t", "lcp")
@@ -93,11 +97,10 @@ def neighbours(ranked: DataFrame, top: int) -> tuple[DataFrame, DataFrame]:
     for k in range(top - 2, -1, -1):
         if going.isEmpty():
             break
-        names = ranked.select("row", "stretch", "at", F.col(f"r{k}").alias("name"), "left")
-        mine = names.select(F.col("row"), F.col("stretch"), F.col("at").alias("here"), "name")
-        theirs = names.select(F.col("row").alias("p_row"), F.col("stretch").alias("p_stretch"), F.col("at").alias("p_here"), F.col("name").alias("p_name"))
+        mine = ranked.select(*ROW, "stretch", F.col("at").alias("here"), F.col(f"r{k}").alias("name"))
+        theirs = ranked.select(*[F.col(c).alias(f"p_{c}") for c in (*ROW, "stretch")], F.col("at").alias("p_here"), F.col(f"r{k}").alias("p_name"))
         now = going.where(F.col("level") > k).withColumns({"here": F.col("at") + F.col("lcp"), "p_here": F.col("p_at") + F.col("lcp")})
-        now = now.join(mine, ["row", "stretch", "here"], "left").join(theirs, ["p_row", "p_stretch", "p_here"], "left")
+        now = now.join(mine, [*ROW, "stretch", "here"], "left").join(theirs, [*[f"p_{c}" for c in (*ROW, "stretch")], "p_here"], "left")
         more = F.when(F.col("name") == F.col("p_name"), F.least(F.lit(1 << k), F.col("left") - F.col("lcp"), F.col("p_left") - F.col("lcp"))).otherwise(0)
         now = now.withColumn("lcp", (F.col("lcp") + more).cast("int")).select(*small, "lcp", "level")
         going = cut(now.unionByName(going.where(F.col("level") <= k)))
@@ -185,7 +188,7 @@ def _copied(opened: dict):
         before, after = opened[int(rows["part"].iloc[0])]
         ahead = _scan(places, lcps, list(before))
         behind = _scan(places[::-1], [_FAR, *lcps[:0:-1]], list(after))[::-1]
-        return rows[["row", "line", "words"]].assign(copied=np.maximum(ahead, behind).astype(np.int32))
+        return rows[[*PLACE, "words"]].assign(copied=np.maximum(ahead, behind).astype(np.int32))
 
     return of
 
@@ -220,22 +223,30 @@ def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """docs with later copies of runs of lines cut from their texts, n_lines (int) and n_deleted (int); ids are integers."""
-    docs = cut(docs.drop("n_lines", "n_deleted").withColumn("_row", F.monotonically_increasing_id()))
-    place = [F.col(id_col).isNull().cast("int").alias("late"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc"), F.col("_row").alias("row")]
-    lines = docs.select(*place, F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "said"))
-    kept = segments(lines.select("late", "doc", "row", "line", F.md5("said").alias("digest"), word_count(F.col("said")).cast("int").alias("words")))
+    text = F.col(text_col)
+    row = {"late": F.col(id_col).isNull().cast("int"), "doc": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "row": F.xxhash64(text)}
+    lines = docs.select(*[c.alias(k) for k, c in row.items()], F.posexplode(F.split(text, "\n")).alias("line", "said"))
+    hashes = [F.xxhash64("said").alias("d1"), F.xxhash64(F.lit(1), "said").alias("d2")]  # 128 bits name a line
+    kept = segments(lines.select(*PLACE, *hashes, word_count(F.col("said")).cast("int").alias("words")))
     ranked, top = suffix_ranks(kept)
     array, shared = neighbours(ranked, top)
     ordered = cut(array.select("t", F.shiftright("t", 33).alias("part"), *PLACE, "words").join(shared, "t"))
-    kinds = {"late": "int", "doc": "long", "row": "long", "line": "int"}
-    opened = ordered.groupBy("part").applyInPandas(_summary, ", ".join(["way string", *[f"{c} {k}" for c, k in kinds.items()], "lcp int, part long, head int, within int"]))
-    copies = ordered.groupBy("part").applyInPandas(_copied(_opened(opened.collect())), "row long, line int, words int, copied int")  # collected: for each partition an entry a length
-    spots = F.collect_list(F.struct("line", "words", "copied"))  # of one document
-    gone = copies.groupBy(F.col("row").alias("_row")).agg(spots.alias("_spots")).select("_row", F.pandas_udf(_covered(least_words), "array<int>")(F.col("_spots")).alias("_gone"))
-    out = docs.join(gone.where(F.size("_gone") > 0), "_row", "left")
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.length(F.col(text_col)) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1)
-    out = out.withColumns({"n_lines": n_lines.cast("int"), "n_deleted": F.coalesce(F.size("_gone"), F.lit(0)), "_rest": F.pandas_udf(_without, "string")(F.col(text_col), F.col("_gone"))})
-    return out.withColumn(text_col, F.col("_rest")).drop("_row", "_gone", "_rest")
+    kinds = "late int, doc long, row long, line int"
+    opened = ordered.groupBy("part").applyInPandas(_summary, f"way string, {kinds}, lcp int, part long, head int, within int")
+    copies = ordered.groupBy("part").applyInPandas(_copied(_opened(opened.collect())), f"{kinds}, words int, copied int")  # collected: for each partition an entry a length
+    spots = copies.groupBy(*ROW).agg(F.collect_list(F.struct("line", "words", "copied")).alias("spots"))  # of one document
+    gone = spots.select(*ROW, F.pandas_udf(_covered(least_words), "array<int>")(F.col("spots")).alias("_gone")).where(F.size("_gone") > 0)
+
+    keys = {f"_{k}": c for k, c in row.items()}
+    out = docs.drop("n_lines", "n_deleted").withColumns(keys).join(gone.withColumnsRenamed({k: f"_{k}" for k in ROW}), list(keys), "left")
+    n_lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("int")
+    again = cut(docs.where(text.isNotNull()).withColumns(keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    if not again.isEmpty():  # of rows alike in id and text all but one go as a whole
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+        whole = (nth > 1) & text.isNotNull() & (word_count(text) >= least_words)
+        out = out.withColumn("_gone", F.when(whole, F.sequence(F.lit(0), n_lines - 1)).otherwise(F.col("_gone")))
+    out = out.withColumns({"n_lines": n_lines, "n_deleted": F.coalesce(F.size("_gone"), F.lit(0)), "_rest": F.pandas_udf(_without, "string")(text, F.col("_gone"))})
+    return out.withColumn(text_col, F.col("_rest")).drop(*keys, "_gone", "_rest")
 
 
 def digest(docs: DataFrame) -> DataFrame:
