@@ -49,14 +49,14 @@ class Tokens(dict):
     """Word to the code of its two buckets; forgets all when it has grown large."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         code = xxhash.xxh32_intdigest(word.lower()) % WORDS * SHAPES + xxhash.xxh32_intdigest(shape_of(word)) % (SHAPES - 1) + 1
         self[word] = code
         return code
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        codes = np.array([self[w] for w in (text or "").split()], np.int64)
+        codes = np.array([self[w] for w in (text or "").split()], np.int32)
         words, shapes = codes // SHAPES, codes % SHAPES + WORDS
         shapes[1:][codes[1:] == codes[:-1]] = WORDS  # bucket 0: said again
         return words, shapes
@@ -66,13 +66,14 @@ def context_vectors(documents: list[tuple[np.ndarray, np.ndarray]], seed: int =
     """Random indexing: for each bucket the sum of its neighbours' index vectors, at unit length."""
     n = WORDS + SHAPES
     index = np.random.default_rng(seed).choice([-1.0, 0.0, 1.0], (n, DIM), p=[0.05, 0.9, 0.05])
-    met = np.zeros(n * n)
+    met = np.zeros(n * n, np.float32)
     for words, shapes in documents:
         for k in range(1, NEAR + 1):
             for a, b in ((words[:-k], words[k:]), (words[:-k], shapes[k:]), (shapes[:-k], words[k:]), (shapes[:-k], shapes[k:])):
-                np.add.at(met, a * n + b, 1.0)
+                np.add.at(met, a * n + b, np.float32(1))
     met = met.reshape(n, n)
-    vectors = np.log1p(met + met.T) @ index
+    met = met + met.T
+    vectors = np.log1p(met, out=met) @ index.astype(np.float32)
     return (vectors / np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)[:, None]).astype(np.float32)
 
 
@@ -111,6 +112,7 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 0) -> Network |
         return float(y.mean()) if len(y) else 1.0
     tokens, rng = Tokens(), np.random.default_rng(seed)
     documents = [tokens.of(t) for t in texts]
+    texts.clear()  # the driver keeps one form of them
     net = Network(context_vectors(documents, seed), *np.zeros((2, 2 * DIM)), rng.normal(0, (2 * DIM) ** -0.5, (2 * DIM, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), 0.0)
     x = np.array([net.pooled(d) for d in documents])
     net.centre, net.scale = x[:, :-1].mean(0), x[:, :-1].std(0) + 1e-3
@@ -143,8 +145,11 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str, split: tuple[int,
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Network | float:
-    rows = labelled(docs, labels, "quality", HELD_OUT, max_rows).orderBy("doc_id").limit(max_rows).collect()
-    return fit([r.text for r in rows], [r.label for r in rows])
+    texts, marks = [], []
+    for r in labelled(docs, labels, "quality", HELD_OUT, max_rows).orderBy("doc_id").limit(max_rows).toLocalIterator():
+        texts.append(r.text)
+        marks.append(r.label)
+    return fit(texts, marks)
 
 
 def scored(docs: DataFrame, model: Network | float) -> DataFrame:
