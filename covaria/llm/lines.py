@@ -47,16 +47,19 @@ def _named(rows: DataFrame, key: list[str], name: str) -> DataFrame:
     return rows.join(cut(ordered), key)
 
 
-def segments(lines: DataFrame) -> DataFrame:
-    """(place, d1, d2, words) of all lines to the positions of repeated ones: stretch, at, left, r0, words, place."""
+def segments(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(place, d1, d2, words) of all lines to the positions of repeated ones (stretch, at, left, r0, words, place), and the rows that are there more than once."""
     repeated = lines.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
     ordered = repeated.repartitionByRange("d1", "d2").sortWithinPartitions("d1", "d2").withColumn("r0", F.monotonically_increasing_id())
     kept = lines.join(cut(ordered.select("d1", "d2", "r0")), ["d1", "d2"]).drop("d1", "d2")
     of_row = Window.partitionBy(*ROW).orderBy("line")
-    kept = kept.withColumn("last", F.lag("line").over(of_row)).where("last IS NULL OR last < line").drop("last")  # repeated rows once
+    kept = cut(kept.withColumn("again", F.coalesce(F.lag("line").over(of_row) == F.col("line"), F.lit(False))))
+    again = kept.where("again").select(*ROW).distinct()
+    kept = kept.where("NOT again").drop("again")
     kept = kept.withColumn("stretch", F.col("line") - F.row_number().over(of_row))
     of_seg = Window.partitionBy(*ROW, "stretch")
-    return kept.withColumns({"at": (F.row_number().over(of_seg.orderBy("line")) - 1).cast("int"), "left": F.count(F.lit(1)).over(of_seg).cast("int")}).withColumn("left", F.col("left") - F.col("at"))
+    kept = kept.withColumns({"at": (F.row_number().over(of_seg.orderBy("line")) - 1).cast("int"), "left": F.count(F.lit(1)).over(of_seg).cast("int")}).withColumn("left", F.col("left") - F.col("at"))
+    return kept, again
 
 
 def suffix_ranks(kept: DataFrame) -> tuple[DataFrame, int]:
@@ -227,7 +230,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     row = {"late": F.col(id_col).isNull().cast("int"), "doc": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "row": F.xxhash64(text)}
     lines = docs.select(*[c.alias(k) for k, c in row.items()], F.posexplode(F.split(text, "\n")).alias("line", "said"))
     hashes = [F.xxhash64("said").alias("d1"), F.xxhash64(F.lit(1), "said").alias("d2")]  # 128 bits name a line
-    kept = segments(lines.select(*PLACE, *hashes, word_count(F.col("said")).cast("int").alias("words")))
+    kept, again = segments(lines.select(*PLACE, *hashes, word_count(F.col("said")).cast("int").alias("words")))
     ranked, top = suffix_ranks(kept)
     array, shared = neighbours(ranked, top)
     ordered = cut(array.select("t", F.shiftright("t", 33).alias("part"), *PLACE, "words").join(shared, "t"))
@@ -240,7 +243,6 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keys = {f"_{k}": c for k, c in row.items()}
     out = docs.drop("n_lines", "n_deleted").withColumns(keys).join(gone.withColumnsRenamed({k: f"_{k}" for k in ROW}), list(keys), "left")
     n_lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("int")
-    again = cut(docs.where(text.isNotNull()).withColumns(keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     if not again.isEmpty():  # of rows alike in id and text all but one go as a whole
         nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
         whole = (nth > 1) & text.isNotNull() & (word_count(text) >= least_words)
