@@ -48,7 +48,7 @@ def _named(rows: DataFrame, key: list[str], name: str) -> DataFrame:
 
 
 def segments(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(place, d1, d2, words) of all lines to the positions of repeated ones (stretch, at, left, r0, words, place), and the rows that are there more than once."""
+    """(place, d1, d2) of all lines to the positions of repeated ones (stretch, at, left, r0, place), and the rows that are there more than once."""
     repeated = lines.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
     ordered = repeated.repartitionByRange("d1", "d2").sortWithinPartitions("d1", "d2").withColumn("r0", F.monotonically_increasing_id())
     kept = lines.join(cut(ordered.select("d1", "d2", "r0")), ["d1", "d2"]).drop("d1", "d2")
@@ -191,64 +191,63 @@ def _copied(opened: dict):
         before, after = opened[int(rows["part"].iloc[0])]
         ahead = _scan(places, lcps, list(before))
         behind = _scan(places[::-1], [_FAR, *lcps[:0:-1]], list(after))[::-1]
-        return rows[[*PLACE, "words"]].assign(copied=np.maximum(ahead, behind).astype(np.int32))
+        return rows[PLACE].assign(copied=np.maximum(ahead, behind).astype(np.int32))
 
     return of
 
 
-def _covered(least_words: int):
-    """Lines of a document within some later copy of enough words."""
+def _rest(least_words: int):
+    """Texts without the lines that lie within some later copy of enough words, and how many lines those are."""
 
-    def of(found: pd.Series) -> pd.Series:
+    def of(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
         out = []
-        for spots in found:
-            spots = sorted((s["line"], s["words"], s["copied"]) for s in spots)
-            words = np.concatenate([[0], np.cumsum([s[1] for s in spots])])
-            starts = np.arange(len(spots))
-            ends = starts + [s[2] for s in spots]
-            marks = np.zeros(len(spots) + 1, np.int64)
-            long = (words[ends] - words[starts] >= least_words) & (ends > starts)
+        for text, spots in zip(texts, found, strict=True):
+            if spots is None:
+                out.append((None, 0))
+                continue
+            said = text.split("\n")
+            words = np.cumsum([0, *[len(line.encode().split()) for line in said]])  # on bytes, ASCII blanks only
+            starts = np.array([s["line"] for s in spots])
+            ends = starts + [s["copied"] for s in spots]
+            long = words[ends] - words[starts] >= least_words
+            marks = np.zeros(len(said) + 1, np.int64)
             np.add.at(marks, starts[long], 1)
             np.add.at(marks, ends[long], -1)
-            out.append([s[0] for s, n in zip(spots, marks.cumsum()[:-1], strict=True) if n])
-        return pd.Series(out)
+            rest = [line for line, n in zip(said, marks.cumsum()[:-1], strict=True) if not n]
+            out.append(("\n".join(rest), len(said) - len(rest)))
+        return pd.DataFrame(out, columns=["text", "n"]).astype({"text": object, "n": np.int32})
 
     return of
 
 
-def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
-    def rest(text, lines):
-        lines = set(lines)
-        return "\n".join(line for i, line in enumerate(text.split("\n")) if i not in lines)
-
-    return pd.Series([t if t is None or g is None else rest(t, g) for t, g in zip(texts, gone, strict=True)], dtype=object)
-
-
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """docs with later copies of runs of lines cut from their texts, n_lines (int) and n_deleted (int); ids are integers."""
     text = F.col(text_col)
     row = {"late": F.col(id_col).isNull().cast("int"), "doc": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "row": F.xxhash64(text)}
     lines = docs.select(*[c.alias(k) for k, c in row.items()], F.posexplode(F.split(text, "\n")).alias("line", "said"))
     hashes = [F.xxhash64("said").alias("d1"), F.xxhash64(F.lit(1), "said").alias("d2")]  # 128 bits name a line
-    kept, again = segments(lines.select(*PLACE, *hashes, word_count(F.col("said")).cast("int").alias("words")))
+    kept, again = segments(lines.select(*PLACE, *hashes))
     ranked, top = suffix_ranks(kept)
     array, shared = neighbours(ranked, top)
-    ordered = cut(array.select("t", F.shiftright("t", 33).alias("part"), *PLACE, "words").join(shared, "t"))
+    ordered = cut(array.select("t", F.shiftright("t", 33).alias("part"), *PLACE).join(shared, "t"))
     kinds = "late int, doc long, row long, line int"
     opened = ordered.groupBy("part").applyInPandas(_summary, f"way string, {kinds}, lcp int, part long, head int, within int")
-    copies = ordered.groupBy("part").applyInPandas(_copied(_opened(opened.collect())), f"{kinds}, words int, copied int")  # collected: for each partition an entry a length
-    spots = copies.groupBy(*ROW).agg(F.collect_list(F.struct("line", "words", "copied")).alias("spots"))  # of one document
-    gone = spots.select(*ROW, F.pandas_udf(_covered(least_words), "array<int>")(F.col("spots")).alias("_gone")).where(F.size("_gone") > 0)
+    copies = ordered.groupBy("part").applyInPandas(_copied(_opened(opened.collect())), f"{kinds}, copied int")  # collected: for each partition an entry a length
+    spots = copies.where("copied > 0").groupBy(*ROW).agg(F.collect_list(F.struct("line", "copied")).alias("_spots"))  # of one document
 
     keys = {f"_{k}": c for k, c in row.items()}
-    out = docs.drop("n_lines", "n_deleted").withColumns(keys).join(gone.withColumnsRenamed({k: f"_{k}" for k in ROW}), list(keys), "left")
+    out = docs.drop("n_lines", "n_deleted").withColumns(keys).join(spots.withColumnsRenamed({k: f"_{k}" for k in ROW}), list(keys), "left")
     n_lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("int")
+    # the words of a copy are counted where the text is; texts without one don't go to Python
+    out = out.withColumn("_rest", F.pandas_udf(_rest(least_words), "text string, n int")(F.when(F.col("_spots").isNotNull(), text), F.col("_spots")))
+    copied = F.col("_spots").isNotNull()
+    rest, n_deleted = F.when(copied, F.col("_rest.text")).otherwise(text), F.when(copied, F.col("_rest.n")).otherwise(0)
     if not again.isEmpty():  # of rows alike in id and text all but one go as a whole
         nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
-        whole = (nth > 1) & text.isNotNull() & (word_count(text) >= least_words)
-        out = out.withColumn("_gone", F.when(whole, F.sequence(F.lit(0), n_lines - 1)).otherwise(F.col("_gone")))
-    out = out.withColumns({"n_lines": n_lines, "n_deleted": F.coalesce(F.size("_gone"), F.lit(0)), "_rest": F.pandas_udf(_without, "string")(text, F.col("_gone"))})
-    return out.withColumn(text_col, F.col("_rest")).drop(*keys, "_gone", "_rest")
+        out = out.withColumn("_whole", (nth > 1) & text.isNotNull() & (word_count(text) >= least_words))
+        rest, n_deleted = F.when(F.col("_whole"), "").otherwise(rest), F.when(F.col("_whole"), n_lines).otherwise(n_deleted)
+    out = out.withColumns({"n_lines": n_lines, "n_deleted": n_deleted.cast("int"), "_left": rest})
+    return out.withColumn(text_col, F.col("_left")).drop(*keys, "_spots", "_rest", "_whole", "_left")
 
 
 def digest(docs: DataFrame) -> DataFrame:
