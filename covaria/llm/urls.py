@@ -1,8 +1,10 @@
 """URL filters: rules, and per host a tree of path templates judged by their labelled purity.
 
 Segments that vary (they hold a digit, or are very long) become wildcards at once, keeping their
-extension. Then, level by level, the children of a node with more than ``FAN`` different ones become
-one wildcard. What is left are the templates of a host. Siblings, the templates of one parent, are
+extension. Then, level by level down to the longest path, a child of a node stays itself if a
+two-proportion z-test tells its share of bad pages from that of its siblings; where a node's segment
+varies, that is where it has more different children than each of them has pages on average, the other
+children become one wildcard. What is left are the templates of a host. Siblings, the templates of one parent, are
 merged where their shares of bad pages don't differ: one that a two-proportion z-test tells from the
 others of its parent stays alone, the rest are counted together. A template is rejected if its
 share of bad pages among labelled ones, smoothed towards the share of all pages (or half of ``PURE``
@@ -20,13 +22,18 @@ and verdict replace columns of the same name.
 from __future__ import annotations
 
 import string
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
-DEPTH, FAN, Z, PRIOR, PURE = 4, 32, 1.96, 10.0, 0.5
+Z, PRIOR, PURE = 1.96, 10.0, 0.5
+#: Bounds of the tree in the SQL only, which is right for tables whose paths and nodes stay within them.
+DEPTH, FAN = 4, 32
+#: A child that holds digits and was told from its siblings; no segment is shown so, as those with digits are wildcards.
+TOLD = "0*"
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
@@ -49,34 +56,50 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
 
 
 def first_template(path: Column) -> Column:
-    """The path's segments as an array, those that vary as wildcards, those below DEPTH as one."""
+    """The path's segments as an array, those that vary as wildcards."""
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
     extension = lambda s: F.regexp_extract(s, r"(\.[A-Za-z]{1,5})$", 1)
-    shown = F.transform(segments, lambda s: F.when(s.rlike(r"\d") | (F.length(s) > 40), F.concat(F.lit("*"), extension(s))).otherwise(s))
-    return F.when(F.size(shown) > DEPTH, F.concat(F.slice(shown, 1, DEPTH), F.array(F.lit("**")))).otherwise(shown)
+    return F.transform(segments, lambda s: F.when(s.rlike(r"\d") | (F.length(s) > 40), F.concat(F.lit("*"), extension(s))).otherwise(s))
+
+
+def told_apart(known: str, bads: str, all_known: str, all_bads: str) -> Column:
+    """Whether the z-test tells the share of bad pages from that of the rest."""
+    rest, share = F.col(all_known) - F.col(known), F.col(all_bads) / F.nullif(F.col(all_known), F.lit(0))
+    spread = F.sqrt(share * (1 - share) * (1 / F.nullif(F.col(known), F.lit(0)) + 1 / F.nullif(rest, F.lit(0))))
+    z = F.abs(F.col(bads) / F.nullif(F.col(known), F.lit(0)) - (F.col(all_bads) - F.col(bads)) / F.nullif(rest, F.lit(0))) / F.nullif(spread, F.lit(0.0))
+    return F.coalesce(z, F.lit(0.0)) > Z
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, path, bad: null where not labelled) to (host, first, template, rejected)."""
     seen = pages.groupBy("host", first_template(F.col("path")).alias("first")).agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("known"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bads"))
     tree = cut(seen.withColumn("template", F.col("first")))
-    for depth in range(DEPTH):
-        above, here = F.array_join(F.slice("template", 1, depth), "/"), F.get("template", F.lit(depth))
-        nodes = tree.where(F.size("template") > depth).select("host", F.size(F.slice("template", 1, depth)).alias("d"), above.alias("above"), here.alias("here")).distinct()
-        wide = nodes.groupBy("host", "above").agg(F.count(F.lit(1)).alias("fan")).where(F.col("fan") > FAN).select("host", "above", F.lit(True).alias("wide"))
-        tree = tree.withColumn("above", above).join(wide, ["host", "above"], "left")
-        starred = F.concat(F.slice("template", 1, depth), F.array(F.lit("*")), F.slice("template", depth + 2, DEPTH))
-        tree = tree.withColumn("template", F.when(F.col("wide") & (F.size("template") > depth), starred).otherwise(F.col("template"))).drop("above", "wide")
+    done, depth = [], 0
+    while True:  # once for each level of the longest path
+        deeper = F.size("template") > depth
+        done.append(tree.where(~deeper))
+        tree = tree.where(deeper)
+        if tree.isEmpty():
+            break
+        tree = tree.withColumn("above", F.array_join(F.slice("template", 1, depth), "/")).withColumn("here", F.get("template", F.lit(depth)))
+        children = tree.groupBy("host", "above", "here").agg(*[F.sum(c).alias(c) for c in ("n", "known", "bads")])
+        nodes = children.groupBy("host", "above").agg(F.count(F.lit(1)).alias("fan"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "known", "bads")]).where(F.col("fan") * F.col("fan") > F.col("all_n"))
+        apart = told_apart("known", "bads", "all_known", "all_bads")
+        shown = F.when(~apart, F.lit("*")).when(F.col("here") == "*", F.lit(TOLD)).otherwise(F.col("here"))
+        shown = children.join(nodes, ["host", "above"]).select("host", "above", "here", shown.alias("shown")).where("shown != here")
+        tree = tree.join(shown, ["host", "above", "here"], "left")
+        renamed = F.concat(F.slice("template", 1, depth), F.array(F.col("shown")), F.slice("template", F.lit(depth + 2), F.size("template")))
+        tree = cut(tree.withColumn("template", F.when(F.col("shown").isNotNull(), renamed).otherwise(F.col("template"))).drop("above", "here", "shown"))
+        depth += 1
+    tree = reduce(DataFrame.unionAll, done)
     by_template = ["host", "template"]
     tree = cut(tree.withColumn("template", F.array_join("template", "/")))
     counted = tree.groupBy(*by_template).agg(F.sum("known").alias("known"), F.sum("bads").alias("bads"))
     counted = counted.withColumn("parent", F.regexp_replace("template", "/?[^/]*$", ""))
     of_parent = counted.groupBy("host", "parent").agg(F.sum("known").alias("all_known"), F.sum("bads").alias("all_bads"))
     counted = counted.join(of_parent, ["host", "parent"])
-    rest, share = F.col("all_known") - F.col("known"), F.col("all_bads") / F.nullif(F.col("all_known"), F.lit(0))
-    spread = F.sqrt(share * (1 - share) * (1 / F.nullif(F.col("known"), F.lit(0)) + 1 / F.nullif(rest, F.lit(0))))
-    apart = F.abs(F.col("bads") / F.nullif(F.col("known"), F.lit(0)) - (F.col("all_bads") - F.col("bads")) / F.nullif(rest, F.lit(0))) / F.nullif(spread, F.lit(0.0))
-    counted = cut(counted.withColumn("branch", F.when(F.coalesce(apart, F.lit(0.0)) > Z, F.col("template")).otherwise(F.concat("parent", F.lit("/~")))))
+    apart = told_apart("known", "bads", "all_known", "all_bads")
+    counted = cut(counted.withColumn("branch", F.when(apart, F.col("template")).otherwise(F.concat("parent", F.lit("/~")))))
     branches = counted.groupBy("host", "parent", "branch").agg(F.sum("known").alias("b_known"), F.sum("bads").alias("b_bads"))
     usual = counted.agg((F.sum("bads") / F.nullif(F.sum("known"), F.lit(0))).alias("usual"))
     judged = branches.crossJoin(F.broadcast(usual))  # one row

@@ -323,6 +323,21 @@ def test_templates(spark):
     assert verdicts == {("news", "allow"), ("spam", "block"), ("tag", "allow")}
 
 
+def test_sections_of_wide_and_deep_trees_are_judged(spark):
+    word = lambda i: "abcdefgh"[i // 8] + "klmnopqr"[i % 8]
+    rows = [(f"/{word(s)}/{i}", s == 7) for s in range(40) for i in range(25)]  # 40 fixed sections, one wholly bad
+    rows += [(f"/wide/{word(s)}{word(i)}/{i}", s == 7) for s in range(40) for i in range(2)]  # too few pages for each: none is told apart
+    rows += [(f"/a/b/c/d/{'casino' if i % 2 else 'docs'}/e/f/g/{i}", i % 2 == 1) for i in range(60)]
+    # numbers are bad, words aren't
+    rows += [(f"/mix/{i}/x" if i % 2 else f"/mix/{word(i)}/x", i % 2 == 1) for i in range(60)]
+    for times in (1, 10):  # whatever the size of the table
+        pages = spark.createDataFrame([(f"http://h{p}", bad) for p, bad in rows * times], "url string, bad boolean")
+        got = urls.judged(pages, []).groupBy("path").agg(F.max("verdict").alias("verdict"), F.first("bad").alias("bad"), F.count_distinct("verdict").alias("n")).collect()
+        assert all(r.n == 1 for r in got)
+        sure = [r for r in got if not r.path.startswith("/wide")]
+        assert {(r.path, r.verdict) for r in sure} == {(r.path, "block" if r.bad else "allow") for r in sure}
+
+
 # lines
 
 
