@@ -6,14 +6,15 @@ that chance doesn't explain it; a term weighs 1 if none are in others, and less
 are. Terms stand in a trie. The Levenshtein automata
 of all terms are run along the trie at once, as one automaton whose states are sets of (node,
 edits), made when first reached; so a word costs a look-up for each letter and most words end at a
-dead state early. Terms of ``LONG`` letters and more may be off by one edit, unless the misspelling
-is a word that occurs in documents that are not toxic.
+dead state early. Terms and stems of ``LONG`` letters and more may be off by one edit, a stem's words
+anywhere, unless the misspelling is a word that occurs in documents that are not toxic. So the words that
+a stem stands for are kept beside it: what begins with it needs no edit, and theirs are those of terms.
 
 Each hit is weighed by its context window: misspelled less than exact, quoted much less, beside
 other hits more. A logistic regression makes a probability of the sum and of its share of the text.
 
 The model is fitted on at most ``MAX_ROWS`` labelled rows chosen by a hash of their ids, none of them
-held out, and at most ``MAX_TERMS`` terms; both bound what the driver gathers. Scoring is per
+held out, and at most ``MAX_TERMS`` terms and as many words of stems; all bound what the driver gathers. Scoring is per
 document, where it is read.
 
 Defined cases: null and empty texts have no hits; labels that are null or belong to no document
@@ -48,38 +49,41 @@ QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»"}
 
 
 class Automaton:
-    """All words within one edit of a term, or that begin with a stem; see the module."""
+    """All words within one edit of a term, or that begin with a stem; see the module.
+
+    Unless ``every``, only terms of weight 1 may be off by an edit, and no stems.
+    """
 
     DEAD = 0
 
-    def __init__(self, terms: dict[str, float], stems: dict[str, float], exceptions: frozenset[str] = frozenset()):
+    def __init__(self, terms: dict[str, float], stems: dict[str, float], exceptions: frozenset[str] = frozenset(), every: bool = False):
         self.children: list[dict[str, int]] = [{}]
-        self.term, self.stem, self.fuzzy, self.long_end = [0.0], [0.0], [False], [0.0]
+        self.term, self.stem, self.fuzzy, self.long_end, self.near_stem = [0.0], [0.0], [False], [0.0], [0.0]
         for word, weight, stem in [(t, w, False) for t, w in terms.items()] + [(s, w, True) for s, w in stems.items()]:
             node, path = 0, [0]
             for ch in word:
                 if ch not in self.children[node]:
                     self.children[node][ch] = len(self.children)
                     self.children.append({})
-                    for values, none in ((self.term, 0.0), (self.stem, 0.0), (self.fuzzy, False), (self.long_end, 0.0)):
+                    for values, none in ((self.term, 0.0), (self.stem, 0.0), (self.fuzzy, False), (self.long_end, 0.0), (self.near_stem, 0.0)):
                         values.append(none)
                 node = self.children[node][ch]
                 path.append(node)
             (self.stem if stem else self.term)[node] = weight
-            if not stem and len(word) >= LONG and weight == 1:
-                self.long_end[node] = MISSPELLED
+            if len(word) >= LONG and (every or not stem and weight == 1):
+                (self.near_stem if stem else self.long_end)[node] = MISSPELLED * weight
                 for n in path:
                     self.fuzzy[n] = True
-        self.exceptions = exceptions
+        self.exact, self.stems, self.exceptions = terms, stems, exceptions
         self._reset()
 
     def _reset(self) -> None:
-        self.number: dict[frozenset, int] = {}
-        self.sets, self.steps, self.value = [frozenset()], [{}], [0.0]
+        self.number: dict[tuple[frozenset, float], int] = {}
+        self.sets, self.steps, self.value, self.least = [frozenset()], [{}], [0.0], [0.0]
         self.known: dict[str, float] = {}
         self.start = self._state({(0, 0)})
 
-    def _state(self, reached: set[tuple[int, int]]) -> int:
+    def _state(self, reached: set[tuple[int, int]], least: float = 0.0) -> int:
         for n, e in reached:
             if e == 0 and self.stem[n]:
                 return -n  # whatever follows
@@ -88,14 +92,16 @@ class Automaton:
             if e == 0:
                 whole |= {(c, 1) for c in self.children[n].values() if self.fuzzy[c]}
         whole = frozenset(x for x in whole if x[1] == 0 or (x[0], 0) not in whole)
-        if not whole:
+        least = max([least, *[self.near_stem[n] for n, e in whole if e]])  # whatever follows, at least a misspelled stem
+        if not whole and not least:
             return self.DEAD
-        if whole not in self.number:
-            self.number[whole] = len(self.sets)
+        if (whole, least) not in self.number:
+            self.number[whole, least] = len(self.sets)
             self.sets.append(whole)
             self.steps.append({})
-            self.value.append(max(max(self.term[n] if e == 0 else 0.0, self.long_end[n]) for n, e in whole))
-        return self.number[whole]
+            self.least.append(least)
+            self.value.append(max([least, *[max(self.term[n] if e == 0 else 0.0, self.long_end[n]) for n, e in whole]]))
+        return self.number[whole, least]
 
     def _step(self, state: int, ch: str) -> int:
         reached = set()
@@ -106,12 +112,12 @@ class Automaton:
                 if self.fuzzy[n]:
                     reached.add((n, 1))  # a letter too many
                 reached |= {(c, 1) for c in self.children[n].values() if self.fuzzy[c]}  # another letter
-        to = self._state(reached)
+        to = self._state(reached, self.least[state])
         self.steps[state][ch] = to
         return to
 
     def hit(self, word: str) -> float:
-        """The weight of a term or a stem's word, MISSPELLED one edit from a term of weight 1, else 0."""
+        """The weight of a term or a stem's word, MISSPELLED of it one edit away, else 0."""
         found = self.known.get(word)
         if found is None:
             if len(self.known) > 200_000 or len(self.sets) > 200_000:
@@ -123,11 +129,15 @@ class Automaton:
                 if state <= self.DEAD:
                     break
             found = self.value[state] if state >= 0 else self.stem[-state]
-            if found == MISSPELLED and word in self.exceptions:
-                found = 0.0
+            if state >= 0 and word in self.exceptions:
+                found = self.exact.get(word, 0.0)
             self.known[word] = found
         return found
 
+    def mistaken(self, word: str) -> bool:
+        """Whether it is a misspelling, no stem's word and no term, that gives the word its weight."""
+        return self.hit(word) > self.exact.get(word, 0.0) and not any(word[:k] in self.stems for k in STEMS)
+
 
 def _quoted(text: str, start: int, end: int) -> bool:
     before, after = text[max(0, start - 300) : start], text[end : end + 300]
@@ -241,17 +251,22 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     stems = {s: weight[f"{s}~"] for s in sorted(stems) if not any(x != s and s.startswith(x) for x in stems)}
     terms = {t: weight[t] for t in sorted(sound, key=lambda t: (-sound[t].toxic, t)) if t[-1] != "~" and not any(t.startswith(s) for s in stems)}
     terms = dict(list(terms.items())[:MAX_TERMS])
+    if stems:
+        stem = F.coalesce(*[F.when(F.substring("term", 1, k).isin([x for x in stems if len(x) == k]), F.substring("term", 1, k)) for k in STEMS])
+        of_stem = counts.where("toxic > 0 AND term NOT LIKE '%~'").withColumn("stem", stem).where("stem IS NOT NULL")
+        family = of_stem.orderBy(F.col("toxic").desc(), "term").limit(MAX_TERMS).collect()
+        terms |= {r.term: stems[r.stem] for r in family}
 
     # words of clean documents that look like misspellings, then the weights
-    first = Automaton(terms, stems)
+    first = Automaton(terms, stems, every=True)
 
     def mistaken(batches):
         for part in batches:
             clean = {w for text, label in zip(part["text"], part["label"], strict=True) if not label for w in WORD.findall((text or "").lower())}
-            yield pd.DataFrame({"word": [w for w in clean if first.hit(w) == MISSPELLED]}, dtype=object)
+            yield pd.DataFrame({"word": [w for w in clean if first.mistaken(w)]}, dtype=object)
 
     exceptions = frozenset(r.word for r in rows.mapInPandas(mistaken, "word string").distinct().orderBy("word").limit(50 * MAX_TERMS).collect())
-    second = Automaton(terms, stems, exceptions)
+    second = Automaton(terms, stems, exceptions, every=True)
 
     def weighed(batches):
         for part in batches:
@@ -268,7 +283,7 @@ def _score(shared, text: Column) -> Column:
     def scores(texts: pd.Series) -> pd.Series:
         model = shared.value
         if not made:
-            made.append(Automaton(model.terms, model.stems, model.exceptions))
+            made.append(Automaton(model.terms, model.stems, model.exceptions, every=True))
         return pd.Series(model.scores([evidence(made[0], t) for t in texts]))
 
     return F.pandas_udf(scores, "double")(text)

@@ -276,6 +276,37 @@ def test_toxicity(spark):
     assert toxicity.digest(docs.limit(0), marks).collect() == [] and {r.score for r in toxicity.digest(docs, marks.limit(0)).collect()} == {0.0}
 
 
+def test_misspelled_stems_and_lesser_terms():
+    rng = random.Random(9)
+    word = lambda a, b: "".join(rng.choice("abc") for _ in range(rng.randint(a, b)))
+    terms, stems = {word(4, 9): rng.choice([0.3, 0.5, 1.0]) for _ in range(30)}, {"bcbca": 0.9, "aaac": 0.8, "ccabac": 1.0}
+    automaton = toxicity.Automaton(terms, stems, every=True)
+    for w in {word(1, 9) for _ in range(4000)}:
+        off = [v for t, v in terms.items() if len(t) >= toxicity.LONG and distance(w, t) <= 1]
+        off += [v for s, v in stems.items() if len(s) >= toxicity.LONG and min(distance(w[:k], s) for k in range(len(w) + 1)) <= 1]
+        begun = [v for s, v in stems.items() if w.startswith(s)]
+        assert automaton.hit(w) == (begun[0] if begun else max([terms.get(w, 0.0), *[toxicity.MISSPELLED * v for v in off]])), w
+        assert automaton.mistaken(w) == (not begun and automaton.hit(w) > terms.get(w, 0.0))
+    spared = frozenset(w for w in {word(1, 9) for _ in range(4000)} if automaton.mistaken(w))
+    assert spared and all(toxicity.Automaton(terms, stems, spared, every=True).hit(w) == terms.get(w, 0.0) for w in sorted(spared)[:40])
+
+
+def test_families_keep_their_misspellings(spark):
+    rng = random.Random(10)
+    clean = lambda: [rng.choice(WORDS) + rng.choice(WORDS)[:3] for _ in range(40)]
+    bad, rows = ["wretch" + end for end in ("", "ed", "es", "edly", "edness", "ing")], []
+    for i in range(600):
+        words = clean()
+        for _ in range(3 * (i % 5 == 0)):
+            words.insert(rng.randrange(len(words)), rng.choice(bad))
+        rows.append((i, " ".join(words), "en", "s", 0))
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(600)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(documents(spark, rows), labels)
+    assert any("wretched".startswith(s) for s in model.stems)  # the case at hand
+    off = " ".join([*clean(), "wrwtched", "wetches", "wreetchedness"])
+    assert toxicity.scored(documents(spark, [(901, off, "en", "s", 0), (902, " ".join(clean()), "en", "s", 0)]), model).orderBy("doc_id").select("predicted").collect() == [(1,), (0,)]
+
+
 # chat
 
 
