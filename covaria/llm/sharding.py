@@ -3,8 +3,9 @@
 Equal texts form a group that no cut may split. Groups are ordered by a digest of their text and
 gathered, by the digest's first bits, into at most ``ATOMS`` ordered atoms; so what the driver sees
 has a fixed size whatever the corpus has. A binary search over the capacity, each step of which
-walks the atoms greedily, finds the smallest capacity under which they fit into the shards, and the
-cuts are where the greedy walk at that capacity closes a shard.
+walks the atoms greedily, finds the smallest capacity under which they fit into the shards. Of all
+cuts within that capacity those are taken whose shards have the least sum of squared sizes, so one
+large group doesn't leave other shards empty.
 
 Defined cases: a null text is a group of its own and counts one byte; an empty table gives an empty
 result; repeated rows are kept, each with a slot of its own; ids may be null or repeat (ties in the
@@ -14,6 +15,7 @@ names this operator adds replace columns of the same name.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,7 +47,43 @@ def minimax_cuts(sizes: list[int], n_shards: int) -> list[int]:
             high = middle
         else:
             low = middle + 1
-    return greedy_cuts(sizes, low)
+    return even_cuts(sizes, n_shards, low)
+
+
+def even_cuts(sizes: list[int], n_shards: int, capacity: int) -> list[int]:
+    """Of the cuts into shards within a capacity that can be met those with the least sum of squared sizes.
+
+    Shard by shard, the best last cut before each atom; it never moves back from an atom to the next,
+    so each step halves the atoms and what is left to search for them.
+    """
+    n = len(sizes)
+    n_shards = min(n_shards, n)
+    ends, whole = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]) if n else np.zeros(1, np.int64), max(1, sum(sizes))
+    best, lasts = np.where(np.arange(n + 1) == 0, 0.0, np.inf), []
+    for k in range(1, n_shards + 1):
+        now, last = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
+        todo = [(k, n, k - 1, n - 1)]
+        while todo:
+            first, final, low, high = todo.pop()
+            if first > final:
+                continue
+            middle = (first + final) // 2
+            top = min(high, middle - 1)
+            held = ends[middle] - ends[low : top + 1]
+            cost = np.where(held <= capacity, best[low : top + 1] + (held / whole) ** 2, np.inf)
+            at = int(cost.argmin())
+            if np.isinf(cost[at]):  # nor do more atoms fit into so few shards
+                todo.append((first, middle - 1, low, high))
+                continue
+            now[middle], last[middle] = cost[at], low + at
+            todo += [(first, middle - 1, low, low + at), (middle + 1, final, low + at, high)]
+        best = now
+        lasts.append(last)
+    cuts, end = [], n
+    for last in reversed(lasts[1:]):
+        end = int(last[end])
+        cuts.append(end)
+    return cuts[::-1]
 
 
 def size_of(text: Column) -> Column:
@@ -96,4 +134,4 @@ def digest(docs: DataFrame, n_shards: int = 16) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-__all__ = ["digest", "greedy_cuts", "minimax_cuts", "shard", "size_of"]
+__all__ = ["digest", "even_cuts", "greedy_cuts", "minimax_cuts", "shard", "size_of"]

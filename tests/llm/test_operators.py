@@ -50,6 +50,19 @@ def test_minimax_cuts_are_optimal():
     assert sharding.minimax_cuts([], 4) == []
 
 
+def test_one_large_atom_leaves_no_shard_empty():
+    loads = lambda cuts, s: [sum(s[a:b]) for a, b in itertools.pairwise([0, *cuts, len(s)])]
+    sizes = [1] * 20 + [100] + [1] * 20
+    assert sorted(loads(sharding.minimax_cuts(sizes, 16), sizes)) == [2] * 5 + [3] * 10 + [100]
+    rng = random.Random(11)
+    for _ in range(60):
+        sizes, k = [rng.choice([1, 2, 5, 40]) for _ in range(rng.randint(1, 10))], rng.randint(1, 5)
+        every = [loads(c, sizes) for c in itertools.combinations(range(1, len(sizes)), min(k, len(sizes)) - 1)]
+        best = min((max(x), sum(v * v for v in x)) for x in every)
+        got = loads(sharding.minimax_cuts(sizes, k), sizes)
+        assert (max(got), sum(v * v for v in got)) == best and len(got) == min(k, len(sizes))
+
+
 def test_shards(spark, corpus):
     rows = sharding.digest(corpus).collect()
     assert len(rows) == corpus.count()
