@@ -443,12 +443,12 @@ def var_residual_cov(spark, sf):
 
 @query
 def var_p_dynamic(spark, sf):
-    return rounded(autoregression.fit(days(spark, sf).where("ch < 3"), 2))
+    return rounded(autoregression.fit(days(spark, sf), 2))
 
 
 @query
 def var_companion(spark, sf):
-    return rounded(autoregression.companion(autoregression.fit(_two(spark, sf), 2)))
+    return rounded(autoregression.companion(autoregression.fit(days(spark, sf), 2)))
 
 
 @query
@@ -458,13 +458,13 @@ def var_eigvals(spark, sf):
 
 @query
 def var_simulate(spark, sf):
-    model = autoregression.fit(_two(spark, sf), model="avg-epochs")
+    model = autoregression.fit(days(spark, sf), model="avg-epochs")
     return rounded(autoregression.simulated(model, 100).select("ch", F.posexplode("x").alias("t", "value")))
 
 
 @query
 def var_fb(spark, sf):
-    return rounded(autoregression.fit(_two(spark, sf), forward_backward=True), 4)
+    return rounded(autoregression.fit(days(spark, sf), forward_backward=True), 4)
 
 
 @query

@@ -1,6 +1,7 @@
 """Registered queries run, and return what their SQL says."""
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -26,3 +27,21 @@ def test_entry(spark):
     assert entry.entry(spark).count() == 110
     assert set(oracles.ORACLES) <= set(queries.QUERIES)
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_autoregressions_without_sql_take_every_channel(spark):
+    sf = SF.replace("0.01", "0.001")
+    x = {}
+    for r in queries.days(spark, sf).collect():
+        x.setdefault(r.epoch, {})[r.ch] = r.x
+    x = {e: np.array([v[c] for c in sorted(v)]) for e, v in x.items()}
+    k = len(next(iter(x.values())))
+    assert k > 3
+    fitted = lambda v, p: np.linalg.lstsq(np.concatenate([v[:, p - i : v.shape[1] - i] for i in range(1, p + 1)]).T, v[:, p:].T, rcond=None)[0].T
+    got = {(r.epoch, r.i, r.j, r.lag): r.value for r in queries.QUERIES["var_p_dynamic"](spark, sf).collect()}
+    want = {e: fitted(v, 2) for e, v in x.items()}
+    assert got == {(e, i, j, lag): pytest.approx(a[i, j + (lag - 1) * k], abs=1e-4) for e, a in want.items() for i in range(k) for j in range(k) for lag in (1, 2)}
+    got = {(r.epoch, r.row, r.col): r.value for r in queries.QUERIES["var_companion"](spark, sf).where(f"row < {k}").collect()}
+    assert got == {(e, i, j): pytest.approx(a[i, j], abs=1e-4) for e, a in want.items() for i in range(k) for j in range(2 * k)}
+    assert {(r.i, r.j) for r in queries.QUERIES["var_fb"](spark, sf).collect()} == {(i, j) for i in range(k) for j in range(k)}
+    assert {r.ch for r in queries.QUERIES["var_simulate"](spark, sf).collect()} == set(range(k))
