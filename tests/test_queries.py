@@ -45,3 +45,13 @@ def test_autoregressions_without_sql_take_every_channel(spark):
     assert got == {(e, i, j): pytest.approx(a[i, j], abs=1e-4) for e, a in want.items() for i in range(k) for j in range(2 * k)}
     assert {(r.i, r.j) for r in queries.QUERIES["var_fb"](spark, sf).collect()} == {(i, j) for i in range(k) for j in range(k)}
     assert {r.ch for r in queries.QUERIES["var_simulate"](spark, sf).collect()} == set(range(k))
+
+
+def test_order_criteria_take_every_day_of_a_quarter(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(queries.autoregression, "select_order", lambda x, lags: seen.setdefault("x", x).selectExpr("epoch"))
+    queries.QUERIES["select_order_criteria"](spark, SF)
+    got = seen["x"].selectExpr("epoch", "size(x) AS n", "aggregate(x, 0D, (s, v) -> s + v) AS total").collect()
+    whole = queries.table(spark, SF, "orders").selectExpr("sum(o_totalprice)").first()[0]
+    assert sum(r.total for r in got) == pytest.approx(whole)
+    assert all(r.n == (92 if r.epoch % 4 in (3, 0) else 91 if r.epoch % 4 == 2 or (r.epoch - 1) // 4 % 4 == 0 else 90) for r in got)
