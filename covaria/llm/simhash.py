@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, row_key, rows_with
 from .components import components
 
 THRESHOLD = 3
@@ -116,29 +116,51 @@ def links(prints: DataFrame, many: int = MANY, block: int = BLOCK) -> DataFrame:
     plain = plain.select(F.col("fp").alias("a"), F.col("other").alias("b"))
     if crowded.isEmpty():
         return plain
+    # either side is dealt by its own number
+    blocks_of = lambda n: (F.floor(F.col(n) / block) + 1).cast("int")
+    seen = visits.join(crowded, ["half", "anchor"]).groupBy("half", "anchor").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("visitors"))
+    crowded = cut(seen.select("half", "anchor", blocks_of("n").alias("n_hb"), blocks_of("visitors").alias("n_vb")))
 
     def dealt(rows: DataFrame, own: str, opposite: str) -> DataFrame:
-        n_blocks = F.floor(F.col("n") / block) + 1
-        spread = F.pmod(F.xxhash64("fp"), n_blocks).cast("int")
-        return rows.withColumn(own, spread).withColumn(opposite, F.explode(F.sequence(F.lit(0), (n_blocks - 1).cast("int"))))
+        spread = F.pmod(F.xxhash64("fp"), F.col(f"n_{own}")).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col(f"n_{opposite}") - 1))
+        return rows.join(crowded, ["half", "anchor"]).select("half", "anchor", "fp", spread.alias(own), every.alias(opposite))
 
-    at_home = dealt(homes.join(crowded, ["half", "anchor"]), "hb", "vb").withColumn("is_home", F.lit(True))
-    visiting = dealt(visits.join(crowded, ["half", "anchor"]), "vb", "hb").withColumn("is_home", F.lit(False))
+    at_home = dealt(homes, "hb", "vb").withColumn("is_home", F.lit(True))
+    visiting = dealt(visits, "vb", "hb").withColumn("is_home", F.lit(False))
     blocks = at_home.unionByName(visiting).groupBy("half", "anchor", "hb", "vb")
     return plain.union(blocks.applyInPandas(_forest_of, "a long, b long"))
 
 
+def _classes(prints: DataFrame) -> DataFrame:
+    """Distinct fingerprints with least, something to order them by, to (fp, least: that of their component)."""
+    joined = components(links(prints.select("fp")))
+    least = joined.join(prints, joined.node == prints.fp).groupBy("component").agg(F.min("least").alias("reached"))
+    moved = joined.join(least, "component").select(F.col("node").alias("fp"), "reached")
+    return prints.join(moved, "fp", "left").select("fp", F.coalesce("reached", "least").alias("least"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", fp_col: str = "fp") -> DataFrame:
     """(id, fp) with component_id: the smallest id that links reach, the document's own included."""
     prints = cut(docs.groupBy(fp_col).agg(F.min(id_col).alias("least")).withColumnRenamed(fp_col, "fp"))
-    joined = components(links(prints.select("fp")))
-    least = joined.join(prints, joined.node == prints.fp).groupBy("component").agg(F.min("least").alias("component_id"))
-    moved = joined.join(least, "component").select(F.col("node").alias("fp"), "component_id")
     # written, so that the join below has an exchange of its own on either side and Spark can split a fingerprint that many documents have
-    classes = cut(prints.join(moved, "fp", "left").select(F.col("fp").alias(fp_col), F.coalesce("component_id", "least").alias("component_id")))
+    classes = cut(_classes(prints).select(F.col("fp").alias(fp_col), F.col("least").alias("component_id")))
     return docs.drop("component_id").join(classes, fp_col)
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with exactly one row of each component: that of the smallest id, null last.
+
+    Of several rows with that id the one with the smaller hash of all its columns stays; of rows alike
+    in every column, one. Columns stay as they are.
+    """
+    prints = cut(docs.select(fingerprint(F.col(text_col)).alias("fp"), F.col(id_col).isNull().alias("late"), F.col(id_col).alias("id"), *row_key(docs)))
+    rows = prints.groupBy("fp", "late", "id", "k1", "k2").agg(F.count(F.lit(1)).alias("many"))
+    first = cut(rows.groupBy("fp").agg(F.min(F.struct("late", "id", "k1", "k2", "many")).alias("least")))
+    kept = cut(_classes(first).select("least").distinct().select("least.k1", "least.k2", "least.many"))
+    return rows_with(docs, kept, "many").select("doc.*")
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """The rows of op5."""
     prints = cut(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")))
