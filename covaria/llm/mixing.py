@@ -5,17 +5,16 @@ gives at most ``MOST`` times what it has, and what it can't give is shared again
 a source every document expects target / size copies. The documents stand in order of size, the
 expected copies are summed up along that order, one random offset is added, and a document is taken
 once for each integer that its step of the running sum crosses. As neighbours in that order are of
-nearly equal size, the words taken stay near the target. In a small source one very long document
-can still tip the balance; so the random offset is drawn with ``DRAWS`` - 1 others at equal steps
-from it, and the source uses the one whose words come nearest to its target.
+nearly equal size, the words taken miss the target by less than about the largest document of the source.
 
 The running sum is a multiple of the document's position, so all that has to be summed are row
-counts: by source, size class and spread, a small table; no task ever sorts a whole source.
+counts: by source, size class and spread, a small table; no task ever sorts a whole source. Rows alike
+in every column are one row with a number, and take their places one after another.
 
 Defined cases: a null text has size 0; sources of size 0 have target 0 and give nothing; null
 source is a source of its own; null ids, repeated rows and ties are counted row by row (which of
-several equal rows is taken is open, how many is not); an empty table gives an empty result; the
-columns added replace columns of the same name.
+several equal rows is taken is open, how many is not); an empty table gives an empty result; all
+columns stay, whatever their names, but those that the columns added replace.
 """
 
 from __future__ import annotations
@@ -24,11 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, word_count
+from .common import cut, row_key, rows_with, word_count
 
 MOST = 3
 SEED = "mix-1"
-DRAWS = 16
 
 
 def _class_of(size: Column) -> Column:
@@ -55,53 +53,76 @@ def targets(totals: DataFrame) -> DataFrame:
     rated = rated.withColumn("level", F.coalesce(F.min(F.when(F.col("own") <= F.col("ratio"), F.struct("ratio", "own"))).over(every)["own"], F.lit(0.0)))
     target = F.least(F.col("level") * F.col("weight"), (F.col("source_size") * MOST).cast("double"))
     digits = F.substring(F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("source"), F.lit("")))), 1, 8)
-    return rated.select("source", "source_size", target.alias("target"), (F.conv(digits, 16, 10).cast("long") / F.lit(4294967296.0)).alias("_offset"))
+    return rated.select("source", "source_size", target.alias("target"), (F.conv(digits, 16, 10).cast("long") / F.lit(4294967296.0)).alias("offset"))
 
 
 def _source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
 
 
-def _copies(place: Column, share: Column, offset: Column) -> Column:
-    return (F.floor(place * share + offset) - F.floor((place - 1) * share + offset)).cast("long")
+def _placed(rows: DataFrame) -> DataFrame:
+    """Rows (k1, k2, id, source, size), written, to kinds of rows, with many (rows of the kind), at (the places before it, in the source), share and offset, source_size and target."""
+    tie = F.coalesce(F.md5(F.col("id").cast("string")), F.lit(""))
+    part = ["src", "cls", "spread"]
+    kinds = rows.groupBy("k1", "k2", "id", "source", "size").agg(F.count(F.lit(1)).alias("many"))
+    # rows without an id are spread by what else they hold
+    spread = F.when(F.col("id").isNull(), F.lpad(F.lower(F.hex(F.col("k1").bitwiseAND(F.lit(255)))), 2, "0")).otherwise(F.substring(tie, 1, 2))
+    kinds = cut(kinds.withColumns({"src": _source_key(F.col("source")), "cls": _class_of(F.col("size")), "spread": spread, "tie": tie}))
+    counts = cut(kinds.groupBy(*part, "source").agg(F.sum("many").alias("rows"), F.sum(F.col("size") * F.col("many")).alias("words")))
+    wanted = targets(counts.groupBy("source").agg(F.sum("words").cast("long").alias("source_size")))
+    share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    wanted = wanted.withColumns({"src": _source_key(F.col("source")), "share": share}).drop("source")
+    # what comes before a part: classes of its source first, then spreads of its class; each a small table with a fixed largest number of rows a source
+    classes = counts.groupBy("src", "cls").agg(F.sum("rows").alias("n"))
+    to_class = Window.partitionBy("src").orderBy("cls").rowsBetween(Window.unboundedPreceding, -1)
+    to_spread = Window.partitionBy("src", "cls").orderBy("spread").rowsBetween(Window.unboundedPreceding, -1)
+    classes = classes.select("src", "cls", F.coalesce(F.sum("n").over(to_class), F.lit(0)).alias("in_source"))
+    parts = counts.select(*part, F.coalesce(F.sum("rows").over(to_spread), F.lit(0)).alias("in_class"))
+    parts = parts.join(classes, ["src", "cls"]).join(wanted, "src")
+    parts = parts.select(*part, (F.col("in_source") + F.col("in_class")).alias("before"), "source_size", "target", "share", "offset")
+    within = Window.partitionBy(*part).orderBy("size", "tie", "k1", "k2").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.coalesce(F.sum("many").over(within), F.lit(0))
+    return kinds.withColumn("ahead", ahead).join(parts, part).withColumn("at", F.col("before") + F.col("ahead"))
+
+
+def _crossed(first, last) -> Column:
+    """Integers crossed from the place after first to last."""
+    total = lambda place: F.floor(place * F.col("share") + F.col("offset"))
+    return (total(last) - total(first)).cast("long")
+
+
+def _one_by_one(kinds: DataFrame) -> DataFrame:
+    """A row for each row of a kind, with copies."""
+    each = kinds.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("many"))))
+    return each.withColumn("copies", _crossed(F.col("at") + F.col("nth") - 1, F.col("at") + F.col("nth")))
+
+
+def _narrow(docs: DataFrame, id_col: str, source_col: str, size: Column) -> DataFrame:
+    return cut(docs.select(*row_key(docs), F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size") -> DataFrame:
     """docs with source_size (long), target (double) and copies (long: how often the mix takes it)."""
-    tie = F.coalesce(F.md5(F.col(id_col).cast("string")), F.lit(""))
-    part, size = ["_source", "_class", "_spread"], F.col(size_col)
-    added = {"_source": _source_key(F.col(source_col)), "_class": _class_of(size), "_spread": F.substring(tie, 1, 2)}
-    keyed = docs.drop("source_size", "target", "copies").withColumns(added)
-    counts = cut(keyed.groupBy(*part, F.col(source_col).alias("source")).agg(F.count(F.lit(1)).alias("_rows"), F.sum(size).alias("_words")))
-    wanted = targets(counts.groupBy("source").agg(F.sum("_words").cast("long").alias("source_size")))
-    share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    wanted = wanted.withColumns({"_source": _source_key(F.col("source")), "_share": share}).drop("source")
-    # what comes before a part: classes of its source first, then spreads of its class; each a small table with a fixed largest number of rows a source
-    classes = counts.groupBy("_source", "_class").agg(F.sum("_rows").alias("_n"))
-    to_class = Window.partitionBy("_source").orderBy("_class").rowsBetween(Window.unboundedPreceding, -1)
-    to_spread = Window.partitionBy("_source", "_class").orderBy("_spread").rowsBetween(Window.unboundedPreceding, -1)
-    classes = classes.select("_source", "_class", F.coalesce(F.sum("_n").over(to_class), F.lit(0)).alias("_in_source"))
-    parts = counts.select(*part, F.coalesce(F.sum("_rows").over(to_spread), F.lit(0)).alias("_in_class"))
-    parts = parts.join(classes, ["_source", "_class"]).join(wanted, "_source")
-    parts = cut(parts.select(*part, (F.col("_in_source") + F.col("_in_class")).alias("_before"), "source_size", "target", "_share", "_offset"))
-
-    def placed(rows: DataFrame) -> DataFrame:
-        within = Window.partitionBy(*part).orderBy(size, tie)
-        return rows.withColumn("_row", F.row_number().over(within)).join(parts, part).withColumn("_place", F.col("_before") + F.col("_row"))
-
-    draws = [(F.col("_offset") + F.lit(j / DRAWS)) % 1.0 for j in range(DRAWS)]
-    narrow = placed(keyed.select(*part, F.col(id_col), size))
-    tried = narrow.groupBy("_source").agg(F.first("target").alias("_t"), F.first("_offset").alias("_offset"), *[F.sum(size * _copies(F.col("_place"), F.col("_share"), u)).alias(f"_w{j}") for j, u in enumerate(draws)])
-    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_w{j}") - F.col("_t")).alias("far"), F.lit(j).alias("j"), u.alias("u")) for j, u in enumerate(draws)]))
-    chosen = cut(tried.select("_source", nearest["u"].alias("_drawn")))
-    rows = placed(keyed).join(chosen, "_source")
-    return rows.withColumn("copies", _copies(F.col("_place"), F.col("_share"), F.col("_drawn"))).drop(*part, "_before", "_row", "_place", "_offset", "_share", "_drawn")
+    docs = docs.drop("source_size", "target", "copies")
+    kinds = _placed(_narrow(docs, id_col, source_col, F.col(size_col)))
+    kinds = kinds.select("k1", "k2", "many", F.struct("many", "at", "share", "offset", "source_size", "target").alias("found"))
+    rows = rows_with(docs, cut(kinds), "found").select("doc", "found.*")
+    return _one_by_one(rows).select("doc.*", "source_size", "target", "copies")
+
+
+def taken(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The mix: each of docs as often as it is taken, sized by the words of its text; words are counted once, and texts move once."""
+    kinds = _placed(_narrow(docs, id_col, source_col, word_count(F.col(text_col))))
+    kinds = cut(kinds.select("k1", "k2", "many", _crossed(F.col("at"), F.col("at") + F.col("many")).alias("copies")).where("copies > 0"))
+    rows = rows_with(docs, kinds, "copies")
+    return rows.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc.*")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """The rows of op7."""
-    narrow = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    return mix(narrow).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    narrow = docs.select(F.col("doc_id").alias("id"), "source", word_count(F.col("text")).alias("size"))
+    rows = cut(narrow).select("*", *row_key(narrow))  # kinds of rows are those alike in these three
+    return _one_by_one(_placed(rows)).select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 #: The same rows by DuckDB.
@@ -120,10 +141,6 @@ g AS (SELECT source, source_size,
              CAST('0x' || substr(md5('{SEED}' || coalesce(source, '')), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM o),
 n AS (SELECT k.*, row_number() OVER (PARTITION BY source ORDER BY cls, substr(tie, 1, 2), size, tie) AS place FROM k),
 f AS (SELECT n.*, g.source_size, g.target, g.u, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0.0 END AS share
-      FROM n JOIN g ON n.source IS NOT DISTINCT FROM g.source),
-j AS (SELECT f.*, i.j, size * CAST(floor(place * share + (u + i.j / {DRAWS}.0::DOUBLE) % 1.0) - floor((place - 1) * share + (u + i.j / {DRAWS}.0::DOUBLE) % 1.0) AS BIGINT) AS taken
-      FROM f, (SELECT unnest(range({DRAWS})) AS j) i),
-e AS (SELECT source, j, abs(sum(taken) - any_value(target)) AS far FROM j GROUP BY source, j),
-c AS (SELECT source, j FROM e QUALIFY row_number() OVER (PARTITION BY source ORDER BY far, j) = 1)
-SELECT doc_id, size, source_size, target, taken FROM j JOIN c ON j.j = c.j AND j.source IS NOT DISTINCT FROM c.source
+      FROM n JOIN g ON n.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, size * CAST(floor(place * share + u) - floor((place - 1) * share + u) AS BIGINT) AS taken FROM f
 """
