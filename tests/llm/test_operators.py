@@ -63,6 +63,19 @@ def test_one_large_atom_leaves_no_shard_empty():
         assert (max(got), sum(v * v for v in got)) == best and len(got) == min(k, len(sizes))
 
 
+def test_pieces_are_looked_into_until_the_capacity_is_that_of_groups():
+    rng = random.Random(12)
+    for _ in range(300):
+        groups = [(f"{rng.getrandbits(16):04x}", rng.choice([1, 2, 5, 9, 40])) for _ in range(rng.randint(1, 60))]
+        groups, k = sorted(dict(groups).items()), rng.randint(1, 6)
+        count = lambda n, rows: [sharding.Piece(p, sum(g), max(g), len(g)) for p, r in itertools.groupby(rows, key=lambda x: x[0][:n]) if (g := [s for _, s in r])]
+        pieces = count(1, groups)
+        while found := sharding.undecided(pieces, k):
+            gone = {pieces[i].prefix for i in found}
+            pieces = sorted([p for p in pieces if p.prefix not in gone] + [c for p in gone for c in count(len(p) + 1, [g for g in groups if g[0].startswith(p)])])
+        assert sharding.minimax([p.size for p in pieces], k) == sharding.minimax([s for _, s in groups], k)
+
+
 def test_shards(spark, corpus):
     rows = sharding.digest(corpus).collect()
     assert len(rows) == corpus.count()
@@ -74,7 +87,22 @@ def test_shards(spark, corpus):
     assert all(len(s) == 1 for s in shards.values())
     texts = {r.doc_id: r.text for r in corpus.collect()}
     assert all(r.size == len((texts[r.doc_id] or "").encode()) + 1 and r.text_crc32 == (None if texts[r.doc_id] is None else zlib.crc32(texts[r.doc_id].encode())) for r in rows)
+    texts = collections.Counter(r.text for r in corpus.collect())
+    groups = [len((t or "").encode()) * n + n for t, n in sorted(texts.items(), key=lambda x: "" if x[0] is None else hashlib.md5(x[0].encode()).hexdigest())]
+    loads = collections.Counter()
+    for r in rows:
+        loads[r.shard] += r.size
+    assert max(loads.values()) == sharding.minimax(groups, 16)
     odd = clashing(corpus, "size", "shard", "slot")
+    helpers = ["k1", "k2", "many", "at", "digest", "piece", "spread", "before", "id", "doc", "found"]
+    every = sharding.shard(clashing(corpus, *helpers), 4, digits=1)  # cuts lie within pieces
+    assert every.columns == [*corpus.columns, *helpers, "size", "shard", "slot"]
+    found, loads = every.collect(), collections.Counter()
+    for r in found:
+        loads[r.shard] += r.size
+    assert max(loads.values()) == sharding.minimax(groups, 4) and all(r[h] == "clash" for r in found for h in helpers)
+    assert collections.Counter((r.doc_id, r.text) for r in found) == collections.Counter((r.doc_id, r.text) for r in corpus.collect())
+    assert all(sorted(r.slot for r in found if r.shard == k) == list(range(sum(r.shard == k for r in found))) for k in range(4))
     assert sharding.shard(odd).count() == len(rows) and sharding.digest(corpus.limit(0)).collect() == []
 
 
@@ -104,8 +132,18 @@ def test_mix(spark, corpus):
     assert target == {s: pytest.approx(want[s]) for s in order}
     assert all(abs(taken[s] - target[s]) <= max(60, 0.02 * target[s]) for s in order)
     assert sorted((r.doc_id or -1, r.taken) for r in mixing.digest(corpus).collect()) == sorted((r.doc_id or -1, r.taken) for r in rows)
-    odd = clashing(corpus.withColumn("size", F.lit(3).cast("long")), "target", "copies", "source_size")
-    assert mixing.mix(odd).count() == len(rows) and mixing.digest(corpus.limit(0)).collect() == []
+    helpers = ["k1", "k2", "many", "at", "src", "cls", "spread", "share", "offset", "doc", "found", "nth"]
+    odd = clashing(corpus.withColumn("size", F.lit(3).cast("long")), "target", "copies", "source_size", *helpers)
+    found = mixing.mix(odd).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in found) == collections.Counter((r.doc_id, r.text) for r in corpus.collect()) and all(r[h] == "clash" for r in found for h in helpers)
+    again = clashing(corpus, *helpers)
+    drawn = mixing.taken(again).collect()
+    assert mixing.taken(again).columns == again.columns
+    sums = collections.Counter()
+    for r in drawn:
+        sums[r.source] += len((r.text or "").encode().split())
+    assert all(abs(sums[s] - target[s]) <= max(60, 0.02 * target[s]) for s in order)
+    assert len(found) == len(rows) and mixing.digest(corpus.limit(0)).collect() == []
 
 
 # near-duplicates
@@ -156,6 +194,26 @@ def test_simhash(spark, corpus):
     assert simhash.digest(corpus.limit(0)).collect() == []
 
 
+def test_one_row_of_each_component_stays(spark):
+    long = [" ".join(f"{w}{i}" for w in WORDS) for i in range(4)]
+    rows = [(1, long[0]), (1, long[0]), (2, long[0]), (2, long[1]), (None, long[2]), (None, long[2]), (3, None), (4, ""), (4, ""), (5, long[3])]
+    docs = clashing(spark.createDataFrame(rows, "doc_id long, text string"), "doc", "fp", "k1", "many", "least", "component_id")
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(1, long[0]), (2, long[1]), (0, long[2]), (3, ""), (5, long[3])])
+    assert simhash.one_of_each(docs.limit(0)).collect() == []
+
+
+def test_visitors_of_an_anchor_are_dealt_out(spark):
+    """Two homes with hundreds of visitors: blocks are bounded on either side."""
+    low = [0] + [1 << p for p in range(31)]  # all at the anchor 0, or next to it
+    prints = sorted({(h << 40) | w for h in range(30) for w in low})
+    want = classes(len(prints), [(i, j) for i, j in itertools.combinations(range(len(prints)), 2) if (prints[i] ^ prints[j]).bit_count() <= 3])
+    at = {p: i for i, p in enumerate(prints)}
+    seen = simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long"), many=1, block=16)
+    assert classes(len(prints), [(at[r.a], at[r.b]) for r in seen.collect()]) == want
+
+
 def test_anchors_find_every_pair(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(40)]
