@@ -1,4 +1,9 @@
-"""From raw documents to shards: five stages, each reading what the one before has written."""
+"""From raw documents to shards: five stages, each reading what the one before has written.
+
+A stage's functions take any documents table: null ids and texts, empty and very long texts, repeated
+rows, empty tables and further columns of any name, which stay. What each stage does with odd rows
+stands in its docstring.
+"""
 
 from __future__ import annotations
 
@@ -8,37 +13,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covaria.llm import decontamination, mixing, quality, sharding, simhash
-from covaria.llm.common import cut, read, word_count
+from covaria.llm.common import cut, read, tidy, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on this stage's labelled rows, doesn't reject."""
+    """Documents that the classifier, trained on this stage's labelled rows, doesn't reject.
+
+    Null and empty texts score as the mean of all documents does; rows without an id are scored like
+    others, and repeated rows alike; without labels of both kinds all rows score the share of good ones.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
     model = quality.train(docs, read(spark, sf_dir, "labels"))
-    return quality.scored(docs, model).where("predicted = 1").select(docs.columns)
+    return quality.scored(docs.select(row, "doc_id", "text"), model).where("predicted = 1").select("doc.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id; rows without an id stay."""
-    prints = cut(docs.select("doc_id", simhash.fingerprint(F.col("text")).alias("fp")))
-    others = simhash.near_duplicates(prints).where("doc_id != component_id").select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    """Exactly one row of each group of near-duplicates, that of the smallest id, null last.
+
+    Groups are of rows and not of ids: rows that share an id but no text are apart, repeated rows are
+    one group, and null, empty and blank texts form one.
+    """
+    return simhash.one_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
+    """Documents that hold no item of the benchmark; null and empty texts hold none, and repeated rows stay or go together."""
     return decontamination.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: every document as often as it is taken."""
-    taken = mixing.mix(docs.withColumn("_size", word_count(F.col("text"))), size_col="_size").where("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(docs.columns)
+    """The mix: every document as often as it is taken.
+
+    Null is a source of its own; texts without words count nothing towards a target and are taken as
+    often as others of their source, those of a source without any word never; repeated rows are drawn
+    each for itself.
+    """
+    return mixing.taken(docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its shard and its slot there."""
+    """Every row with its shard and its slot there; null texts are one group, and equal texts share a shard.
+
+    Columns named size, shard or slot are replaced.
+    """
     return sharding.shard(docs, 16)
 
 
@@ -55,9 +74,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The rows of the last stage; what a stage wrote is deleted once the next one's rows are written."""
+    docs, start = read(spark, sf_dir, "documents"), written()
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = cut(docs)
+            tidy(spark, start, keep=docs)
     return docs
