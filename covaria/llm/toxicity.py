@@ -13,9 +13,13 @@ a stem stands for are kept beside it: what begins with it needs no edit, and the
 Each hit is weighed by its context window: misspelled less than exact, quoted much less, beside
 other hits more. A logistic regression makes a probability of the sum and of its share of the text.
 
-The model is fitted on at most ``MAX_ROWS`` labelled rows chosen by a hash of their ids, none of them
-held out, and at most ``MAX_TERMS`` terms and as many words of stems; all bound what the driver gathers. Scoring is per
-document, where it is read.
+The model is fitted on at most ``MAX_ROWS`` labelled rows chosen by a hash of their ids and texts, none of
+them held out. What the driver gathers are words and stems of those rows that pass the tests of chance,
+clean words that look like them, and two numbers a row. Scoring is per document, where it is read.
+
+A quotation is what stands between an opening mark and the next mark that closes it; where a mark is
+the same on both sides, one with a letter or digit only after it opens, one with such only before it
+closes, and any other does what is due. Quotations are found in one pass over the whole text.
 
 Defined cases: null and empty texts have no hits; labels that are null or belong to no document
 are ignored; without labels of both kinds every document scores the share of label 1 (0 without
@@ -27,6 +31,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -38,14 +43,16 @@ from pyspark.sql import functions as F
 from .common import cut, held_out
 from .quality import labelled
 
-MAX_ROWS, MAX_TERMS = 12000, 4000
+MAX_ROWS = 12000
 STEMS, COMPLETIONS, LONG, LIFT = (4, 5, 6, 7), 4, 5, 4.0
 MISSPELLED, QUOTED, BESIDE, WINDOW = 0.6, 0.25, 1.25, 6
 HELD_OUT = (3, 1)
 THRESHOLD = 0.7
 
 WORD = re.compile(r"[^\W_]+")
+#: Marks by the mark that closes them: "x", “x”, „x“ and «x».
 QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»"}
+MARK = re.compile('["“”„«»]')
 
 
 class Automaton:
@@ -139,15 +146,22 @@ class Automaton:
         return self.hit(word) > self.exact.get(word, 0.0) and not any(word[:k] in self.stems for k in STEMS)
 
 
-def _quoted(text: str, start: int, end: int) -> bool:
-    before, after = text[max(0, start - 300) : start], text[end : end + 300]
-    for opening, closing in QUOTES.items():
-        if opening == closing:
-            if before.count(opening) % 2 and closing in after:
-                return True
-        elif before.rfind(opening) > before.rfind(closing) and closing in after:
-            return True
-    return False
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Where each quotation of a text starts and ends, in order; none lies within another."""
+    found, opened, closing = [], -1, ""
+    for m in MARK.finditer(text):
+        mark, at = m[0], m.start()
+        if mark == '"':
+            before, after = text[at - 1 : at].isalnum(), text[at + 1 : at + 2].isalnum()
+            opens = after if before != after else opened < 0 and not (text[at + 1 : at + 2] or " ").isspace()
+        else:
+            opens = mark in QUOTES and mark != closing
+        if opened >= 0 and mark == closing and not opens:
+            found.append((opened, at))
+            opened, closing = -1, ""
+        elif opens and (opened < 0 or mark == '"' == closing):  # a mark that opens again: the one before was stray
+            opened, closing = at, QUOTES[mark]
+    return found
 
 
 def evidence(automaton: Automaton, text: str | None) -> tuple[float, int]:
@@ -158,15 +172,17 @@ def evidence(automaton: Automaton, text: str | None) -> tuple[float, int]:
     hits = [i for i, w in enumerate(words) if hit(w)]
     if not hits:
         return 0.0, len(words)
-    spans, wanted, total = {}, set(hits), 0.0
+    starts, wanted, total = {}, set(hits), 0.0
     for i, m in enumerate(WORD.finditer(text)):
         if i in wanted:
-            spans[i] = m.span()
+            starts[i] = m.start()
+    quoted = quotations(text)
     for k, i in enumerate(hits):
         weight = hit(words[i])
         if (k and i - hits[k - 1] <= WINDOW) or (k + 1 < len(hits) and hits[k + 1] - i <= WINDOW):
             weight *= BESIDE
-        total += weight * (QUOTED if _quoted(text, *spans[i]) else 1.0)
+        at = bisect_right(quoted, (starts[i],)) - 1
+        total += weight * (QUOTED if at >= 0 and starts[i] < quoted[at][1] else 1.0)
     return total, len(words)
 
 
@@ -225,7 +241,10 @@ def _contexts(terms: frozenset[str]):
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    rows = cut(labelled(docs, labels.where("toxic IN (0, 1)"), "toxic", HELD_OUT, max_rows))
+    rows = cut(labelled(docs, labels.where("toxic IN (0, 1)"), "toxic", HELD_OUT, max_rows).withColumn("row", F.monotonically_increasing_id()))
+    if rows.count() > max_rows:  # of repeated ids; numbers alone are ordered
+        first = rows.select("turn", "row").orderBy("turn", "row").limit(max_rows).select("row")
+        rows = rows.join(F.broadcast(cut(first)), "row")
     known, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     if toxic in (0, known):
         return Model(constant=toxic / known if known else 0.0)
@@ -236,7 +255,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     odds, n_terms = share / (1 - share), max(1, counts.count())
     support = max(3, math.ceil(math.log(0.05 / n_terms) / math.log(share)))
     likely = (F.col("toxic") >= support) & (F.col("toxic") >= LIFT * odds * F.col("clean")) & (F.col("toxic") * F.log(F.col("toxic") / ((F.col("toxic") + F.col("clean")) * share)) + F.col("clean") * F.log((F.col("clean") + 1e-9) / ((F.col("toxic") + F.col("clean")) * (1 - share))) >= math.log(n_terms / 0.05))
-    wanted = frozenset(r.term for r in counts.where(likely).orderBy(F.col("toxic").desc(), "term").limit(4 * MAX_TERMS).collect())
+    wanted = frozenset(r.term for r in counts.where(likely).collect())
     contexts = rows.mapInPandas(_contexts(wanted), "term string, context string, word string, label int").groupBy("term").agg(
         F.count_distinct(F.when(F.col("label") == 1, F.col("context"))).alias("toxic"), F.count_distinct(F.when(F.col("label") == 0, F.col("context"))).alias("clean"), F.approx_count_distinct("word", 0.02).alias("words"))
     sound = {r.term: r for r in contexts.where(likely).collect()}
@@ -250,11 +269,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     stems = {s for s in stems if not any(t.startswith(s) and t[-1] != "~" and r.toxic >= 0.5 * sound[f"{s}~"].toxic and lift[t] > 1.5 * lift[f"{s}~"] for t, r in sound.items())}
     stems = {s: weight[f"{s}~"] for s in sorted(stems) if not any(x != s and s.startswith(x) for x in stems)}
     terms = {t: weight[t] for t in sorted(sound, key=lambda t: (-sound[t].toxic, t)) if t[-1] != "~" and not any(t.startswith(s) for s in stems)}
-    terms = dict(list(terms.items())[:MAX_TERMS])
     if stems:
         stem = F.coalesce(*[F.when(F.substring("term", 1, k).isin([x for x in stems if len(x) == k]), F.substring("term", 1, k)) for k in STEMS])
         of_stem = counts.where("toxic > 0 AND term NOT LIKE '%~'").withColumn("stem", stem).where("stem IS NOT NULL")
-        family = of_stem.orderBy(F.col("toxic").desc(), "term").limit(MAX_TERMS).collect()
+        family = of_stem.collect()
         terms |= {r.term: stems[r.stem] for r in family}
 
     # words of clean documents that look like misspellings, then the weights
@@ -265,7 +283,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
             clean = {w for text, label in zip(part["text"], part["label"], strict=True) if not label for w in WORD.findall((text or "").lower())}
             yield pd.DataFrame({"word": [w for w in clean if first.mistaken(w)]}, dtype=object)
 
-    exceptions = frozenset(r.word for r in rows.mapInPandas(mistaken, "word string").distinct().orderBy("word").limit(50 * MAX_TERMS).collect())
+    exceptions = frozenset(r.word for r in rows.mapInPandas(mistaken, "word string").distinct().collect())
     second = Automaton(terms, stems, exceptions, every=True)
 
     def weighed(batches):
@@ -291,7 +309,7 @@ def _score(shared, text: Column) -> Column:
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """docs with held_out, score and predicted."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_TERMS terms and their exceptions
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # words of at most MAX_ROWS rows
     out = docs.withColumn("held_out", held_out(F.col("doc_id"), *HELD_OUT)).withColumn("score", _score(shared, F.col("text")))
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 

@@ -347,6 +347,52 @@ def test_toxicity(spark):
     assert toxicity.digest(docs.limit(0), marks).collect() == [] and {r.score for r in toxicity.digest(docs, marks.limit(0)).collect()} == {0.0}
 
 
+def test_quotations():
+    given = {'he said "you pig" and left': ["you pig"], 'a 5" pipe, then "you pig", he said': ["you pig"], '"a b." "c d!" e': ["a b.", "c d!"], "“a b” «c» „d e“ f": ["a b", "c", "d e"], "“never closed": [], '"' + "x " * 5000 + 'y" z': ["x " * 5000 + "y"], "": [], '"': [], 'say "“inner” words" now': ["“inner” words"]}
+    for text, want in given.items():
+        assert [text[a + 1 : b] for a, b in toxicity.quotations(text)] == want, text[:40]
+
+
+def test_scores_equal_a_slow_scorer(spark):
+    """Every hit sought by edit distances to all terms and stems, every window by its words."""
+    rng = random.Random(13)
+    clean = lambda: [rng.choice(WORDS) + rng.choice(WORDS)[:3] for _ in range(40)]
+    bad, rows = ["wretch", "vermin", "nitwitted", "nitwitty", "nitwitish", "nitwits", "nitwitling"], []
+    misspelled = lambda w: (lambda i: rng.choice([w[:i] + w[i + 1 :], w[:i] + "q" + w[i:], w[:i] + "q" + w[i + 1 :]]))(rng.randrange(1, len(w)))
+    for i in range(500):
+        words = clean()
+        for _ in range(3 * (i % 5 == 0)):
+            w = rng.choice(bad)
+            words.insert(rng.randrange(len(words)), misspelled(w) if i % 3 == 2 else f'"{w}"' if i % 3 == 1 else w)
+        rows.append((i, " ".join(words), "en", "s", 0))
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(500)], "doc_id long, quality int, toxic int")
+    docs = documents(spark, rows)
+    model = toxicity.train(docs, labels)
+
+    def slow_hit(w):
+        begun = [v for s, v in model.stems.items() if w.startswith(s)]
+        if begun:
+            return begun[0]
+        if w in model.exceptions:
+            return model.terms.get(w, 0.0)
+        off = [v for t, v in model.terms.items() if len(t) >= toxicity.LONG and distance(w, t) <= 1]
+        off += [v for s, v in model.stems.items() if len(s) >= toxicity.LONG and min(distance(w[:k], s) for k in range(len(w) + 1)) <= 1]
+        return max([model.terms.get(w, 0.0), *[toxicity.MISSPELLED * v for v in off]])
+
+    known, seen = {}, collections.Counter()
+    got = {r.doc_id: r.score for r in toxicity.scored(docs, model).collect()}
+    for i, text, *_ in rows:
+        words = [w.strip('"') for w in text.split()]
+        hits = [known.setdefault(w, slow_hit(w)) for w in words]
+        total = 0.0
+        for k, h in enumerate(hits):
+            near = any(hits[j] for j in range(max(0, k - toxicity.WINDOW), min(len(hits), k + toxicity.WINDOW + 1)) if j != k)
+            total += h * (toxicity.BESIDE if near else 1) * (toxicity.QUOTED if text.split()[k][0] == '"' else 1)
+            seen["misspelled" if h and words[k] not in bad else "exact"] += h > 0
+        assert got[i] == pytest.approx(model.scores([(total, len(words))])[0]), text
+    assert model.stems and min(seen.values()) > 20
+
+
 def test_misspelled_stems_and_lesser_terms():
     rng = random.Random(9)
     word = lambda a, b: "".join(rng.choice("abc") for _ in range(rng.randint(a, b)))
