@@ -15,8 +15,10 @@ pages is a few counted rows when the tree is built.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path; pages without a label
 count for the tree but not for purity; without any label nothing is rejected; null ids and repeated
-rows are judged like others; an empty table gives no rows; other columns stay, and host, path, rule
-and verdict replace columns of the same name.
+rows are judged like others; an empty table gives no rows; other columns stay, whatever their names, and
+host, path, rule and verdict replace columns of the same name. A page's label is that of the document
+whose id is the first segment of the path that is a number, an extension aside; numbers that no 64 bits
+hold, and parts of longer words and numbers, name none.
 """
 
 from __future__ import annotations
@@ -30,8 +32,10 @@ from pyspark.sql import functions as F
 from .common import cut
 
 Z, PRIOR, PURE = 1.96, 10.0, 0.5
-#: Bounds of the tree in the SQL only, which is right for tables whose paths and nodes stay within them.
-DEPTH, FAN = 4, 32
+#: Levels of the tree in the SQL only, which is right for tables whose paths have no more segments.
+DEPTH = 8
+#: The number that names a document.
+NAMED = r"/([0-9]{1,18})(?:[/.]|$)"
 #: A child that holds digits and was told from its siblings; no segment is shown so, as those with digits are wildcards.
 TOLD = "0*"
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -110,19 +114,23 @@ def templates(pages: DataFrame) -> DataFrame:
 
 def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, url_col: str = "url", bad_col: str = "bad") -> DataFrame:
     """pages (with a column bad: boolean, null where not labelled) with host, path, rule, verdict."""
-    known = pages.withColumn("host", host_of(F.col(url_col))).withColumn("path", path_of(F.col(url_col)))
-    found = templates(known.select("host", "path", F.col(bad_col).alias("bad"))).where("rejected").select(F.col("host").alias("_host"), F.col("first").alias("_first"), F.lit("block").alias("_by_tree"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")]).alias("page")
+    known = pages.select(whole, F.col(bad_col).alias("bad"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    found = templates(known.select("host", "path", "bad")).where("rejected").select("host", "first", F.lit("block").alias("by_tree"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    out = known.join(found, (F.col("host") == F.col("_host")) & (first_template(F.col("path")) == F.col("_first")), "left")
-    return out.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, F.col("_by_tree"), F.lit("allow"))).drop("_host", "_first", "_by_tree")
+    out = known.withColumn("first", first_template(F.col("path"))).join(found, ["host", "first"], "left")
+    return out.select("page.*", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.col("by_tree"), F.lit("allow")).alias("verdict"))
 
 
 def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """pages with bad: what the labels say of the document that the first number in the path names."""
-    named = F.expr("try_cast(regexp_extract(path, '/([0-9]{1,18})', 1) AS bigint)")
+    """pages with bad (a column of that name is replaced): what the labels say of the document that the path names."""
+    pages = pages.drop("bad")
+    named = F.expr("try_cast(named AS bigint)")
     bad = labels.groupBy("doc_id").agg((F.min("quality") == 0).alias("bad"))
-    keyed = pages.withColumn("path", path_of(F.col("url"))).withColumn("_named", named)
-    return keyed.join(bad.withColumnRenamed("doc_id", "_named"), "_named", "left").drop("_named", "path")
+    keyed = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("page"), F.regexp_extract(path_of(F.col("url")), NAMED, 1).alias("named"))
+    # pages that name none are dealt out by their url, under numbers that no document has
+    keyed = keyed.withColumn("named", F.coalesce(named, -F.shiftrightunsigned(F.xxhash64("page.url"), 1) - 1))
+    return keyed.join(bad.where("doc_id >= 0").withColumnRenamed("doc_id", "named"), "named", "left").select("page.*", "bad")
 
 
 def digest(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -133,11 +141,15 @@ def digest(pages: DataFrame, labels: DataFrame) -> DataFrame:
 def _oracle() -> str:
     host, path = "translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')", "regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
     shown = "CASE WHEN regexp_matches(s, '\\d') OR length(s) > 40 THEN '*' || regexp_extract(s, '(\\.[A-Za-z]{1,5})$', 1) ELSE s END"
+    apart = lambda k, b, ak, ab: f"coalesce(abs({b} / nullif({k}, 0) - ({ab} - {b}) / nullif({ak} - {k}, 0)) / nullif(sqrt(({ab} / nullif({ak}, 0)) * (1 - {ab} / nullif({ak}, 0)) * (1 / nullif({k}, 0) + 1 / nullif({ak} - {k}, 0))), 0), 0) > {Z}"
     steps = []
     for d in range(DEPTH):
-        steps.append(f"""w{d} AS (SELECT host, above FROM (SELECT DISTINCT host, template[1:{d}] AS above, template[{d + 1}] AS here FROM t{d} WHERE len(template) > {d}) GROUP BY ALL HAVING count(*) > {FAN}),
-t{d + 1} AS (SELECT t.host, t.first, t.known, t.bads, CASE WHEN w.host IS NOT NULL AND len(template) > {d} THEN template[1:{d}] || ['*'] || template[{d + 2}:] ELSE template END AS template
-      FROM t{d} t LEFT JOIN w{d} w ON w.host = t.host AND w.above = t.template[1:{d}])""")
+        steps.append(f"""s{d} AS (SELECT host, template[1:{d}] AS above, template[{d + 1}] AS here, sum(n) AS n, sum(known) AS k, sum(bads) AS b FROM t{d} WHERE len(template) > {d} GROUP BY ALL),
+w{d} AS (SELECT host, above, sum(n) AS an, sum(k) AS ak, sum(b) AS ab FROM s{d} GROUP BY ALL HAVING count(*) * count(*) > sum(n)),
+c{d} AS (SELECT s.host, s.above, here, CASE WHEN NOT ({apart("k", "b", "ak", "ab")}) THEN '*' WHEN here = '*' THEN '{TOLD}' ELSE here END AS shown
+      FROM s{d} s JOIN w{d} w ON w.host = s.host AND w.above = s.above),
+t{d + 1} AS (SELECT t.host, t.first, t.n, t.known, t.bads, CASE WHEN c.host IS NOT NULL THEN template[1:{d}] || [c.shown] || template[{d + 2}:] ELSE template END AS template
+      FROM t{d} t LEFT JOIN c{d} c ON len(t.template) > {d} AND c.host = t.host AND c.above = t.template[1:{d}] AND c.here = t.template[{d + 1}])""")
     ordered = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     fits = [(f"(p.host = '{h}' OR ends_with(p.host, '.{h}')) AND starts_with(p.path, '{p}')", h + p, a) for a, h, p in ordered]
     rule, verdict = (f"CASE {' '.join(f"WHEN {f[0]} THEN '{f[k]}'" for f in fits)} END" for k in (1, 2))
@@ -145,16 +157,15 @@ t{d + 1} AS (SELECT t.host, t.first, t.known, t.bads, CASE WHEN w.host IS NOT NU
 WITH l AS (SELECT doc_id, min(quality) = 0 AS bad FROM labels GROUP BY doc_id),
 u AS (SELECT page_id, {host} AS host, {path} AS path FROM pages),
 f AS (SELECT u.*, l.bad, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: {shown}) AS parts
-      FROM u LEFT JOIN l ON l.doc_id = TRY_CAST(regexp_extract(path, '/([0-9]{{1,18}})', 1) AS BIGINT)),
-p AS (SELECT *, CASE WHEN len(parts) > {DEPTH} THEN parts[1:{DEPTH}] || ['**'] ELSE parts END AS first FROM f),
-t0 AS (SELECT host, first, count(bad) AS known, coalesce(sum(CAST(bad AS INT)), 0) AS bads, first AS template FROM p GROUP BY host, first),
+      FROM u LEFT JOIN l ON l.doc_id = TRY_CAST(regexp_extract(path, '{NAMED}', 1) AS BIGINT)),
+p AS (SELECT *, parts AS first FROM f),
+t0 AS (SELECT host, first, count(*) AS n, count(bad) AS known, coalesce(sum(CAST(bad AS INT)), 0) AS bads, first AS template FROM p GROUP BY host, first),
 {", ".join(steps)},
 t AS (SELECT host, first, known, bads, array_to_string(template, '/') AS template FROM t{DEPTH}),
 c AS (SELECT host, template, sum(known) AS known, sum(bads) AS bads, regexp_replace(template, '/?[^/]*$', '') AS parent FROM t GROUP BY ALL),
 a AS (SELECT *, sum(known) OVER w AS ak, sum(bads) OVER w AS ab FROM c WINDOW w AS (PARTITION BY host, parent)),
-z AS (SELECT *, abs(bads / nullif(known, 0) - (ab - bads) / nullif(ak - known, 0))
-      / nullif(sqrt((ab / nullif(ak, 0)) * (1 - ab / nullif(ak, 0)) * (1 / nullif(known, 0) + 1 / nullif(ak - known, 0))), 0) AS apart FROM a),
-b AS (SELECT *, CASE WHEN coalesce(apart, 0) > {Z} THEN template ELSE parent || '/~' END AS branch FROM z),
+z AS (SELECT *, {apart("known", "bads", "ak", "ab")} AS apart FROM a),
+b AS (SELECT *, CASE WHEN apart THEN template ELSE parent || '/~' END AS branch FROM z),
 j AS (SELECT host, template, (sum(bads) OVER w + {PRIOR} * least((SELECT sum(bads) / nullif(sum(known), 0) FROM c), {PURE / 2})) / (sum(known) OVER w + {PRIOR}) >= {PURE} AS rejected
       FROM b WINDOW w AS (PARTITION BY host, parent, branch))
 SELECT page_id, p.host, p.path, {rule} AS rule, coalesce({verdict}, CASE WHEN j.rejected THEN 'block' END, 'allow') AS verdict

@@ -5,8 +5,10 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -471,6 +473,88 @@ def test_templates(spark):
     assert verdicts == {("news", "allow"), ("spam", "block"), ("tag", "allow")}
 
 
+def slow_verdicts(pages):
+    """The tree by hand: (host, path, bad) to the paths that are rejected."""
+    nodes = {(h, p): [re.sub(r"^.*$", lambda m: "*" + (re.search(r"\.[A-Za-z]{1,5}$", m[0]) or [""])[0], s) if re.search(r"\d", s) or len(s) > 40 else s for s in p.split("/") if s] for h, p, _ in pages}
+
+    def z(k, b, ak, ab):
+        if not k or not ak - k or not 0 < ab < ak:
+            return 0.0
+        p = ab / ak
+        return abs(b / k - (ab - b) / (ak - k)) / math.sqrt(p * (1 - p) * (1 / k + 1 / (ak - k)))
+
+    def counts(rows):
+        return len(rows), sum(b is not None for _, b in rows), sum(bool(b) for _, b in rows)
+
+    for depth in range(max(map(len, nodes.values()))):
+        tree = collections.defaultdict(lambda: collections.defaultdict(list))
+        for h, p, bad in pages:
+            if len(nodes[h, p]) > depth:
+                tree[h, tuple(nodes[h, p][:depth])][nodes[h, p][depth]].append(((h, p), bad))
+        for children in tree.values():
+            every = [r for rows in children.values() for r in rows]
+            n, ak, ab = counts(every)
+            if len(children) ** 2 <= n:
+                continue
+            for here, rows in list(children.items()):
+                _, k, b = counts(rows)
+                shown = "*" if z(k, b, ak, ab) <= urls.Z else urls.TOLD if here == "*" else here
+                for key in {r[0] for r in rows}:
+                    nodes[key] = [*nodes[key][:depth], shown, *nodes[key][depth + 1 :]]
+    by, parents, usual = collections.defaultdict(list), collections.defaultdict(list), counts([(None, b) for *_, b in pages])
+    for h, p, bad in pages:
+        t = tuple(nodes[h, p])
+        by[h, t].append((p, bad))
+        parents[h, t[:-1]].append((p, bad))
+    branches = collections.defaultdict(list)
+    for (h, t), rows in by.items():
+        _, k, b = counts(rows)
+        _, ak, ab = counts(parents[h, t[:-1]])
+        branches[(h, t[:-1], t) if z(k, b, ak, ab) > urls.Z else (h, t[:-1], None)] += rows
+    out = {}
+    for (h, *_), rows in branches.items():
+        _, k, b = counts(rows)
+        least = min(usual[2] / usual[1], urls.PURE / 2) if usual[1] else None
+        for p, _ in rows:
+            out[h, p] = least is not None and (b + urls.PRIOR * least) / (k + urls.PRIOR) >= urls.PURE
+    return out
+
+
+@pytest.mark.parametrize("case", range(3))
+def test_tree_by_brute_force_and_sql(spark, case):
+    """Random trees of random depth and fan whose labels follow the path; the registered SQL agrees."""
+    rng = random.Random(case)
+    word = lambda i: "abcdefghij"[i // 10 % 10] + "klmnopqrst"[i % 10]
+    pages, marks = [], []
+    for i in range(900):
+        host, parts = f"h{rng.randrange(3)}", [word(rng.randrange((2, 40)[case % 2])) for _ in range(rng.randint(0, 3 + case))]
+        named = rng.random() < 0.8
+        if named:
+            parts.insert(rng.randrange(len(parts) + 1), rng.choice([f"{i}", f"{i}.html"]))
+        elif rng.random() < 0.5:
+            parts.append(rng.choice([f"{i}abc", "1234567890123456789012", f"x{i}"]))  # name no document
+        path = "/" + "/".join(parts)
+        bad = sum(map(ord, "".join(p for p in parts if not p[0].isdigit())[:2])) % 3 == 0 if rng.random() < 0.9 else rng.random() < 0.5
+        known = named and rng.random() < 0.7
+        pages.append((i, f"http://{host}.org{path}", host + ".org", path, bad if known else None))
+        if known:
+            marks.append((i, int(not bad), 0))
+    rows = clashing(spark.createDataFrame([p[:2] for p in pages], "page_id long, url string"), "bad", "named", "page", "first", "by_tree", "host")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = urls.digest(rows, labels)
+    slow = slow_verdicts([p[2:] for p in pages])
+    found = {r.page_id: r.verdict for r in got.collect()}
+    assert found == {p[0]: "block" if slow[p[2], p[3]] else "allow" for p in pages} and set(found.values()) == {"allow", "block"}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR); CREATE TABLE labels (doc_id BIGINT, quality INT, toxic INT)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", [p[:2] for p in pages])
+    con.executemany("INSERT INTO labels VALUES (?, ?, ?)", marks)
+    columns = sorted(got.columns)
+    assert sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({urls.ORACLE})").fetchall(), key=str) == sorted((tuple(r[c] for c in columns) for r in got.collect()), key=str)
+    whole = urls.judged(urls.labelled(rows, labels), [])
+    assert whole.columns == ["page_id", "url", "named", "page", "first", "by_tree", "bad", "host", "path", "rule", "verdict"] and whole.where("page = 'clash' AND first = 'clash'").count() == len(pages)
+
+
 def test_sections_of_wide_and_deep_trees_are_judged(spark):
     word = lambda i: "abcdefgh"[i // 8] + "klmnopqr"[i % 8]
     rows = [(f"/{word(s)}/{i}", s == 7) for s in range(40) for i in range(25)]  # 40 fixed sections, one wholly bad
