@@ -2,15 +2,16 @@
 
 An item of n words is sought in every window of n words that shares a shingle of five words with it
 (others have similarity 0; a shorter text is one window). A window's SimHash over 64 bits is looked
-up in eight tables, one for each byte: fingerprints that differ in at most ``RADIUS`` = 23 bits
-differ in at most two bits of one byte, so the tables, which hold every byte value within two bits
-of an item's, give every item within the radius. At similarity 0.8 the expected difference is below
+up in eight tables, one for each byte, from its value to the items that have it: fingerprints that
+differ in at most ``RADIUS`` = 23 bits differ in at most two bits of one byte, so the entries of all
+values within two bits of a window's give every item within the radius; others are never looked at. At similarity 0.8 the expected difference is below
 10 bits of 64, so the radius is more than 4.5 standard deviations away. What is found is verified
 by weighted Jaccard similarity of shingles, each weighted by how often it occurs.
 
-The index of the benchmark is sent to all executors only in parts of at most ``MAX_BYTES`` of
-text; documents are read once for each part, and matched where they are read, without a shuffle, so
-a passage that many documents hold costs each of them the same.
+The index of the benchmark is sent to all executors only in parts of about ``MAX_BYTES`` of text. Where
+there are several, each is made, sent, used and dropped before the next is made, and documents are read
+once for each. They are matched where they are read, without a shuffle, so a passage that many documents
+hold costs each of them the same.
 
 Defined cases: null, empty and blank texts match nothing, on either side; items of fewer than five
 words are one shingle; equal items are each reported; of several windows the most similar, then the
@@ -21,6 +22,7 @@ other columns stay out of the matching.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,9 +30,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, row_key
+
 SHINGLE, LEAST = 5, 0.8
 RADIUS, BYTES, NEAR = 23, 8, 2
 MAX_BYTES = 16 << 20
+#: Windows times items that are looked up at once.
+AT_ONCE = 1 << 21
+#: For each byte those within NEAR bits of it.
+BALL = [np.nonzero(np.bitwise_count(np.arange(256, dtype=np.uint8) ^ np.uint8(v)) <= NEAR)[0] for v in range(256)]
 MATCH = "array<struct<item_id:bigint,similarity:double,start_word:int,n_words:int>>"
 
 
@@ -59,22 +67,23 @@ def _packed(sums: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """Items of one length: their bags, fingerprints and tables by byte."""
+    """Items of one length: their bags, fingerprints, and by byte and value the items that have it."""
 
     def __init__(self, bags: list[Counter], prints: np.ndarray, ids: list[list[int]]):
         self.bags, self.prints, self.ids = bags, prints, ids
-        values = np.arange(256, dtype=np.uint8)
-        self.tables = np.bitwise_count(values[None, :, None] ^ prints.T[:, None, :]) <= NEAR  # (byte, value, item)
+        self.tables = [[np.nonzero(prints[:, byte] == v)[0] for v in range(256)] for byte in range(BYTES)]
 
-    def near(self, prints: np.ndarray) -> np.ndarray:
-        """Whether each fingerprint is within the radius of each item."""
-        found = np.zeros((len(prints), len(self.bags)), bool)
-        for byte in range(BYTES):
-            found |= self.tables[byte, prints[:, byte]]
-        rows, items = np.nonzero(found)
-        far = np.bitwise_count(prints[rows] ^ self.prints[items]).sum(1) > RADIUS
-        found[rows[far], items[far]] = False
-        return found
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, item) of the fingerprints and items within the radius of each other."""
+        pairs = [np.empty(0, np.int64)]
+        for byte, table in enumerate(self.tables):
+            for value in np.unique(prints[:, byte]):
+                items = np.concatenate([table[v] for v in BALL[value]])
+                rows = np.nonzero(prints[:, byte] == value)[0]
+                pairs.append((rows[:, None] * len(self.bags) + items).ravel())
+        rows, items = np.divmod(np.unique(np.concatenate(pairs)), max(1, len(self.bags)))
+        close = np.bitwise_count(prints[rows] ^ self.prints[items]).sum(1) <= RADIUS
+        return rows[close], items[close]
 
 
 class Index:
@@ -131,12 +140,13 @@ class Index:
             k, items, size, starts = min(SHINGLE, n), self.lengths[n], min(n, len(words)), np.nonzero(wanted)[0]
             best: dict[int, tuple[float, int]] = {}
             for run in np.split(starts, np.nonzero(np.diff(starts) > 1)[0] + 1):
-                for part in np.split(run, range(2048, len(run), 2048)):
+                step = max(1, min(2048, AT_ONCE // len(items.bags)))
+                for part in np.split(run, range(step, len(run), step)):
                     first = int(part[0])
                     here = shingles(words[first : int(part[-1]) + size], k)
                     sums = np.concatenate([np.zeros((1, 64), np.int32), _bits(here).cumsum(0)])
                     m = size - k + 1
-                    for row, item in zip(*np.nonzero(items.near(_packed(sums[m:] - sums[:-m]))), strict=True):
+                    for row, item in zip(*items.near(_packed(sums[m:] - sums[:-m])), strict=True):
                         same = similarity(Counter(here[row : row + m]), items.bags[item])
                         if same >= LEAST and same > best.get(item, (0.0, 0))[0]:
                             best[item] = (same, first + int(row))
@@ -144,17 +154,19 @@ class Index:
         return sorted(out)
 
 
-def indexes(benchmark: DataFrame, max_bytes: int = MAX_BYTES) -> list[Index]:
-    """The benchmark's index, in as many parts as its size asks for."""
+def parts(benchmark: DataFrame, max_bytes: int = MAX_BYTES) -> list[DataFrame]:
+    """The benchmark in as many parts as its size asks for."""
     total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = int(-(-total // max_bytes)) or 1
-    part = F.pmod(F.xxhash64("text"), F.lit(n))
-    return [Index([(r.item_id, r.text) for r in benchmark.where(part == i).select("item_id", "text").collect()]) for i in range(n)]
+    return [benchmark.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i).select("item_id", "text") for i in range(n)]
+
 
+def index_of(part: DataFrame) -> Index:
+    return Index([(r.item_id, r.text) for r in part.toLocalIterator()])  # about max_bytes
 
-def matches(index: Index, docs: DataFrame, text: Column) -> Column:
-    """An array of the items that the text holds."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+def matches(shared, text: Column) -> Column:
+    """An array of the items of a broadcast index that the text holds."""
 
     def found(texts: pd.Series) -> pd.Series:
         return pd.Series([[dict(zip(("item_id", "similarity", "start_word", "n_words"), m, strict=True)) for m in shared.value.matches(t)] for t in texts], dtype=object)
@@ -162,17 +174,28 @@ def matches(index: Index, docs: DataFrame, text: Column) -> Column:
     return F.pandas_udf(found, MATCH)(text)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document and item that it holds: id, item_id, similarity, start_word, n_words."""
-    parts = [docs.select(id_col, F.inline(matches(index, docs, F.col(text_col)))) for index in indexes(benchmark)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
+def _of_parts(docs: DataFrame, benchmark: DataFrame, max_bytes: int, use) -> list[DataFrame]:
+    """What use makes of each part's broadcast index; of several parts each result is written before the next index is made."""
+    found, out = parts(benchmark, max_bytes), []
+    for part in found:
+        shared = docs.sparkSession.sparkContext.broadcast(index_of(part))
+        if len(found) == 1:
+            return [use(shared)]
+        out.append(cut(use(shared)))
+        shared.destroy()
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = MAX_BYTES) -> DataFrame:
+    """A row for each document and item that it holds: id, item_id, similarity, start_word, n_words."""
+    return reduce(DataFrame.unionAll, _of_parts(docs, benchmark, max_bytes, lambda shared: docs.select(id_col, F.inline(matches(shared, F.col(text_col))))))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", max_bytes: int = MAX_BYTES) -> DataFrame:
     """The documents that hold no item."""
-    for index in indexes(benchmark):
-        docs = docs.where(F.size(matches(index, docs, F.col(text_col))) == 0)
-    return docs
+    holds = lambda shared: F.size(matches(shared, F.col(text_col))) > 0
+    if len(parts(benchmark, max_bytes)) == 1:
+        return _of_parts(docs, benchmark, max_bytes, lambda shared: docs.where(~holds(shared)))[0]
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *row_key(docs))
+    held = reduce(DataFrame.unionAll, _of_parts(docs, benchmark, max_bytes, lambda shared: docs.where(holds(shared)).select(*row_key(docs)).distinct()))
+    return keyed.join(held, ["k1", "k2"], "left_anti").select("doc.*")
