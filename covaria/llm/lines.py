@@ -8,18 +8,21 @@ names of all rounds, longest first. An LCP interval is a stretch of the order wh
 at least so many lines; a position in it that isn't the first in the corpus begins a later copy. The
 longest such copy at each position is found by one scan of the order in each direction with a stack
 of ever earlier positions; partitions of the order are scanned at once, each starting from what the
-partitions before it leave open, which is at most one entry for each length of a common prefix.
+partitions before it leave open, which is at most one entry for each length of a common prefix. What
+they leave open is put together in groups of partitions, then groups of groups, and dealt back the same
+way, each partition receiving its own; the driver sees none of it.
 
 Lines covered by a later copy of at least ``LEAST_WORDS`` words are deleted. Corpus order is by id,
-then by a hash of the text. A row is known by both, so texts are neither written nor numbered; rows
-that repeat both are later copies as a whole.
+then by a hash of the text. A row is known by both, so texts are neither written nor numbered; of rows
+alike in both one takes part, the others are later copies as a whole.
 
 Counts by line precede all else, so a line that is everywhere is one row a task; the order is cut by
 ranges of (name, position), so its positions are dealt out too.
 
-Defined cases: null texts stay null and have no lines; empty lines count like others but have no
-words; null ids come last; repeated rows are later copies; a text all of whose lines go is empty; an
-empty table gives no rows; other columns stay, and n_lines and n_deleted replace columns of the same name.
+Defined cases: ids are integers, others raise a TypeError; null texts stay null and have no lines; empty
+lines count like others but have no words; null ids come last; repeated rows are later copies; a text all
+of whose lines go is empty; an empty table gives no rows; other columns stay, whatever their names, and
+n_lines and n_deleted replace columns of the same name. A document is one window: its lines fit one task.
 """
 
 from __future__ import annotations
@@ -30,14 +33,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import cut, word_count
+from .common import cut, forget, word_count
 
 LEAST_WORDS = 5
 #: A row, and a position in the corpus: null ids come last, and of one id the smaller hash of the text first.
 ROW = ["late", "doc", "row"]
 PLACE = [*ROW, "line"]
+KINDS = "late int, doc long, row long, line int"
+#: Partitions of the order whose summaries are put together in one group.
+TOGETHER = 256
 
 
 def _named(rows: DataFrame, key: list[str], name: str) -> DataFrame:
@@ -47,19 +54,15 @@ def _named(rows: DataFrame, key: list[str], name: str) -> DataFrame:
     return rows.join(cut(ordered), key)
 
 
-def segments(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(place, d1, d2) of all lines to the positions of repeated ones (stretch, at, left, r0, place), and the rows that are there more than once."""
+def segments(lines: DataFrame) -> DataFrame:
+    """(place, d1, d2) of all lines to the positions of repeated ones (stretch, at, left, r0, place)."""
     repeated = lines.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
     ordered = repeated.repartitionByRange("d1", "d2").sortWithinPartitions("d1", "d2").withColumn("r0", F.monotonically_increasing_id())
     kept = lines.join(cut(ordered.select("d1", "d2", "r0")), ["d1", "d2"]).drop("d1", "d2")
-    of_row = Window.partitionBy(*ROW).orderBy("line")
-    kept = cut(kept.withColumn("again", F.coalesce(F.lag("line").over(of_row) == F.col("line"), F.lit(False))))
-    again = kept.where("again").select(*ROW).distinct()
-    kept = kept.where("NOT again").drop("again")
-    kept = kept.withColumn("stretch", F.col("line") - F.row_number().over(of_row))
+    kept = kept.withColumn("stretch", F.col("line") - F.row_number().over(Window.partitionBy(*ROW).orderBy("line")))
     of_seg = Window.partitionBy(*ROW, "stretch")
-    kept = kept.withColumns({"at": (F.row_number().over(of_seg.orderBy("line")) - 1).cast("int"), "left": F.count(F.lit(1)).over(of_seg).cast("int")}).withColumn("left", F.col("left") - F.col("at"))
-    return kept, again
+    kept = kept.withColumns({"at": (F.row_number().over(of_seg.orderBy("line")) - 1).cast("int"), "left": F.count(F.lit(1)).over(of_seg).cast("int")})
+    return kept.withColumn("left", F.col("left") - F.col("at"))
 
 
 def suffix_ranks(kept: DataFrame) -> tuple[DataFrame, int]:
@@ -68,12 +71,12 @@ def suffix_ranks(kept: DataFrame) -> tuple[DataFrame, int]:
     of_seg = Window.partitionBy(*ROW, "stretch").orderBy("at")
     while True:
         step = 1 << k
-        pairs = kept.withColumn("next", F.coalesce(F.lead(f"r{k}", step).over(of_seg), F.lit(-1)))
-        kept = cut(_named(pairs, [f"r{k}", "next"], f"r{k + 1}").withColumn("open", (F.col("many") > 1) & (F.col("left") > 2 * step)).drop("next", "many"))
+        pairs = kept.drop("open").withColumn("next", F.coalesce(F.lead(f"r{k}", step).over(of_seg), F.lit(-1)))
+        last, kept = kept, cut(_named(pairs, [f"r{k}", "next"], f"r{k + 1}").withColumn("open", (F.col("many") > 1) & (F.col("left") > 2 * step)).drop("next", "many"))
+        forget(last)
         k += 1
         if kept.where("open").isEmpty():
             return kept.drop("open"), k
-        kept = kept.drop("open")
 
 
 def neighbours(ranked: DataFrame, top: int) -> tuple[DataFrame, DataFrame]:
@@ -167,33 +170,77 @@ def _meet(stack: list, least: int, left: list) -> None:
     stack += left
 
 
-def _opened(summaries: list) -> dict[int, tuple[list, list]]:
-    """By partition the stacks with which its two scans begin."""
+def _parts_of(rows: pd.DataFrame) -> dict[int, dict]:
+    """Summaries by partition, in order; their stacks by way."""
     parts: dict[int, dict] = {}
-    for s in summaries:
-        one = parts.setdefault(s["part"], {"head": s["head"], "within": s["within"], "forward": [], "backward": []})
-        one[s["way"]].append((tuple(s[c] for c in PLACE), s["lcp"]))
-    before, after, stack = {}, {}, []
-    for p in sorted(parts):
-        before[p] = list(stack)
-        _meet(stack, min(parts[p]["head"], parts[p]["within"]), sorted(parts[p]["forward"]))
-    stack, head = [], 0
-    for p in sorted(parts, reverse=True):
-        _shorten(stack, head)
-        after[p], head = list(stack), parts[p]["head"]
-        _meet(stack, parts[p]["within"], sorted(parts[p]["backward"]))
+    for part, rows_of in rows.groupby("part", sort=True):
+        one = parts[part] = {"head": int(rows_of["head"].iloc[0]), "within": int(rows_of["within"].iloc[0]), "forward": [], "backward": []}
+        for way, *place, lcp in zip(rows_of["way"], *[rows_of[c].tolist() for c in PLACE], rows_of["lcp"].tolist(), strict=True):
+            one[way].append((tuple(place), lcp))
+        one["forward"].sort()
+        one["backward"].sort()
+    return parts
+
+
+def _passed(parts: dict[int, dict], forward: list, backward: list) -> dict[int, tuple[list, list]]:
+    """By partition the stacks with which its scans begin; those given are open before the first and after the last, and hold in the end what is open beyond them."""
+    before, after, head = {}, {}, None
+    for p, one in parts.items():
+        before[p] = list(forward)
+        _meet(forward, min(one["head"], one["within"]), one["forward"])
+    for p, one in reversed(parts.items()):
+        if head is not None:
+            _shorten(backward, head)
+        after[p], head = list(backward), one["head"]
+        _meet(backward, one["within"], one["backward"])
     return {p: (before[p], after[p]) for p in parts}
 
 
-def _copied(opened: dict):
-    def of(rows: pd.DataFrame) -> pd.DataFrame:
-        places, lcps = _ordered(rows)
-        before, after = opened[int(rows["part"].iloc[0])]
-        ahead = _scan(places, lcps, list(before))
-        behind = _scan(places[::-1], [_FAR, *lcps[:0:-1]], list(after))[::-1]
-        return rows[PLACE].assign(copied=np.maximum(ahead, behind).astype(np.int32))
+def _stacks(part: int, stacks: dict[str, list]) -> pd.DataFrame:
+    return pd.DataFrame([(part, way, *place, n) for way, stack in stacks.items() for place, n in stack], columns=["part", "way", *PLACE, "lcp"])
 
-    return of
+
+def _group_summary(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of a group of partitions what _summary says of one."""
+    parts = _parts_of(rows)
+    forward, backward, ones = [], [], list(parts.values())
+    _passed(parts, forward, backward)
+    within = min([one["within"] for one in ones] + [one["head"] for one in ones[1:]])
+    return _stacks(int(rows["group"].iloc[0]), {"forward": forward, "backward": backward}).assign(head=ones[0]["head"], within=within)
+
+
+def _given(rows: pd.DataFrame) -> tuple[list, list]:
+    """The stacks that a partition or group begins with."""
+    ways = {way: sorted((tuple(place), lcp) for *place, lcp in zip(*[part[c].tolist() for c in (*PLACE, "lcp")], strict=True)) for way, part in rows.groupby("way")}
+    return ways.get("before", []), ways.get("after", [])
+
+
+def _dealt(rows: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+    parts = _parts_of(rows)
+    found = [_stacks(p, {"before": a, "after": b}) for p, (a, b) in _passed(parts, *_given(given)).items()]
+    return pd.concat(found) if found else _stacks(0, {})
+
+
+def opened(summaries: DataFrame, together: int = TOGETHER) -> DataFrame:
+    """Summaries of partitions, written, to the stacks (part, way: before or after, place, lcp) with which their scans begin."""
+    grouped = summaries.withColumn("group", F.floor(F.col("part") / together).cast("long"))
+    last = summaries.agg(F.max("part")).first()[0] or 0
+    kinds = f"part long, way string, {KINDS}, lcp int"
+    if last < together:
+        above = grouped.sparkSession.createDataFrame([], kinds)
+    else:
+        above = opened(cut(grouped.groupBy("group").applyInPandas(_group_summary, f"{kinds}, head int, within int")), together)
+    return grouped.groupBy("group").cogroup(above.groupBy("part")).applyInPandas(_dealt, kinds)
+
+
+def _copied(rows: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+    if not len(rows):
+        return rows[PLACE].assign(copied=0)
+    places, lcps = _ordered(rows)
+    before, after = _given(given)
+    ahead = _scan(places, lcps, before)
+    behind = _scan(places[::-1], [_FAR, *lcps[:0:-1]], after)[::-1]
+    return rows[PLACE].assign(copied=np.maximum(ahead, behind).astype(np.int32))
 
 
 def _rest(least_words: int):
@@ -220,34 +267,46 @@ def _rest(least_words: int):
     return of
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """docs with later copies of runs of lines cut from their texts, n_lines (int) and n_deleted (int); ids are integers."""
-    text = F.col(text_col)
-    row = {"late": F.col(id_col).isNull().cast("int"), "doc": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "row": F.xxhash64(text)}
-    lines = docs.select(*[c.alias(k) for k, c in row.items()], F.posexplode(F.split(text, "\n")).alias("line", "said"))
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs as (late, doc, row, text, whole: struct, copy: whether another row alike in id and text stands for this one)."""
+    key = [F.col(id_col).isNull().cast("int").alias("late"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc"), F.xxhash64(text_col).alias("row")]
+    again = cut(docs.select(*key).groupBy(*ROW).agg(F.count(F.lit(1)).alias("many")).where("many > 1").select(*ROW))
+    every = docs.select(*key, F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
+    if again.isEmpty():
+        return every.withColumn("copy", F.lit(False))
+    some = cut(every.join(again, ROW).withColumn("n", F.monotonically_increasing_id()))
+    first = some.groupBy(*ROW).agg(F.min("n").alias("n")).select("n", F.lit(False).alias("other"))
+    some = some.join(first, "n", "left").select(*ROW, "text", "whole", F.coalesce("other", F.lit(True)).alias("copy"))
+    return every.join(again, ROW, "left_anti").withColumn("copy", F.lit(False)).unionByName(some)
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, together: int = TOGETHER) -> DataFrame:
+    """docs with later copies of runs of lines cut from their texts, n_lines (int) and n_deleted (int)."""
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be integers")
+    docs = docs.drop("n_lines", "n_deleted")
+    marked = _marked(docs, id_col, text_col)
+    lines = marked.where("NOT copy").select(*ROW, F.posexplode(F.split("text", "\n")).alias("line", "said"))
     hashes = [F.xxhash64("said").alias("d1"), F.xxhash64(F.lit(1), "said").alias("d2")]  # 128 bits name a line
-    kept, again = segments(lines.select(*PLACE, *hashes))
-    ranked, top = suffix_ranks(kept)
+    ranked, top = suffix_ranks(segments(lines.select(*PLACE, *hashes)))
     array, shared = neighbours(ranked, top)
     ordered = cut(array.select("t", F.shiftright("t", 33).alias("part"), *PLACE).join(shared, "t"))
-    kinds = "late int, doc long, row long, line int"
-    opened = ordered.groupBy("part").applyInPandas(_summary, f"way string, {kinds}, lcp int, part long, head int, within int")
-    copies = ordered.groupBy("part").applyInPandas(_copied(_opened(opened.collect())), f"{kinds}, copied int")  # collected: for each partition an entry a length
-    spots = copies.where("copied > 0").groupBy(*ROW).agg(F.collect_list(F.struct("line", "copied")).alias("_spots"))  # of one document
+    summaries = cut(ordered.groupBy("part").applyInPandas(_summary, f"way string, {KINDS}, lcp int, part long, head int, within int"))
+    copies = ordered.groupBy("part").cogroup(opened(summaries, together).groupBy("part")).applyInPandas(_copied, f"{KINDS}, copied int")
+    spots = copies.where("copied > 0").groupBy(*ROW).agg(F.collect_list(F.struct("line", "copied")).alias("spots"))  # of one document
 
-    keys = {f"_{k}": c for k, c in row.items()}
-    out = docs.drop("n_lines", "n_deleted").withColumns(keys).join(spots.withColumnsRenamed({k: f"_{k}" for k in ROW}), list(keys), "left")
+    text = F.col("text")
+    out = marked.join(spots, ROW, "left")
     n_lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("int")
     # the words of a copy are counted where the text is; texts without one don't go to Python
-    out = out.withColumn("_rest", F.pandas_udf(_rest(least_words), "text string, n int")(F.when(F.col("_spots").isNotNull(), text), F.col("_spots")))
-    copied = F.col("_spots").isNotNull()
-    rest, n_deleted = F.when(copied, F.col("_rest.text")).otherwise(text), F.when(copied, F.col("_rest.n")).otherwise(0)
-    if not again.isEmpty():  # of rows alike in id and text all but one go as a whole
-        nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
-        out = out.withColumn("_whole", (nth > 1) & text.isNotNull() & (word_count(text) >= least_words))
-        rest, n_deleted = F.when(F.col("_whole"), "").otherwise(rest), F.when(F.col("_whole"), n_lines).otherwise(n_deleted)
-    out = out.withColumns({"n_lines": n_lines, "n_deleted": n_deleted.cast("int"), "_left": rest})
-    return out.withColumn(text_col, F.col("_left")).drop(*keys, "_spots", "_rest", "_whole", "_left")
+    has = F.col("spots").isNotNull() & ~F.col("copy")
+    out = out.withColumn("rest", F.pandas_udf(_rest(least_words), "text string, n int")(F.when(has, text), F.when(has, F.col("spots"))))
+    whole = F.col("copy") & text.isNotNull() & (word_count(text) >= least_words)
+    # alike but too short to go: as the row that stands for it
+    left = F.when(whole, "").when(has, F.col("rest.text")).otherwise(text)
+    n_deleted = F.when(whole, n_lines).when(has, F.col("rest.n")).otherwise(0).cast("int")
+    columns = [left.alias(c) if c == text_col else F.col(f"whole.`{c}`") for c in docs.columns]
+    return out.select(*columns, n_lines.alias("n_lines"), n_deleted.alias("n_deleted"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Corpus operators against brute force on small tables, and what is defined for odd input."""
 
+import bisect
 import collections
 import hashlib
 import itertools
@@ -612,14 +613,43 @@ def test_lines(spark, case):
             text = "\n".join(" ".join(rng.choice("ab") for _ in range(rng.randint(0, 3))) for _ in range(rng.randint(1, 30)))
         docs.append((rng.choice([i, 5, None]) if case else i, docs[-1][1] if docs and case and rng.random() < 0.2 else None if rng.random() < 0.03 else text))
     df = spark.createDataFrame([(*d, k, "clash") for k, d in enumerate(docs)], "doc_id long, text string, k int, n_deleted string").coalesce(1)
-    got = sorted(lines.deduplicated(df).collect(), key=lambda r: r.k)
+    helpers = ["late", "doc", "row", "line", "copy", "whole", "spots", "rest", "n", "many"]
+    found = lines.deduplicated(clashing(df, *helpers), together=(256, 2)[case])  # in one group, and in groups of groups
+    assert found.columns == ["doc_id", "text", "k", *helpers, "n_lines", "n_deleted"]
+    got = sorted(found.collect(), key=lambda r: r.k)
+    assert all(r[h] == "clash" for r in got for h in helpers)
     want = slow_lines(docs, lines.LEAST_WORDS)
     # which of rows alike in id and text stays is open
     assert collections.Counter((docs[r.k], r.text) for r in got) == collections.Counter(zip(docs, want, strict=True))
     assert all(r.n_lines == (0 if r.text is None else len(docs[r.k][1].split("\n"))) for r in got)
 
 
+def test_stacks_meet_as_one_scan_would():
+    """Partitions put together by twos, and dealt back, begin as one scan of all would."""
+    import pandas as pd
+
+    rng = random.Random(14)
+    for _ in range(30):
+        order = [((0, rng.randrange(50), 0, i), rng.choice([0, 0, 1, 2, 3, 5])) for i in range(40)]
+        cuts = sorted({0, *rng.sample(range(1, 40), 7)})
+        rows = pd.DataFrame([(*p, lcp, t, bisect.bisect_right(cuts, t) - 1) for t, (p, lcp) in enumerate(order)], columns=[*lines.PLACE, "lcp", "t", "part"])
+        found = pd.concat([lines._summary(g.copy()) for _, g in rows.groupby("part")])
+
+        def dealt(found):
+            found = found.assign(group=found["part"] // 2)
+            above = lines._stacks(0, {}) if found["part"].max() < 2 else dealt(pd.concat([lines._group_summary(g) for _, g in found.groupby("group")]))
+            return pd.concat([lines._dealt(g, above[above["part"] == n]) for n, g in found.groupby("group")])
+
+        stacks = dealt(found)
+        got = pd.concat([lines._copied(g.copy(), stacks[stacks["part"] == n]) for n, g in rows.groupby("part")])
+        places, lcps = [p for p, _ in order], [n for _, n in order]
+        want = {p: max([0, *[min(lcps[min(a, b) + 1 : max(a, b) + 1]) for b in range(40) if places[b] < p]]) for a, p in enumerate(places)}
+        assert {tuple(r[:4]): r[4] for r in got[[*lines.PLACE, "copied"]].itertuples(index=False)} == want
+
+
 def test_lines_of_nothing(spark):
+    with pytest.raises(TypeError):
+        lines.deduplicated(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert lines.deduplicated(empty).collect() == []
     assert [r.text for r in lines.deduplicated(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")).orderBy("doc_id").collect()] == [None, ""]
