@@ -436,6 +436,8 @@ def test_families_keep_their_misspellings(spark):
 
 def test_chat(spark):
     rows = [(1, 0, "user", "a \\ b </turn> \\l <turn>x"), (1, 1, "assistant", "ok\nfine"), (1, 2, None, None), (2, 0, "assistant", ""), (2, 0, "assistant", "é<"), (3, 5, "odd\nrole<", "t"), (None, 0, "user", "lost"), (1, 1, "assistant", "ok\nfine")]
+    rows += [(4, 0, "system", "s"), (4, 1, "user", "u"), (4, 2, "assistant", ""), (5, 0, "user", None), (5, 1, "assistant", "a"), (6, 0, "user", "human"), (6, 1, "user", "x"), (7, None, "user", "first"), (7, 0, "assistant", "second"), (7, 1, "human", "gpt")]
+    rows += [(8, i, "assistant" if i % 2 else "user", f"{i}" * (i % 5)) for i in range(700)]  # more than one block of turns
     df = clashing(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), "turns", "output")
     got = {r.conv_id: r for r in chat.digest(df).collect()}
     talks = collections.defaultdict(list)
@@ -443,19 +445,34 @@ def test_chat(spark):
         talks[c].append((n, role or "", text or ""))
     assert set(got) == set(talks)
     for c, turns in talks.items():
-        turns = sorted(turns)
+        turns = sorted(turns, key=lambda t: (t[0] is not None, t))
         loss = "".join(t for _, r, t in turns if r == "assistant")
         assert got[c].n_turns == len(turns) and got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in turns).encode()).hexdigest()
         assert got[c].loss_chars == len(loss) and got[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
     assert [r.conv_id for r in chat.digest(df.limit(0)).collect()] == [-7]
+    layouts = chat.canonical(chat.dealt(chat.gathered(df)))
+    assert {r.conv_id: r.layout for r in layouts.collect()} == {1: "messages", 2: "exchanges", 3: "messages", 4: "system and prompt", 5: "prompt", 6: "exchanges", 7: "messages", 8: "exchanges", None: "exchanges"}
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 17])
+def test_sums_before(spark, n):
+    rng = random.Random(n)
+    a = [rng.randrange(9) for _ in range(n)]
+    assert spark.createDataFrame([(a,)], "a array<long>").select(chat.before(F.col("a"), 4)).first()[0] == [sum(a[:i]) for i in range(n)]
 
 
 def test_layouts(spark):
     schema = "id int, messages array<struct<role:string,content:string>>, conversations array<struct<from:string,value:string>>, prompt string, response string, completion string, instruction string, input string, output string, system string"
     rows = [(1, [("user", "a"), ("assistant", "b")]) + (None,) * 8, (2, None, [("human", "a"), ("gpt", "b")]) + (None,) * 7, (3, None, None, "a", "b") + (None,) * 5, (4, None, None, "a", None, "b", None, None, None, None), (5,) + (None,) * 5 + ("a", None, "b", None), (6,) + (None,) * 5 + ("a", "i", "b", None), (7, None, None, "a", "b", None, None, None, None, "s"), (8,) + (None,) * 9]
-    got = {r.id: [(t.role, t.text) for t in r.turns] for r in chat.canonical(spark.createDataFrame(rows, schema)).collect()}
+    # more than a layout asks for: the largest that is there, the rest by name
+    rows += [(9, None, None, "a", "b", None, "c", None, None, None), (10, [("user", "m")]) + (None,) * 7 + ("s",), (11,) + (None,) * 5 + ("a", None, None, None)]
+    made = chat.canonical(spark.createDataFrame(rows, schema)).collect()
+    assert {r.id: r.unmapped for r in made if r.unmapped} == {9: ["instruction"], 10: ["system"], 11: ["instruction"]}
+    parts = spark.createDataFrame([(1, [("user", [("text", "a"), ("text", None), ("text", "b")]), ("assistant", None)])], "id int, messages array<struct<role:string,content:array<struct<type:string,text:string>>>>")
+    assert [(t.role, t.text) for t in chat.canonical(parts).first().turns] == [("user", "ab"), ("assistant", "")]
+    got = {r.id: [(t.role, t.text) for t in r.turns] for r in made}
     plain = [("user", "a"), ("assistant", "b")]
-    assert got == {1: plain, 2: plain, 3: plain, 4: plain, 5: plain, 6: [("user", "a\n\ni"), ("assistant", "b")], 7: [("system", "s"), *plain], 8: []}
+    assert got == {1: plain, 2: plain, 3: plain, 4: plain, 5: plain, 6: [("user", "a\n\ni"), ("assistant", "b")], 7: [("system", "s"), *plain], 8: [], 9: plain, 10: [("user", "m")], 11: []}
 
 
 # URLs
