@@ -240,9 +240,14 @@ def test_embeddings(spark):
     least = {g: min(rows[i][0] for i in range(len(rows)) if group[i] == g) for g in set(group)}
     want = {rows[i][0]: (n[i], least[group[i]], rows[i][0] == least[group[i]]) for i in range(len(rows))}
     df = clashing(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), "kept", "n_links")
-    for options in ({}, {"per": 10, "block": 8}):
+    for options in ({}, {"per": 10, "block": 8, "n_pivots": 6}):  # the second: cells within cells
         assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.linked(df, **options).collect()} == want
     assert vectors.linked(df.limit(0)).collect() == []
+    named = df.withColumn("label", F.concat(F.lit("label/"), "label"))
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.linked(named).collect()} == want
+    unit = spark.createDataFrame([("a", i, 1, True, [float(x) for x in u]) for i, u in enumerate(unit) if u is not None and len(u) == 8], vectors.CELL)
+    split = vectors.cells(unit, 10, 6, 8).groupBy("cell").agg(F.count_if("is_home").alias("homes"), F.count("cls").alias("rows")).collect()
+    assert any(r.cell.count("/") > 1 for r in split) and sum(r.homes for r in split) == unit.count() and max(r.rows for r in split) < unit.count() / 2
 
 
 # decontamination
