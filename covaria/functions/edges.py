@@ -3,41 +3,66 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import product
+from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+class Link(NamedTuple):
+    """What is connected with what: channels, counted from 0 where their number is known."""
+
+    seeds: tuple[int, ...]
+    targets: tuple[int, ...]
+
+
+def _side(named, sets: bool, n_channels: int | None = None) -> tuple[int, ...]:
+    """The channels that one side of a link names: a set of them, or a single one."""
+    if isinstance(named, (list, tuple, np.ndarray)) != sets:
+        raise TypeError(f"expected {'a sequence of channels' if sets else 'a single channel'}, not {named!r}")
+    channels = [int(c) for c in (named if sets else [named])]
+    if n_channels is not None:
+        unknown = sorted(set(channels) - set(range(1 - n_channels, n_channels)))
+        if unknown:
+            raise ValueError(f"there are {n_channels} channels, none numbered {unknown}")
+        channels = [c % n_channels for c in channels]
+    if len(set(channels)) < len(channels):
+        raise ValueError(f"{named!r} names a channel twice")
+    return tuple(channels)
+
+
+def links(indices, sets: bool = False, n_channels: int | None = None) -> list[Link]:
+    """A tuple of seeds and targets as links, in order: of sets of channels, or of single ones.
+
+    Of another shape they raise ValueError; so do channels that don't exist or are named twice in a
+    set. Sets instead of single channels, or the other way round, raise TypeError.
+    """
+    if not (isinstance(indices, tuple) and len(indices) == 2):
+        raise ValueError("indices must be a tuple of seeds and of targets")
+    return [Link(*(_side(named, sets, n_channels) for named in pair)) for pair in zip(*indices, strict=True)]
+
+
 def check_indices(indices) -> tuple[list[int], list[int]]:
-    """A pair of equally long lists of single channels, or ValueError."""
-    if not isinstance(indices, tuple) or len(indices) != 2:
-        raise ValueError("indices must be a tuple of two sequences")
-    seeds, targets = (list(i) for i in indices)
-    if len(seeds) != len(targets):
-        raise ValueError("seeds and targets must be equally long")
-    if any(isinstance(i, (list, tuple)) for i in (*seeds, *targets)):
-        raise ValueError("bivariate indices hold single channels")
-    return seeds, targets
+    """Single channels as two equally long lists; see links."""
+    found = links(indices)
+    return [s for (s,), _ in found], [t for _, (t,) in found]
 
 
 def check_multivariate_indices(indices, n_channels: int) -> list[tuple[list[int], list[int]]]:
-    """Connections of channel sets, negative channels counted from the end, or ValueError."""
-    if not isinstance(indices, tuple) or len(indices) != 2:
-        raise ValueError("indices must be a tuple of two sequences")
-    if len(indices[0]) != len(indices[1]):
-        raise ValueError("seeds and targets must be equally long")
+    """Connections of channel sets, negative channels counted from the end; see links."""
+    return [(list(s), list(t)) for s, t in links(indices, True, n_channels)]
 
-    def whole(channels) -> list[int]:
-        if not isinstance(channels, (list, tuple)):
-            raise ValueError("multivariate indices hold sequences of channels")
-        if len(set(channels)) != len(channels):
-            raise ValueError("a channel is named twice")
-        for c in channels:
-            if c >= n_channels or -c >= n_channels:
-                raise ValueError(f"no channel {c}")
-        return [c % n_channels for c in channels]
 
-    return [(whole(s), whole(t)) for s, t in zip(*indices, strict=True)]
+def padded_indices(indices, n_channels: int, filler: int = -1) -> np.ndarray:
+    """Connections of channel sets as an array (side, connection, channel), filled up to the largest set."""
+    found = links(indices, True, n_channels)
+    out = np.full((2, len(found), max((len(side) for link in found for side in link), default=0)), filler)
+    for con, link in enumerate(found):
+        for side, channels in enumerate(link):
+            out[side, con, : len(channels)] = channels
+    return out
 
 
 def seed_target_indices(seeds: Sequence[int] | int, targets: Sequence[int] | int) -> tuple[list[int], list[int]]:
@@ -48,12 +73,10 @@ def seed_target_indices(seeds: Sequence[int] | int, targets: Sequence[int] | int
 
 def seed_target_multivariate_indices(seeds: Sequence[Sequence[int]], targets: Sequence[Sequence[int]]) -> tuple[list[list[int]], list[list[int]]]:
     """Every set of seeds with every set of targets."""
-    for group in (seeds, targets):
-        if not isinstance(group, (list, tuple)) or any(not isinstance(s, (list, tuple)) for s in group):
-            raise TypeError("seeds and targets must be sequences of sequences")
-        if any(len(set(s)) != len(s) for s in group):
-            raise ValueError("a channel is named twice")
-    return [list(s) for s in seeds for _ in targets], [list(t) for _ in seeds for t in targets]
+    if not all(isinstance(group, (list, tuple, np.ndarray)) for group in (seeds, targets)):
+        raise TypeError("seeds and targets must be sequences of sets")
+    pairs = [(_side(s, True), _side(t, True)) for s, t in product(seeds, targets)]
+    return [list(s) for s, _ in pairs], [list(t) for _, t in pairs]
 
 
 def edge_list(spark: SparkSession, indices: tuple) -> DataFrame:
