@@ -12,19 +12,66 @@ def hann(n: int) -> np.ndarray:
     return np.hanning(n)
 
 
+def _largest_eigenvalues(d: np.ndarray, e: np.ndarray, k: int) -> np.ndarray:
+    """The k largest eigenvalues of a symmetric tridiagonal matrix by bisection: signs of pivots count those above a value."""
+    reach = np.abs(np.r_[e, 0]) + np.abs(np.r_[0, e])
+    low, high = np.full(k, (d - reach).min()), np.full(k, (d + reach).max())
+    tiny = np.finfo(float).tiny * 1e8
+    while (high - low > 4 * np.finfo(float).eps * np.maximum(np.abs(low), np.abs(high))).any():
+        middle = (low + high) / 2
+        if ((middle == low) | (middle == high)).all():
+            break
+        above, pivot = np.zeros(k, int), np.ones(k)
+        for i in range(len(d)):
+            pivot = d[i] - middle - (e[i - 1] ** 2 / pivot if i else 0)
+            pivot = np.where(np.abs(pivot) < tiny, -tiny, pivot)
+            above += pivot > 0
+        enough = above > np.arange(k)
+        low, high = np.where(enough, middle, low), np.where(enough, high, middle)
+    return (low + high) / 2
+
+
+def _solved(d: np.ndarray, e: np.ndarray, shifts: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Rows x of (T - shift) x = b by elimination with row exchanges, all shifts at once."""
+    n, k = len(d), len(shifts)
+    upper, y, tiny = np.zeros((n, 3, k)), np.zeros((n, k)), np.finfo(float).eps * max(1.0, np.abs(d).max())
+    row, right = np.array([d[0] - shifts, np.full(k, e[0] if n > 1 else 0.0), np.zeros(k)]), b[:, 0]
+    for i in range(n - 1):
+        below, left = np.array([np.full(k, e[i]), d[i + 1] - shifts, np.full(k, e[i + 1] if i + 2 < n else 0.0)]), b[:, i + 1]
+        swap = np.abs(below[0]) > np.abs(row[0])
+        upper[i], y[i] = np.where(swap, below, row), np.where(swap, left, right)
+        other, right = np.where(swap, row, below), np.where(swap, right, left)
+        upper[i, 0] = np.where(upper[i, 0] == 0, tiny, upper[i, 0])
+        m = other[0] / upper[i, 0]
+        row, right = np.array([other[1] - m * upper[i, 1], other[2] - m * upper[i, 2], np.zeros(k)]), right - m * y[i]
+    upper[n - 1, 0], y[n - 1] = np.where(np.abs(row[0]) < tiny, tiny, row[0]), right
+    x = np.zeros((n + 2, k))
+    for i in range(n - 1, -1, -1):
+        x[i] = (y[i] - upper[i, 1] * x[i + 1] - upper[i, 2] * x[i + 2]) / upper[i, 0]
+    return x[:n].T
+
+
 def dpss(n: int, half_bandwidth: float = 4.0, n_tapers: int | None = None, low_bias: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Slepian tapers and their concentrations, from the commuting tridiagonal matrix (Slepian 1978)."""
+    """Slepian tapers and their concentrations, from the commuting tridiagonal matrix (Slepian 1978).
+
+    Only the leading eigenvectors are computed, by bisection and inverse iteration, and a
+    concentration is the taper's autocorrelation summed under the kernel: time and memory go with n.
+    """
     n_tapers = min(n, n_tapers or max(1, int(2 * half_bandwidth)))
     w, k = half_bandwidth / n, np.arange(n)
-    off = k[1:] * (n - k[1:]) / 2.0
-    matrix = np.diag(((n - 1 - 2 * k) / 2.0) ** 2 * math.cos(2 * math.pi * w)) + np.diag(off, 1) + np.diag(off, -1)
-    tapers = np.linalg.eigh(matrix)[1][:, ::-1][:, :n_tapers].T
+    diagonal, off = ((n - 1 - 2 * k) / 2.0) ** 2 * math.cos(2 * math.pi * w), k[1:] * (n - k[1:]) / 2.0
+    values = _largest_eigenvalues(diagonal, off, n_tapers)
+    tapers = np.cos(np.pi * (k + 0.5) * np.arange(n_tapers)[:, None] / n) + 0.01 * (k + 1) / n
+    for _ in range(3):
+        tapers = _solved(diagonal, off, values, tapers / np.linalg.norm(tapers, axis=1)[:, None])
+    tapers /= np.linalg.norm(tapers, axis=1)[:, None]
     for i, taper in enumerate(tapers):
         lead = taper.sum() if i % 2 == 0 else ((n - 1) / 2.0 - k) @ taper
         tapers[i] *= -1 if lead < 0 else 1
-    d = k[:, None] - k[None, :]
-    sinc = np.where(d == 0, 2 * w, np.sin(2 * math.pi * w * d) / (math.pi * np.where(d == 0, 1, d)))
-    ratios = np.einsum("ki,ij,kj->k", tapers, sinc, tapers)
+    size = 2 ** math.ceil(math.log2(2 * n))
+    with_itself = np.fft.irfft(np.abs(np.fft.rfft(tapers, size)) ** 2, size)[:, :n]
+    kernel = np.r_[2 * w, 2 * np.sin(2 * math.pi * w * k[1:]) / (math.pi * np.maximum(1, k[1:]))]
+    ratios = with_itself @ kernel
     if low_bias:
         keep = ratios > 0.9
         keep[np.argmax(ratios)] = True
@@ -61,17 +108,27 @@ def tukey(n: int, alpha: float = 0.5) -> np.ndarray:
     return window
 
 
-def smoothing_kernel(n_times: int, n_freqs: int, kind: str = "hanning") -> np.ndarray:
-    """Weights (freq, time) that sum to one."""
-    if kind == "square":
-        kernel = np.ones((n_freqs, n_times))
-    elif kind == "hanning":
-        if 2 in (n_times, n_freqs):
-            raise ValueError("a Hann kernel of width 2 is all zeros; take another width or the square kernel")
-        kernel = np.outer(np.hanning(n_freqs), np.hanning(n_times))
-    else:
+def smoothing_kernel(n_times, n_freqs: int = 1, kind: str = "hanning") -> np.ndarray:
+    """Weights (freq, time) that sum to one; for several n_times a row of its own for each frequency, each summing to one.
+
+    Rows shorter than the longest have zeros around them, an odd one at the end.
+    """
+    shapes = {"square": np.ones, "hanning": np.hanning}
+    if kind not in shapes:
         raise ValueError(f"kernel must be 'square' or 'hanning', not {kind!r}")
-    return kernel / kernel.sum()
+    several = np.ndim(n_times) > 0
+    widths = [int(n) for n in np.atleast_1d(n_times)]
+    if kind == "hanning" and 2 in (*widths, 1 if several else n_freqs):
+        raise ValueError("a Hann kernel of width 2 is all zeros; take another width or the square kernel")
+    rows = [shapes[kind](n) for n in widths]
+    if not several:
+        kernel = np.outer(shapes[kind](n_freqs), rows[0])
+        return kernel / kernel.sum()
+    out = np.zeros((len(rows), max(widths)))
+    for kernel, row in zip(out, rows, strict=True):
+        first = (len(kernel) - len(row)) // 2
+        kernel[first : first + len(row)] = row / row.sum()
+    return out
 
 
 def butterworth(order: int, cutoff: float) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -114,12 +171,24 @@ def band_pass(n_taps: int, low: float, high: float, trans: float, sfreq: float)
     return ideal * np.hamming(n_taps)
 
 
+def fast_length(n: int) -> int:
+    """The smallest length from n on that transforms fast: one without prime factors above 5."""
+    while True:
+        rest = n
+        for p in (2, 3, 5):
+            while rest % p == 0:
+                rest //= p
+        if rest == 1:
+            return n
+        n += 1
+
+
 def analytic(x: np.ndarray) -> np.ndarray:
-    """Analytic signal along the last axis."""
-    n = x.shape[-1]
-    gain = np.zeros(n)
+    """Analytic signal along the last axis, from a transform of zeros appended up to a fast length."""
+    size = fast_length(x.shape[-1])
+    gain = np.zeros(size)
     gain[0] = 1
-    gain[1 : (n + 1) // 2] = 2
-    if n % 2 == 0:
-        gain[n // 2] = 1
-    return np.fft.ifft(np.fft.fft(x) * gain)
+    gain[1 : (size + 1) // 2] = 2
+    if size % 2 == 0:
+        gain[size // 2] = 1
+    return np.fft.ifft(np.fft.fft(x, size) * gain)[..., : x.shape[-1]]
