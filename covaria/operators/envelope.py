@@ -45,13 +45,18 @@ def correlation(signals: DataFrame, orthogonalize: str | bool = "pairwise", log:
     pairs = pairs.withColumns({"ma": F.expr(logged("ma")), "mb": F.expr(logged("mb"))})
 
     def corr(x: str, y: str):
-        total = lambda e: f"aggregate({e}, 0d, (s, v) -> s + v)"
-        mean = lambda c: f"({total(c)} / size({c}))"
-        pairs_ = f"zip_with(transform({x}, v -> v - {mean(x)}), transform({y}, v -> v - {mean(y)}), (p, q) -> struct(p, q))"
-        sums = f"aggregate({pairs_}, struct(0d as pq, 0d as pp, 0d as qq), (s, v) -> struct(s.pq + v.p * v.q as pq, s.pp + v.p * v.p as pp, s.qq + v.q * v.q as qq))"
-        s = F.expr(sums)
-        root = F.sqrt(s["pp"]) * F.sqrt(s["qq"])
-        return F.when(root > 0, s["pq"] / root).otherwise(0.0)
+        # sums in one pass, about the first samples, so that large means cost no digits
+        sums = f"""aggregate(zip_with({x}, {y}, (p, q) -> struct(p, q)),
+            struct(0d as n, 0d as p0, 0d as q0, 0d as p, 0d as q, 0d as pq, 0d as pp, 0d as qq),
+            (s, v) -> struct(s.n + 1 as n, if(s.n = 0, v.p, s.p0) as p0, if(s.n = 0, v.q, s.q0) as q0,
+                if(s.n = 0, 0d, s.p + (v.p - s.p0)) as p, if(s.n = 0, 0d, s.q + (v.q - s.q0)) as q,
+                if(s.n = 0, 0d, s.pq + (v.p - s.p0) * (v.q - s.q0)) as pq,
+                if(s.n = 0, 0d, s.pp + (v.p - s.p0) * (v.p - s.p0)) as pp, if(s.n = 0, 0d, s.qq + (v.q - s.q0) * (v.q - s.q0)) as qq))"""
+        centred = f"""transform(array({sums}), s -> struct(s.pq - s.p * s.q / nullif(s.n, 0) as pq,
+            s.pp - s.p * s.p / nullif(s.n, 0) as pp, s.qq - s.q * s.q / nullif(s.n, 0) as qq, s.pp as pp0, s.qq as qq0))"""
+        # what doesn't vary has no spread but rounding
+        value = f"""transform({centred}, s -> CASE WHEN s.pp > 1e-14 * s.pp0 AND s.qq > 1e-14 * s.qq0 THEN s.pq / (sqrt(s.pp) * sqrt(s.qq)) ELSE 0d END)"""
+        return F.expr(f"element_at({value}, 1)")
 
     if not orthogonalize:
         value = corr("ma", "mb")
