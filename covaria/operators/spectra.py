@@ -160,16 +160,25 @@ def csd(spectra: DataFrame, edges: DataFrame | None = None, diagonal: bool = Fal
 
     One shuffle: what an epoch has at a bin (and time) becomes one row with an entry for each channel,
     as long as there are channels and tapers, and pairs are made within the row. Without edges they are
-    seed > target; edges, a list, are broadcast. diagonal: all pairs, each way, and itself.
+    seed > target. edges, a list, are broadcast and joined by seed, and their targets looked up, so no
+    pair is made but theirs; channels that none of them names are dropped before the shuffle.
+    diagonal: all pairs, each way, and itself.
     """
     keys = ["epoch", "f", "freq"] + (["t"] if "t" in spectra.columns else [])
     entry = F.struct("ch", "taper", (F.col("re") * F.col("weight")).alias("re"), (F.col("im") * F.col("weight")).alias("im"), (F.col("weight") * F.col("weight")).alias("w2"))
+    if edges is not None:
+        named = edges.select(F.explode(F.array("seed", "target")).alias("ch")).distinct()
+        spectra = spectra.join(F.broadcast(named), "ch", "left_semi")
     rows = spectra.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("s"))
     rows = rows.select(*keys, F.expr("transform(array_distinct(transform(s, e -> e.ch)), c -> struct(c as ch, filter(s, e -> e.ch = c) as s))").alias("all"))
-    rows = rows.select(*keys, F.explode("all").alias("p"), "all").select(*keys, "p", F.explode(F.col("all") if diagonal or edges is not None else F.expr("filter(all, q -> q.ch < p.ch)")).alias("q"))
-    pairs = rows.select(*keys, F.col("p.ch").alias("seed"), F.col("q.ch").alias("target"), F.col("p.s").alias("a"), F.col("q.s").alias("b"))
-    if edges is not None:
-        pairs = pairs.join(F.broadcast(edges), ["seed", "target"])
+    rows = rows.select(*keys, F.explode("all").alias("p"), "all")
+    if edges is None:
+        rows = rows.select(*keys, "p", F.explode(F.col("all") if diagonal else F.expr("filter(all, q -> q.ch < p.ch)")).alias("q"))
+        pairs = rows.select(*keys, F.col("p.ch").alias("seed"), F.col("q.ch").alias("target"), F.col("p.s").alias("a"), F.col("q.s").alias("b"))
+    else:
+        found = rows.withColumn("seed", F.col("p.ch")).join(F.broadcast(edges), "seed")
+        found = found.withColumn("q", F.expr("filter(all, q -> q.ch = target)[0]")).where("q IS NOT NULL")
+        pairs = found.select(*[c for c in edges.columns if c != "seed"], *keys, "seed", F.col("p.s").alias("a"), F.col("q.s").alias("b"))
     total = lambda expr: F.expr(f"aggregate(zip_with(a, b, (x, y) -> {expr}), 0d, (s, v) -> s + v)")
     scale = F.sqrt(total("x.w2")) * F.sqrt(total("y.w2")) / 2
     own = lambda side: F.expr(f"aggregate({side}, 0d, (s, v) -> s + v.re * v.re + v.im * v.im) * 2 / aggregate({side}, 0d, (s, v) -> s + v.w2)")
@@ -177,12 +186,46 @@ def csd(spectra: DataFrame, edges: DataFrame | None = None, diagonal: bool = Fal
     return pairs.select(*con, *keys, "seed", "target", (total("x.re * y.re + x.im * y.im") / scale).alias("re"), (total("x.im * y.re - x.re * y.im") / scale).alias("im"), own("a").alias("pxx"), own("b").alias("pyy"))
 
 
-def smoothed(cross: DataFrame, kernel: np.ndarray) -> DataFrame:
-    """Cross-spectra convolved over bin and time with a kernel (freq, time), zero beyond the edges."""
-    spark = cross.sparkSession
-    nf, nt = kernel.shape
-    rows = [(i - (nf - 1) // 2, j - (nt - 1) // 2, float(kernel[i, j])) for i in range(nf) for j in range(nt)]
-    offsets = F.broadcast(spark.createDataFrame(rows, "df int, dt int, k double"))  # as large as the kernel
-    spread = cross.crossJoin(offsets).withColumns({"to_f": F.col("f") + F.col("df"), "to_t": F.col("t") + F.col("dt")})
-    weighted = spread.groupBy("epoch", "seed", "target", F.col("to_f").alias("f"), F.col("to_t").alias("t")).agg(*[F.sum(F.col(c) * F.col("k")).alias(c) for c in ("re", "im", "pxx", "pyy")])
-    return weighted.join(cross.select("epoch", "seed", "target", "f", "t", "freq"), ["epoch", "seed", "target", "f", "t"])
+def smoothed(cross: DataFrame, kernel: np.ndarray, per_freq: bool = False) -> DataFrame:
+    """Cross-spectra convolved over bin and time with a kernel (freq, time), zero beyond the edges.
+
+    per_freq: a row of the kernel for each frequency, in order, over time alone. One shuffle: what an
+    epoch's pair has becomes one row of arrays over bins and times, and is convolved there.
+    """
+    keys = [c for c in ("con", "epoch", "seed", "target") if c in cross.columns]
+    values, kinds = ("re", "im", "pxx", "pyy"), dict(cross.dtypes)
+    listed = F.array_sort(F.collect_list(F.struct("f", "t", "freq", *values)))
+    rows = cross.groupBy(*keys).agg(listed.alias("s"))
+    rows = rows.select(*keys, *[F.transform("s", lambda x, c=c: x[c]).alias(c) for c in ("f", "t", "freq", *values)])
+
+    def of(batches):
+        for batch in batches:
+            for r in batch.itertuples():
+                f, t = np.asarray(r.f), np.asarray(r.t)
+                i, j = np.unique(f, return_inverse=True)[1], t - t.min()
+                out = {k: getattr(r, k) for k in keys} | {"f": f, "t": t, "freq": r.freq}
+                for c in values:
+                    grid = np.zeros((i.max() + 1, j.max() + 1))
+                    grid[i, j] = getattr(r, c)
+                    out[c] = _convolved(grid, kernel, per_freq)[i, j]
+                yield pd.DataFrame(out)
+
+    columns = [*keys, "f", "t", "freq", *values]
+    return rows.mapInPandas(of, ", ".join(f"{c} {kinds[c]}" for c in columns))
+
+
+def _convolved(grid: np.ndarray, kernel: np.ndarray, per_freq: bool) -> np.ndarray:
+    """Of the grid's shape, the kernel's middle at its centre."""
+    if per_freq and len(kernel) != len(grid):
+        raise ValueError(f"{len(kernel)} kernels for {len(grid)} frequencies")
+    n, first = grid.shape[1], (kernel.shape[1] - 1) // 2
+    size = windows.fast_length(n + kernel.shape[1] - 1)
+    over_time = lambda rows, k: np.fft.irfft(np.fft.rfft(rows, size) * np.fft.rfft(k, size), size)[:, first : first + n]
+    if per_freq:
+        return over_time(grid, kernel)
+    out, above = np.zeros(grid.shape), (len(kernel) - 1) // 2
+    for at, row in enumerate(kernel):
+        moved, by = over_time(grid, row), at - above
+        low, high = max(0, by), len(grid) + min(0, by)
+        out[low:high] += moved[low - by : high - by]
+    return out
