@@ -42,17 +42,20 @@ def wsmi(vectors: DataFrame, kernel: int = 3, tau: int = 1, weighted: bool = Tru
     found = symbolised(vectors, kernel, tau)
     a = found.select("epoch", F.col("ch").alias("seed"), F.col("s").alias("a"))
     b = found.select("epoch", F.col("ch").alias("target"), F.col("s").alias("b"))
-    pairs = a.join(b, "epoch").where("seed > target").withColumn("at", F.explode(F.arrays_zip("a", "b")))
-    keys = ["epoch", "seed", "target"]
-    joint = pairs.groupBy(*keys, F.col("at.a").alias("sa"), F.col("at.b").alias("sb")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    from pyspark.sql.window import Window
-
-    by = Window.partitionBy(*keys)  # at most kernel!^2 rows
-    joint = joint.withColumns({"all": F.sum("n").over(by), "na": F.sum("n").over(Window.partitionBy(*keys, "sa")), "nb": F.sum("n").over(Window.partitionBy(*keys, "sb"))})
-    term = F.col("n") / F.col("all") * (F.log(F.col("n") / F.col("all")) - F.log(F.col("na") / F.col("all")) - F.log(F.col("nb") / F.col("all")))
-    if weighted:
-        term = F.when((F.col("sa") != F.col("sb")) & (F.col("sa") + F.col("sb") != n - 1), term).otherwise(0.0)
-    return joint.groupBy(*keys).agg((F.sum(term) / math.log(n)).alias("value"))
+    i, j = np.indices((n, n))
+    counts = (i != j) & (i + j != n - 1) if weighted else np.ones((n, n), bool)
+
+    def of(batches):
+        for rows in batches:
+            out = []
+            for x, y in zip(rows["a"], rows["b"], strict=True):
+                joint = np.bincount(np.asarray(x) * n + np.asarray(y), minlength=n * n).reshape(n, n) / len(x)
+                alone = joint.sum(1)[:, None] * joint.sum(0)[None]
+                met = (joint > 0) & counts
+                out.append((joint[met] * np.log(joint[met] / alone[met])).sum() / math.log(n))
+            yield rows[["epoch", "seed", "target"]].assign(value=np.array(out, float))
+
+    return a.join(b, "epoch").where("seed > target").mapInPandas(of, "epoch long, seed int, target int, value double")
 
 
 def antialiased(vectors: DataFrame, sfreq: float, kernel: int = 3, tau: int = 1, lowpass: float | None = None) -> DataFrame:
