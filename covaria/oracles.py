@@ -74,10 +74,10 @@ ORACLES["edges_prune_channels"] = f"WITH {DAYS} SELECT epoch, ch, t, {_r('value'
 ORACLES["signals_orders"] = f"""
 WITH c AS (SELECT CAST(year(o_orderdate) * 4 + quarter(o_orderdate) AS BIGINT) AS epoch, o_orderpriority AS p,
                   CAST(date_diff('day', CAST(date_trunc('quarter', o_orderdate) AS DATE), CAST(o_orderdate AS DATE)) AS INT) AS t, o_totalprice AS v FROM orders),
-g AS (SELECT epoch, p, t, sum(v) AS v FROM c WHERE t < 90 GROUP BY ALL),
+g AS (SELECT epoch, p, t, sum(v) AS v FROM c GROUP BY ALL),
 nm AS (SELECT p, CAST(row_number() OVER (ORDER BY p) - 1 AS INT) AS ch FROM (SELECT DISTINCT o_orderpriority AS p FROM orders))
 SELECT d.epoch, nm.ch, CAST(r.t AS INT) AS t, {_r('coalesce(g.v, 0.0)', 'value', 2)} FROM (SELECT DISTINCT epoch FROM g) d CROSS JOIN nm
-CROSS JOIN (SELECT unnest(range(90)) AS t) r LEFT JOIN g ON g.epoch = d.epoch AND g.p = nm.p AND g.t = r.t"""
+CROSS JOIN (SELECT unnest(range(92)) AS t) r LEFT JOIN g ON g.epoch = d.epoch AND g.p = nm.p AND g.t = r.t"""
 VECS = """
 sig AS (SELECT CAST(vec_id // 4 AS BIGINT) AS epoch, CAST(vec_id % 4 AS INT) AS ch, CAST(unnest(range(64)) AS INT) AS t, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings)"""
 ORACLES["signals_embeddings"] = f"WITH {VECS} SELECT epoch, ch, t, {_r('value', 'value')} FROM sig"

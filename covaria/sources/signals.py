@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -62,8 +62,8 @@ def embeddings(table: DataFrame) -> DataFrame:
     return table.where("embedding IS NOT NULL").select(F.floor(F.col("vec_id") / 4).cast("long").alias("epoch"), (F.col("vec_id") % 4).cast("int").alias("ch"), F.col("embedding").cast("array<double>").alias("x"))
 
 
-def orders(table: DataFrame, n_times: int = 90) -> DataFrame:
-    """Quarters by priority by day in the quarter: the sum of prices."""
+def orders(table: DataFrame, n_times: int = 92) -> DataFrame:
+    """Quarters by priority by day in the quarter: the sum of prices; 92 days hold every quarter, 0 stands where one is shorter."""
     start = F.trunc("o_orderdate", "quarter")
     cells = table.select((F.year("o_orderdate") * 4 + F.quarter("o_orderdate")).cast("long").alias("epoch"), "o_orderpriority", F.datediff("o_orderdate", start).alias("t"), "o_totalprice")
     cells = cells.where(F.col("t") < n_times).groupBy("epoch", "o_orderpriority", "t").agg(F.sum("o_totalprice").alias("value"))
@@ -105,8 +105,3 @@ def only(vectors: DataFrame, edges: DataFrame) -> DataFrame:
 def selected(vectors: DataFrame, epochs: DataFrame, codes: list[int]) -> DataFrame:
     """Epochs whose event code is one of codes."""
     return vectors.join(epochs.where(F.col("code").isin(codes)), "epoch", "left_semi")
-
-
-def centred(x: Column) -> Column:
-    mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x)
-    return F.transform(x, lambda v: v - mean)
