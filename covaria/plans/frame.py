@@ -190,11 +190,8 @@ def degree(dense: DataFrame, n_nodes: int, threshold_prop: float = 0.2, value: s
     """(node, degree) over the strongest share of edges of a dense (seed, target, value).
 
     Symmetric values (looked for in the data unless said) are counted once and mirrored; edges of value 0 or less don't count; where the
-    share rounds to no edge at all, all are kept. Ties go by seed and target. The edges of one graph
-    are one ordering.
+    share rounds to no edge at all, all are kept. Ties go by seed and target.
     """
-    from pyspark.sql.window import Window
-
     if not 0 < threshold_prop <= 1:
         raise ValueError("threshold_prop lies between 0 and 1")
     off = dense.where("seed != target").select("seed", "target", F.col(value).alias("v"))
@@ -204,7 +201,7 @@ def degree(dense: DataFrame, n_nodes: int, threshold_prop: float = 0.2, value: s
     half = off.where("seed < target") if symmetric else off
     keep = int(np.round((n_nodes**2 - n_nodes) * threshold_prop / (2 if symmetric else 1)))
     if keep:
-        half = half.withColumn("_r", F.row_number().over(Window.orderBy(F.desc("v"), "seed", "target"))).where(F.col("_r") <= keep).drop("_r")
+        half = half.orderBy(F.desc("v"), "seed", "target").limit(keep)
     edges = half.where("v > 0")
     ends = edges.select(F.col("target").alias("node"))
     ends = ends.unionByName(edges.select(F.col("seed").alias("node"))) if symmetric else ends

@@ -114,6 +114,10 @@ def test_envelopes(spark):
             assert r.value == pytest.approx(want, abs=1e-10)
     with pytest.raises(ValueError):
         envelope.correlation(vectors(spark, x), "other")
+    assert [windows.fast_length(n) for n in (1, 7, 24, 64, 65, 97, 1021)] == [1, 8, 24, 64, 72, 100, 1024]
+    odd = np.random.RandomState(1).randn(3, 97)
+    gain = np.r_[1, np.full(49, 2), 1, np.zeros(49)]
+    assert np.allclose(windows.analytic(odd), np.fft.ifft(np.fft.fft(odd, 100) * gain)[:, :97])
 
 
 def test_symmetric_orth(spark):
@@ -230,13 +234,19 @@ def test_edges():
     assert edges.seed_target_indices([0, 1], [2, 3, 4]) == ([0, 0, 0, 1, 1, 1], [2, 3, 4, 2, 3, 4])
     assert edges.seed_target_multivariate_indices([[0, 1]], [[2], [3, 4]]) == ([[0, 1], [0, 1]], [[2], [3, 4]])
     assert edges.check_multivariate_indices(([[0, -1]], [[1]]), 4) == [([0, 3], [1])]
-    for bad in ([[0], [1]], ([0], [1, 2]), ([[0]], [1])):
+    for bad in ([[0], [1]], ([0], [1, 2]), [0, 1]):
         with pytest.raises(ValueError):
             edges.check_indices(bad)
-    with pytest.raises(ValueError):
-        edges.check_multivariate_indices(([[-4]], [[1]]), 4)
-    with pytest.raises(TypeError):
-        edges.seed_target_multivariate_indices([0], [[1]])
+    for bad in (([[0]], [1]), ([0], [(1, 2)]), ([0], [np.array([1])])):
+        with pytest.raises(TypeError):
+            edges.check_indices(bad)
+    for bad in (([[-4]], [[1]]), ([[4]], [[1]]), ([[1, 1]], [[0]]), ([[1, -3]], [[0]]), ([[0]], [[1], [2]])):
+        with pytest.raises(ValueError):
+            edges.check_multivariate_indices(bad, 4)
+    for call in (lambda: edges.seed_target_multivariate_indices([0], [[1]]), lambda: edges.seed_target_multivariate_indices(0, [[1]]), lambda: edges.check_multivariate_indices(([0], [1]), 4)):
+        with pytest.raises(TypeError):
+            call()
+    assert edges.padded_indices(([[0, 1, 2], [3]], [[3], [0, -2]]), 4).tolist() == [[[0, 1, 2], [3, -1, -1]], [[3, -1, -1], [0, 2, -1]]]
 
 
 def test_degree(spark):
