@@ -196,7 +196,7 @@ def smoothed(cross: DataFrame, kernel: np.ndarray, per_freq: bool = False) -> Da
     values, kinds = ("re", "im", "pxx", "pyy"), dict(cross.dtypes)
     listed = F.array_sort(F.collect_list(F.struct("f", "t", "freq", *values)))
     rows = cross.groupBy(*keys).agg(listed.alias("s"))
-    rows = rows.select(*keys, *[F.transform("s", lambda x, c=c: x[c]).alias(c) for c in ("f", "t", "freq", *values)])
+    rows = rows.select(*keys, *[F.col(f"s.{c}").alias(c) for c in ("f", "t", "freq", *values)])
 
     def of(batches):
         for batch in batches:

@@ -18,7 +18,13 @@ from covaria.plans.frame import ConnFrame, Meta
 MULTIVARIATE = ("mic", "mim", "cacoh", "gc", "gc_tr")
 
 
-def _shape(vectors: DataFrame) -> tuple[int, int]:
+#: Channels and samples of an epoch, where the caller knows them; else one look-up counts them.
+Shape = tuple[int, int]
+
+
+def _shape(vectors: DataFrame, shape: Shape | None = None) -> Shape:
+    if shape is not None:
+        return shape
     if "x" not in vectors.columns:
         top = vectors.agg(F.max("ch")).first()[0]
         return (top if top is not None else -1) + 1, 0
@@ -26,6 +32,14 @@ def _shape(vectors: DataFrame) -> tuple[int, int]:
     return (top if top is not None else -1) + 1, n_times or 0
 
 
+def _pruned(vectors: DataFrame, indices, n_nodes: int, sets: bool) -> DataFrame:
+    """Only channels that the indices name, before anything is computed of them."""
+    if indices is None:
+        return vectors
+    named = sorted({c for link in edge.links(indices, sets, n_nodes if sets else None) for side in link for c in side})
+    return vectors.where(F.col("ch").isin(named))
+
+
 def _bands(fmin, fmax, n_times: int, sfreq: float) -> list[tuple[float, float]]:
     low = [spectra.five_cycles(n_times, sfreq)] if fmin is None else np.atleast_1d(fmin).tolist()
     high = np.atleast_1d(np.inf if fmax is None else fmax).tolist()
@@ -44,7 +58,7 @@ def _frames(values: DataFrame, methods: list[str], meta: Meta) -> list[ConnFrame
     return out
 
 
-def spectral_connectivity_epochs(vectors: DataFrame, method: str | Sequence[str] = "coh", indices=None, sfreq: float = 1.0, mode: str = "multitaper", fmin=None, fmax=None, fskip: int = 0, faverage: bool = False, mt_bandwidth: float | None = None, mt_adaptive: bool = False, mt_low_bias: bool = True, cwt_freqs=None, cwt_n_cycles=7.0, gc_n_lags: int = 40, rank=None, n_components: int | None = 1) -> ConnFrame | list[ConnFrame]:
+def spectral_connectivity_epochs(vectors: DataFrame, method: str | Sequence[str] = "coh", indices=None, sfreq: float = 1.0, mode: str = "multitaper", fmin=None, fmax=None, fskip: int = 0, faverage: bool = False, mt_bandwidth: float | None = None, mt_adaptive: bool = False, mt_low_bias: bool = True, cwt_freqs=None, cwt_n_cycles=7.0, gc_n_lags: int = 40, rank=None, n_components: int | None = 1, shape: Shape | None = None) -> ConnFrame | list[ConnFrame]:
     """Connectivity over epochs; a list of frames for several methods.
 
     vectors are samples (epoch, ch, x), or spectra made before (epoch, ch, taper, f, freq, re, im, weight[, t]),
@@ -54,7 +68,8 @@ def spectral_connectivity_epochs(vectors: DataFrame, method: str | Sequence[str]
     multi = [m for m in methods if m in MULTIVARIATE]
     if multi and len(multi) != len(methods):
         raise ValueError("measures of pairs and of sets can't be mixed in a call")
-    n_nodes, n_times = _shape(vectors)
+    n_nodes, n_times = _shape(vectors, shape)
+    vectors = _pruned(vectors, indices, n_nodes, bool(multi))
     given = "re" in vectors.columns
     bands = _bands(0.0 if given and fmin is None else fmin, fmax, n_times, sfreq)
     if given:
@@ -111,16 +126,21 @@ def _multivariate(vectors, cross, methods, indices, n_nodes, meta, lags, rank, n
     return _frames(values.select(*keys, *[c for m in methods for c in ((f"{m}_re", f"{m}_im") if m == "cacoh" else (m,))]), methods, meta)
 
 
-def spectral_connectivity_time(vectors: DataFrame, freqs, method: str | Sequence[str] = "coh", average: bool = False, indices=None, sfreq: float = 1.0, fmin=None, fmax=None, faverage: bool = False, sm_times: float = 0, sm_freqs: int = 1, sm_kernel: str = "hanning", padding: float = 0, mode: str = "cwt_morlet", mt_bandwidth: float | None = None, n_cycles=7.0, decim: int = 1, gc_n_lags: int = 40, rank=None, n_components: int | None = 1, strict_bands: bool = False) -> ConnFrame | list[ConnFrame]:
+def spectral_connectivity_time(vectors: DataFrame, freqs, method: str | Sequence[str] = "coh", average: bool = False, indices=None, sfreq: float = 1.0, fmin=None, fmax=None, faverage: bool = False, sm_times: float | Sequence[float] = 0, sm_freqs: int = 1, sm_kernel: str = "hanning", padding: float = 0, mode: str = "cwt_morlet", mt_bandwidth: float | None = None, n_cycles=7.0, decim: int = 1, gc_n_lags: int = 40, rank=None, n_components: int | None = 1, strict_bands: bool = False, shape: Shape | None = None) -> ConnFrame | list[ConnFrame]:
     """Connectivity over time within each epoch, averaged over epochs on demand.
 
     vectors are samples, or time-frequency coefficients made before (with t), whose bins freqs lists.
+    Of several sm_times each is a frequency's, and bins aren't smoothed over.
     """
     methods = [method] if isinstance(method, str) else list(method)
     freqs = [float(f) for f in freqs]
     if any(a >= b for a, b in zip(freqs, freqs[1:], strict=False)) or freqs[-1] > sfreq / 2:
         raise ValueError("freqs must rise and stay below Nyquist")
-    n_nodes, n_times = _shape(vectors)
+    multi = [m for m in methods if m in MULTIVARIATE]
+    if multi and len(multi) != len(methods):
+        raise ValueError("measures of pairs and of sets can't be mixed in a call")
+    n_nodes, n_times = _shape(vectors, shape)
+    vectors = _pruned(vectors, indices, n_nodes, bool(multi))
     given = "re" in vectors.columns
     if not given and not 0 <= padding < n_times / sfreq / 2:
         raise ValueError("padding must leave samples between")
@@ -135,13 +155,16 @@ def spectral_connectivity_time(vectors: DataFrame, freqs, method: str | Sequence
         found = found.where((F.col("t") >= cropped) & (F.col("t") < -(-n_times // decim) - cropped))
     else:
         raise ValueError("mode must be 'cwt_morlet' or 'multitaper'")
-    kernel = (max(int(round(sm_times * sfreq / decim)), 1), int(round(max(sm_freqs, 1))))
+    per_freq = np.ndim(sm_times) > 0
+    if per_freq and len(sm_times) != len(freqs):
+        raise ValueError("sm_times must be one number, or one for each frequency")
+    widths = [max(int(round(t * sfreq / decim)), 1) for t in np.atleast_1d(sm_times)]
+    kernel = (widths if per_freq else widths[0], int(round(max(sm_freqs, 1))))
     meta = Meta("", n_nodes, "all" if indices is None else "raveled", spec_method=mode)
-    multi = [m for m in methods if m in MULTIVARIATE]
     pairs = None if indices is None or multi else edge.edge_list(vectors.sparkSession, indices)
     cross = spectra.csd(found, pairs, diagonal=bool(multi))
     if kernel != (1, 1):
-        cross = spectra.smoothed(cross, windows.smoothing_kernel(*kernel, sm_kernel))
+        cross = spectra.smoothed(cross, windows.smoothing_kernel(*kernel, sm_kernel), per_freq)
     if multi:
         return _unwrapped(_multivariate(vectors, cross, methods, indices, n_nodes, meta, gc_n_lags, rank, n_components, per_epoch=True))
     values = bivariate.over_time(cross, methods)
@@ -155,7 +178,7 @@ def spectral_connectivity_time(vectors: DataFrame, freqs, method: str | Sequence
 
 def phase_slope_index(vectors: DataFrame, indices=None, sfreq: float = 1.0, mode: str = "multitaper", fmin=None, fmax=None, **options) -> ConnFrame:
     """Phase slope index over epochs, for each band."""
-    n_nodes, _ = _shape(vectors)
+    options["shape"] = n_nodes, _ = _shape(vectors, options.get("shape"))
     low = [-np.inf] if fmin is None else np.atleast_1d(fmin).tolist()
     high = np.atleast_1d(np.inf if fmax is None else fmax).tolist()
     cohy = spectral_connectivity_epochs(vectors, "cohy", indices, sfreq, mode, fmin=min(low) if fmin is not None else 0.0, fmax=max(high), **options).df
@@ -165,7 +188,7 @@ def phase_slope_index(vectors: DataFrame, indices=None, sfreq: float = 1.0, mode
 
 def phase_slope_index_time(vectors: DataFrame, freqs, indices=None, sfreq: float = 1.0, fmin=None, fmax=None, average: bool = False, **options) -> ConnFrame:
     """Phase slope index within each epoch, for each band."""
-    n_nodes, _ = _shape(vectors)
+    options["shape"] = n_nodes, _ = _shape(vectors, options.get("shape"))
     low = [-np.inf] if fmin is None else np.atleast_1d(fmin).tolist()
     high = np.atleast_1d(np.inf if fmax is None else fmax).tolist()
     cohy = spectral_connectivity_time(vectors, freqs, "cohy", indices=indices, sfreq=sfreq, **options).df
@@ -175,17 +198,18 @@ def phase_slope_index_time(vectors: DataFrame, freqs, indices=None, sfreq: float
     return ConnFrame(found.withColumnRenamed("psi", "value"), Meta("phase-slope-index", n_nodes, "all" if indices is None else "raveled"))
 
 
-def envelope_correlation(vectors: DataFrame, orthogonalize: str | bool = "pairwise", log: bool = False, absolute: bool = True) -> ConnFrame:
-    n_nodes, _ = _shape(vectors)
+def envelope_correlation(vectors: DataFrame, orthogonalize: str | bool = "pairwise", log: bool = False, absolute: bool = True, shape: Shape | None = None) -> ConnFrame:
+    n_nodes, _ = _shape(vectors, shape)
     found = envelope.correlation(envelope.analytic(vectors), orthogonalize, log, absolute)
     return ConnFrame(found, Meta("envelope correlation", n_nodes, "symmetric"))
 
 
-def wsmi(vectors: DataFrame, kernel: int = 3, tau: int = 1, sfreq: float = 1.0, anti_aliasing: bool | str = "auto", weighted: bool = True, average: bool = False, tmin: float | None = None, tmax: float | None = None, indices=None) -> ConnFrame:
+def wsmi(vectors: DataFrame, kernel: int = 3, tau: int = 1, sfreq: float = 1.0, anti_aliasing: bool | str = "auto", weighted: bool = True, average: bool = False, tmin: float | None = None, tmax: float | None = None, indices=None, shape: Shape | None = None) -> ConnFrame:
     """Symbolic mutual information; the time window is cut after filtering."""
     from covaria.sources.signals import window
 
-    n_nodes, _ = _shape(vectors)
+    n_nodes, _ = _shape(vectors, shape)
+    vectors = _pruned(vectors, indices, n_nodes, False)
     if anti_aliasing:
         vectors = symbols.antialiased(vectors, sfreq, kernel, tau)
     if tmin is not None or tmax is not None:
@@ -198,8 +222,8 @@ def wsmi(vectors: DataFrame, kernel: int = 3, tau: int = 1, sfreq: float = 1.0,
     return frame.combine("mean") if average else frame
 
 
-def vector_auto_regression(vectors: DataFrame, lags: int = 1, l2_reg: float | None = 0.0, compute_fb_operator: bool = False, model: str = "dynamic") -> ConnFrame:
-    n_nodes, _ = _shape(vectors)
+def vector_auto_regression(vectors: DataFrame, lags: int = 1, l2_reg: float | None = 0.0, compute_fb_operator: bool = False, model: str = "dynamic", shape: Shape | None = None) -> ConnFrame:
+    n_nodes, _ = _shape(vectors, shape)
     found = autoregression.fit(vectors, lags, l2_reg, model, compute_fb_operator)
     df = found.select(*(["epoch"] if model == "dynamic" else []), F.col("i").alias("seed"), F.col("j").alias("target"), "lag", "value")
     return ConnFrame(df, Meta(("Time-varying " if model == "dynamic" else "") + f"VAR({lags})", n_nodes, "all"))
