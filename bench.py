@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-HEADLINE = ["all_measures", "coh", "coh_multitaper", "coh_embeddings", "psi_bands", "coh_time", "time_smoothed_hanning", "envcorr_pairwise", "wsmi_k3", "var1_dynamic_2ch", "var_p_dynamic", "select_order_criteria", "mim_2x2", "cacoh_multi", "gc", "surrogate_pvalue", "conn_degree", "symmetric_orth"]
+HEADLINE = ["all_measures", "coh", "coh_multitaper", "coh_embeddings", "psi_bands", "coh_time", "time_smoothed_hanning", "envcorr_pairwise", "wsmi_k3", "var1_dynamic", "var_p_dynamic", "select_order_criteria", "mim_2x2", "cacoh_multi", "gc", "surrogate_pvalue", "conn_degree", "symmetric_orth"]
 
 
 def main() -> None:

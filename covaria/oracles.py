@@ -198,14 +198,14 @@ k AS (SELECT * FROM m QUALIFY row_number() OVER (ORDER BY v DESC, target, seed)
 
 
 # symbols
-def _symbols(tau: int = 1, weighted: bool = True) -> str:
+def _symbols(tau: int = 1, weighted: bool = True, source: str = "sig") -> str:
     a, b, c = "value", f"lead(value, {tau}) OVER w", f"lead(value, {2 * tau}) OVER w"
     # of equal samples the earlier comes first
     cases = [("a <= b AND b <= c", 0), ("a <= c AND c < b", 1), ("b < a AND a <= c", 2), ("c < a AND a <= b", 3), ("b <= c AND c < a", 4)]
     names = " ".join(f"WHEN {cond} THEN {s}" for cond, s in cases)
     term = "n / al * (ln(n / al) - ln(na / al) - ln(nb / al))"
     value = f"sum(CASE WHEN sa <> sb AND sa + sb <> 5 THEN {term} ELSE 0.0 END)" if weighted else f"sum({term})"
-    return f"""WITH {DAYS}, l AS (SELECT epoch, ch, t, {a} AS a, {b} AS b, {c} AS c FROM sig WINDOW w AS (PARTITION BY epoch, ch ORDER BY t)),
+    return f"""WITH {DAYS}, l AS (SELECT epoch, ch, t, {a} AS a, {b} AS b, {c} AS c FROM {source} WINDOW w AS (PARTITION BY epoch, ch ORDER BY t)),
 s AS (SELECT epoch, ch, t, CASE {names} ELSE 5 END AS s FROM l WHERE c IS NOT NULL),
 j AS (SELECT p.epoch, p.ch AS seed, q.ch AS target, p.s AS sa, q.s AS sb, CAST(count(*) AS DOUBLE) AS n FROM s p JOIN s q ON p.epoch = q.epoch AND p.t = q.t AND p.ch > q.ch GROUP BY ALL),
 h AS (SELECT *, sum(n) OVER (PARTITION BY epoch, seed, target) AS al, sum(n) OVER (PARTITION BY epoch, seed, target, sa) AS na, sum(n) OVER (PARTITION BY epoch, seed, target, sb) AS nb FROM j),
@@ -218,28 +218,65 @@ ORACLES["wsmi_tau2"] = f"{_symbols(2)} SELECT epoch, seed, target, {_r('v', 'val
 ORACLES["wsmi_avg"] = f"{_symbols()} SELECT seed, target, {_r('avg(v)', 'value')} FROM v GROUP BY ALL"
 
 
-# autoregression of two channels and one lag, by the inverse of a 2 x 2 matrix
-def _var(pooled: bool = False, ridge: float = 0.0) -> str:
-    by = "" if pooled else "epoch, "
-    return f"""WITH {DAYS}, y AS (SELECT a.epoch, a.t, a.value AS y0, b.value AS y1 FROM sig a JOIN sig b ON a.epoch = b.epoch AND a.t = b.t AND a.ch = 0 AND b.ch = 1),
-l AS (SELECT *, lag(y0) OVER w AS p0, lag(y1) OVER w AS p1 FROM y WINDOW w AS (PARTITION BY epoch ORDER BY t)),
-s AS (SELECT {by}sum(p0 * p0) + {ridge} AS s00, sum(p0 * p1) AS s01, sum(p1 * p1) + {ridge} AS s11, sum(y0 * p0) AS c00, sum(y0 * p1) AS c01, sum(y1 * p0) AS c10, sum(y1 * p1) AS c11 FROM l WHERE p0 IS NOT NULL {"" if pooled else "GROUP BY epoch"}),
-a AS (SELECT {by}(c00 * s11 - c01 * s01) / (s00 * s11 - s01 * s01) AS a00, (c01 * s00 - c00 * s01) / (s00 * s11 - s01 * s01) AS a01,
-      (c10 * s11 - c11 * s01) / (s00 * s11 - s01 * s01) AS a10, (c11 * s00 - c10 * s01) / (s00 * s11 - s01 * s01) AS a11 FROM s),
-u AS ({" UNION ALL ".join(f"SELECT {by}CAST({i} AS INT) AS i, CAST({j} AS INT) AS j, CAST(1 AS INT) AS lag, a{i}{j} AS value FROM a" for i in (0, 1) for j in (0, 1))})"""
-
-
-ORACLES["var1_dynamic_2ch"] = f"{_var()} SELECT epoch, i, j, lag, {_r('value', 'value')} FROM u"
-ORACLES["var1_pooled_2ch"] = f"{_var(True)} SELECT i, j, lag, {_r('value', 'value')} FROM u"
-ORACLES["var_ridge_2ch"] = f"{_var(ridge=100.0)} SELECT epoch, i, j, lag, {_r('value', 'value')} FROM u"
-ORACLES["var_ridge_pooled_2ch"] = f"{_var(True, 10000.0)} SELECT i, j, lag, {_r('value', 'value')} FROM u"
-ORACLES["var_predict"] = f"""{_var()} SELECT l.epoch, CAST(k.ch AS INT) AS ch, t, {_r('CASE k.ch WHEN 0 THEN y0 ELSE y1 END', 'value', 4)},
-{_r('coalesce(CASE k.ch WHEN 0 THEN a00 * p0 + a01 * p1 ELSE a10 * p0 + a11 * p1 END, 0.0)', 'predicted', 4)} FROM l JOIN a ON l.epoch = a.epoch CROSS JOIN (VALUES (0), (1)) k(ch)"""
-_E = ["y0 - a00 * p0 - a01 * p1", "y1 - a10 * p0 - a11 * p1"]
-ORACLES["var_residual_cov"] = f"""{_var()}, r AS (SELECT l.epoch, {_E[0]} AS e0, {_E[1]} AS e1 FROM l JOIN a ON l.epoch = a.epoch WHERE p0 IS NOT NULL)
-{" UNION ALL ".join(f"SELECT epoch, CAST({i} AS INT) AS i, CAST({j} AS INT) AS j, {_r(f'sum(e{i} * e{j}) / 21', 'value', 2)} FROM r GROUP BY epoch" for i in (0, 1) for j in (0, 1))}"""
-ORACLES["var_eigvals"] = f"""{_var()}, d AS (SELECT epoch, (a00 + a11) / 2 AS h, a00 * a11 - a01 * a10 AS det FROM a)
-SELECT epoch, {_r('CASE WHEN h * h < det THEN sqrt(det) ELSE abs(h) + sqrt(greatest(h * h - det, 0)) END', 'largest')} FROM d"""
+# autoregression of all five channels: Gram sums, then elimination column by column
+K = 5
+
+
+def _eliminated(source: str, by: str, n: int, m: int, name: str = "s") -> str:
+    """CTEs from a table of augmented rows g{i}_{j} to {name}{n}, in which g{i}_{n + r} solves the r-th system."""
+    steps, last = [], source
+    for k in range(n):
+        cells = [f"g{k}_{j} / g{k}_{k} AS g{k}_{j}" if i == k else f"g{i}_{j} - g{i}_{k} * g{k}_{j} / g{k}_{k} AS g{i}_{j}" for i in range(n) for j in range(k + 1, n + m)]
+        steps.append(f"{name}{k + 1} AS MATERIALIZED (SELECT {by}{', '.join(cells)} FROM {last})")
+        last = f"{name}{k + 1}"
+    return ", ".join(steps)
+
+
+def _listed(rows: list[str]) -> str:
+    return f"unnest([{', '.join(rows)}])"
+
+
+def _var(pooled: bool = False, ridge: float = 0.0, lags: int = 1) -> str:
+    by, m = "" if pooled else "epoch, ", K * lags
+    wide = ", ".join(f"max(value) FILTER (ch = {i}) AS y{i}" for i in range(K))
+    past = ", ".join(f"lag(y{i}, {d}) OVER w AS z{(d - 1) * K + i}" for d in range(1, lags + 1) for i in range(K))
+    sums = [f"sum(z{i} * z{j}) + {ridge if i == j else 0.0} AS g{i}_{j}" for i in range(m) for j in range(m)] + [f"sum(z{i} * y{r}) AS g{i}_{m + r}" for i in range(m) for r in range(K)]
+    cells = [f"{{'i': CAST({r} AS INT), 'j': CAST({i % K} AS INT), 'lag': CAST({i // K + 1} AS INT), 'value': g{i}_{m + r}}}" for r in range(K) for i in range(m)]
+    return f"""WITH {DAYS}, y AS (SELECT epoch, t, {wide} FROM sig GROUP BY ALL),
+l AS (SELECT *, {past} FROM y WINDOW w AS (PARTITION BY epoch ORDER BY t)),
+g AS (SELECT {by}{', '.join(sums)} FROM l WHERE t >= {lags} {"" if pooled else "GROUP BY epoch"}), {_eliminated('g', by, m, K)},
+a AS (SELECT {by}{', '.join(f"g{i}_{m + r} AS a{r}_{i}" for r in range(K) for i in range(m))} FROM s{m}),
+u AS (SELECT {by}unnest(c, recursive := true) FROM (SELECT {by}[{', '.join(cells)}] AS c FROM s{m}))"""
+
+
+def _each(exprs: list[str]) -> str:
+    """A list with an element for each channel."""
+    return f"[{', '.join(exprs)}]"
+
+
+ORACLES["var1_dynamic"] = f"{_var()} SELECT epoch, i, j, lag, {_r('value', 'value')} FROM u"
+ORACLES["var1_pooled"] = f"{_var(True)} SELECT i, j, lag, {_r('value', 'value')} FROM u"
+ORACLES["var_ridge"] = f"{_var(ridge=100.0)} SELECT epoch, i, j, lag, {_r('value', 'value')} FROM u"
+ORACLES["var_ridge_pooled"] = f"{_var(True, 10000.0)} SELECT i, j, lag, {_r('value', 'value')} FROM u"
+ORACLES["var_p_dynamic"] = f"{_var(lags=2)} SELECT epoch, i, j, lag, {_r('value', 'value')} FROM u"
+ORACLES["var_companion"] = f"""{_var(lags=2)} SELECT epoch, i AS row, CAST(j + {K} * (lag - 1) AS INT) AS col, {_r('value', 'value')} FROM u
+UNION ALL SELECT epoch, CAST({K} + c AS INT), CAST(c AS INT), 1.0::DOUBLE FROM (SELECT DISTINCT epoch FROM u) CROSS JOIN (SELECT unnest(range({K})) AS c)"""
+_GUESS = [" + ".join(f"a{r}_{i} * z{i}" for i in range(K)) for r in range(K)]
+_TURN = f"(SELECT unnest(range({K})) AS ch) k"
+ORACLES["var_predict"] = f"""{_var()} SELECT l.epoch, CAST(k.ch AS INT) AS ch, t, {_r(f'{_each([f"y{r}" for r in range(K)])}[k.ch + 1]', 'value', 4)},
+{_r(f'coalesce({_each(_GUESS)}[k.ch + 1], 0.0)', 'predicted', 4)} FROM l JOIN a ON l.epoch = a.epoch CROSS JOIN {_TURN}"""
+_E = [f"y{r} - ({g})" for r, g in enumerate(_GUESS)]
+ORACLES["var_residual"] = f"""{_var()} SELECT l.epoch, CAST(k.ch AS INT) AS ch, t, {_r(f'{_each(_E)}[k.ch + 1]', 'residual', 4)}
+FROM l JOIN a ON l.epoch = a.epoch CROSS JOIN {_TURN} WHERE t >= 1"""
+ORACLES["var_residual_cov"] = f"""{_var()}, r AS (SELECT l.epoch, {_each(_E)} AS e FROM l JOIN a ON l.epoch = a.epoch WHERE t >= 1)
+SELECT epoch, CAST(i AS INT) AS i, CAST(j AS INT) AS j, {_r(f'sum(e[i + 1] * e[j + 1]) / {24 - 1 - K}', 'value', 2)}
+FROM r CROSS JOIN (SELECT unnest(range({K})) AS i) CROSS JOIN (SELECT unnest(range({K})) AS j) GROUP BY ALL"""
+# the largest modulus of eigenvalues is the limit of the root of a power's norm: the matrix is squared, its norm taken out and kept as a logarithm
+_SQUARE = [f"({' + '.join(f'a{i}_{k} * a{k}_{j}' for k in range(K))})" for i in range(K) for j in range(K)]
+_NORM = f"sqrt({' + '.join(f'{c} * {c}' for c in _SQUARE)})"
+ORACLES["var_eigvals"] = f"""{_var()}, q AS (WITH RECURSIVE q AS (SELECT 0 AS n, epoch, 0.0::DOUBLE AS ln_norm, {', '.join(f'a{i}_{j}' for i in range(K) for j in range(K))} FROM a
+UNION ALL SELECT n + 1, epoch, 2 * ln_norm + ln({_NORM}), {', '.join(f'{c} / {_NORM}' for c in _SQUARE)} FROM q WHERE n < 40) SELECT * FROM q)
+SELECT epoch, {_r('exp(ln_norm / pow(2.0, 40))', 'largest')} FROM q WHERE n = 40"""
 
 # surrogates
 RESTING = f"""{{head}}, pl AS (SELECT epoch, ch, row_number() OVER (PARTITION BY ch ORDER BY epoch) AS place FROM (SELECT DISTINCT epoch, ch FROM sig)),
@@ -269,8 +306,26 @@ ORACLES["mic_2x2_abs"] = f"{TWO} SELECT CAST(0 AS INT) AS con, f, {_r('sqrt(((m0
 
 ORACLES["signals_selected"] = f"WITH {DAYS} SELECT epoch, ch, t, {_r('value', 'value')} FROM sig WHERE epoch % 7 IN (2, 3)"
 ORACLES["coh_from_spectra"] = f"{CROSS} SELECT seed, target, f, {_r(MEASURES['coh'], 'value')} FROM x WHERE f BETWEEN 2 AND 6 GROUP BY ALL"
-ORACLES["var_residual"] = f"""{_var()} SELECT l.epoch, CAST(k.ch AS INT) AS ch, t, {_r(f'CASE k.ch WHEN 0 THEN {_E[0]} ELSE {_E[1]} END', 'residual', 4)}
-FROM l JOIN a ON l.epoch = a.epoch CROSS JOIN (VALUES (0), (1)) k(ch) WHERE p0 IS NOT NULL"""
 ORACLES["conn_topn_distance"] = f"""{_envelope(orth=False)}, g AS (SELECT seed, target, avg(v) AS v FROM e GROUP BY ALL), r AS (SELECT *, rank() OVER (ORDER BY abs(v) DESC) AS k FROM g)
 SELECT seed, target, {_r('v', 'value')} FROM r WHERE k <= 6 AND abs(seed - target) >= 1.5"""
 ORACLES["coh_from_tfr"] = f"{TCROSS} SELECT epoch, seed, target, f, {_r(MEASURES['coh'], 'value')} FROM x GROUP BY ALL"
+
+# what has no query elsewhere
+ORACLES["coh_five_cycles"] = f"{CROSS} SELECT seed, target, f, {_r(MEASURES['coh'], 'value')} FROM x WHERE f >= 5 GROUP BY ALL"
+ORACLES["surrogate_alias"] = ORACLES["surrogate_resting"]
+ORACLES["wsmi_window"] = f"{_symbols(source='(SELECT * FROM sig WHERE t BETWEEN 6 AND 18)')} SELECT epoch, seed, target, {_r('v', 'value')} FROM v"
+_OWN = " UNION ALL ".join(f"SELECT {f} AS f, {d} AS dt, 1.0::DOUBLE / {2 * reach + 1} AS w" for f, reach in enumerate((2, 1, 0)) for d in range(-reach, reach + 1))
+ORACLES["time_smoothed_by_freq"] = f"""{TFR}, {_pairs('tf', 't', name='raw')}, k AS ({_OWN}), x AS (SELECT raw.epoch, raw.seed, raw.target, raw.f, raw.t + k.dt AS t,
+sum(re * k.w) AS re, sum(im * k.w) AS im, sum(pxx * k.w) AS pxx, sum(pyy * k.w) AS pyy FROM raw JOIN k ON k.f = raw.f WHERE raw.t + k.dt BETWEEN 0 AND 23 GROUP BY ALL)
+SELECT epoch, seed, target, f, {_r(MEASURES['coh'], 'value')} FROM x GROUP BY ALL"""
+ORACLES["edges_multivariate"] = """SELECT CAST(con AS INT) AS con, CAST(side AS INT) AS side, CAST(place AS INT) AS place, CAST(ch AS INT) AS ch FROM (VALUES
+(0, 0, 0, 0), (0, 0, 1, 1), (1, 0, 0, 0), (1, 0, 1, 1), (2, 0, 0, 2), (3, 0, 0, 2), (0, 1, 0, 3), (1, 1, 0, 4), (1, 1, 1, 0), (2, 1, 0, 3), (3, 1, 0, 4), (3, 1, 1, 0)) v(con, side, place, ch)"""
+ORACLES["edges_padded"] = """SELECT CAST(side AS INT) AS side, CAST(con AS INT) AS con, CAST(place AS INT) AS place, CAST(ch AS INT) AS ch FROM (VALUES
+(0, 0, 0, 0), (0, 0, 1, 1), (0, 0, 2, 2), (0, 1, 0, 3), (0, 1, 1, -1), (0, 1, 2, -1), (1, 0, 0, 4), (1, 0, 1, -1), (1, 0, 2, -1), (1, 1, 0, 0), (1, 1, 1, 2), (1, 1, 2, -1)) v(side, con, place, ch)"""
+ORACLES["refused"] = """SELECT c AS what, e AS error FROM (VALUES ('band without a bin', 'ValueError'), ('band upside down', 'ValueError'), ('unknown mode', 'ValueError'), ('unknown measure', 'ValueError'),
+('sets and pairs mixed', 'ValueError'), ('causality without indices', 'ValueError'), ('causality of a channel with itself', 'ValueError'), ('falling freqs', 'ValueError'), ('freqs above Nyquist', 'ValueError'),
+('padding that leaves nothing', 'ValueError'), ('smoothing times for other freqs', 'ValueError'), ('sets where channels are due', 'TypeError'), ('seeds and targets of different number', 'ValueError'),
+('no such channel', 'ValueError'), ('a channel twice', 'ValueError'), ('prediction without a model', 'ValueError'), ('orthogonalisation of no kind', 'ValueError'), ('singular cross-spectrum', 'RuntimeError'),
+('singular autocovariance', 'RuntimeError'), ('more lags than frequencies', 'ValueError')) v(c, e)"""
+ORACLES["conn_accessors"] = f"""WITH {DAYS}, n AS (SELECT count(DISTINCT epoch) AS n FROM sig) SELECT what, CASE what WHEN 'n_epochs' THEN CAST(n AS VARCHAR) ELSE v END AS value FROM n CROSS JOIN
+(VALUES ('kind', 'EpochConnectivity'), ('dims', 'epoch,seed,target'), ('n_epochs', ''), ('n_seeds', '4'), ('n_targets', '4'), ('names', '0,1,2,3,4'), ('combined kind', 'Connectivity'), ('nodes', '5'), ('method', 'envelope correlation')) v(what, v)"""

@@ -19,6 +19,8 @@ from covaria.streaming import epochs as streaming
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SFREQ, N = 24.0, 24
+#: Channels and samples of days().
+SHAPE = (5, N)
 BINS = list(range(1, 12))
 FREQS, CYCLES = [4.0, 6.0, 8.0], 2.0
 BANDS = [(2.0, 6.0), (5.0, 11.0)]
@@ -132,6 +134,59 @@ def band_nearest(spark, sf):
     return grid.crossJoin(F.broadcast(asked)).groupBy("band").agg(F.min_by("f", F.struct(F.abs(F.col("freq") - F.col("edge")), "f")).alias("f"))  # three edges
 
 
+@query
+def edges_multivariate(spark, sf):
+    """Every set of seeds with every set of targets: a row for each channel of a side."""
+    found = edges.seed_target_multivariate_indices([[0, 1], [2]], [[3], [4, 0]])
+    rows = [(con, side, at, ch) for side, sets in enumerate(found) for con, channels in enumerate(sets) for at, ch in enumerate(channels)]
+    return spark.createDataFrame(rows, "con int, side int, place int, ch int")
+
+
+@query
+def edges_padded(spark, sf):
+    """Sets of different sizes, negative channels counted from the end, filled up with -1."""
+    found = edges.padded_indices(([[0, 1, 2], [3]], [[-1], [0, -3]]), 5)
+    rows = [(side, con, at, int(ch)) for side, sets in enumerate(found) for con, channels in enumerate(sets) for at, ch in enumerate(channels)]
+    return spark.createDataFrame(rows, "side int, con int, place int, ch int")
+
+
+@query
+def refused(spark, sf):
+    """What estimators say to input that makes no sense, by the kind of error."""
+    x, coh = days(spark, sf), {"method": "coh", "sfreq": SFREQ, "shape": SHAPE}
+    frame = lambda: ConnFrame(x.selectExpr("epoch", "ch AS seed", "ch AS target", "0D AS value"), Meta("coh", 5))
+    calls = {
+        "band without a bin": lambda: covaria.spectral_connectivity_epochs(x, mode="fourier", fmin=4.2, fmax=4.8, **coh),
+        "band upside down": lambda: covaria.spectral_connectivity_epochs(x, mode="fourier", fmin=8, fmax=4, **coh),
+        "unknown mode": lambda: covaria.spectral_connectivity_epochs(x, mode="none", fmin=1, **coh),
+        "unknown measure": lambda: covaria.spectral_connectivity_epochs(x, "none", sfreq=SFREQ, mode="fourier", fmin=1, shape=SHAPE),
+        "sets and pairs mixed": lambda: covaria.spectral_connectivity_epochs(x, ["coh", "mim"], sfreq=SFREQ, mode="fourier", fmin=1, shape=SHAPE),
+        "causality without indices": lambda: covaria.spectral_connectivity_epochs(x, "gc", sfreq=SFREQ, mode="fourier", fmin=1, shape=SHAPE),
+        "causality of a channel with itself": lambda: covaria.spectral_connectivity_epochs(x, "gc", ([[0]], [[0, 1]]), SFREQ, "fourier", fmin=1, shape=SHAPE),
+        "falling freqs": lambda: covaria.spectral_connectivity_time(x, [8, 4], **coh),
+        "freqs above Nyquist": lambda: covaria.spectral_connectivity_time(x, [8, 13], **coh),
+        "padding that leaves nothing": lambda: covaria.spectral_connectivity_time(x, FREQS, padding=0.5, **coh),
+        "smoothing times for other freqs": lambda: covaria.spectral_connectivity_time(x, FREQS, sm_times=[0.1], **coh),
+        "sets where channels are due": lambda: edges.check_indices(([[0]], [1])),
+        "seeds and targets of different number": lambda: edges.check_indices(([0, 1], [1])),
+        "no such channel": lambda: edges.check_multivariate_indices(([[5]], [[0]]), 5),
+        "a channel twice": lambda: edges.check_multivariate_indices(([[1, 1]], [[0]]), 5),
+        "prediction without a model": lambda: frame().predict(x),
+        "orthogonalisation of no kind": lambda: covaria.envelope_correlation(x, "other", shape=SHAPE),
+        "singular cross-spectrum": lambda: multivariate.imaginary(np.ones((4, 4), complex), 2, None, False, 1),
+        "singular autocovariance": lambda: multivariate.granger(np.ones((9, 2, 2), complex), 1, 2),
+        "more lags than frequencies": lambda: multivariate.granger(np.ones((3, 2, 2), complex), 1, 4),
+    }
+    rows = []
+    for case, call in calls.items():
+        try:
+            call()
+            rows.append((case, None))
+        except Exception as error:
+            rows.append((case, type(error).__name__))
+    return spark.createDataFrame(rows, "what string, error string")
+
+
 # spectra
 
 
@@ -202,9 +257,16 @@ def coh_indices(spark, sf):
     return rounded(bivariate.over_epochs(spectra.csd(_fourier(days(spark, sf)), pairs), ["coh"]).drop("freq"))
 
 
+@query
+def coh_five_cycles(spark, sf):
+    """Without a lower edge: from where an epoch holds five cycles."""
+    frame = covaria.spectral_connectivity_epochs(days(spark, sf), "coh", sfreq=SFREQ, mode="fourier", fmax=11, shape=SHAPE)
+    return rounded(frame.df.select("seed", "target", "f", "value"))
+
+
 @query
 def coh_all_to_all_dense(spark, sf):
-    frame = covaria.spectral_connectivity_epochs(days(spark, sf), "coh", sfreq=SFREQ, mode="fourier", fmin=1, fmax=11)
+    frame = covaria.spectral_connectivity_epochs(days(spark, sf), "coh", sfreq=SFREQ, mode="fourier", fmin=1, fmax=11, shape=SHAPE)
     return rounded(frame.get_data("dense").select("seed", "target", "f", "value"))
 
 
@@ -222,7 +284,7 @@ def coh_embeddings(spark, sf):
 
 @query
 def coh_from_spectra(spark, sf):
-    frame = covaria.spectral_connectivity_epochs(_fourier(days(spark, sf)), "coh", fmin=2, fmax=6)
+    frame = covaria.spectral_connectivity_epochs(_fourier(days(spark, sf)), "coh", fmin=2, fmax=6, shape=SHAPE)
     return rounded(frame.df.select("seed", "target", "f", "value"))
 
 
@@ -278,7 +340,7 @@ def time_average(spark, sf):
 
 @query
 def coh_from_tfr(spark, sf):
-    frame = covaria.spectral_connectivity_time(_tfr(spark, sf), FREQS, "coh", sfreq=SFREQ)
+    frame = covaria.spectral_connectivity_time(_tfr(spark, sf), FREQS, "coh", sfreq=SFREQ, shape=SHAPE)
     return rounded(frame.df.select("epoch", "seed", "target", "f", "value"))
 
 
@@ -300,6 +362,13 @@ def time_smoothed_hanning(spark, sf):
     return rounded(bivariate.over_time(cross, ["coh"]).drop("freq"))
 
 
+@query
+def time_smoothed_by_freq(spark, sf):
+    """A kernel of its own for each frequency: five, three and one samples long."""
+    frame = covaria.spectral_connectivity_time(days(spark, sf), FREQS, "coh", sfreq=SFREQ, n_cycles=CYCLES, sm_times=[5 / SFREQ, 3 / SFREQ, 1 / SFREQ], sm_kernel="square", shape=SHAPE)
+    return rounded(frame.df.select("epoch", "seed", "target", "f", "value"))
+
+
 @query
 def time_padding(spark, sf):
     return rounded(bivariate.over_time(spectra.csd(_tfr(spark, sf, padding=4)), ["wpli"]).drop("freq"))
@@ -326,7 +395,7 @@ def analytic_signal(spark, sf):
 
 
 def _envelope(spark: SparkSession, sf: str, **options) -> ConnFrame:
-    return covaria.envelope_correlation(days(spark, sf), **options)
+    return covaria.envelope_correlation(days(spark, sf), shape=SHAPE, **options)
 
 
 @query
@@ -388,57 +457,59 @@ def wsmi_tau2(spark, sf):
 
 @query
 def wsmi_avg(spark, sf):
-    return rounded(covaria.wsmi(days(spark, sf), sfreq=SFREQ, anti_aliasing=False, average=True).df)
+    return rounded(covaria.wsmi(days(spark, sf), sfreq=SFREQ, anti_aliasing=False, average=True, shape=SHAPE).df)
 
 
 @query
-def wsmi_antialias(spark, sf):
-    return rounded(covaria.wsmi(days(spark, sf), sfreq=SFREQ, tau=2).df)
+def wsmi_window(spark, sf):
+    """Only samples of a window, cut after any filter."""
+    return rounded(covaria.wsmi(days(spark, sf), sfreq=SFREQ, anti_aliasing=False, tmin=6 / 24, tmax=18 / 24, shape=SHAPE).df)
 
 
-# autoregression
+@query
+def wsmi_antialias(spark, sf):
+    return rounded(covaria.wsmi(days(spark, sf), sfreq=SFREQ, tau=2, shape=SHAPE).df)
 
 
-def _two(spark: SparkSession, sf: str) -> DataFrame:
-    return days(spark, sf).where("ch < 2")
+# autoregression
 
 
 @query
-def var1_dynamic_2ch(spark, sf):
-    return rounded(autoregression.fit(_two(spark, sf)))
+def var1_dynamic(spark, sf):
+    return rounded(autoregression.fit(days(spark, sf)))
 
 
 @query
-def var1_pooled_2ch(spark, sf):
-    return rounded(autoregression.fit(_two(spark, sf), model="avg-epochs").drop("epoch"))
+def var1_pooled(spark, sf):
+    return rounded(autoregression.fit(days(spark, sf), model="avg-epochs").drop("epoch"))
 
 
 @query
-def var_ridge_2ch(spark, sf):
-    return rounded(autoregression.fit(_two(spark, sf), l2_reg=100.0))
+def var_ridge(spark, sf):
+    return rounded(autoregression.fit(days(spark, sf), l2_reg=100.0))
 
 
 @query
-def var_ridge_pooled_2ch(spark, sf):
-    return rounded(autoregression.fit(_two(spark, sf), l2_reg=100.0, model="avg-epochs").drop("epoch"))
+def var_ridge_pooled(spark, sf):
+    return rounded(autoregression.fit(days(spark, sf), l2_reg=100.0, model="avg-epochs").drop("epoch"))
 
 
 @query
 def var_predict(spark, sf):
-    x = _two(spark, sf)
+    x = days(spark, sf)
     return rounded(autoregression.predicted(x, autoregression.fit(x)), 4)
 
 
 @query
 def var_residual(spark, sf):
-    x = _two(spark, sf)
+    x = days(spark, sf)
     seen = autoregression.predicted(x, autoregression.fit(x)).where("t > 0")
     return rounded(seen.select("epoch", "ch", "t", (F.col("value") - F.col("predicted")).alias("residual")), 4)
 
 
 @query
 def var_residual_cov(spark, sf):
-    return rounded(autoregression.residual_covariance(_two(spark, sf)), 2)
+    return rounded(autoregression.residual_covariance(days(spark, sf)), 2)
 
 
 @query
@@ -453,7 +524,7 @@ def var_companion(spark, sf):
 
 @query
 def var_eigvals(spark, sf):
-    return rounded(autoregression.eigenvalues(autoregression.fit(_two(spark, sf))))
+    return rounded(autoregression.eigenvalues(autoregression.fit(days(spark, sf))))
 
 
 @query
@@ -462,6 +533,14 @@ def var_simulate(spark, sf):
     return rounded(autoregression.simulated(model, 100).select("ch", F.posexplode("x").alias("t", "value")))
 
 
+@query
+def var_simulate_noise(spark, sf):
+    """A model driven by noise of one's own, here always the same."""
+    model = autoregression.fit(days(spark, sf), model="avg-epochs")
+    driven = autoregression.simulated(model, 20, noise=lambda rng, k: np.arange(1.0, k + 1))
+    return rounded(driven.select("ch", F.posexplode("x").alias("t", "value")), 4)
+
+
 @query
 def var_fb(spark, sf):
     return rounded(autoregression.fit(days(spark, sf), forward_backward=True), 4)
@@ -469,7 +548,8 @@ def var_fb(spark, sf):
 
 @query
 def select_order(spark, sf):
-    return autoregression.best_order(autoregression.select_order(_two(spark, sf), 4))
+    """Of all channels: a day's 24 samples bear three lags of five."""
+    return autoregression.best_order(autoregression.select_order(days(spark, sf), 3))
 
 
 @query
@@ -477,7 +557,7 @@ def select_order_criteria(spark, sf):
     """Over every day of a quarter, as many as it has."""
     first = lambda q: F.make_date(F.floor(q / 4).cast("int"), (q % 4 * 3 + 1).cast("int"), F.lit(1))
     quarter = F.col("epoch") - 1
-    x = signals.orders(table(spark, sf, "orders"), 92).withColumn("x", F.slice("x", F.lit(1), F.datediff(first(quarter + 1), first(quarter))))
+    x = signals.orders(table(spark, sf, "orders")).withColumn("x", F.slice("x", F.lit(1), F.datediff(first(quarter + 1), first(quarter))))
     return rounded(autoregression.select_order(x, 5), 4)
 
 
@@ -498,7 +578,7 @@ def conn_append(spark, sf):
 
 @query
 def conn_degree(spark, sf):
-    frame = covaria.spectral_connectivity_epochs(days(spark, sf), "coh", sfreq=SFREQ, mode="fourier", fmin=3.5, fmax=4.5)
+    frame = covaria.spectral_connectivity_epochs(days(spark, sf), "coh", sfreq=SFREQ, mode="fourier", fmin=3.5, fmax=4.5, shape=SHAPE)
     meta = Meta("coh", 5, "symmetric")
     return degree(ConnFrame(frame.df.drop("f", "freq"), meta).get_data("dense").fillna(0.0, ["value"]), 5, 0.4, symmetric=True)
 
@@ -522,6 +602,14 @@ def conn_rename(spark, sf):
     return rounded(frame.named().select("seed_name", "target_name", "value"))
 
 
+@query
+def conn_accessors(spark, sf):
+    """What a container says of itself."""
+    frame = _envelope(spark, sf)
+    said = {"kind": frame.kind, "dims": ",".join(frame.dims), "n_epochs": frame.n_epochs, "n_seeds": frame.shape[1], "n_targets": frame.shape[2], "names": ",".join(frame.names), "combined kind": frame.combine("mean").kind, "nodes": frame.meta.n_nodes, "method": frame.meta.method}
+    return spark.createDataFrame([(k, str(v)) for k, v in said.items()], "what string, value string")
+
+
 @query
 def conn_roundtrip(spark, sf):
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
@@ -539,6 +627,13 @@ def surrogate_resting(spark, sf):
     return rounded(moved.select("shuffle", "epoch", "ch", F.posexplode("x").alias("t", "value")))
 
 
+@query
+def surrogate_alias(spark, sf):
+    """The old name of resting surrogates."""
+    moved = covaria.make_surrogate_data(days(spark, sf), 3, seed=7)
+    return rounded(moved.select("shuffle", "epoch", "ch", F.posexplode("x").alias("t", "value")))
+
+
 @query
 def surrogate_evoked(spark, sf):
     moved = surrogates.evoked(days(spark, sf), 3, seed=7)
@@ -607,6 +702,15 @@ def mic_patterns(spark, sf):
     return rounded(sides[0].union(sides[1]), 2)
 
 
+@query
+def mic_patterns_padded(spark, sf):
+    """Patterns of sets of two and of one channel, filled up with zeros to one length."""
+    connections = [([0, 1], [2]), ([3], [4])]
+    found = multivariate.padded_patterns(_sets(spark, sf, connections, ["mic"]))
+    sides = [found.select("con", "f", F.lit(side).alias("side"), F.posexplode(F.transform(f"{side}_pattern", F.abs)).alias("at", "value")) for side in ("seed", "target")]
+    return rounded(sides[0].union(sides[1]), 2)
+
+
 @query
 def cacoh_multi(spark, sf):
     found = _sets(spark, sf, [([0, 1], [2, 3])], ["cacoh"], n_components=2)
@@ -640,16 +744,23 @@ def trgc_net(spark, sf):
     return rounded(found.select("f", ((F.col("0_g") - F.col("1_g")) - (F.col("0_r") - F.col("1_r"))).alias("net")))
 
 
+@query
+def gc_rank(spark, sf):
+    """Causality between the leading components of sets of channels."""
+    connections = [([0, 1], [2, 3, 4])]
+    return rounded(multivariate.causality(_matrices(spark, sf, connections, range(13)), connections, 4, ["gc"], [(1, 2)]).select("con", "f", "gc"))
+
+
 @query
 def gc_time(spark, sf):
     freqs = [float(f) for f in range(3, 12)]
-    frame = covaria.spectral_connectivity_time(days(spark, sf), freqs, "gc", indices=([[0]], [[1]]), sfreq=SFREQ, n_cycles=1.5, gc_n_lags=3, rank=([1], [1]), average=False)
+    frame = covaria.spectral_connectivity_time(days(spark, sf), freqs, "gc", indices=([[0]], [[1]]), sfreq=SFREQ, n_cycles=1.5, gc_n_lags=3, rank=([1], [1]), average=False, shape=SHAPE)
     return rounded(frame.df.groupBy("con", "f").agg(F.avg("value").alias("value")))
 
 
 @query
 def mim_time(spark, sf):
-    frame = covaria.spectral_connectivity_time(days(spark, sf), FREQS, "mim", indices=([[0, 1]], [[2, 3]]), sfreq=SFREQ, n_cycles=CYCLES, rank=([2], [2]))
+    frame = covaria.spectral_connectivity_time(days(spark, sf), FREQS, "mim", indices=([[0, 1]], [[2, 3]]), sfreq=SFREQ, n_cycles=CYCLES, rank=([2], [2]), shape=SHAPE)
     return rounded(frame.df.select("epoch", "f", "value"))
 
 
