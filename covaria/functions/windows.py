@@ -163,6 +163,31 @@ def zero_phase(x: np.ndarray, sections) -> np.ndarray:
     return y[..., pad : y.shape[-1] - pad]
 
 
+def settled_after(sections, left: float = 1e-15) -> int:
+    """Samples after which what came before matters less than that, of the sections' slowest pole."""
+    slowest = max(np.abs(np.roots(a)).max() for _, a in sections)
+    return math.ceil(math.log(left) / math.log(slowest)) + 3 * (2 * len(sections) + 1)
+
+
+def zero_phase_long(x: np.ndarray, sections) -> np.ndarray:
+    """As zero_phase of one long signal, in overlapping windows that are filtered side by side.
+
+    A window reaches so far beyond what is kept of it that its ends no longer matter; the first and
+    the last end where the signal does.
+    """
+    margin = settled_after(sections)
+    kept = 4 * margin
+    if len(x) <= kept + 2 * margin:
+        return zero_phase(x, sections)
+    starts = np.append(np.arange(0, len(x) - kept - 2 * margin, kept), len(x) - kept - 2 * margin)
+    found = zero_phase(np.stack([x[s : s + kept + 2 * margin] for s in starts]), sections)
+    out = np.empty_like(x)
+    out[-margin:], out[:margin] = found[-1, -margin:], found[0, :margin]
+    for s, y in zip(starts, found, strict=True):
+        out[s + margin : s + margin + kept] = y[margin : margin + kept]
+    return out
+
+
 def band_pass(n_taps: int, low: float, high: float, trans: float, sfreq: float) -> np.ndarray:
     """Linear-phase FIR by frequency sampling under a Hamming window."""
     grid = np.linspace(0, sfreq / 2, 1025)

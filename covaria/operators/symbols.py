@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from covaria.functions import windows
 
@@ -58,20 +59,34 @@ def wsmi(vectors: DataFrame, kernel: int = 3, tau: int = 1, weighted: bool = Tru
     return a.join(b, "epoch").where("seed > target").mapInPandas(of, "epoch long, seed int, target int, value double")
 
 
-def antialiased(vectors: DataFrame, sfreq: float, kernel: int = 3, tau: int = 1, lowpass: float | None = None) -> DataFrame:
+#: Samples of a channel that are filtered together, besides those around them.
+TOGETHER = 1 << 16
+
+
+def antialiased(vectors: DataFrame, sfreq: float, kernel: int = 3, tau: int = 1, lowpass: float | None = None, together: int = TOGETHER) -> DataFrame:
     """Vectors below sfreq / kernel / tau: sixth-order Butterworth, both ways, epochs of a channel end to end.
 
-    Skipped where the cut-off is near Nyquist or the signals are known to lie below it.
+    Skipped where the cut-off is near Nyquist or the signals are known to lie below it. Epochs are
+    numbered by channel, which sorts their numbers alone, and dealt out in blocks; each block also gets
+    the epochs around it until what lies beyond no longer matters. Epochs are equally long.
     """
     cutoff = sfreq / kernel / tau
     if cutoff >= 0.99 * sfreq / 2 or (lowpass is not None and lowpass <= cutoff):
         return vectors
     sections = windows.butterworth(6, cutoff / (sfreq / 2))
+    margin = windows.settled_after(sections)
 
     def of(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("epoch")
+        rows = rows.sort_values("at")
         x = np.stack(rows["x"].to_numpy())
-        return rows[["epoch", "ch"]].assign(x=list(windows.zero_phase(x.ravel(), sections).reshape(x.shape)))
-
-    # a recursive filter runs along a whole channel, so a channel is one group
-    return vectors.select("epoch", "ch", "x").groupBy("ch").applyInPandas(of, "epoch long, ch int, x array<double>")
+        y = windows.zero_phase_long(x.ravel(), sections).reshape(x.shape)
+        own = (rows["at"] // rows["per"] == rows["block"]).to_numpy()
+        out = rows.loc[own, ["epoch", "ch"]]
+        return out.assign(x=pd.Series(list(y[own]), index=out.index, dtype=object))
+
+    place = (F.row_number().over(Window.partitionBy("ch").orderBy("epoch")) - 1).cast("long")
+    placed = vectors.select("epoch", "ch").withColumn("at", place)
+    rows = vectors.select("epoch", "ch", "x").join(placed, ["epoch", "ch"])
+    around, per = F.ceil(F.lit(margin) / F.size("x")).cast("long"), F.ceil(F.lit(together) / F.size("x")).cast("long")
+    rows = rows.withColumns({"per": per, "block": F.explode(F.sequence(F.floor(F.greatest(F.col("at") - around, F.lit(0)) / per), F.floor((F.col("at") + around) / per)))})
+    return rows.groupBy("ch", "block").applyInPandas(of, "epoch long, ch int, x array<double>")

@@ -144,6 +144,53 @@ def test_wsmi(spark):
         symbols.wsmi(vectors(spark, np.ones((1, 2, 3))), 4, 2)
 
 
+def test_filters_in_blocks_equal_one_run(spark):
+    sections, rng = windows.butterworth(6, 1 / 3), np.random.default_rng(3)
+    for n in (50, 400, 5000, 20_001):
+        x = rng.normal(size=n).cumsum()
+        assert np.allclose(windows.zero_phase_long(x, sections), windows.zero_phase(x, sections), atol=1e-9 * np.abs(x).max())
+    x = rng.normal(size=(60, 2, 40))
+    want = [windows.zero_phase(x[:, c].ravel(), windows.butterworth(6, 2 / 3 / 2)).reshape(60, 40) for c in range(2)]
+    for r in symbols.antialiased(vectors(spark, x), SFREQ, 3, 2, together=400).collect():  # six blocks a channel
+        assert np.allclose(r.x, want[r.ch][r.epoch], atol=1e-9)
+
+
+def test_smoothing_equals_a_slow_sum(spark):
+    rng = np.random.default_rng(4)
+    grid = rng.normal(size=(4, 9))
+    cross_ = spark.createDataFrame([(0, 1, 0, f, f * 2.0, t + 3, *[float(v) for v in rng.normal(size=3)], float(grid[f, t])) for f in range(4) for t in range(9)], "epoch long, seed int, target int, f int, freq double, t int, re double, im double, pxx double, pyy double")
+    for kernel, per_freq in ((rng.random((3, 5)), False), (rng.random((2, 4)), False), (rng.random((4, 3)), True), (windows.smoothing_kernel([5, 3, 1, 4], kind="square"), True)):
+        got = {(r.f, r.t): r.pyy for r in spectra.smoothed(cross_, kernel, per_freq).collect()}
+        for f in range(4):
+            for t in range(9):
+                rows = [(0, kernel[f])] if per_freq else [(i - (len(kernel) - 1) // 2, k) for i, k in enumerate(kernel)]
+                want = sum(w * grid[f - i, t - j + (len(k) - 1) // 2] for i, k in rows for j, w in enumerate(k) if 0 <= f - i < 4 and 0 <= t - j + (len(k) - 1) // 2 < 9)
+                assert got[f, t + 3] == pytest.approx(want, abs=1e-12)
+
+
+def test_pruned_channels_are_never_computed(spark, data):
+    x = vectors(spark, data)
+    pairs = ([1, 0], [0, 1])
+    some = covaria.spectral_connectivity_epochs(x, "coh", pairs, SFREQ, "fourier", fmin=5, fmax=20).df
+    every = {(r.seed, r.target, r.f): r.value for r in covaria.spectral_connectivity_epochs(x, "coh", None, SFREQ, "fourier", fmin=5, fmax=20).df.collect()}
+    rows = some.collect()
+    assert {r.con for r in rows} == {0, 1} and all(r.value == pytest.approx(every[1, 0, r.f]) for r in rows) and len(rows) == 2 * len({f for *_, f in every})
+    poisoned = x.unionByName(spark.createDataFrame([(0, 2, None)], "epoch long, ch int, x array<double>").where("ch = 2")).where("NOT (ch = 2 AND x IS NOT NULL)")
+    found = covaria.spectral_connectivity_epochs(poisoned, "coh", pairs, SFREQ, "fourier", fmin=5, fmax=20, shape=(3, 64)).df.collect()
+    assert {(r.con, r.f): r.value for r in found} == {(r.con, r.f): pytest.approx(r.value) for r in rows}
+
+
+def test_largest_coherence_beats_a_fine_grid():
+    rng = np.random.default_rng(5)
+    for n, m in ((1, 1), (2, 3), (4, 4)):
+        for _ in range(20):
+            c = rng.normal(size=(n, m)) + 1j * rng.normal(size=(n, m))
+            best, phi, u, v = multivariate.largest_over_phases(c)
+            grid = max(np.linalg.svd((np.exp(-1j * p) * c).real, compute_uv=False)[0] for p in np.linspace(0, np.pi, 2001))
+            assert -np.pi / 2 < phi <= np.pi / 2 and best >= grid - 1e-12 and best <= grid * (1 + 1e-5)
+            assert (u.T @ (np.exp(-1j * phi) * c).real @ v)[0, 0] == pytest.approx(best)
+
+
 def test_autoregression(spark):
     rng, a = np.random.RandomState(12345), np.array([[1, 1], [-1, 2]]) / np.sqrt(3)
     x = np.zeros((2, 100))
