@@ -329,3 +329,76 @@ ORACLES["refused"] = """SELECT c AS what, e AS error FROM (VALUES ('band without
 ('singular autocovariance', 'RuntimeError'), ('more lags than frequencies', 'ValueError')) v(c, e)"""
 ORACLES["conn_accessors"] = f"""WITH {DAYS}, n AS (SELECT count(DISTINCT epoch) AS n FROM sig) SELECT what, CASE what WHEN 'n_epochs' THEN CAST(n AS VARCHAR) ELSE v END AS value FROM n CROSS JOIN
 (VALUES ('kind', 'EpochConnectivity'), ('dims', 'epoch,seed,target'), ('n_epochs', ''), ('n_seeds', '4'), ('n_targets', '4'), ('names', '0,1,2,3,4'), ('combined kind', 'Connectivity'), ('nodes', '5'), ('method', 'envelope correlation')) v(what, v)"""
+
+# sets of signals by elimination: all five channels with themselves
+_WHOLE = ", ".join(f"max({part}) FILTER (seed = {i} AND target = {j}) AS g{i}_{j + shift}" for part, shift in (("re", 0), ("im", K)) for i in range(K) for j in range(K))
+ORACLES["mim_all"] = f"""{ALL}, w AS (SELECT f, {_WHOLE} FROM av GROUP BY f), {_eliminated('w', 'f, ', K, K)}
+SELECT CAST(0 AS INT) AS con, f, {_r(f"-0.5 * ({' + '.join(f'g{i}_{K + j} * g{j}_{K + i}' for i in range(K) for j in range(K))})", 'mim')} FROM s{K}"""
+# patterns of two channels with two: inverse roots of 2 x 2 matrices in closed form, then the leading vectors of E E' and E' E
+_ROOT = "(r{1}{1} + s{2}) / t{2} / s{2} AS {2}00, -r{0}{1} / t{2} / s{2} AS {2}01, (r{0}{0} + s{2}) / t{2} / s{2} AS {2}11"
+_LEADING = "(m00 + m11) / 2 + sqrt(((m00 - m11) / 2) ** 2 + m01 * m01)"
+ORACLES["mic_patterns"] = f"""{ALL}, w AS (SELECT f, {_CELLS} FROM av GROUP BY f),
+d AS (SELECT *, sqrt(r00 * r11 - r01 * r01) AS sa, sqrt(r22 * r33 - r23 * r23) AS sb FROM w), h AS (SELECT *, sqrt(r00 + r11 + 2 * sa) AS ta, sqrt(r22 + r33 + 2 * sb) AS tb FROM d),
+q AS (SELECT *, {_ROOT.format(0, 1, 'a')}, {_ROOT.format(2, 3, 'b')} FROM h),
+p AS (SELECT *, a00 * i02 + a01 * i12 AS p00, a00 * i03 + a01 * i13 AS p01, a01 * i02 + a11 * i12 AS p10, a01 * i03 + a11 * i13 AS p11 FROM q),
+e AS (SELECT *, p00 * b00 + p01 * b01 AS e00, p00 * b01 + p01 * b11 AS e01, p10 * b00 + p11 * b01 AS e10, p10 * b01 + p11 * b11 AS e11 FROM p),
+m AS (SELECT f, 'seed' AS side, r00 AS c00, r01 AS c01, r11 AS c11, e00 * e00 + e01 * e01 AS m00, e00 * e10 + e01 * e11 AS m01, e10 * e10 + e11 * e11 AS m11 FROM e
+      UNION ALL SELECT f, 'target', r22, r23, r33, e00 * e00 + e10 * e10, e00 * e01 + e10 * e11, e01 * e01 + e11 * e11 FROM e),
+v AS (SELECT *, m01 AS v0, {_LEADING} - m00 AS v1 FROM m), n AS (SELECT *, sqrt(v0 * v0 + v1 * v1) AS long FROM v)
+SELECT f, side, CAST(ch AS INT) AS ch, {_r("abs(CASE ch WHEN 0 THEN c00 * v0 + c01 * v1 ELSE c01 * v0 + c11 * v1 END) / long", "value", 2)} FROM n CROSS JOIN (SELECT unnest(range(2)) AS ch)"""
+# ranks of two and of three channels: full unless the determinant of their products vanishes beside the product of their squares
+_GRAM = ", ".join(f"sum(y{i} * y{j}) AS g{i}{j}" for i in range(K) for j in range(i, K))
+_THREE = "g22 * (g33 * g44 - g34 * g34) - g23 * (g23 * g44 - g34 * g24) + g24 * (g23 * g34 - g33 * g24)"
+ORACLES["rank_estimate"] = f"""WITH {DAYS}, y AS (SELECT epoch, t, {', '.join(f'max(value) FILTER (ch = {i}) AS y{i}' for i in range(K))} FROM sig GROUP BY ALL), g AS (SELECT epoch, {_GRAM} FROM y GROUP BY epoch)
+SELECT CAST(0 AS INT) AS con, CAST(min(CASE WHEN g00 * g11 - g01 * g01 > 1e-12 * g00 * g11 THEN 2 ELSE 1 END) AS INT) AS seeds, CAST(min(CASE WHEN {_THREE} > 1e-12 * g22 * g33 * g44 THEN 3 ELSE 2 END) AS INT) AS targets FROM g"""
+
+
+# causality: autocovariances by a cosine sum, the autoregression by elimination, one row of the transfer function by cofactors
+def _causality(con: int, channels: list[int], lags: int, reverse: bool) -> str:
+    """CTEs that end in gc{con}(f, gc): of the seeds, all channels but the last, on the last."""
+    n, s = len(channels), f"{con}{'r' if reverse else ''}"
+    g = lambda k, i, j: f"g{k}_{j}{i}" if reverse else f"g{k}_{i}{j}"
+    lag = lambda k, i, j: g(k, i, j) if k >= 0 else g(-k, j, i)
+    angle = "2 * pi() * {k} * f / 24"
+    sums = [f"sum(CASE WHEN f IN (0, 12) THEN 1 ELSE 2 END * (re * cos({angle.format(k=k)}) - im * sin({angle.format(k=k)}))) FILTER (seed = {a} AND target = {b}) / 24 AS g{k}_{i}{j}" for k in range(lags + 1) for i, a in enumerate(channels) for j, b in enumerate(channels)]
+    m = n * lags
+    cells = [f"{lag(i - j, b, a)} AS g{i * n + a}_{j * n + b}" for i in range(lags) for a in range(n) for j in range(lags) for b in range(n)] + [f"{lag(i + 1, r, a)} AS g{i * n + a}_{m + r}" for i in range(lags) for a in range(n) for r in range(n)]
+    coef = lambda k, r, c: f"x{k}_{r}{c}"
+    left = lambda r, c: f"({g(0, r, c)} - ({' + '.join(f'{coef(k, r, q)} * {g(k + 1, c, q)}' for k in range(lags) for q in range(n))}))"
+    powers = [f"{'1.0::DOUBLE' if i == j else '0.0::DOUBLE'} - ({' + '.join(f'{coef(k, i, j)} * cos(pi() * f / 12 * {k + 1})' for k in range(lags))}) AS m{i}{j}r, {' + '.join(f'{coef(k, i, j)} * sin(pi() * f / 12 * {k + 1})' for k in range(lags))} AS m{i}{j}i" for i in range(n) for j in range(n)]
+    times = lambda a, b: (f"({a[0]} * {b[0]} - {a[1]} * {b[1]})", f"({a[0]} * {b[1]} + {a[1]} * {b[0]})")
+    at = lambda i, j: (f"m{i}{j}r", f"m{i}{j}i")
+    t, cofactors = n - 1, []
+    for j in range(n):
+        rows = [i for i in range(n) if i != j]
+        if n == 2:
+            minor = at(rows[0], 0)
+        else:
+            first, second = times(at(rows[0], 0), at(rows[1], 1)), times(at(rows[0], 1), at(rows[1], 0))
+            minor = tuple(f"({x} - {y})" for x, y in zip(first, second, strict=True))
+        sign = "" if (j + t) % 2 == 0 else "-"
+        cofactors.append(f"{sign}{minor[0]} AS c{j}r, {sign}{minor[1]} AS c{j}i")
+    det = [times(at(j, t), (f"c{j}r", f"c{j}i")) for j in range(n)]
+    # |row|^2 under a covariance, over |det|^2
+    under = lambda v, k: " + ".join(f"{v(a, b)} * (c{a}r * c{b}r + c{a}i * c{b}i)" for a in range(k) for b in range(k))
+    whole, part = under(lambda a, b: f"v{a}{b}", n), under(lambda a, b: f"(v{a}{b} - v{a}{t} * v{t}{b} / v{t}{t})", t)
+    return f"""ac{s} AS MATERIALIZED (SELECT {', '.join(sums)} FROM av), y{s} AS (SELECT {', '.join(cells)} FROM ac{s}), {_eliminated(f'y{s}', '', m, n, f's{s}_')},
+x{s} AS (SELECT {', '.join(f'g{k * n + c}_{m + r} AS {coef(k, r, c)}' for k in range(lags) for r in range(n) for c in range(n))} FROM s{s}_{m}),
+v{s} AS MATERIALIZED (SELECT x{s}.*, {', '.join(f'({left(r, c)} + {left(c, r)}) / 2 AS v{r}{c}' for r in range(n) for c in range(n))} FROM x{s} CROSS JOIN ac{s}),
+m{s} AS MATERIALIZED (SELECT f, v{s}.*, {', '.join(powers)} FROM v{s} CROSS JOIN (SELECT CAST(unnest(range(13)) AS INT) AS f)), c{s} AS MATERIALIZED (SELECT *, {', '.join(cofactors)} FROM m{s}),
+d{s} AS (SELECT *, {' + '.join(d[0] for d in det)} AS dr, {' + '.join(d[1] for d in det)} AS di FROM c{s}),
+gc{s} AS (SELECT CAST({con} AS INT) AS con, f, ln(({whole}) / (dr * dr + di * di)) - ln((({whole}) - ({part})) / (dr * dr + di * di)) AS gc FROM d{s})"""
+
+
+_EDGES = f"WITH {DAYS}, {_fourier(low=0, high=12)}, {_pairs(every=True)}, av AS (SELECT seed, target, f, avg(re) AS re, avg(im) AS im FROM x GROUP BY ALL)"
+_CONNECTIONS = [[0, 1], [1, 0], [0, 1, 2]]
+
+
+def _causalities(reverse: bool, connections: list = _CONNECTIONS) -> str:
+    return ", ".join(_causality(c, channels, 4, reverse) for c, channels in enumerate(connections))
+
+
+for _m, _back in (("gc", False), ("gc_tr", True)):
+    ORACLES[_m] = f"{_EDGES}, {_causalities(_back)} {' UNION ALL '.join(f"SELECT con, f, {_r('gc', _m)} FROM gc{c}{'r' * _back}" for c in range(3))}"
+ORACLES["trgc_net"] = f"""{_EDGES}, {_causalities(False, _CONNECTIONS[:2])}, {_causalities(True, _CONNECTIONS[:2])}
+SELECT gc0.f, {_r('(gc0.gc - gc1.gc) - (gc0r.gc - gc1r.gc)', 'net')} FROM gc0 JOIN gc1 ON gc1.f = gc0.f JOIN gc0r ON gc0r.f = gc0.f JOIN gc1r ON gc1r.f = gc0.f"""
