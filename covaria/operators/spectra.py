@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from covaria.functions import windows
 
 SPECTRUM = "epoch long, ch int, taper int, f int, freq double, re double, im double, weight double"
+#: Of one window, all times in one row: re and im are arrays from time t0 on.
+WHOLE = "epoch long, ch int, f int, freq double, t0 int, re array<double>, im array<double>"
 
 
 def frequencies(n_times: int, sfreq: float) -> np.ndarray:
@@ -97,8 +99,8 @@ def multitaper_adaptive(vectors: DataFrame, n_times: int, sfreq: float, bins: np
     return vectors.select("epoch", "ch", "x").mapInPandas(of, SPECTRUM)
 
 
-def wavelet(vectors: DataFrame, sfreq: float, freqs, n_cycles=7.0, zero_mean: bool = False, decim: int = 1, padding: int = 0) -> DataFrame:
-    """Morlet transform by convolution, as long as the signal: a row for each freq and time."""
+def wavelet(vectors: DataFrame, sfreq: float, freqs, n_cycles=7.0, zero_mean: bool = False, decim: int = 1, padding: int = 0, whole: bool = False) -> DataFrame:
+    """Morlet transform by convolution, as long as the signal: a row for each freq and time, or if whole for each freq (see WHOLE)."""
     freqs = np.asarray(freqs, float)
     waves = windows.morlet(sfreq, freqs, n_cycles, zero_mean)
 
@@ -114,11 +116,14 @@ def wavelet(vectors: DataFrame, sfreq: float, freqs, n_cycles=7.0, zero_mean: bo
                     raise ValueError(f"the wavelet at {freqs[i]} is longer than the signal")
                 full = np.fft.ifft(spectrum * np.fft.fft(w, size))[:, (len(w) - 1) // 2 :][:, :n]
                 kept = full[:, ::decim][:, padding : -(-n // decim) - padding]
+                if whole:
+                    out.append(rows[["epoch", "ch"]].assign(f=i, freq=freqs[i], t0=padding, re=list(kept.real), im=list(kept.imag)))
+                    continue
                 t = np.arange(kept.shape[1]) + padding
                 out.append(pd.DataFrame({"epoch": np.repeat(rows["epoch"].to_numpy(), len(t)), "ch": np.repeat(rows["ch"].to_numpy(), len(t)), "taper": 0, "f": i, "freq": freqs[i], "re": kept.real.ravel(), "im": kept.imag.ravel(), "weight": 1.0, "t": np.tile(t, len(rows))}))
             yield pd.concat(out)
 
-    return vectors.select("epoch", "ch", "x").mapInPandas(of, SPECTRUM + ", t int")
+    return vectors.select("epoch", "ch", "x").mapInPandas(of, WHOLE if whole else SPECTRUM + ", t int")
 
 
 def tapered_tfr(vectors: DataFrame, sfreq: float, freqs, n_cycles=7.0, time_bandwidth: float = 4.0) -> DataFrame:
@@ -155,6 +160,18 @@ def psd(spectra: DataFrame) -> DataFrame:
     return spectra.groupBy(*keys).agg(total.alias("power"))
 
 
+def _paired(rows: DataFrame, keys: list[str], edges: DataFrame | None, diagonal: bool) -> tuple[DataFrame, list[str]]:
+    """Rows (keys, all: array<struct<ch,s>>) to a row for each pair: (con, ...) keys, seed, target, a and b, what s either has."""
+    rows = rows.select(*keys, F.explode("all").alias("p"), "all")
+    if edges is None:
+        rows = rows.select(*keys, "p", F.explode(F.col("all") if diagonal else F.expr("filter(all, q -> q.ch < p.ch)")).alias("q"))
+        return rows.select(*keys, F.col("p.ch").alias("seed"), F.col("q.ch").alias("target"), F.col("p.s").alias("a"), F.col("q.s").alias("b")), keys
+    found = rows.withColumn("seed", F.col("p.ch")).join(F.broadcast(edges), "seed")
+    found = found.withColumn("q", F.expr("filter(all, q -> q.ch = target)[0]")).where("q IS NOT NULL")
+    keys = [c for c in edges.columns if c not in ("seed", "target")] + keys
+    return found.select(*keys, "seed", "target", F.col("p.s").alias("a"), F.col("q.s").alias("b")), keys
+
+
 def csd(spectra: DataFrame, edges: DataFrame | None = None, diagonal: bool = False) -> DataFrame:
     """Cross-spectra (epoch, seed, target, f, freq[, t], re, im, pxx, pyy) of pairs.
 
@@ -162,28 +179,30 @@ def csd(spectra: DataFrame, edges: DataFrame | None = None, diagonal: bool = Fal
     as long as there are channels and tapers, and pairs are made within the row. Without edges they are
     seed > target. edges, a list, are broadcast and joined by seed, and their targets looked up, so no
     pair is made but theirs; channels that none of them names are dropped before the shuffle.
-    diagonal: all pairs, each way, and itself.
+    diagonal: all pairs, each way, and itself. Spectra that are WHOLE move as arrays over time, and are
+    taken apart once they are pairs.
     """
-    keys = ["epoch", "f", "freq"] + (["t"] if "t" in spectra.columns else [])
-    entry = F.struct("ch", "taper", (F.col("re") * F.col("weight")).alias("re"), (F.col("im") * F.col("weight")).alias("im"), (F.col("weight") * F.col("weight")).alias("w2"))
     if edges is not None:
         named = edges.select(F.explode(F.array("seed", "target")).alias("ch")).distinct()
         spectra = spectra.join(F.broadcast(named), "ch", "left_semi")
+    if "t0" in spectra.columns:
+        keys = ["epoch", "f", "freq", "t0"]
+        rows = spectra.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ch", F.struct("re", "im").alias("s")))).alias("all"))
+        pairs, keys = _paired(rows, keys, edges, diagonal)
+        pairs = pairs.select(*keys, "seed", "target", F.posexplode(F.arrays_zip("a.re", "a.im", F.col("b.re").alias("ure"), F.col("b.im").alias("uim"))).alias("at", "z"))
+        keys = [F.col("t0") + F.col("at") if k == "t0" else F.col(k) for k in keys]
+        keys = [k.cast("int").alias("t") if i == len(keys) - 1 else k for i, k in enumerate(keys)]
+        x, y, u, v = (F.col(f"z.{n}") for n in ("re", "im", "ure", "uim"))
+        return pairs.select(*keys, "seed", "target", (2 * (x * u + y * v)).alias("re"), (2 * (y * u - x * v)).alias("im"), (2 * (x * x + y * y)).alias("pxx"), (2 * (u * u + v * v)).alias("pyy"))
+    keys = ["epoch", "f", "freq"] + (["t"] if "t" in spectra.columns else [])
+    entry = F.struct("ch", "taper", (F.col("re") * F.col("weight")).alias("re"), (F.col("im") * F.col("weight")).alias("im"), (F.col("weight") * F.col("weight")).alias("w2"))
     rows = spectra.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("s"))
     rows = rows.select(*keys, F.expr("transform(array_distinct(transform(s, e -> e.ch)), c -> struct(c as ch, filter(s, e -> e.ch = c) as s))").alias("all"))
-    rows = rows.select(*keys, F.explode("all").alias("p"), "all")
-    if edges is None:
-        rows = rows.select(*keys, "p", F.explode(F.col("all") if diagonal else F.expr("filter(all, q -> q.ch < p.ch)")).alias("q"))
-        pairs = rows.select(*keys, F.col("p.ch").alias("seed"), F.col("q.ch").alias("target"), F.col("p.s").alias("a"), F.col("q.s").alias("b"))
-    else:
-        found = rows.withColumn("seed", F.col("p.ch")).join(F.broadcast(edges), "seed")
-        found = found.withColumn("q", F.expr("filter(all, q -> q.ch = target)[0]")).where("q IS NOT NULL")
-        pairs = found.select(*[c for c in edges.columns if c != "seed"], *keys, "seed", F.col("p.s").alias("a"), F.col("q.s").alias("b"))
+    pairs, keys = _paired(rows, keys, edges, diagonal)
     total = lambda expr: F.expr(f"aggregate(zip_with(a, b, (x, y) -> {expr}), 0d, (s, v) -> s + v)")
     scale = F.sqrt(total("x.w2")) * F.sqrt(total("y.w2")) / 2
     own = lambda side: F.expr(f"aggregate({side}, 0d, (s, v) -> s + v.re * v.re + v.im * v.im) * 2 / aggregate({side}, 0d, (s, v) -> s + v.w2)")
-    con = ["con"] if edges is not None and "con" in edges.columns else []
-    return pairs.select(*con, *keys, "seed", "target", (total("x.re * y.re + x.im * y.im") / scale).alias("re"), (total("x.im * y.re - x.re * y.im") / scale).alias("im"), own("a").alias("pxx"), own("b").alias("pyy"))
+    return pairs.select(*keys, "seed", "target", (total("x.re * y.re + x.im * y.im") / scale).alias("re"), (total("x.im * y.re - x.re * y.im") / scale).alias("im"), own("a").alias("pxx"), own("b").alias("pyy"))
 
 
 def smoothed(cross: DataFrame, kernel: np.ndarray, per_freq: bool = False) -> DataFrame:

@@ -81,7 +81,7 @@ def spectral_connectivity_epochs(vectors: DataFrame, method: str | Sequence[str]
         if cwt_freqs is None:
             raise ValueError("cwt_morlet asks for cwt_freqs")
         freqs = [f for f in cwt_freqs if any(a <= f <= b for a, b in bands)]
-        found = spectra.wavelet(vectors, sfreq, freqs, cwt_n_cycles, zero_mean=True)
+        found = spectra.wavelet(vectors, sfreq, freqs, cwt_n_cycles, zero_mean=True, whole=True)
     elif mode in ("fourier", "multitaper"):
         bins = spectra.chosen_bins(n_times, sfreq, bands, fskip + 1)
         if mode == "fourier":
@@ -148,7 +148,7 @@ def spectral_connectivity_time(vectors: DataFrame, freqs, method: str | Sequence
     if given:
         found, mode = vectors.where(F.col("t") % decim == 0).withColumn("t", (F.col("t") / decim).cast("int")), "given"
     elif mode == "cwt_morlet":
-        found = spectra.wavelet(vectors, sfreq, freqs, n_cycles, decim=decim, padding=cropped)
+        found = spectra.wavelet(vectors, sfreq, freqs, n_cycles, decim=decim, padding=cropped, whole=True)
     elif mode == "multitaper":
         found = spectra.tapered_tfr(vectors, sfreq, freqs, n_cycles, mt_bandwidth or 4.0)
         found = found.where((F.col("t") % decim == 0)).withColumn("t", (F.col("t") / decim).cast("int"))

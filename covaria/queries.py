@@ -319,12 +319,12 @@ def tfr_multitaper(spark, sf):
 
 @query
 def coh_cwt_epochs(spark, sf):
-    return rounded(bivariate.over_epochs(spectra.csd(_tfr(spark, sf, zero_mean=True)), ["coh"]).drop("freq"))
+    return rounded(bivariate.over_epochs(spectra.csd(_tfr(spark, sf, zero_mean=True, whole=True)), ["coh"]).drop("freq"))
 
 
 def _in_time(name: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return rounded(bivariate.over_time(spectra.csd(_tfr(spark, sf)), [name]).drop("freq"))
+        return rounded(bivariate.over_time(spectra.csd(_tfr(spark, sf, whole=True)), [name]).drop("freq"))
 
     return run
 
@@ -335,7 +335,7 @@ for _name in bivariate.TIME:
 
 @query
 def time_average(spark, sf):
-    return rounded(bivariate.over_time(spectra.csd(_tfr(spark, sf)), ["coh"], average=True).drop("freq"))
+    return rounded(bivariate.over_time(spectra.csd(_tfr(spark, sf, whole=True)), ["coh"], average=True).drop("freq"))
 
 
 @query
@@ -346,19 +346,19 @@ def coh_from_tfr(spark, sf):
 
 @query
 def time_faverage(spark, sf):
-    values = bivariate.over_time(spectra.csd(_tfr(spark, sf)), ["coh"])
+    values = bivariate.over_time(spectra.csd(_tfr(spark, sf, whole=True)), ["coh"])
     return rounded(bivariate.foi_banded(values, FREQS, [(4, 6), (6, 8), (8, 8)]).drop("freq"))
 
 
 @query
 def time_smoothed_square(spark, sf):
-    cross = spectra.smoothed(spectra.csd(_tfr(spark, sf)), windows.smoothing_kernel(3, 1, "square"))
+    cross = spectra.smoothed(spectra.csd(_tfr(spark, sf, whole=True)), windows.smoothing_kernel(3, 1, "square"))
     return rounded(bivariate.over_time(cross, ["coh"]).drop("freq"))
 
 
 @query
 def time_smoothed_hanning(spark, sf):
-    cross = spectra.smoothed(spectra.csd(_tfr(spark, sf)), windows.smoothing_kernel(5, 3, "hanning"))
+    cross = spectra.smoothed(spectra.csd(_tfr(spark, sf, whole=True)), windows.smoothing_kernel(5, 3, "hanning"))
     return rounded(bivariate.over_time(cross, ["coh"]).drop("freq"))
 
 
@@ -371,17 +371,17 @@ def time_smoothed_by_freq(spark, sf):
 
 @query
 def time_padding(spark, sf):
-    return rounded(bivariate.over_time(spectra.csd(_tfr(spark, sf, padding=4)), ["wpli"]).drop("freq"))
+    return rounded(bivariate.over_time(spectra.csd(_tfr(spark, sf, padding=4, whole=True)), ["wpli"]).drop("freq"))
 
 
 @query
 def time_decimated(spark, sf):
-    return rounded(bivariate.over_time(spectra.csd(_tfr(spark, sf, decim=2)), ["plv"]).drop("freq"))
+    return rounded(bivariate.over_time(spectra.csd(_tfr(spark, sf, decim=2, whole=True)), ["plv"]).drop("freq"))
 
 
 @query
 def psi_time(spark, sf):
-    cohy = bivariate.over_time(spectra.csd(_tfr(spark, sf)), ["cohy"])
+    cohy = bivariate.over_time(spectra.csd(_tfr(spark, sf, whole=True)), ["cohy"])
     return rounded(bivariate.phase_slope(cohy, [(3, 9)]))
 
 
