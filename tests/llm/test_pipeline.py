@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from covaria.llm import decontamination, simhash
+from covaria.llm import common, decontamination, simhash
 from covaria.llm.queries import ORACLES
 
 SF = "/root/testdata/sf0.01"
@@ -49,10 +49,44 @@ def test_registered():
     assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))
 
 
+HELPERS = ["_size", "_copy", "doc", "k1", "k2", "many", "copies", "at", "fp", "digest", "late", "found", "score", "predicted", "held_out", "shares"]
+
+
 def test_stages_on_odd_rows(spark):
-    rows = [(i, f"some words number {i} and a few more of them {i * 7}", "en", "a", 0, "x", "y") for i in range(40)]
-    rows += [(100, None, None, None, None, None, None), (101, "", "en", "b", 0, "", ""), (None, "no id", "en", None, 1, "", ""), (102, "word " * 40_000, "en", "c", 0, "", ""), rows[3], rows[3]]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string, shard string")
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, docs, SF).count() > 0
+    """Repeated ids and rows, nulls, a very long text, and columns named like those that operators add on the way."""
+    rows = [(i, f"some words number {i} and a few more of them {i * 7}", "en", "a", 0, "x") for i in range(40)]
+    rows += [(100, None, None, None, None, None), (101, "", "en", "b", 0, ""), (None, "no id", "en", None, 1, ""), (102, "word " * 40_000, "en", "c", 0, ""), rows[3], rows[3], (3, "the id of another, and words of its own", "en", "a", 0, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, more string")
+    docs = docs.selectExpr("*", *[f"'clash' AS {h}" for h in HELPERS])
+    given = collections.Counter((r.doc_id, r.text) for r in docs.collect())
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, docs, SF)
+        if name == "sharding":
+            assert made.columns == [*docs.columns, "size", "shard", "slot"]
+        else:
+            assert made.columns == docs.columns, name
+        kept = made.collect()
+        assert kept and all(r[h] == "clash" for r in kept for h in HELPERS), name
+        found = collections.Counter((r.doc_id, r.text) for r in kept)
+        if name == "sharding":
+            assert found == given
+        elif name == "SimHash near-dedup":
+            prints = {(d, t): simhash.fingerprint_of(t) for d, t in given}
+            parts = {k: frozenset(o for o in prints if (prints[k] ^ prints[o]).bit_count() <= 3) for k in prints}
+            assert set(found.values()) == {1} and {simhash.fingerprint_of(t) for _, t in found} <= set(prints.values())
+            assert (3, "the id of another, and words of its own") in found and all(sum(o in found for o in part) <= 1 for part in parts.values())
+        elif name == "mixing":
+            assert set(found) <= set(given)
+        else:
+            assert all(n == given[k] for k, n in found.items()), name
         assert stage(spark, docs.limit(0), SF).collect() == []
+
+
+def test_run_leaves_no_tables_behind(spark):
+    """The rows of run are those of the stages one after another, and only what the last stage reads is left."""
+    before = common.written()
+    rows = corpus_pipeline.run(spark, SF).collect()
+    left = common.written() - before
+    assert len(rows) == len({(r.shard, r.slot) for r in rows}) and {r.shard for r in rows} == set(range(16))
+    common.tidy(spark)
+    assert common.written() == 0 and left < 12
