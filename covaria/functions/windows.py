@@ -95,6 +95,17 @@ def morlet(sfreq: float, freqs, n_cycles=7.0, zero_mean: bool = False) -> list[n
     return out
 
 
+def tapered_waves(sfreq: float, freqs, n_cycles=7.0, time_bandwidth: float = 4.0) -> list[list[tuple[np.ndarray, float]]]:
+    """For each frequency complex waves of n_cycles under Slepian tapers, and their weights."""
+    freqs, out = np.atleast_1d(np.asarray(freqs, float)), []
+    for f, c in zip(freqs, np.broadcast_to(np.asarray(n_cycles, float), freqs.shape), strict=True):
+        t = np.arange(0, c / f, 1 / sfreq)
+        tapers, ratios = dpss(len(t), time_bandwidth / 2, max(1, int(time_bandwidth - 1)), low_bias=False)
+        waves = np.exp(2j * np.pi * f * (t - t[-1] / 2)) * tapers
+        out.append([(w / (math.sqrt(0.5) * np.linalg.norm(w)), math.sqrt(r)) for w, r in zip(waves, ratios, strict=True)])
+    return out
+
+
 def tukey(n: int, alpha: float = 0.5) -> np.ndarray:
     """Tapered cosine window."""
     if alpha <= 0:

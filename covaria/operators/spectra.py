@@ -129,13 +129,7 @@ def wavelet(vectors: DataFrame, sfreq: float, freqs, n_cycles=7.0, zero_mean: bo
 def tapered_tfr(vectors: DataFrame, sfreq: float, freqs, n_cycles=7.0, time_bandwidth: float = 4.0) -> DataFrame:
     """Multitaper time-frequency transform: windows of n_cycles, Slepian tapers under each."""
     freqs = np.asarray(freqs, float)
-    cycles = np.broadcast_to(np.asarray(n_cycles, float), freqs.shape)
-    kernels = []
-    for f, c in zip(freqs, cycles, strict=True):
-        t = np.arange(0, c / f, 1 / sfreq)
-        tapers, ratios = windows.dpss(len(t), time_bandwidth / 2, max(1, int(time_bandwidth - 1)), low_bias=False)
-        wave = np.exp(2j * np.pi * f * (t - t[-1] / 2))
-        kernels.append([((wave * h) / (np.sqrt(0.5) * np.linalg.norm(wave * h)), np.sqrt(r)) for h, r in zip(tapers, ratios, strict=True)])
+    kernels = windows.tapered_waves(sfreq, freqs, n_cycles, time_bandwidth)
 
     def of(batches):
         for rows in batches:

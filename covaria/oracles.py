@@ -122,9 +122,9 @@ ORACLES["psi_bands"] = _psi(CROSS, "seed, target", _BANDS)
 
 
 # wavelets and measures over time
-def _wavelets(zero_mean: bool = False) -> str:
+def _wavelets(zero_mean: bool = False, freqs: tuple[float, ...] = (4.0, 6.0, 8.0), cycles: float = 2.0) -> str:
     rows = []
-    for f, w in enumerate(windows.morlet(24.0, [4.0, 6.0, 8.0], 2.0, zero_mean)):
+    for f, w in enumerate(windows.morlet(24.0, freqs, cycles, zero_mean)):
         rows += [f"({f}, {j - (len(w) - 1) // 2}, {float(v.real)!r}::DOUBLE, {float(v.imag)!r}::DOUBLE)" for j, v in enumerate(w)]
     return f"""WITH {DAYS}, wv AS (SELECT * FROM (VALUES {", ".join(rows)}) v(f, o, wr, wi)),
 tf AS (SELECT s.epoch, s.ch, CAST(wv.f AS INT) AS f, CAST(s.t + wv.o AS INT) AS t, sum(s.value * wr) AS re, sum(s.value * wi) AS im
@@ -236,14 +236,19 @@ def _listed(rows: list[str]) -> str:
     return f"unnest([{', '.join(rows)}])"
 
 
-def _var(pooled: bool = False, ridge: float = 0.0, lags: int = 1) -> str:
-    by, m = "" if pooled else "epoch, ", K * lags
+def _lagged(lags: int) -> str:
+    """CTEs y (epoch, t, y0, ...) and l, with the lags of all channels as z0, ..."""
     wide = ", ".join(f"max(value) FILTER (ch = {i}) AS y{i}" for i in range(K))
     past = ", ".join(f"lag(y{i}, {d}) OVER w AS z{(d - 1) * K + i}" for d in range(1, lags + 1) for i in range(K))
+    return f"""y AS (SELECT epoch, t, {wide} FROM sig GROUP BY ALL),
+l AS (SELECT *, {past} FROM y WINDOW w AS (PARTITION BY epoch ORDER BY t))"""
+
+
+def _var(pooled: bool = False, ridge: float = 0.0, lags: int = 1) -> str:
+    by, m = "" if pooled else "epoch, ", K * lags
     sums = [f"sum(z{i} * z{j}) + {ridge if i == j else 0.0} AS g{i}_{j}" for i in range(m) for j in range(m)] + [f"sum(z{i} * y{r}) AS g{i}_{m + r}" for i in range(m) for r in range(K)]
     cells = [f"{{'i': CAST({r} AS INT), 'j': CAST({i % K} AS INT), 'lag': CAST({i // K + 1} AS INT), 'value': g{i}_{m + r}}}" for r in range(K) for i in range(m)]
-    return f"""WITH {DAYS}, y AS (SELECT epoch, t, {wide} FROM sig GROUP BY ALL),
-l AS (SELECT *, {past} FROM y WINDOW w AS (PARTITION BY epoch ORDER BY t)),
+    return f"""WITH {DAYS}, {_lagged(lags)},
 g AS (SELECT {by}{', '.join(sums)} FROM l WHERE t >= {lags} {"" if pooled else "GROUP BY epoch"}), {_eliminated('g', by, m, K)},
 a AS (SELECT {by}{', '.join(f"g{i}_{m + r} AS a{r}_{i}" for r in range(K) for i in range(m))} FROM s{m}),
 u AS (SELECT {by}unnest(c, recursive := true) FROM (SELECT {by}[{', '.join(cells)}] AS c FROM s{m}))"""
@@ -354,18 +359,19 @@ SELECT CAST(0 AS INT) AS con, CAST(min(CASE WHEN g00 * g11 - g01 * g01 > 1e-12 *
 
 
 # causality: autocovariances by a cosine sum, the autoregression by elimination, one row of the transfer function by cofactors
-def _causality(con: int, channels: list[int], lags: int, reverse: bool) -> str:
-    """CTEs that end in gc{con}(f, gc): of the seeds, all channels but the last, on the last."""
+def _causality(con: int, channels: list[int], lags: int, reverse: bool, bins: int = 13, by: str = "") -> str:
+    """CTEs that end in gc{con}([epoch,] f, gc): of the seeds, all channels but the last, on the last."""
+    last = bins - 1
     n, s = len(channels), f"{con}{'r' if reverse else ''}"
     g = lambda k, i, j: f"g{k}_{j}{i}" if reverse else f"g{k}_{i}{j}"
     lag = lambda k, i, j: g(k, i, j) if k >= 0 else g(-k, j, i)
-    angle = "2 * pi() * {k} * f / 24"
-    sums = [f"sum(CASE WHEN f IN (0, 12) THEN 1 ELSE 2 END * (re * cos({angle.format(k=k)}) - im * sin({angle.format(k=k)}))) FILTER (seed = {a} AND target = {b}) / 24 AS g{k}_{i}{j}" for k in range(lags + 1) for i, a in enumerate(channels) for j, b in enumerate(channels)]
+    angle = f"pi() * {{k}} * f / {last}"
+    sums = [f"sum(CASE WHEN f IN (0, {last}) THEN 1 ELSE 2 END * (re * cos({angle.format(k=k)}) - im * sin({angle.format(k=k)}))) FILTER (seed = {a} AND target = {b}) / {2 * last} AS g{k}_{i}{j}" for k in range(lags + 1) for i, a in enumerate(channels) for j, b in enumerate(channels)]
     m = n * lags
     cells = [f"{lag(i - j, b, a)} AS g{i * n + a}_{j * n + b}" for i in range(lags) for a in range(n) for j in range(lags) for b in range(n)] + [f"{lag(i + 1, r, a)} AS g{i * n + a}_{m + r}" for i in range(lags) for a in range(n) for r in range(n)]
     coef = lambda k, r, c: f"x{k}_{r}{c}"
     left = lambda r, c: f"({g(0, r, c)} - ({' + '.join(f'{coef(k, r, q)} * {g(k + 1, c, q)}' for k in range(lags) for q in range(n))}))"
-    powers = [f"{'1.0::DOUBLE' if i == j else '0.0::DOUBLE'} - ({' + '.join(f'{coef(k, i, j)} * cos(pi() * f / 12 * {k + 1})' for k in range(lags))}) AS m{i}{j}r, {' + '.join(f'{coef(k, i, j)} * sin(pi() * f / 12 * {k + 1})' for k in range(lags))} AS m{i}{j}i" for i in range(n) for j in range(n)]
+    powers = [f"{'1.0::DOUBLE' if i == j else '0.0::DOUBLE'} - ({' + '.join(f'{coef(k, i, j)} * cos(pi() * f / {last} * {k + 1})' for k in range(lags))}) AS m{i}{j}r, {' + '.join(f'{coef(k, i, j)} * sin(pi() * f / {last} * {k + 1})' for k in range(lags))} AS m{i}{j}i" for i in range(n) for j in range(n)]
     times = lambda a, b: (f"({a[0]} * {b[0]} - {a[1]} * {b[1]})", f"({a[0]} * {b[1]} + {a[1]} * {b[0]})")
     at = lambda i, j: (f"m{i}{j}r", f"m{i}{j}i")
     t, cofactors = n - 1, []
@@ -382,12 +388,14 @@ def _causality(con: int, channels: list[int], lags: int, reverse: bool) -> str:
     # |row|^2 under a covariance, over |det|^2
     under = lambda v, k: " + ".join(f"{v(a, b)} * (c{a}r * c{b}r + c{a}i * c{b}i)" for a in range(k) for b in range(k))
     whole, part = under(lambda a, b: f"v{a}{b}", n), under(lambda a, b: f"(v{a}{b} - v{a}{t} * v{t}{b} / v{t}{t})", t)
-    return f"""ac{s} AS MATERIALIZED (SELECT {', '.join(sums)} FROM av), y{s} AS (SELECT {', '.join(cells)} FROM ac{s}), {_eliminated(f'y{s}', '', m, n, f's{s}_')},
-x{s} AS (SELECT {', '.join(f'g{k * n + c}_{m + r} AS {coef(k, r, c)}' for k in range(lags) for r in range(n) for c in range(n))} FROM s{s}_{m}),
-v{s} AS MATERIALIZED (SELECT x{s}.*, {', '.join(f'({left(r, c)} + {left(c, r)}) / 2 AS v{r}{c}' for r in range(n) for c in range(n))} FROM x{s} CROSS JOIN ac{s}),
-m{s} AS MATERIALIZED (SELECT f, v{s}.*, {', '.join(powers)} FROM v{s} CROSS JOIN (SELECT CAST(unnest(range(13)) AS INT) AS f)), c{s} AS MATERIALIZED (SELECT *, {', '.join(cofactors)} FROM m{s}),
+    both = "JOIN" if by else "CROSS JOIN"
+    using = "USING (epoch)" if by else ""
+    return f"""ac{s} AS MATERIALIZED (SELECT {by}{', '.join(sums)} FROM av {"GROUP BY epoch" if by else ""}), y{s} AS (SELECT {by}{', '.join(cells)} FROM ac{s}), {_eliminated(f'y{s}', by, m, n, f's{s}_')},
+x{s} AS (SELECT {by}{', '.join(f'g{k * n + c}_{m + r} AS {coef(k, r, c)}' for k in range(lags) for r in range(n) for c in range(n))} FROM s{s}_{m}),
+v{s} AS MATERIALIZED (SELECT x{s}.*, {', '.join(f'({left(r, c)} + {left(c, r)}) / 2 AS v{r}{c}' for r in range(n) for c in range(n))} FROM x{s} {both} ac{s} {using}),
+m{s} AS MATERIALIZED (SELECT f, v{s}.*, {', '.join(powers)} FROM v{s} CROSS JOIN (SELECT CAST(unnest(range({bins})) AS INT) AS f)), c{s} AS MATERIALIZED (SELECT *, {', '.join(cofactors)} FROM m{s}),
 d{s} AS (SELECT *, {' + '.join(d[0] for d in det)} AS dr, {' + '.join(d[1] for d in det)} AS di FROM c{s}),
-gc{s} AS (SELECT CAST({con} AS INT) AS con, f, ln(({whole}) / (dr * dr + di * di)) - ln((({whole}) - ({part})) / (dr * dr + di * di)) AS gc FROM d{s})"""
+gc{s} AS (SELECT CAST({con} AS INT) AS con, {by}f, ln(({whole}) / (dr * dr + di * di)) - ln((({whole}) - ({part})) / (dr * dr + di * di)) AS gc FROM d{s})"""
 
 
 _EDGES = f"WITH {DAYS}, {_fourier(low=0, high=12)}, {_pairs(every=True)}, av AS (SELECT seed, target, f, avg(re) AS re, avg(im) AS im FROM x GROUP BY ALL)"
@@ -402,3 +410,75 @@ for _m, _back in (("gc", False), ("gc_tr", True)):
     ORACLES[_m] = f"{_EDGES}, {_causalities(_back)} {' UNION ALL '.join(f"SELECT con, f, {_r('gc', _m)} FROM gc{c}{'r' * _back}" for c in range(3))}"
 ORACLES["trgc_net"] = f"""{_EDGES}, {_causalities(False, _CONNECTIONS[:2])}, {_causalities(True, _CONNECTIONS[:2])}
 SELECT gc0.f, {_r('(gc0.gc - gc1.gc) - (gc0r.gc - gc1r.gc)', 'net')} FROM gc0 JOIN gc1 ON gc1.f = gc0.f JOIN gc0r ON gc0r.f = gc0.f JOIN gc1r ON gc1r.f = gc0.f"""
+
+# waves under several tapers: literals, as single ones
+_WAVES = ", ".join(f"({f}, {k}, {j - (len(w) - 1) // 2}, {float(v.real)!r}::DOUBLE, {float(v.imag)!r}::DOUBLE, {float(weight)!r}::DOUBLE)" for f, group in enumerate(windows.tapered_waves(24.0, [4.0, 6.0, 8.0], 2.0)) for k, (w, weight) in enumerate(group) for j, v in enumerate(w))
+ORACLES["tfr_multitaper"] = f"""WITH {DAYS}, wv AS (SELECT * FROM (VALUES {_WAVES}) v(f, k, o, wr, wi, weight)),
+y AS (SELECT s.epoch, s.ch, wv.f, k, any_value(weight) AS weight, s.t + wv.o AS t, sum(s.value * wr) AS re, sum(s.value * wi) AS im FROM sig s JOIN wv ON s.t + wv.o BETWEEN 0 AND 23 GROUP BY ALL)
+SELECT epoch, ch, CAST(f AS INT) AS f, 4.0::DOUBLE + 2 * f AS freq, CAST(t AS INT) AS t, {_r('2 * sum(weight * weight * (re * re + im * im)) / sum(weight * weight)', 'power', 3)} FROM y GROUP BY ALL"""
+# adaptive weights: 150 rounds of the fixed point for each channel and bin
+_NT = len(_ratios)
+_D = [f"sqrt({float(r)!r}::DOUBLE) * psd / ({float(r)!r}::DOUBLE * psd + {float(1 - r)!r}::DOUBLE * spread + 1e-300)" for r in _ratios]
+ORACLES["spectra_adaptive"] = f"""{TAPERED.replace('unnest(range(1, 12))', 'unnest(range(13))')},
+w AS (SELECT epoch, ch, f, {', '.join(f'max(re * re + im * im) FILTER (taper = {k}) AS p{k}, max(re) FILTER (taper = {k}) AS re{k}, max(im) FILTER (taper = {k}) AS im{k}' for k in range(_NT))} FROM mt GROUP BY ALL),
+b AS (SELECT *, avg({' + '.join(f'p{k}' for k in range(_NT))}) OVER (PARTITION BY epoch, ch) / {_NT} AS spread FROM w),
+q AS (WITH RECURSIVE q AS (SELECT 0 AS n, epoch, ch, f, spread, {', '.join(f'p{k}' for k in range(_NT))}, (p0 + p1) / 2 AS psd FROM b WHERE f BETWEEN 1 AND 11
+      UNION ALL SELECT n + 1, epoch, ch, f, spread, {', '.join(f'p{k}' for k in range(_NT))}, ({' + '.join(f'({d}) ** 2 * p{k}' for k, d in enumerate(_D))}) / ({' + '.join(f'({d}) ** 2' for d in _D)}) FROM q WHERE n < 150)
+      SELECT epoch, ch, f, {', '.join(f'{d} AS d{k}' for k, d in enumerate(_D))} FROM q WHERE n = 150),
+o AS (SELECT q.*, {', '.join(f'd{k} * re{k} AS r{k}, d{k} * im{k} AS i{k}' for k in range(_NT))}, {' + '.join(f'd{k} * d{k}' for k in range(_NT))} AS w2 FROM q JOIN b USING (epoch, ch, f)),
+x AS (SELECT x.epoch, x.ch AS seed, y.ch AS target, x.f, 2 * ({' + '.join(f'x.r{k} * y.r{k} + x.i{k} * y.i{k}' for k in range(_NT))}) / sqrt(x.w2 * y.w2) AS re, 2 * ({' + '.join(f'x.i{k} * y.r{k} - x.r{k} * y.i{k}' for k in range(_NT))}) / sqrt(x.w2 * y.w2) AS im,
+      2 * ({' + '.join(f'x.r{k} * x.r{k} + x.i{k} * x.i{k}' for k in range(_NT))}) / x.w2 AS pxx, 2 * ({' + '.join(f'y.r{k} * y.r{k} + y.i{k} * y.i{k}' for k in range(_NT))}) / y.w2 AS pyy
+      FROM o x JOIN o y ON x.epoch = y.epoch AND x.f = y.f AND x.ch > y.ch)
+SELECT seed, target, f, CAST(f AS DOUBLE) AS freq, {_r(MEASURES['coh'], 'coh')} FROM x GROUP BY ALL"""
+
+
+# orders of an autoregression on one sample of a day: residual products by elimination, their determinant by pivots
+def _order(p: int, most: int, n_times: int = 24) -> str:
+    m, seen = K * p, n_times - p
+    sums = [f"sum(z{i} * z{j}) AS g{i}_{j}" for i in range(m) for j in range(m)] + [f"sum(z{i} * y{r}) AS g{i}_{m + r}" for i in range(m) for r in range(K)]
+    more = [f"sum(y{r} * y{q}) AS yy{r}_{q}" for r in range(K) for q in range(K)] + [f"sum(z{i} * y{r}) AS zy{i}_{r}" for i in range(m) for r in range(K)]
+    down, free = seen - m, n_times - most - m
+    left = [f"(yy{r}_{q} - ({' + '.join(f'g{i}_{m + r} * zy{i}_{q}' for i in range(m))})) / {free} * {down} / {seen} AS h{r}_{q}" for r in range(K) for q in range(K)]
+    pivots = [f"b{p}_{k + 1} AS MATERIALIZED (SELECT epoch, {''.join(f'd{i}, ' for i in range(k))}h{k}_{k} AS d{k}{''.join(f', h{i}_{j} - h{i}_{k} * h{k}_{j} / h{k}_{k} AS h{i}_{j}' for i in range(k + 1, K) for j in range(k + 1, K))} FROM b{p}_{k})" for k in range(K)]
+    cost = p * K * K / seen
+    return f"""g{p} AS (SELECT epoch, {', '.join(sums)} FROM l WHERE t >= {most} GROUP BY epoch), k{p} AS (SELECT epoch, {', '.join(more)} FROM l WHERE t >= {most} GROUP BY epoch), {_eliminated(f'g{p}', 'epoch, ', m, K, f'e{p}_')},
+b{p}_0 AS MATERIALIZED (SELECT epoch, {', '.join(left)} FROM e{p}_{m} JOIN k{p} USING (epoch)), {', '.join(pivots)},
+o{p} AS (SELECT epoch, {p} AS lags, ld + 2 * {cost}::DOUBLE AS aic, ld + ln({seen}) * {cost}::DOUBLE AS bic, ld + 2 * ln(ln({seen})) * {cost}::DOUBLE AS hqic, pow({seen + m}::DOUBLE / {down}, {K}) * exp(ld) AS fpe
+      FROM (SELECT epoch, {' + '.join(f'ln(d{k})' for k in range(K))} AS ld FROM b{p}_{K}))"""
+
+
+_MOST = 3
+ORACLES["select_order"] = f"""WITH {DAYS}, {_lagged(_MOST)}, {', '.join(_order(p, _MOST) for p in range(1, _MOST + 1))}, o AS ({' UNION ALL '.join(f'SELECT * FROM o{p}' for p in range(1, _MOST + 1))})
+SELECT epoch, {', '.join(f'CAST(arg_min(lags, {c}) AS INT) AS {c}' for c in ('aic', 'bic', 'hqic', 'fpe'))} FROM o GROUP BY epoch"""
+
+# the same within each epoch, from means over time
+_BY_EPOCH = "av AS (SELECT epoch, seed, target, f, avg(re) AS re, avg(im) AS im FROM x GROUP BY ALL)"
+ORACLES["gc_time"] = f"""{_wavelets(freqs=tuple(float(f) for f in range(3, 12)), cycles=1.5)}, {_pairs('tf', 't', every=True)}, {_BY_EPOCH}, {_causality(0, [0, 1], 3, False, 9, 'epoch, ')}
+SELECT con, f, {_r('avg(gc)', 'value')} FROM gc0 GROUP BY ALL"""
+_TWO_EACH = TWO.split(", w AS (SELECT f,", 1)[1].replace("GROUP BY f)", "GROUP BY epoch, f)").replace("(SELECT f, ", "(SELECT epoch, f, ")
+ORACLES["mim_time"] = f"{TFR}, {_pairs('tf', 't', every=True)}, {_BY_EPOCH}, w AS (SELECT epoch, f,{_TWO_EACH} SELECT epoch, f, {_r('m00 + m11', 'value')} FROM m"
+# a decomposition: filters of two channels with two over a band, by inverse roots and the vectors of E E' and E' E; each vector's largest entry is positive
+_BAND = f"""{SPECTRA}, {_pairs(every=True)}, av AS (SELECT seed, target, avg(re) AS re, avg(im) AS im FROM x WHERE f BETWEEN 3 AND 6 GROUP BY ALL), w AS (SELECT {_CELLS} FROM av),
+d AS (SELECT *, sqrt(r00 * r11 - r01 * r01) AS sa, sqrt(r22 * r33 - r23 * r23) AS sb FROM w), h AS (SELECT *, sqrt(r00 + r11 + 2 * sa) AS ta, sqrt(r22 + r33 + 2 * sb) AS tb FROM d),
+q AS (SELECT *, {_ROOT.format(0, 1, 'a')}, {_ROOT.format(2, 3, 'b')} FROM h),
+p AS (SELECT *, a00 * i02 + a01 * i12 AS p00, a00 * i03 + a01 * i13 AS p01, a01 * i02 + a11 * i12 AS p10, a01 * i03 + a11 * i13 AS p11 FROM q),
+e AS (SELECT *, p00 * b00 + p01 * b01 AS e00, p00 * b01 + p01 * b11 AS e01, p10 * b00 + p11 * b01 AS e10, p10 * b01 + p11 * b11 AS e11 FROM p),
+m AS (SELECT 0 AS side, a00 AS c00, a01 AS c01, a11 AS c11, e00 * e00 + e01 * e01 AS m00, e00 * e10 + e01 * e11 AS m01, e10 * e10 + e11 * e11 AS m11 FROM e
+      UNION ALL SELECT 1, b00, b01, b11, e00 * e00 + e10 * e10, e00 * e01 + e10 * e11, e01 * e01 + e11 * e11 FROM e),
+v AS (SELECT *, m01 AS v0, {_LEADING} - m00 AS v1 FROM m), k AS (SELECT side, c00, c01, c11, 0 AS component, v0, v1 FROM v UNION ALL SELECT side, c00, c01, c11, 1, -v1, v0 FROM v),
+n AS (SELECT *, sqrt(v0 * v0 + v1 * v1) * CASE WHEN abs(v0) >= abs(v1) THEN sign(v0) ELSE sign(v1) END AS long FROM k),
+fl AS (SELECT CAST(side AS INT) AS side, CAST(component AS INT) AS component, CAST(ch AS INT) AS ch, CASE ch WHEN 0 THEN c00 * v0 + c01 * v1 ELSE c01 * v0 + c11 * v1 END / long AS weight FROM n CROSS JOIN (SELECT unnest(range(2)) AS ch))"""
+ORACLES["decomp_filters"] = f"{_BAND} SELECT side, component, ch, {_r('abs(weight)', 'weight')} FROM fl"
+ORACLES["decomp_transform"] = f"{_BAND} SELECT epoch, CAST(2 * side + component AS INT) AS ch, t, {_r('sum(weight * value)', 'value')} FROM fl JOIN sig ON sig.ch = 2 * fl.side + fl.ch GROUP BY epoch, side, component, t"
+# a pooled model driven by the same noise at every step, from nothing; the first eleven samples are left out
+ORACLES["var_simulate_noise"] = f"""{_var(True)}, q AS (WITH RECURSIVE q AS (SELECT 0 AS n, {', '.join(f'0.0::DOUBLE AS x{i}' for i in range(K))}
+UNION ALL SELECT n + 1, {', '.join(f"{' + '.join(f'a{r}_{i} * x{i}' for i in range(K))} + {r + 1}" for r in range(K))} FROM q CROSS JOIN a WHERE n < 30) SELECT * FROM q)
+SELECT CAST(ch AS INT) AS ch, CAST(n - 11 AS INT) AS t, {_r(f"[{', '.join(f'x{i}' for i in range(K))}][ch + 1]", 'value', 4)} FROM q CROSS JOIN (SELECT unnest(range({K})) AS ch) WHERE n >= 11"""
+# patterns of two channels with one and of one with one, filled up to two: E has one column, so its leading vector is that column
+_COLUMN = "a00 * i02 + a01 * i12 AS v0, a01 * i02 + a11 * i12 AS v1"
+_ROWS = ", ".join(f"max({part}) FILTER (seed = {i} AND target = {j}) AS {part[0]}{i}{j}" for part in ("re", "im") for i, j in ((0, 0), (0, 1), (1, 1), (2, 2), (3, 3), (4, 4), (0, 2), (1, 2)))
+ORACLES["mic_patterns_padded"] = f"""{ALL}, w AS (SELECT f, {_ROWS} FROM av GROUP BY f), h AS (SELECT *, sqrt(r00 * r11 - r01 * r01) AS sa FROM w), d AS (SELECT *, sqrt(r00 + r11 + 2 * sa) AS ta FROM h),
+q AS (SELECT *, {_ROOT.format(0, 1, 'a')} FROM d), v AS (SELECT *, {_COLUMN} FROM q),
+n AS (SELECT f, 0 AS con, 'seed' AS side, [abs(r00 * v0 + r01 * v1) / sqrt(v0 * v0 + v1 * v1), abs(r01 * v0 + r11 * v1) / sqrt(v0 * v0 + v1 * v1)] AS p FROM v
+      UNION ALL SELECT f, 0, 'target', [r22, 0] FROM w UNION ALL SELECT f, 1, 'seed', [r33, 0] FROM w UNION ALL SELECT f, 1, 'target', [r44, 0] FROM w)
+SELECT CAST(con AS INT) AS con, f, side, CAST(slot AS INT) AS place, {_r('p[slot + 1]', 'value', 2)} FROM n CROSS JOIN (SELECT unnest(range(2)) AS slot)"""

@@ -707,7 +707,7 @@ def mic_patterns_padded(spark, sf):
     """Patterns of sets of two and of one channel, filled up with zeros to one length."""
     connections = [([0, 1], [2]), ([3], [4])]
     found = multivariate.padded_patterns(_sets(spark, sf, connections, ["mic"]))
-    sides = [found.select("con", "f", F.lit(side).alias("side"), F.posexplode(F.transform(f"{side}_pattern", F.abs)).alias("at", "value")) for side in ("seed", "target")]
+    sides = [found.select("con", "f", F.lit(side).alias("side"), F.posexplode(F.transform(f"{side}_pattern", F.abs)).alias("place", "value")) for side in ("seed", "target")]
     return rounded(sides[0].union(sides[1]), 2)
 
 
