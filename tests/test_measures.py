@@ -255,6 +255,36 @@ def test_granger_has_a_direction(spark):
         multivariate.check([([0], [0, 1])], ["gc"])
 
 
+def test_causality_of_leading_components():
+    """Two seeds that are one signal have one component, and cause what that signal causes; without ranks they are refused."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 2, 64))
+    x[:, 1, 2:] += 0.9 * x[:, 0, :-2]
+    s = np.fft.rfft((x - x.mean(2, keepdims=True)) * np.hanning(64), axis=2)
+    c = np.einsum("eif,ejf->fij", s, s.conj()) / len(x)
+    alone = multivariate.granger(c, 1, 4)
+    twice = c[:, [0, 0, 1]][:, :, [0, 0, 1]]
+    assert np.allclose(multivariate.granger(twice, 2, 4, (1, 1)), alone)
+    with pytest.raises(RuntimeError):
+        multivariate.granger(twice, 2, 4)
+
+
+def test_simulated_signals_follow_the_model(spark):
+    """Zero noise stays at zero; a step of noise decays as powers of the coefficients; draws don't depend on partitions."""
+    a = np.array([[0.5, 0.2], [0.0, -0.3]])
+    model = spark.createDataFrame([(None, i, j, 1, float(a[i, j])) for i in range(2) for j in range(2)], "epoch long, i int, j int, lag int, value double")
+    still = autoregression.simulated(model, 6, noise=lambda rng, k: np.zeros(k)).collect()
+    assert all(v == 0 for r in still for v in r.x)
+    pushed = {r.ch: r.x for r in autoregression.simulated(model, 6, noise=lambda rng, k: np.ones(k)).collect()}
+    x = np.zeros(2)
+    for t in range(16):
+        x = a @ x + 1
+        if t >= 10:
+            assert [pushed[0][t - 10], pushed[1][t - 10]] == pytest.approx(x)
+    one, two = (sorted((r.ch, tuple(r.x)) for r in autoregression.simulated(m, 50, seed=4).collect()) for m in (model, model.repartition(3)))
+    assert one == two and abs(np.std(one[0][1]) - 1) < 0.5
+
+
 def test_decomposition_raises_coherency(spark):
     x = covaria.make_signals_in_freq_bands(spark, 2, 2, (10, 14), n_epochs=20, n_times=100, sfreq=100.0, connection_delay=2, snr=0.5, seed=1)
     model = covaria.CoherencyDecomposition(100.0, ([0, 1], [2, 3]), 10, 14, "mic", "fourier", 1).fit(x)
