@@ -268,10 +268,10 @@ def _rest(least_words: int):
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs as (late, doc, row, text, whole: struct, copy: whether another row alike in id and text stands for this one)."""
+    """docs as (late, doc, row, text, whole: struct of what else they hold, copy: whether another row alike in id and text stands for this one)."""
     key = [F.col(id_col).isNull().cast("int").alias("late"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc"), F.xxhash64(text_col).alias("row")]
     again = cut(docs.select(*key).groupBy(*ROW).agg(F.count(F.lit(1)).alias("many")).where("many > 1").select(*ROW))
-    every = docs.select(*key, F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
+    every = docs.select(*key, F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("whole"))
     if again.isEmpty():
         return every.withColumn("copy", F.lit(False))
     some = cut(every.join(again, ROW).withColumn("n", F.monotonically_increasing_id()))
