@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, lines, mixing, quality, sharding, simhash, toxicity, urls, vectors
+from . import audit, chat, decontamination, lines, mixing, neighbours, quality, resampling, sharding, simhash, toxicity, urls, vectors
 from .common import read
 
 
@@ -48,6 +48,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(read(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.digest(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_chat_formatting": op2_chat_formatting,
@@ -59,5 +71,15 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_url_filters": op9_url_filters,
     "op10_line_dedup": op10_line_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
+}
+ORACLES: dict[str, str] = {
+    "op2_chat_formatting": chat.ORACLE,
+    "op4_embedding_near_dedup": vectors.ORACLE,
+    "op7_mixing": mixing.ORACLE,
+    "op9_url_filters": urls.ORACLE,
+    "op11_filter_audit": audit.ORACLE,
+    "op13_nearest_neighbours": neighbours.ORACLE,
 }
-ORACLES: dict[str, str] = {"op2_chat_formatting": chat.ORACLE, "op4_embedding_near_dedup": vectors.ORACLE, "op7_mixing": mixing.ORACLE, "op9_url_filters": urls.ORACLE}
