@@ -1,18 +1,19 @@
 """Approximate nearest neighbours by inner product: randomly rotated one-bit codes, error bounds, exact reranking.
 
-A vector is stored as its distance from the mean of all, and a code: one bit for the sign of each
-coordinate of the difference after a random rotation, which is the same for all. The code stands for
-a unit vector; how well it agrees with the difference's own direction (``fit``) corrects what is
-estimated by it. A query is rotated too and rounded to ``LEVELS`` steps, as bit planes, so that its inner product with a
-code is a few ANDs and population counts over packed words. The part of a direction that its code
-misses points, after a random rotation, anywhere, so what it adds to the estimate is about normal with a known deviation;
-``SPREAD`` deviations to either side bound the inner product.
-
-Codes meet queries in blocks: ``BLOCK`` vectors against ``QUERIES`` queries. Of a block a query needs
-only vectors whose upper bound reaches the k-th largest lower bound; these are scored in double precision on the
-original vectors, and the k nearest of each block meet by query. All rows are indexed; the mean
-is that of all. Of vectors equal in every component only the k + 1 smallest ids can ever be
-among k nearest (one may be the query's own), so more of them aren't indexed, and no vector is hot.
+A vector is stored as its distance from the mean of all, and a code: the difference is rotated at
+random, the same way for all, into a space of at least ``BITS`` dimensions, and one bit keeps the sign of each
+coordinate. The code stands for a unit vector; how well it agrees with the difference's own direction
+(``fit``) corrects what is estimated by it. What a code misses of a direction points anywhere after a
+random rotation, so what it adds to an inner product is about normal with a known deviation; ``SPREAD``
+deviations above the estimate are its upper bound. Estimate and bound of a whole block are one product of
+signs, scaled by the correction scalars, with the rotated queries.
+
+Codes meet queries in blocks: ``BLOCK`` vectors against ``QUERIES`` queries. Of a block each query first
+has the vectors with the highest bounds scored, ``FIRST`` times as many as it asks for, in double precision on the
+original vectors; then only those whose bound reaches the k-th best score so far. The k
+nearest of each block meet by query. All rows are indexed; the mean is that of all. Of vectors equal in
+every component only the k + 1 smallest ids can ever be among k nearest (one may be the query's own),
+so more of them aren't indexed, and no vector is hot.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part; null ids
 take no part; ids are integers, others raise TypeError; vectors of different lengths are never compared; rows that
@@ -35,26 +36,17 @@ from pyspark.sql.window import Window
 from .common import cut
 
 NEAREST, EVERY = 20, 20
-#: Deviations of the estimate that bound an inner product.
-SPREAD = 4.0
-#: Bits of a query's rounded coordinates.
-PLANES = 6
-LEVELS = (1 << PLANES) - 1
-#: Vectors and queries of a block, and pairs whose estimates are in memory at once.
-BLOCK, QUERIES, AT_ONCE = 4096, 1024, 1 << 20
+#: Deviations of the estimate that bound an inner product, and bits of a code at least.
+SPREAD, BITS = 4.0, 256
+#: Vectors and queries of a block, pairs whose bounds are in memory at once, and how many are scored first, for each that is sought.
+BLOCK, QUERIES, AT_ONCE, FIRST = 4096, 1024, 1 << 20, 4
 FOUND = "query_id long, vec_id long, score double"
 
 
 def rotation(dim: int, seed: int = 0) -> np.ndarray:
-    """A random orthogonal matrix, the same for all."""
-    q, r = np.linalg.qr(np.random.default_rng([seed, dim]).normal(size=(dim, dim)))
-    return q * np.sign(np.diag(r))
-
-
-def _packed(bits: np.ndarray) -> np.ndarray:
-    """Rows of bits as rows of 64-bit words."""
-    packed = np.packbits(bits, axis=-1, bitorder="little")
-    return np.ascontiguousarray(np.pad(packed, [(0, 0)] * (packed.ndim - 1) + [(0, -packed.shape[-1] % 8)])).view(np.uint64)
+    """Orthonormal rows that turn vectors of dim components into max(dim, BITS), the same for all."""
+    q, r = np.linalg.qr(np.random.default_rng([seed, dim]).normal(size=(max(dim, BITS), dim)))
+    return (q * np.sign(np.diag(r))).T
 
 
 class Codes:
@@ -62,38 +54,29 @@ class Codes:
 
     def __init__(self, bits: np.ndarray, norm: np.ndarray, fit: np.ndarray):
         self.bits, self.norm, self.fit = bits, norm, fit
-        self.ones = np.bitwise_count(bits).sum(1).astype(np.float64)
 
     @classmethod
     def of(cls, x: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> Codes:
         off = (x - centre) @ turn
         norm = np.linalg.norm(off, axis=1)
-        fit = np.abs(off).sum(1) / np.where(norm > 0, norm, 1) / np.sqrt(x.shape[1])
-        return cls(_packed(off > 0), norm, np.where(norm > 0, fit, 1.0))
-
-    def bounds(self, queries: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(lower, upper) bounds of the inner products, a row for each query.
-
-        With s the signs of a code, its vector is s / sqrt(dim). A query's coordinates are low + step * u
-        with u a number of PLANES bits, so their product with 2 * bits - 1 comes from counts of
-        common bits, plane by plane.
-        """
-        dim, turned = queries.shape[1], queries @ turn
-        low, step = turned.min(1), np.maximum(np.ptp(turned, axis=1) / LEVELS, np.finfo(float).tiny)
-        u = np.rint((turned - low[:, None]) / step[:, None]).astype(np.uint8)
-        common = np.zeros((len(queries), len(self.bits)))
-        for plane in range(PLANES):
-            q = _packed(u >> plane & 1)
-            for word in range(self.bits.shape[1]):
-                common += np.bitwise_count(q[:, word, None] & self.bits[None, :, word]) * float(1 << plane)
-        signed = 2 * (low[:, None] * self.ones + step[:, None] * common) - (low * dim + step * u.sum(1, dtype=np.int64))[:, None]
-        by_code = signed / np.sqrt(dim)
-        middle = (queries @ centre)[:, None] + by_code * (self.norm / self.fit)
-        missed = np.sqrt(np.maximum(0, 1 - self.fit**2) / max(1, dim - 1))
-        # what the code misses of the direction, and what rounding changed of the query
-        off = SPREAD * (np.linalg.norm(queries, axis=1)[:, None] * missed + (step / np.sqrt(12))[:, None]) * (self.norm / self.fit)
-        off += 1e-9 * (1 + np.abs(middle))
-        return middle - off, middle + off
+        fit = np.abs(off).sum(1) / np.where(norm > 0, norm, 1) / np.sqrt(turn.shape[1])
+        return cls(np.packbits(off > 0, axis=1), norm, np.where(norm > 0, fit, 1.0))
+
+    def signs(self, length: int) -> np.ndarray:
+        """A row for each code: its signs, scaled so that they multiply with a rotated query to the estimate, and what a query's norm adds to that in one deviation."""
+        scale, n = self.norm / self.fit, max(1, length - 1)
+        out = np.empty((len(self.bits), length + 1), np.float32)
+        out[:, :-1] = np.unpackbits(self.bits, axis=1, count=length)
+        out[:, :-1] *= (2 * scale / np.sqrt(length))[:, None]
+        out[:, :-1] -= (scale / np.sqrt(length))[:, None]
+        out[:, -1] = scale * (np.sqrt(np.maximum(0, 1 - self.fit**2) / n) + 1e-6)
+        return out
+
+
+def bounds(signs: np.ndarray, queries: np.ndarray, turn: np.ndarray, spread: float = SPREAD) -> np.ndarray:
+    """What each code's inner product with each query exceeds that of the centre by, at most, spread deviations from the estimate; a row for each query."""
+    asked = np.append(queries @ turn, spread * np.linalg.norm(queries, axis=1)[:, None], axis=1)
+    return asked.astype(np.float32) @ signs.T
 
 
 def products(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -119,17 +102,23 @@ def _nearest(k: int, shared):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         x, q = np.stack(rows["v"].to_numpy()).astype(float), np.stack(asked["v"].to_numpy()).astype(float)
         ids, names, (centre, seed) = rows["id"].to_numpy(np.int64), asked["id"].to_numpy(np.int64), shared.value
-        turn, centre = rotation(x.shape[1], seed), centre[x.shape[1]]
-        codes = Codes(np.stack([np.frombuffer(c, np.uint64) for c in rows["code"]]), rows["norm"].to_numpy(float), rows["fit"].to_numpy(float))
-        found, step = [], max(1, AT_ONCE // len(x))
+        turn, of_centre = rotation(x.shape[1], seed), q @ centre[x.shape[1]]
+        bits = np.stack([np.frombuffer(c, np.uint8) for c in rows["code"]])
+        signs = Codes(bits, rows["norm"].to_numpy(float), rows["fit"].to_numpy(float)).signs(turn.shape[1])
+        found, step, first = [], max(1, AT_ONCE // len(x)), min(len(x), FIRST * k + 1)
         for at in range(0, len(q), step):
             part = slice(at, at + step)
-            lower, upper = codes.bounds(q[part], centre, turn)
-            own = names[part, None] == ids
-            lower[own] = upper[own] = -np.inf
-            least = np.partition(lower, -k, axis=1)[:, -k] if k < len(x) else np.full(len(lower), -np.inf)
-            j, i = np.nonzero((upper >= least[:, None]) & ~own)
-            score = products(x, i, q[part], j)
+            here = q[part]
+            upper = bounds(signs, here, turn)
+            j, i = np.arange(len(here)).repeat(first), np.argpartition(-upper, first - 1, axis=1)[:, :first].ravel()
+            score = products(x, i, here, j)
+            score[names[part][j] == ids[i]] = -np.inf
+            least = np.partition(score.reshape(len(here), first), -k, axis=1)[:, -k] if k < first else np.full(len(here), -np.inf)
+            # not below: bounds that aren't numbers, of products beyond what floats hold, leave nothing out
+            j, i = np.nonzero(~(upper < (least - of_centre[part])[:, None]) & (names[part, None] != ids))
+            score = products(x, i, here, j)
+            few = ~(score < least[j])
+            j, i, score = j[few], i[few], score[few]
             best = _first(j, score, ids[i], k)
             found.append(pd.DataFrame({"query_id": names[part][j[best]], "vec_id": ids[i[best]], "score": score[best]}))
         return pd.concat(found)

@@ -197,15 +197,17 @@ def test_neighbours_equal_brute_force(spark, dim, n):
     assert [g[3] for g in got] == pytest.approx([w[3] for w in want], rel=1e-12)
 
 
-def test_bounds_hold_and_leave_most_out():
-    x = np.array([v for _, v, _ in vectors(256, 3000)])
-    turn, centre = neighbours.rotation(256), x.mean(0)
-    assert np.abs(turn @ turn.T - np.eye(256)).max() < 1e-9
-    codes = neighbours.Codes.of(x, centre, turn)
-    lower, upper = codes.bounds(x[:100], centre, turn)
-    exact = x[:100] @ x.T
-    assert ((lower <= exact) & (exact <= upper)).mean() > 0.9999
-    least = np.partition(lower, -20, axis=1)[:, -20]
+@pytest.mark.parametrize("dim", [16, 64, 500])
+def test_bounds_hold_and_leave_most_out(dim):
+    x = np.array([v for _, v, _ in vectors(dim, 3000)])
+    turn, centre = neighbours.rotation(dim), x.mean(0)
+    assert turn.shape == (dim, max(dim, neighbours.BITS)) and np.abs(turn @ turn.T - np.eye(dim)).max() < 1e-9
+    signs = neighbours.Codes.of(x, centre, turn).signs(turn.shape[1])
+    exact, of_centre = x[:100] @ x.T, (x[:100] @ centre)[:, None]
+    upper = of_centre + neighbours.bounds(signs, x[:100], turn)
+    assert (exact <= upper).mean() > 0.9999
+    assert (exact >= of_centre + neighbours.bounds(signs, x[:100], turn, -neighbours.SPREAD)).mean() > 0.9999
+    least = np.partition(exact, -20, axis=1)[:, -20]
     assert (upper >= least[:, None]).mean() < 0.3
 
 
