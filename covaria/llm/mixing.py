@@ -7,6 +7,10 @@ expected copies are summed up along that order, one random offset is added, and
 once for each integer that its step of the running sum crosses. As neighbours in that order are of
 nearly equal size, the words taken miss the target by less than about the largest document of the source.
 
+A document of more than ``LARGE`` of its source's target would make that miss a large one, so the ``MANY``
+largest of these are left out of the draw: in order of size, each is taken its expected copies rounded down or up,
+whichever keeps what is taken so far nearer to what is due. What they leave of the target is drawn from the rest.
+
 The running sum is a multiple of the document's position, so all that has to be summed are row
 counts: by source, size class and spread, a small table; no task ever sorts a whole source. Rows alike
 in every column are one row with a number, and take their places one after another.
@@ -27,6 +31,8 @@ from .common import cut, row_key, rows_with, word_count
 
 MOST = 3
 SEED = "mix-1"
+#: The share of its source's target from which on a document isn't drawn but rounded, and how many of a source at most.
+LARGE, MANY = 0.02, 256
 
 
 def _class_of(size: Column) -> Column:
@@ -60,29 +66,63 @@ def _source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
 
 
+def _rounded(kinds: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(src, large): of each source that has any, its largest kinds, the largest first, with copies: what all rows of the kind together are taken."""
+    big = kinds.join(wanted.select("src", "target", "share"), "src").where(F.col("size") > F.col("target") * LARGE)
+    by_size = Window.partitionBy("src").orderBy(F.col("size").desc(), "tie", "k1", "k2")
+    big = big.withColumn("nth", F.row_number().over(by_size)).where(F.col("nth") <= MANY)  # so much a source
+    columns = ["nth", "k1", "k2", "id", "source", "size", "many", "tie"]
+    listed = big.groupBy("src", "share").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("rows"))
+
+    def step(state: Column, row: Column) -> Column:
+        due = row["many"] * F.col("share")
+        over = lambda copies: state["over"] + row["size"] * (copies - due)
+        copies = F.when(F.abs(over(F.floor(due))) <= F.abs(over(F.ceil(due))), F.floor(due)).otherwise(F.ceil(due))
+        return F.struct(over(copies).alias("over"), F.concat(state["copies"], F.array(copies)).alias("copies"))
+
+    start = F.struct(F.lit(0.0).alias("over"), F.array().cast("array<bigint>").alias("copies"))
+    copies = F.aggregate("rows", start, step)["copies"]
+    return listed.select("src", F.zip_with("rows", copies, lambda r, c: r.withField("copies", c)).alias("large"))
+
+
 def _placed(rows: DataFrame) -> DataFrame:
-    """Rows (k1, k2, id, source, size), written, to kinds of rows, with many (rows of the kind), at (the places before it, in the source), share and offset, source_size and target."""
+    """Rows (k1, k2, id, source, size), written, to kinds of rows, with many (rows of the kind), at (the places before it), share and offset, source_size and target."""
     tie = F.coalesce(F.md5(F.col("id").cast("string")), F.lit(""))
     part = ["src", "cls", "spread"]
     kinds = rows.groupBy("k1", "k2", "id", "source", "size").agg(F.count(F.lit(1)).alias("many"))
     # rows without an id are spread by what else they hold
     spread = F.when(F.col("id").isNull(), F.lpad(F.lower(F.hex(F.col("k1").bitwiseAND(F.lit(255)))), 2, "0")).otherwise(F.substring(tie, 1, 2))
     kinds = cut(kinds.withColumns({"src": _source_key(F.col("source")), "cls": _class_of(F.col("size")), "spread": spread, "tie": tie}))
-    counts = cut(kinds.groupBy(*part, "source").agg(F.sum("many").alias("rows"), F.sum(F.col("size") * F.col("many")).alias("words")))
-    wanted = targets(counts.groupBy("source").agg(F.sum("words").cast("long").alias("source_size")))
+    wanted = targets(kinds.groupBy("source").agg(F.sum(F.col("size") * F.col("many")).cast("long").alias("source_size")))
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    wanted = wanted.withColumns({"src": _source_key(F.col("source")), "share": share}).drop("source")
+    wanted = cut(wanted.withColumns({"src": _source_key(F.col("source")), "share": share}).drop("source"))
+    wanted = cut(wanted.join(_rounded(kinds, wanted), "src", "left"))
+    # what the rest shall give, and where it begins in the order of size
+    words = lambda what: F.coalesce(F.aggregate("large", F.lit(0).cast("long"), lambda s, r: s + r["size"] * what(r)), F.lit(0))
+    left, size_left = F.col("target") - words(lambda r: r["copies"]), F.col("source_size") - words(lambda r: r["many"])
+    rest_share = F.when(F.col("large").isNull(), F.col("share")).when(size_left > 0, F.least(F.greatest(left / size_left, F.lit(0.0)), F.lit(float(MOST)))).otherwise(F.col("share"))
+    key = lambda r: F.struct(-r["size"], r["tie"], r["k1"], r["k2"])
+    rest = wanted.select("src", rest_share.alias("share"), "offset", "source_size", "target", key(F.element_at("large", -1)).alias("last"))
+    drawn = kinds.join(rest.select("src", "last"), "src")
+    drawn = drawn.where(F.col("last.col1").isNull() | (F.struct(-F.col("size"), "tie", "k1", "k2") > F.col("last"))).drop("last")
+    counts = cut(drawn.groupBy(*part).agg(F.sum("many").alias("rows")))
     # what comes before a part: classes of its source first, then spreads of its class; each a small table with a fixed largest number of rows a source
     classes = counts.groupBy("src", "cls").agg(F.sum("rows").alias("n"))
     to_class = Window.partitionBy("src").orderBy("cls").rowsBetween(Window.unboundedPreceding, -1)
     to_spread = Window.partitionBy("src", "cls").orderBy("spread").rowsBetween(Window.unboundedPreceding, -1)
     classes = classes.select("src", "cls", F.coalesce(F.sum("n").over(to_class), F.lit(0)).alias("in_source"))
     parts = counts.select(*part, F.coalesce(F.sum("rows").over(to_spread), F.lit(0)).alias("in_class"))
-    parts = parts.join(classes, ["src", "cls"]).join(wanted, "src")
-    parts = parts.select(*part, (F.col("in_source") + F.col("in_class")).alias("before"), "source_size", "target", "share", "offset")
+    parts = parts.join(classes, ["src", "cls"]).join(rest.drop("last"), "src")
+    found = ["share", "offset", "source_size", "target"]
+    parts = parts.select(*part, (F.col("in_source") + F.col("in_class")).alias("before"), *found)
     within = Window.partitionBy(*part).orderBy("size", "tie", "k1", "k2").rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.coalesce(F.sum("many").over(within), F.lit(0))
-    return kinds.withColumn("ahead", ahead).join(parts, part).withColumn("at", F.col("before") + F.col("ahead"))
+    columns = ["k1", "k2", "id", "source", "size", "many"]
+    drawn = drawn.withColumn("ahead", ahead).join(parts, part).select(*columns, (F.col("before") + F.col("ahead")).alias("at"), *found)
+    # a rounded kind's copies are dealt evenly to its rows
+    rounded = wanted.where("large IS NOT NULL").select(F.inline("large"), "source_size", "target")
+    rounded = rounded.select(*columns, F.lit(0).cast("long").alias("at"), (F.col("copies") / F.col("many")).alias("share"), F.lit(0.5).alias("offset"), "source_size", "target")
+    return drawn.unionByName(rounded)
 
 
 def _crossed(first, last) -> Column:
@@ -127,7 +167,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 #: The same rows by DuckDB.
 ORACLE = f"""
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
                   coalesce(md5(CAST(doc_id AS VARCHAR)), '') AS tie FROM documents),
 k AS (SELECT *, length(bin(size)) * 8 + CASE WHEN length(bin(size)) > 3 THEN (size >> (length(bin(size)) - 4)) - 8 ELSE size END AS cls FROM d),
 t AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
@@ -139,8 +179,18 @@ o AS (SELECT *, ((SELECT sum(source_size) FROM t) - coalesce(sum(source_size * {
 g AS (SELECT source, source_size,
              least(coalesce((SELECT own FROM o WHERE own <= ratio ORDER BY ratio, own LIMIT 1), 0.0) * weight, CAST(source_size * {MOST} AS DOUBLE)) AS target,
              CAST('0x' || substr(md5('{SEED}' || coalesce(source, '')), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM o),
-n AS (SELECT k.*, row_number() OVER (PARTITION BY source ORDER BY cls, substr(tie, 1, 2), size, tie) AS place FROM k),
-f AS (SELECT n.*, g.source_size, g.target, g.u, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0.0 END AS share
-      FROM n JOIN g ON n.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target, size * CAST(floor(place * share + u) - floor((place - 1) * share + u) AS BIGINT) AS taken FROM f
+h AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS share FROM g),
+b AS (SELECT k.doc_id, k.source, k.size, h.share, row_number() OVER (PARTITION BY k.source ORDER BY k.size DESC, tie) AS nth
+      FROM k JOIN h ON k.source IS NOT DISTINCT FROM h.source WHERE k.size > h.target * {LARGE} QUALIFY nth <= {MANY}),
+z AS (SELECT b.*, CAST(0.0 AS DOUBLE) AS over_, CAST(0 AS BIGINT) AS copies FROM b WHERE false
+      UNION ALL SELECT doc_id, source, size, share, nth, size * (c - share), c FROM (SELECT *, CAST(CASE WHEN abs(size * (floor(share) - share)) <= abs(size * (ceil(share) - share)) THEN floor(share) ELSE ceil(share) END AS BIGINT) AS c FROM b WHERE nth = 1)
+      UNION ALL SELECT doc_id, source, size, share, nth, o + size * (c - share), c FROM (
+        SELECT b.*, z.over_ AS o, CAST(CASE WHEN abs(z.over_ + b.size * (floor(b.share) - b.share)) <= abs(z.over_ + b.size * (ceil(b.share) - b.share)) THEN floor(b.share) ELSE ceil(b.share) END AS BIGINT) AS c
+        FROM z JOIN b ON z.source IS NOT DISTINCT FROM b.source AND b.nth = z.nth + 1)),
+y AS (SELECT source, sum(size) AS words, sum(size * copies) AS given FROM z GROUP BY source),
+x AS (SELECT h.*, CASE WHEN y.words IS NULL OR source_size = y.words THEN share ELSE least(greatest((target - y.given) / (source_size - y.words), 0.0), {float(MOST)}) END AS rest
+      FROM h LEFT JOIN y ON h.source IS NOT DISTINCT FROM y.source),
+n AS (SELECT k.*, row_number() OVER (PARTITION BY source ORDER BY cls, substr(tie, 1, 2), size, tie) AS place FROM k WHERE NOT EXISTS (SELECT 1 FROM z WHERE z.doc_id = k.doc_id))
+SELECT doc_id, size, source_size, target, size * CAST(floor(place * rest + u) - floor((place - 1) * rest + u) AS BIGINT) AS taken FROM n JOIN x ON n.source IS NOT DISTINCT FROM x.source
+UNION ALL SELECT doc_id, size, source_size, target, size * copies FROM z JOIN x ON z.source IS NOT DISTINCT FROM x.source
 """
