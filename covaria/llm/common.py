@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,8 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{warehouse.rstrip('/')}/shared"
 
 
-#: Folders written by this process that are still there.
-_WRITTEN: list[str] = []
+class _Written(threading.local):
+    """Folders that are still there, by the thread that wrote them, so that one run never deletes what another reads."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_WRITTEN = _Written()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -43,7 +50,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    _WRITTEN.paths.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out
@@ -54,7 +61,8 @@ def _delete(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         folder = jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(conf).delete(folder, True)
-        _WRITTEN.remove(path)
+        if path in _WRITTEN.paths:
+            _WRITTEN.paths.remove(path)
 
 
 def forget(df: DataFrame) -> None:
@@ -63,13 +71,13 @@ def forget(df: DataFrame) -> None:
 
 
 def written() -> int:
-    """A mark for tidy: what is written from here on."""
-    return len(_WRITTEN)
+    """A mark for tidy: what this thread writes from here on."""
+    return len(_WRITTEN.paths)
 
 
 def tidy(spark: SparkSession, mark: int = 0, keep: DataFrame | None = None) -> None:
-    """Deletes what cut has written since the mark but for one table, once no result that reads it is needed."""
-    _delete(spark, [p for p in _WRITTEN[mark:] if keep is None or p != keep.cut_path])
+    """Deletes what cut has written in this thread since the mark but for one table, once no result that reads it is needed."""
+    _delete(spark, [p for p in _WRITTEN.paths[mark:] if keep is None or p != keep.cut_path])
 
 
 def row_key(df: DataFrame) -> list[Column]:

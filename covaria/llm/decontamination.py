@@ -13,6 +13,8 @@ there are several, each is made, sent, used and dropped before the next is made,
 once for each. They are matched where they are read, without a shuffle, so a passage that many documents
 hold costs each of them the same.
 
+Item ids may be of any type and null; they are returned as they are.
+
 Defined cases: null, empty and blank texts match nothing, on either side; items of fewer than five
 words are one shingle; equal items are each reported; of several windows the most similar, then the
 first, is reported; null ids and repeated rows are reported like others; empty tables give no rows;
@@ -39,7 +41,6 @@ MAX_BYTES = 16 << 20
 AT_ONCE = 1 << 21
 #: For each byte those within NEAR bits of it.
 BALL = [np.nonzero(np.bitwise_count(np.arange(256, dtype=np.uint8) ^ np.uint8(v)) <= NEAR)[0] for v in range(256)]
-MATCH = "array<struct<item_id:bigint,similarity:double,start_word:int,n_words:int>>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -133,7 +134,7 @@ class Index:
         return wanted
 
     def matches(self, text: str | None) -> list[tuple[int, float, int, int]]:
-        """(item, similarity, first word, words) of the best window for each item that text holds."""
+        """(item, similarity, first word, words) of the best window for each item that text holds, in order of place."""
         words = words_of(text)
         out = []
         for n, wanted in self._windows(words).items():
@@ -151,7 +152,7 @@ class Index:
                         if same >= LEAST and same > best.get(item, (0.0, 0))[0]:
                             best[item] = (same, first + int(row))
             out += [(i, same, start, size) for item, (same, start) in best.items() for i in items.ids[item]]
-        return sorted(out)
+        return sorted(out, key=lambda m: (m[2], m[3], -m[1]))  # ids may be null or of types without order
 
 
 def parts(benchmark: DataFrame, max_bytes: int = MAX_BYTES) -> list[DataFrame]:
@@ -165,13 +166,13 @@ def index_of(part: DataFrame) -> Index:
     return Index([(r.item_id, r.text) for r in part.toLocalIterator()])  # about max_bytes
 
 
-def matches(shared, text: Column) -> Column:
+def matches(shared, text: Column, item: str = "bigint") -> Column:
     """An array of the items of a broadcast index that the text holds."""
 
     def found(texts: pd.Series) -> pd.Series:
         return pd.Series([[dict(zip(("item_id", "similarity", "start_word", "n_words"), m, strict=True)) for m in shared.value.matches(t)] for t in texts], dtype=object)
 
-    return F.pandas_udf(found, MATCH)(text)
+    return F.pandas_udf(found, f"array<struct<item_id:{item},similarity:double,start_word:int,n_words:int>>")(text)
 
 
 def _of_parts(docs: DataFrame, benchmark: DataFrame, max_bytes: int, use) -> list[DataFrame]:
@@ -188,12 +189,14 @@ def _of_parts(docs: DataFrame, benchmark: DataFrame, max_bytes: int, use) -> lis
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = MAX_BYTES) -> DataFrame:
     """A row for each document and item that it holds: id, item_id, similarity, start_word, n_words."""
-    return reduce(DataFrame.unionAll, _of_parts(docs, benchmark, max_bytes, lambda shared: docs.select(id_col, F.inline(matches(shared, F.col(text_col))))))
+    item = benchmark.schema["item_id"].dataType.simpleString()
+    return reduce(DataFrame.unionAll, _of_parts(docs, benchmark, max_bytes, lambda shared: docs.select(id_col, F.inline(matches(shared, F.col(text_col), item)))))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", max_bytes: int = MAX_BYTES) -> DataFrame:
     """The documents that hold no item."""
-    holds = lambda shared: F.size(matches(shared, F.col(text_col))) > 0
+    item = benchmark.schema["item_id"].dataType.simpleString()
+    holds = lambda shared: F.size(matches(shared, F.col(text_col), item)) > 0
     if len(parts(benchmark, max_bytes)) == 1:
         return _of_parts(docs, benchmark, max_bytes, lambda shared: docs.where(~holds(shared)))[0]
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *row_key(docs))

@@ -201,8 +201,11 @@ def fit(vectors: np.ndarray, centre: np.ndarray, x: np.ndarray, labels: list[int
 
 
 def labelled(docs: DataFrame, labels: DataFrame, target: str, split: tuple[int, int], max_rows: int) -> DataFrame:
-    """The documents of at most max_rows training labels: (doc_id, text, label, turn); of repeated ids there may be more, those of the first turns count."""
-    usable = labels.where(~held_out(F.col("doc_id"), *split) & F.col(target).isNotNull())
+    """The documents of at most max_rows training labels: (doc_id, text, label, turn); of repeated ids there may be more, those of the first turns count.
+
+    Labels of absent documents leave first, so that they take no other's place.
+    """
+    usable = labels.where(~held_out(F.col("doc_id"), *split) & F.col(target).isNotNull()).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     chosen = usable.select("doc_id", F.col(target).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_rows pairs of numbers
     return found.withColumn("turn", F.struct(F.xxhash64("doc_id"), F.xxhash64("text"), "label"))

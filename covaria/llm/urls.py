@@ -17,8 +17,8 @@ Defined cases: a null url, or one without ``://``, has an empty host and path; p
 count for the tree but not for purity; without any label nothing is rejected; null ids and repeated
 rows are judged like others; an empty table gives no rows; other columns stay, whatever their names, and
 host, path, rule and verdict replace columns of the same name. A page's label is that of the document
-whose id is the first segment of the path that is a number, an extension aside; numbers that no 64 bits
-hold, and parts of longer words and numbers, name none.
+whose id is the first segment of the path that is a number, an extension aside (a year or a day in the
+path is such a number); numbers that no 64 bits hold, and parts of longer words and numbers, name none.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ Z, PRIOR, PURE = 1.96, 10.0, 0.5
 #: Levels of the tree in the SQL only, which is right for tables whose paths have no more segments.
 DEPTH = 8
 #: The number that names a document.
-NAMED = r"/([0-9]{1,18})(?:[/.]|$)"
+NAMED = r"/([0-9]+)(?:[/.]|$)"
 #: A child that holds digits and was told from its siblings; no segment is shown so, as those with digits are wildcards.
 TOLD = "0*"
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]

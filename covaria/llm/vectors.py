@@ -14,7 +14,7 @@ Equal vectors are one row from the start. Cells hold at most ``BLOCK`` homes and
 at a time: larger ones are dealt out in blocks of homes against blocks of visitors. A block returns
 a count for each home and a spanning forest of its links, never all pairs.
 
-Defined cases: vectors that are null, zero, or hold null or non-finite components, and those whose
+Defined cases: ids are integers, others raise TypeError; vectors that are null, zero, or hold null or non-finite components, and those whose
 label is null, link with nothing; labels are compared as text, so any type will do; vectors of different
 lengths are never compared; equal vectors of one label link with each other; null ids count as links of
 others and get the component of their class; repeated rows are vectors of their own; an empty table gives
@@ -29,6 +29,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut
 from .components import components
@@ -129,6 +130,8 @@ def _linked(rows: pd.DataFrame) -> pd.DataFrame:
 
 def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", per: int = PER, n_pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
     """The id of each vector with n_links (long), component_id (long) and kept (boolean)."""
+    if not isinstance(vectors.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be an integer column")
     value = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     length = F.sqrt(F.aggregate(value, F.lit(0.0), lambda s, x: s + x * x))
     sound = F.col(label_col).isNotNull() & (F.size(vector_col) > 0) & F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (length > 0) & (length < float("inf"))

@@ -675,3 +675,65 @@ def test_lines_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert lines.deduplicated(empty).collect() == []
     assert [r.text for r in lines.deduplicated(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")).orderBy("doc_id").collect()] == [None, ""]
+
+
+# odd ids and labels
+
+
+def test_items_without_ids_or_with_names_as_ids(spark):
+    docs = documents(spark, [(1, "x y a b c d e f g z h i j k l m n w", "en", "s", 0)])
+    texts = ["a b c d e f g", "h i j k l m n"]
+    some = spark.createDataFrame([(None, texts[0]), (5, texts[1]), (None, texts[1])], "item_id long, text string")
+    got = [(r.item_id, r.start_word) for r in decontamination.contaminated(docs, some).collect()]
+    assert got[0] == (None, 2) and sorted(got[1:], key=repr) == [(5, 10), (None, 10)]
+    assert decontamination.clean(docs, some).count() == 0
+    named = spark.createDataFrame([("one", texts[0]), (None, texts[1])], "item_id string, text string")
+    assert [r.item_id for r in decontamination.contaminated(docs, named, max_bytes=20).orderBy("start_word").collect()] == ["one", None]
+    assert decontamination.clean(docs, named, max_bytes=20).count() == 0
+
+
+def test_labels_of_absent_documents_take_no_place(spark):
+    docs = documents(spark, [(i, f"text {i}", "en", "s", 0) for i in range(40)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(5000)], "doc_id long, quality int, toxic int")
+    found = quality.labelled(docs, labels, "quality", quality.HELD_OUT, 100)
+    want = {i for i in range(40) if zlib.crc32(str(i).encode()) % 5}
+    assert {r.doc_id for r in found.collect()} == want
+
+
+def test_integer_ids_are_asked_for(spark):
+    with pytest.raises(TypeError):
+        vectors.linked(spark.createDataFrame([("a", [1.0], 1)], "vec_id string, embedding array<float>, label int"))
+
+
+def test_long_numbers_name_documents(spark):
+    big = 8_000_000_000_000_000_001
+    pages = spark.createDataFrame([(1, f"http://a.com/{big}"), (2, f"http://a.com/{big}0/7"), (3, "http://a.com/2024/7")], "page_id long, url string")
+    labels = spark.createDataFrame([(big, 0, 0), (7, 0, 0), (2024, 1, 0)], "doc_id long, quality int, toxic int")
+    assert {r.page_id: r.bad for r in urls.labelled(pages, labels).collect()} == {1: True, 2: None, 3: False}
+
+
+def test_what_another_thread_wrote_stays(spark):
+    import threading
+
+    from covaria.llm import common
+
+    kept = []
+    other = threading.Thread(target=lambda: kept.append(common.cut(spark.range(3))))
+    mark = common.written()
+    other.start()
+    other.join()
+    common.cut(spark.range(2))
+    common.tidy(spark, mark)
+    assert kept[0].count() == 3
+
+
+def test_mix_meets_its_targets(spark):
+    rng = random.Random(7)
+    rows = [(i, "w " * (3000 if rng.random() < 0.1 else rng.randint(1, 300)), "en", f"s{rng.randrange(8)}", 0) for i in range(500)]
+    rows += [rows[3]] * 5 + [(600, "w " * 2000, "en", "alone", 0), (None, "w " * 2500, "en", "s1", 0), (None, None, "en", None, 0)]
+    got = mixing.mix(documents(spark, rows).withColumn("size", mixing.word_count(F.col("text")))).collect()
+    assert len(got) == len(rows) and all(0 <= r.copies <= 3 for r in got)
+    for source in {r.source for r in got}:
+        own = [r for r in got if r.source == source]
+        taken, largest = sum(r.size * r.copies for r in own), max(r.size for r in own)
+        assert abs(taken - own[0].target) <= (0.03 * own[0].target if len(own) > 5 else largest)
