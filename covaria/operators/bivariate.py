@@ -63,21 +63,47 @@ def register(name: str, measure: Measure, registry: dict[str, Measure] = EPOCHS)
     registry[name] = measure
 
 
-def _aggregated(cross: DataFrame, keys: list[str], methods: list[str], registry: dict[str, Measure]) -> DataFrame:
+def _states(cross: DataFrame, keys: list[str], methods: list[str], registry: dict[str, Measure], *more) -> DataFrame:
     unknown = [m for m in methods if m not in registry]
     if unknown:
         raise ValueError(f"no such method: {', '.join(unknown)}")
     states = STATES | {k: v for m in methods for k, v in registry[m].extra.items()}
     needed = dict.fromkeys(s for m in methods for s in registry[m].states)
-    rows = cross.groupBy(*keys).agg(*[F.expr(states[s]).alias(s) for s in needed])
+    return cross.groupBy(*keys).agg(*[F.expr(states[s]).alias(s) for s in needed], *more)
+
+
+def _values(rows: DataFrame, keys: list[str], methods: list[str], registry: dict[str, Measure]) -> DataFrame:
     values = [c for m in methods for c in ([F.expr(registry[m].value).alias(m)] if registry[m].imaginary is None else [F.expr(registry[m].value).alias(f"{m}_re"), F.expr(registry[m].imaginary).alias(f"{m}_im")])]
     return rows.select(*keys, *values)
 
 
+def _aggregated(cross: DataFrame, keys: list[str], methods: list[str], registry: dict[str, Measure]) -> DataFrame:
+    return _values(_states(cross, keys, methods, registry), keys, methods, registry)
+
+
+PAIR = ("con", "seed", "target", "f", "freq", "t")
+
+
+def partial(cross: DataFrame, methods: list[str]) -> DataFrame:
+    """What a part of the epochs adds to measures: pair and bin, the states as means, and how many epochs."""
+    return _states(cross, [c for c in PAIR if c in cross.columns], methods, EPOCHS, F.count(F.lit(1)).alias("many"))
+
+
+def merged(parts: DataFrame) -> DataFrame:
+    """Parts of disjoint epochs as one: means weigh as many epochs as they are of; n, itself a number, is added up."""
+    keys = [c for c in PAIR if c in parts.columns]
+    means = [F.sum("n").alias("n") if c == "n" else (F.sum(F.col(c) * F.col("many")) / F.sum("many")).alias(c) for c in parts.columns if c not in (*keys, "many")]
+    return parts.groupBy(*keys).agg(*means, F.sum("many").alias("many"))
+
+
+def finished(parts: DataFrame, methods: list[str]) -> DataFrame:
+    """The values of merged parts."""
+    return _values(parts, [c for c in PAIR if c in parts.columns], methods, EPOCHS)
+
+
 def over_epochs(cross: DataFrame, methods: list[str]) -> DataFrame:
     """A value for each pair and bin (and time): a column for each method, two for complex ones."""
-    keys = [c for c in ("con", "seed", "target", "f", "freq", "t") if c in cross.columns]
-    return _aggregated(cross, keys, methods, EPOCHS)
+    return _aggregated(cross, [c for c in PAIR if c in cross.columns], methods, EPOCHS)
 
 
 def over_time(cross: DataFrame, methods: list[str], average: bool = False) -> DataFrame:
@@ -91,16 +117,16 @@ def averaged(values: DataFrame, keys: list[str]) -> DataFrame:
     return values.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in values.columns if c not in {*keys, "epoch"}])
 
 
-def banded(values: DataFrame, bands: list[tuple[float, float]]) -> DataFrame:
-    """Means over the bins of each band, edges included; freq becomes the mean of the bins. Bands are a list."""
+def banded(values: DataFrame, bands: list[tuple[float, float]], keys: list[str] | None = None) -> DataFrame:
+    """Means over the bins of each band, edges included; freq becomes the mean of the bins. Bands are a list; keys, with f and freq, are what isn't averaged."""
     spark = values.sparkSession
     table = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(bands)], "band int, fmin double, fmax double")
-    keys = [c for c in values.columns if c in ("epoch", "con", "seed", "target", "t")]
+    keys = [c for c in values.columns if c in (keys or ("epoch", "con", "seed", "target", "t")) and c not in ("f", "freq")]
     joined = values.join(F.broadcast(table), (F.col("freq") >= F.col("fmin")) & (F.col("freq") <= F.col("fmax")))
     return joined.groupBy(*keys, "band").agg(*[F.avg(c).alias(c) for c in values.columns if c not in {*keys, "f"}])
 
 
-def foi_banded(values: DataFrame, freqs: list[float], bands: list[tuple[float, float]], strict_bands: bool = False) -> DataFrame:
+def foi_banded(values: DataFrame, freqs: list[float], bands: list[tuple[float, float]], strict_bands: bool = False, keys: list[str] | None = None) -> DataFrame:
     """Means over bands whose edges are the nearest freqs.
 
     The band's end index is doubled, unless both edges are one bin; strict_bands takes the bins in between.
@@ -110,7 +136,7 @@ def foi_banded(values: DataFrame, freqs: list[float], bands: list[tuple[float, f
         start, end = (min(range(len(freqs)), key=lambda k, e=edge: abs(freqs[k] - e)) for edge in (low, high))
         rows.append((i, start, end + 1 if start == end or strict_bands else 2 * end))
     table = F.broadcast(spark.createDataFrame(rows, "band int, first int, past int"))  # a list of bands
-    keys = [c for c in values.columns if c in ("epoch", "con", "seed", "target")]
+    keys = [c for c in values.columns if c in (keys or ("epoch", "con", "seed", "target")) and c not in ("f", "freq")]
     joined = values.join(table, (F.col("f") >= F.col("first")) & (F.col("f") < F.col("past")))
     return joined.groupBy(*keys, "band").agg(*[F.avg(c).alias(c) for c in values.columns if c not in {*keys, "f"}])
 

@@ -8,10 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from covaria.functions import windows
 
+from . import numbering
+
 
 def _shuffled(vectors: DataFrame, n_shuffles: int) -> DataFrame:
     return vectors.select("epoch", "ch", "x", F.explode(F.sequence(F.lit(0), F.lit(n_shuffles - 1))).alias("shuffle"))
@@ -25,14 +26,15 @@ def resting(vectors: DataFrame, n_shuffles: int = 1000, seed: int = 0) -> DataFr
     """(shuffle, epoch, ch, x): in each shuffle every channel's epochs in an order of its own.
 
     Epochs of a channel are numbered in order and by hash; a row of the one numbering takes the samples
-    of the other. Only numbers are sorted; samples move once, in the join.
+    of the other. Only numbers are sorted, in stretches, so a channel may have any number of epochs;
+    samples move once, in the join.
     """
     keys = vectors.select("epoch", "ch")
-    in_order = Window.partitionBy("ch").orderBy("epoch")
-    by_hash = Window.partitionBy("shuffle", "ch").orderBy("draw", "epoch")
-    ranked = keys.withColumn("place", F.row_number().over(in_order))
+    n = numbering.stretches(keys)
+    ranked = numbering.numbered(keys, ["ch"], ["epoch"], numbering.by_value(keys, "epoch", n))
     drawn = ranked.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_shuffles - 1))).alias("shuffle"))
-    drawn = drawn.withColumn("draw", _draw(seed, "shuffle", "ch", "epoch")).withColumn("to", F.row_number().over(by_hash))
+    drawn = drawn.withColumn("draw", _draw(seed, "shuffle", "ch", "epoch"))
+    drawn = numbering.numbered(drawn, ["shuffle", "ch"], ["draw", "epoch"], numbering.by_hash("draw", n), "to")
     target = drawn.select("shuffle", "ch", F.col("to").alias("place"), F.col("epoch").alias("taken"))
     moved = drawn.select("shuffle", "ch", "place", "epoch").join(target, ["shuffle", "ch", "place"])
     return moved.join(vectors.select(F.col("epoch").alias("taken"), "ch", "x"), ["taken", "ch"]).select("shuffle", "epoch", "ch", "x")

@@ -7,12 +7,13 @@ from itertools import permutations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from covaria.functions import windows
 
+from . import numbering
+
 
 def alphabet(kernel: int) -> list[tuple[int, ...]]:
     """Orders of kernel samples, numbered so that a reversed one has the number counted from the end."""
@@ -34,29 +35,43 @@ def symbolised(vectors: DataFrame, kernel: int = 3, tau: int = 1) -> DataFrame:
     return vectors.select("epoch", "ch", F.transform(orders, lambda o: F.element_at(numbers, o)).alias("s"))
 
 
+def bitmaps(found: DataFrame, n: int) -> DataFrame:
+    """(epoch, ch, maps, many, size): for each of n symbols where it stands, a bit for each sample in words of 64, and how often."""
+    words = F.sequence(F.lit(0), F.floor((F.size("s") - 1) / 64).cast("int"))
+
+    def word(symbol: Column, at: Column) -> Column:
+        def mark(state: Column, s: Column) -> Column:
+            return F.struct(state["m"].bitwiseOR(F.when(s == symbol, state["bit"]).otherwise(F.lit(0).cast("long"))).alias("m"), F.shiftleft(state["bit"], 1).alias("bit"))
+
+        start = F.struct(F.lit(0).cast("long").alias("m"), F.lit(1).cast("long").alias("bit"))
+        return F.aggregate(F.slice("s", at * 64 + 1, 64), start, mark, lambda state: state["m"])
+
+    maps = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.transform(words, lambda w: word(k, w)))
+    rows = found.select("epoch", "ch", maps.alias("maps"), F.size("s").alias("size"))
+    return rows.withColumn("many", F.transform("maps", lambda m: F.aggregate(m, F.lit(0), lambda s, w: s + F.bit_count(w))))
+
+
 def wsmi(vectors: DataFrame, kernel: int = 3, tau: int = 1, weighted: bool = True) -> DataFrame:
     """(epoch, seed, target, value) for seed > target.
 
-    Joint symbols are counted within the row of a pair, so the only shuffle is the pair join on the epoch.
+    A channel's symbols become bitmaps once; a joint count is the number of bits that two of them
+    share, so what is joined on the epoch is a bit for each symbol and sample, and pairs never leave the JVM.
     """
     n = math.factorial(kernel)
-    found = symbolised(vectors, kernel, tau)
-    a = found.select("epoch", F.col("ch").alias("seed"), F.col("s").alias("a"))
-    b = found.select("epoch", F.col("ch").alias("target"), F.col("s").alias("b"))
-    i, j = np.indices((n, n))
-    counts = (i != j) & (i + j != n - 1) if weighted else np.ones((n, n), bool)
+    found = bitmaps(symbolised(vectors, kernel, tau), n)
+    side = lambda ch, x: found.select("epoch", F.col("ch").alias(ch), F.struct("maps", "many", "size").alias(x))
+    pairs = side("seed", "a").join(side("target", "b"), "epoch").where("seed > target")
+    # pairs of symbols that count, those alike and those reversed left out if weighted
+    met = [(i, j) for i in range(n) for j in range(n) if not weighted or (i != j and i + j != n - 1)]
+    table = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in met]) if n <= 6 else F.filter(F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda k: F.struct(F.floor(k / n).cast("int").alias("i"), (k % n).alias("j"))), lambda p: F.lit(not weighted) | ((p["i"] != p["j"]) & (p["i"] + p["j"] != n - 1)))
 
-    def of(batches):
-        for rows in batches:
-            out = []
-            for x, y in zip(rows["a"], rows["b"], strict=True):
-                joint = np.bincount(np.asarray(x) * n + np.asarray(y), minlength=n * n).reshape(n, n) / len(x)
-                alone = joint.sum(1)[:, None] * joint.sum(0)[None]
-                met = (joint > 0) & counts
-                out.append((joint[met] * np.log(joint[met] / alone[met])).sum() / math.log(n))
-            yield rows[["epoch", "seed", "target"]].assign(value=np.array(out, float))
+    def term(p: Column) -> Column:
+        shared = F.zip_with(F.get("a.maps", p["i"]), F.get("b.maps", p["j"]), lambda x, y: F.bit_count(x.bitwiseAND(y)))
+        return F.struct(F.aggregate(shared, F.lit(0), lambda s, v: s + v).alias("n"), F.get("a.many", p["i"]).alias("a"), F.get("b.many", p["j"]).alias("b"))
 
-    return a.join(b, "epoch").where("seed > target").mapInPandas(of, "epoch long, seed int, target int, value double")
+    part = lambda s, c: s + F.when(c["n"] > 0, c["n"] / F.col("a.size") * F.log(c["n"].cast("double") * F.col("a.size") / (c["a"].cast("double") * c["b"]))).otherwise(0.0)
+    value = F.aggregate(F.transform(table, term), F.lit(0.0), part) / math.log(n)
+    return pairs.select("epoch", "seed", "target", value.alias("value"))
 
 
 #: Samples of a channel that are filtered together, besides those around them.
@@ -67,7 +82,7 @@ def antialiased(vectors: DataFrame, sfreq: float, kernel: int = 3, tau: int = 1,
     """Vectors below sfreq / kernel / tau: sixth-order Butterworth, both ways, epochs of a channel end to end.
 
     Skipped where the cut-off is near Nyquist or the signals are known to lie below it. Epochs are
-    numbered by channel, which sorts their numbers alone, and dealt out in blocks; each block also gets
+    numbered by channel, which sorts their numbers alone and in stretches, and dealt out in blocks; each block also gets
     the epochs around it until what lies beyond no longer matters. Epochs are equally long.
     """
     cutoff = sfreq / kernel / tau
@@ -84,8 +99,8 @@ def antialiased(vectors: DataFrame, sfreq: float, kernel: int = 3, tau: int = 1,
         out = rows.loc[own, ["epoch", "ch"]]
         return out.assign(x=pd.Series(list(y[own]), index=out.index, dtype=object))
 
-    place = (F.row_number().over(Window.partitionBy("ch").orderBy("epoch")) - 1).cast("long")
-    placed = vectors.select("epoch", "ch").withColumn("at", place)
+    keys = vectors.select("epoch", "ch")
+    placed = numbering.numbered(keys, ["ch"], ["epoch"], numbering.by_value(keys, "epoch"), "at")
     rows = vectors.select("epoch", "ch", "x").join(placed, ["epoch", "ch"])
     around, per = F.ceil(F.lit(margin) / F.size("x")).cast("long"), F.ceil(F.lit(together) / F.size("x")).cast("long")
     rows = rows.withColumns({"per": per, "block": F.explode(F.sequence(F.floor(F.greatest(F.col("at") - around, F.lit(0)) / per), F.floor((F.col("at") + around) / per)))})

@@ -342,20 +342,34 @@ SELECT CAST(0 AS INT) AS con, f, {_r(f"-0.5 * ({' + '.join(f'g{i}_{K + j} * g{j}
 # patterns of two channels with two: inverse roots of 2 x 2 matrices in closed form, then the leading vectors of E E' and E' E
 _ROOT = "(r{1}{1} + s{2}) / t{2} / s{2} AS {2}00, -r{0}{1} / t{2} / s{2} AS {2}01, (r{0}{0} + s{2}) / t{2} / s{2} AS {2}11"
 _LEADING = "(m00 + m11) / 2 + sqrt(((m00 - m11) / 2) ** 2 + m01 * m01)"
-ORACLES["mic_patterns"] = f"""{ALL}, w AS (SELECT f, {_CELLS} FROM av GROUP BY f),
+def _mic(channels: tuple[int, int, int, int]) -> str:
+    """The sides' leading vectors (v0, v1), their length, and the inverse roots (w00, w01, w11) that make filters of them."""
+    cells = ", ".join(f"max({part}) FILTER (seed = {a} AND target = {b}) AS {part[0]}{i}{j}" for part in ("re", "im") for i, a in enumerate(channels) for j, b in enumerate(channels))
+    return f"""{ALL}, w AS (SELECT f, {cells} FROM av GROUP BY f),
 d AS (SELECT *, sqrt(r00 * r11 - r01 * r01) AS sa, sqrt(r22 * r33 - r23 * r23) AS sb FROM w), h AS (SELECT *, sqrt(r00 + r11 + 2 * sa) AS ta, sqrt(r22 + r33 + 2 * sb) AS tb FROM d),
 q AS (SELECT *, {_ROOT.format(0, 1, 'a')}, {_ROOT.format(2, 3, 'b')} FROM h),
 p AS (SELECT *, a00 * i02 + a01 * i12 AS p00, a00 * i03 + a01 * i13 AS p01, a01 * i02 + a11 * i12 AS p10, a01 * i03 + a11 * i13 AS p11 FROM q),
 e AS (SELECT *, p00 * b00 + p01 * b01 AS e00, p00 * b01 + p01 * b11 AS e01, p10 * b00 + p11 * b01 AS e10, p10 * b01 + p11 * b11 AS e11 FROM p),
-m AS (SELECT f, 'seed' AS side, r00 AS c00, r01 AS c01, r11 AS c11, e00 * e00 + e01 * e01 AS m00, e00 * e10 + e01 * e11 AS m01, e10 * e10 + e11 * e11 AS m11 FROM e
-      UNION ALL SELECT f, 'target', r22, r23, r33, e00 * e00 + e10 * e10, e00 * e01 + e10 * e11, e01 * e01 + e11 * e11 FROM e),
-v AS (SELECT *, m01 AS v0, {_LEADING} - m00 AS v1 FROM m), n AS (SELECT *, sqrt(v0 * v0 + v1 * v1) AS long FROM v)
+m AS (SELECT f, 'seed' AS side, r00 AS c00, r01 AS c01, r11 AS c11, a00 AS w00, a01 AS w01, a11 AS w11, e00 * e00 + e01 * e01 AS m00, e00 * e10 + e01 * e11 AS m01, e10 * e10 + e11 * e11 AS m11 FROM e
+      UNION ALL SELECT f, 'target', r22, r23, r33, b00, b01, b11, e00 * e00 + e10 * e10, e00 * e01 + e10 * e11, e01 * e01 + e11 * e11 FROM e),
+v AS (SELECT *, m01 AS v0, {_LEADING} - m00 AS v1 FROM m), n AS (SELECT *, sqrt(v0 * v0 + v1 * v1) AS long FROM v)"""
+
+
+ORACLES["mic_patterns"] = f"""{_mic((0, 1, 2, 3))}
 SELECT f, side, CAST(ch AS INT) AS ch, {_r("abs(CASE ch WHEN 0 THEN c00 * v0 + c01 * v1 ELSE c01 * v0 + c11 * v1 END) / long", "value", 2)} FROM n CROSS JOIN (SELECT unnest(range(2)) AS ch)"""
+for _name, _matrix, _places in (("mic_patterns_bad", "c", 2), ("mic_filters_bad", "w", 6)):
+    ORACLES[_name] = f"""{_mic((0, 2, 3, 4))}, pl AS (SELECT * FROM (VALUES ('seed', 0, 0), ('seed', 1, NULL), ('seed', 2, 1), ('target', 3, 0), ('target', 4, 1)) v(side, ch, place))
+SELECT CAST(0 AS INT) AS con, f, n.side, CAST(ch AS INT) AS ch,
+  {_r(f"coalesce(abs(CASE place WHEN 0 THEN {_matrix}00 * v0 + {_matrix}01 * v1 WHEN 1 THEN {_matrix}01 * v0 + {_matrix}11 * v1 END) / long, 0)", "value", _places)} FROM n JOIN pl ON pl.side = n.side"""
+ORACLES["mim_from_spectra"] = ORACLES["mim_2x2"]
+ORACLES["mim_faverage"] = f"{TWO} SELECT CAST(0 AS INT) AS con, CAST(band AS INT) AS band, {_r('avg(m00 + m11)', 'value')} FROM m JOIN (VALUES (0, 2, 6), (1, 5, 11)) b(band, low, high) ON f BETWEEN low AND high GROUP BY band"
 # ranks of two and of three channels: full unless the determinant of their products vanishes beside the product of their squares
 _GRAM = ", ".join(f"sum(y{i} * y{j}) AS g{i}{j}" for i in range(K) for j in range(i, K))
 _THREE = "g22 * (g33 * g44 - g34 * g34) - g23 * (g23 * g44 - g34 * g24) + g24 * (g23 * g34 - g33 * g24)"
-ORACLES["rank_estimate"] = f"""WITH {DAYS}, y AS (SELECT epoch, t, {', '.join(f'max(value) FILTER (ch = {i}) AS y{i}' for i in range(K))} FROM sig GROUP BY ALL), g AS (SELECT epoch, {_GRAM} FROM y GROUP BY epoch)
-SELECT CAST(0 AS INT) AS con, CAST(min(CASE WHEN g00 * g11 - g01 * g01 > 1e-12 * g00 * g11 THEN 2 ELSE 1 END) AS INT) AS seeds, CAST(min(CASE WHEN {_THREE} > 1e-12 * g22 * g33 * g44 THEN 3 ELSE 2 END) AS INT) AS targets FROM g"""
+_RANKS = f"""SELECT CAST(0 AS INT) AS con, CAST(min(CASE WHEN g00 * g11 - g01 * g01 > 1e-12 * g00 * g11 THEN 2 ELSE 1 END) AS INT) AS seeds, CAST(min(CASE WHEN {_THREE} > 1e-12 * g22 * g33 * g44 THEN 3 ELSE 2 END) AS INT) AS targets FROM g"""
+_EACH = lambda value: ", ".join(f"max({value}) FILTER (ch = {i}) AS y{i}" for i in range(K))
+ORACLES["rank_estimate"] = f"WITH {DAYS}, y AS (SELECT epoch, t, {_EACH('value')} FROM sig GROUP BY ALL), g AS (SELECT epoch, {_GRAM} FROM y GROUP BY epoch) {_RANKS}"
+ORACLES["rank_from_spectra"] = f"{SPECTRA}, y AS (SELECT epoch, f, {_EACH('re * re + im * im')} FROM sp GROUP BY ALL), g AS (SELECT epoch, {_GRAM} FROM y GROUP BY epoch) {_RANKS}"
 
 
 # causality: autocovariances by a cosine sum, the autoregression by elimination, one row of the transfer function by cofactors
@@ -482,3 +496,6 @@ q AS (SELECT *, {_ROOT.format(0, 1, 'a')} FROM d), v AS (SELECT *, {_COLUMN} FRO
 n AS (SELECT f, 0 AS con, 'seed' AS side, [abs(r00 * v0 + r01 * v1) / sqrt(v0 * v0 + v1 * v1), abs(r01 * v0 + r11 * v1) / sqrt(v0 * v0 + v1 * v1)] AS p FROM v
       UNION ALL SELECT f, 0, 'target', [r22, 0] FROM w UNION ALL SELECT f, 1, 'seed', [r33, 0] FROM w UNION ALL SELECT f, 1, 'target', [r44, 0] FROM w)
 SELECT CAST(con AS INT) AS con, f, side, CAST(slot AS INT) AS place, {_r('p[slot + 1]', 'value', 2)} FROM n CROSS JOIN (SELECT unnest(range(2)) AS slot)"""
+# days that two hours before the latest event have passed
+ORACLES["coh_samples_stream"] = f"""WITH {DAYS}, closed AS (SELECT * FROM sig WHERE DATE '1970-01-01' + CAST(epoch + 1 AS INT) <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)),
+{_fourier('closed')}, {_pairs()} SELECT seed, target, f, {_r(MEASURES['coh'], 'coh')}, {_r(MEASURES['wpli2_debiased'], 'wpli2_debiased')} FROM x GROUP BY ALL"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from functools import reduce
 from operator import or_
 
@@ -14,6 +15,7 @@ from covaria.functions import edges as edge
 from covaria.functions import windows
 from covaria.operators import autoregression, bivariate, envelope, multivariate, spectra, symbols
 from covaria.plans.frame import ConnFrame, Meta
+from covaria.sources.signals import without
 
 MULTIVARIATE = ("mic", "mim", "cacoh", "gc", "gc_tr")
 
@@ -58,23 +60,23 @@ def _frames(values: DataFrame, methods: list[str], meta: Meta) -> list[ConnFrame
     return out
 
 
-def spectral_connectivity_epochs(vectors: DataFrame, method: str | Sequence[str] = "coh", indices=None, sfreq: float = 1.0, mode: str = "multitaper", fmin=None, fmax=None, fskip: int = 0, faverage: bool = False, mt_bandwidth: float | None = None, mt_adaptive: bool = False, mt_low_bias: bool = True, cwt_freqs=None, cwt_n_cycles=7.0, gc_n_lags: int = 40, rank=None, n_components: int | None = 1, shape: Shape | None = None) -> ConnFrame | list[ConnFrame]:
+def spectral_connectivity_epochs(vectors: DataFrame, method: str | Sequence[str] = "coh", indices=None, sfreq: float = 1.0, mode: str = "multitaper", fmin=None, fmax=None, fskip: int = 0, faverage: bool = False, mt_bandwidth: float | None = None, mt_adaptive: bool = False, mt_low_bias: bool = True, cwt_freqs=None, cwt_n_cycles=7.0, gc_n_lags: int = 40, rank=None, n_components: int | None = 1, shape: Shape | None = None, bads: Sequence[int] = ()) -> ConnFrame | list[ConnFrame]:
     """Connectivity over epochs; a list of frames for several methods.
 
     vectors are samples (epoch, ch, x), or spectra made before (epoch, ch, taper, f, freq, re, im, weight[, t]),
-    which are used as they are between fmin and fmax; measures of sets then ask for ranks.
+    which are used as they are between fmin and fmax; ranks of sets that aren't given are then those of
+    all their powers. bads are channels that take no part: pairs with them are left out, sets go
+    without them, and their filters and patterns are 0.
     """
     methods = [method] if isinstance(method, str) else list(method)
     multi = [m for m in methods if m in MULTIVARIATE]
     if multi and len(multi) != len(methods):
         raise ValueError("measures of pairs and of sets can't be mixed in a call")
     n_nodes, n_times = _shape(vectors, shape)
-    vectors = _pruned(vectors, indices, n_nodes, bool(multi))
+    vectors = without(_pruned(vectors, indices, n_nodes, bool(multi)), list(bads))
     given = "re" in vectors.columns
     bands = _bands(0.0 if given and fmin is None else fmin, fmax, n_times, sfreq)
     if given:
-        if multi and rank is None:
-            raise ValueError("measures of sets from spectra ask for ranks")
         inside = [(F.col("freq") >= a) & (F.col("freq") <= b) for a, b in bands]
         found, mode = vectors.where(reduce(or_, inside)), "given"
     elif mode == "cwt_morlet":
@@ -94,7 +96,8 @@ def spectral_connectivity_epochs(vectors: DataFrame, method: str | Sequence[str]
         raise ValueError("mode must be 'multitaper', 'fourier' or 'cwt_morlet'")
     meta = Meta("", n_nodes, "all" if indices is None else "raveled", spec_method=mode)
     if multi:
-        return _unwrapped(_multivariate(vectors, spectra.csd(found, diagonal=True), methods, indices, n_nodes, meta, gc_n_lags, rank, n_components))
+        reduced = (lambda values, keys: bivariate.banded(values, bands, keys)) if faverage else (lambda values, _: values)
+        return _unwrapped(_multivariate(vectors, spectra.csd(found, diagonal=True), methods, indices, n_nodes, meta, gc_n_lags, rank, n_components, bads, reduced=reduced))
     pairs = None if indices is None else edge.edge_list(vectors.sparkSession, indices)
     values = bivariate.over_epochs(spectra.csd(found, pairs), methods)
     if faverage:
@@ -106,28 +109,38 @@ def _unwrapped(frames: list[ConnFrame]) -> ConnFrame | list[ConnFrame]:
     return frames[0] if len(frames) == 1 else frames
 
 
-def _multivariate(vectors, cross, methods, indices, n_nodes, meta, lags, rank, n_components, per_epoch=False) -> list[ConnFrame]:
+def _multivariate(vectors, cross, methods, indices, n_nodes, meta, lags, rank, n_components, bads=(), per_epoch=False, reduced=lambda values, keys: values) -> list[ConnFrame]:
+    """Frames with maps where a method has them; reduced takes values with their keys to bands or means."""
     if indices is None:
         if {"gc", "gc_tr"} & set(methods):
             raise ValueError("Granger causality asks for indices")
         channels = [r.ch for r in vectors.select("ch").distinct().orderBy("ch").collect()]
-        connections = [(channels, channels)]
+        connections, whole = [(channels, channels)], [(list(range(n_nodes)),) * 2]  # those without a row are bad
     else:
-        connections = edge.check_multivariate_indices(indices, n_nodes)
+        whole = edge.check_multivariate_indices(indices, n_nodes)
+        connections = [tuple([c for c in side if c not in bads] for side in pair) for pair in whole]
+        if not all(side for pair in connections for side in pair):
+            raise ValueError("a set has bad channels only")
     multivariate.check(connections, methods)
     found_ranks = list(zip(*rank, strict=True)) if rank is not None else multivariate.ranks(vectors, connections)
     matrices = multivariate.packed(cross, connections, per_epoch)
     keys = ["con", *(["epoch"] if per_epoch else []), "f", "freq"]
     if {"gc", "gc_tr"} & set(methods):
         values = multivariate.causality(matrices, connections, lags, methods, found_ranks)
-    else:
-        values = multivariate.coherency(matrices, connections, methods, found_ranks, n_components)
-        keys += [] if n_components == 1 else ["component"]
-    return _frames(values.select(*keys, *[c for m in methods for c in ((f"{m}_re", f"{m}_im") if m == "cacoh" else (m,))]), methods, meta)
+        return _frames(reduced(values.select(*keys, *methods), keys), methods, meta)
+    of = lambda which: multivariate.coherency(matrices, connections, which, found_ranks, n_components)
+    keys += [] if n_components == 1 else ["component"]
+    values = of(methods).select(*keys, *[c for m in methods for c in ((f"{m}_re", f"{m}_im") if m == "cacoh" else (m,))])
+    frames = _frames(reduced(values, keys), methods, meta)
+    for i, m in enumerate(methods):
+        if m != "mim":
+            maps = multivariate.maps(of([m]), connections, whole).select(*keys, "side", "ch", "filter", "pattern")
+            frames[i] = replace(frames[i], maps=reduced(maps, [*keys, "side", "ch"]))
+    return frames
 
 
-def spectral_connectivity_time(vectors: DataFrame, freqs, method: str | Sequence[str] = "coh", average: bool = False, indices=None, sfreq: float = 1.0, fmin=None, fmax=None, faverage: bool = False, sm_times: float | Sequence[float] = 0, sm_freqs: int = 1, sm_kernel: str = "hanning", padding: float = 0, mode: str = "cwt_morlet", mt_bandwidth: float | None = None, n_cycles=7.0, decim: int = 1, gc_n_lags: int = 40, rank=None, n_components: int | None = 1, strict_bands: bool = False, shape: Shape | None = None) -> ConnFrame | list[ConnFrame]:
-    """Connectivity over time within each epoch, averaged over epochs on demand.
+def spectral_connectivity_time(vectors: DataFrame, freqs, method: str | Sequence[str] = "coh", average: bool = False, indices=None, sfreq: float = 1.0, fmin=None, fmax=None, faverage: bool = False, sm_times: float | Sequence[float] = 0, sm_freqs: int = 1, sm_kernel: str = "hanning", padding: float = 0, mode: str = "cwt_morlet", mt_bandwidth: float | None = None, n_cycles=7.0, decim: int = 1, gc_n_lags: int = 40, rank=None, n_components: int | None = 1, strict_bands: bool = False, shape: Shape | None = None, bads: Sequence[int] = ()) -> ConnFrame | list[ConnFrame]:
+    """Connectivity over time within each epoch, averaged over epochs on demand; bads as over epochs.
 
     vectors are samples, or time-frequency coefficients made before (with t), whose bins freqs lists.
     Of several sm_times each is a frequency's, and bins aren't smoothed over.
@@ -140,7 +153,7 @@ def spectral_connectivity_time(vectors: DataFrame, freqs, method: str | Sequence
     if multi and len(multi) != len(methods):
         raise ValueError("measures of pairs and of sets can't be mixed in a call")
     n_nodes, n_times = _shape(vectors, shape)
-    vectors = _pruned(vectors, indices, n_nodes, bool(multi))
+    vectors = without(_pruned(vectors, indices, n_nodes, bool(multi)), list(bads))
     given = "re" in vectors.columns
     if not given and not 0 <= padding < n_times / sfreq / 2:
         raise ValueError("padding must leave samples between")
@@ -165,11 +178,16 @@ def spectral_connectivity_time(vectors: DataFrame, freqs, method: str | Sequence
     cross = spectra.csd(found, pairs, diagonal=bool(multi))
     if kernel != (1, 1):
         cross = spectra.smoothed(cross, windows.smoothing_kernel(*kernel, sm_kernel), per_freq)
+    if faverage:
+        bands = list(zip(np.atleast_1d(min(freqs) if fmin is None else fmin).tolist(), np.atleast_1d(max(freqs) if fmax is None else fmax).tolist(), strict=True))
     if multi:
-        return _unwrapped(_multivariate(vectors, cross, methods, indices, n_nodes, meta, gc_n_lags, rank, n_components, per_epoch=True))
+        def reduced(values, keys):
+            values = bivariate.foi_banded(values, freqs, bands, strict_bands, keys) if faverage else values
+            return bivariate.averaged(values, [c for c in values.columns if c in {"band", *keys} - {"epoch"}]) if average else values
+
+        return _unwrapped(_multivariate(vectors, cross, methods, indices, n_nodes, meta, gc_n_lags, rank, n_components, bads, True, reduced))
     values = bivariate.over_time(cross, methods)
     if faverage:
-        bands = list(zip(np.atleast_1d(min(freqs) if fmin is None else fmin).tolist(), np.atleast_1d(max(freqs) if fmax is None else fmax).tolist(), strict=True))
         values = bivariate.foi_banded(values, freqs, bands, strict_bands)
     if average:
         values = bivariate.averaged(values, [c for c in values.columns if c in ("con", "seed", "target", "f", "freq", "band")])

@@ -32,10 +32,15 @@ class Meta:
 
 @dataclass(frozen=True)
 class ConnFrame:
-    """df has columns of DIMS and value (or value_re and value_im)."""
+    """df has columns of DIMS and value (or value_re and value_im).
+
+    maps, of connections between sets: (dimensions of df, side, ch, filter, pattern), for each channel of
+    the recording that a set names, zeros where it is bad.
+    """
 
     df: DataFrame
     meta: Meta
+    maps: DataFrame | None = None
 
     @property
     def dims(self) -> tuple[str, ...]:
@@ -62,6 +67,21 @@ class ConnFrame:
         """How many values each dimension has."""
         return tuple(self.df.agg(*[F.count_distinct(d) for d in self.dims]).first())
 
+    def _map(self, what: str) -> DataFrame:
+        if self.maps is None:
+            raise ValueError(f"{self.meta.method} has no {what}s")
+        return self.maps.select(*[c for c in self.maps.columns if c not in ("filter", "pattern")], F.col(what).alias("value"))
+
+    @property
+    def patterns(self) -> DataFrame:
+        """Each channel's share of a component, by side."""
+        return self._map("pattern")
+
+    @property
+    def filters(self) -> DataFrame:
+        """The weights that make a component of channels, by side."""
+        return self._map("filter")
+
     def coords(self, dim: str) -> DataFrame:
         """The values that a dimension has."""
         return self.df.select(dim).distinct()
@@ -93,13 +113,14 @@ class ConnFrame:
         return dense if self.meta.indices == "raveled" else dense.fillna(0.0, self.values)
 
     def combine(self, how: str | Callable = "mean") -> ConnFrame:
-        """Reduces epochs by mean, median or a function of a pandas Series."""
+        """Reduces epochs by mean, median or a function of a pandas Series; maps by mean or median, or they are left out."""
         if "epoch" not in self.dims:
             raise ValueError("there are no epochs to combine")
         keys = [c for c in self.dims if c != "epoch"]
         if how in ("mean", "median"):
             reduce = F.avg if how == "mean" else F.median
-            return replace(self, df=self.df.groupBy(*keys).agg(*[reduce(v).alias(v) for v in self.values]))
+            over = lambda df, values: df.groupBy(*[c for c in df.columns if c not in {"epoch", *values}]).agg(*[reduce(v).alias(v) for v in values])
+            return replace(self, df=over(self.df, self.values), maps=None if self.maps is None else over(self.maps, ["filter", "pattern"]))
         if not callable(how):
             raise ValueError("how must be 'mean', 'median' or a function")
         kinds, values = dict(self.df.dtypes), self.values
@@ -107,7 +128,7 @@ class ConnFrame:
         def of(rows: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame([[rows[k].iloc[0] for k in keys] + [float(how(rows[v])) for v in values]], columns=[*keys, *values])
 
-        return replace(self, df=self.df.groupBy(*keys).applyInPandas(of, ", ".join(f"{k} {kinds[k]}" for k in keys) + "".join(f", {v} double" for v in values)))
+        return replace(self, maps=None, df=self.df.groupBy(*keys).applyInPandas(of, ", ".join(f"{k} {kinds[k]}" for k in keys) + "".join(f", {v} double" for v in values)))
 
     def append(self, other: ConnFrame) -> ConnFrame:
         """Epochs of both, the other's numbered on; both must be alike."""
@@ -117,8 +138,9 @@ class ConnFrame:
         if any(self.meta.event_id[k] != other.meta.event_id[k] for k in common):
             raise ValueError("event ids differ")
         offset = self.df.agg((F.max("epoch") + 1).alias("_offset"))
-        moved = other.df.crossJoin(F.broadcast(offset)).withColumn("epoch", F.col("epoch") + F.coalesce("_offset", F.lit(0))).drop("_offset")  # one row
-        return ConnFrame(self.df.unionByName(moved), replace(self.meta, event_id=self.meta.event_id | other.meta.event_id))
+        moved = lambda df: df.crossJoin(F.broadcast(offset)).withColumn("epoch", F.col("epoch") + F.coalesce("_offset", F.lit(0))).drop("_offset")  # noqa: E731  one row
+        maps = self.maps.unionByName(moved(other.maps)) if self.maps is not None and other.maps is not None else None
+        return ConnFrame(self.df.unionByName(moved(other.df)), replace(self.meta, event_id=self.meta.event_id | other.meta.event_id), maps)
 
     def rename_nodes(self, mapping: dict[str, str] | Callable[[str], str]) -> ConnFrame:
         if not callable(mapping):
@@ -149,9 +171,11 @@ class ConnFrame:
         return top.where(F.sqrt(apart) >= min_distance)
 
     def save(self, path: str) -> None:
-        """A folder of two tables: values, and one row of metadata."""
+        """A folder of two or three tables: values, maps if there are any, and one row of metadata."""
         self.df.write.mode("overwrite").parquet(f"{path}/values")
-        self.df.sparkSession.createDataFrame([(self.kind, json.dumps(asdict(self.meta)))], "kind string, meta string").write.mode("overwrite").parquet(f"{path}/meta")
+        if self.maps is not None:
+            self.maps.write.mode("overwrite").parquet(f"{path}/maps")
+        self.df.sparkSession.createDataFrame([(self.kind, json.dumps(asdict(self.meta)), self.maps is not None)], "kind string, meta string, has_maps boolean").write.mode("overwrite").parquet(f"{path}/meta")
 
     # autoregressive models
 
@@ -182,8 +206,9 @@ class ConnFrame:
 
 
 def read_connectivity(spark: SparkSession, path: str) -> ConnFrame:
-    meta = spark.read.parquet(f"{path}/meta").first()
-    return ConnFrame(spark.read.parquet(f"{path}/values"), Meta(**json.loads(meta.meta)))
+    meta = spark.read.parquet(f"{path}/meta").first().asDict()
+    maps = spark.read.parquet(f"{path}/maps") if meta.get("has_maps") else None
+    return ConnFrame(spark.read.parquet(f"{path}/values"), Meta(**json.loads(meta["meta"])), maps)
 
 
 def degree(dense: DataFrame, n_nodes: int, threshold_prop: float = 0.2, value: str = "value", symmetric: bool | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ from covaria.operators import autoregression, bivariate, envelope, multivariate,
 from covaria.plans.frame import ConnFrame, Meta, degree, read_connectivity
 from covaria.sources import signals
 from covaria.streaming import epochs as streaming
+from covaria.streaming import samples
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,6 +40,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one that the cluster names, and only where there is none but this machine the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if not spark.sparkContext.master.startswith("local") and warehouse.startswith(("file:", "/")):
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
+    return warehouse.rstrip("/")
+
+
 def days(spark: SparkSession, sf: str) -> DataFrame:
     return signals.events(table(spark, sf, "events"))
 
@@ -612,8 +624,7 @@ def conn_accessors(spark, sf):
 
 @query
 def conn_roundtrip(spark, sf):
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{folder}/conn-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/conn-{uuid.uuid4().hex}"
     _envelope(spark, sf).combine("mean").save(path)
     return rounded(read_connectivity(spark, path).df)
 
@@ -717,10 +728,55 @@ def cacoh_multi(spark, sf):
     return rounded(found.select("f", "component", F.hypot("cacoh_re", "cacoh_im").alias("cacoh")), 5)
 
 
+#: A set of seeds whose middle channel is bad.
+BAD = {"indices": ([[0, 1, 2]], [[3, 4]]), "bads": [1]}
+
+
+def _with_bad(spark, sf, **options) -> ConnFrame:
+    return covaria.spectral_connectivity_epochs(days(spark, sf), "mic", sfreq=SFREQ, mode="fourier", fmin=1, fmax=11, rank=([2], [2]), shape=SHAPE, **BAD, **options)
+
+
+@query
+def mic_patterns_bad(spark, sf):
+    """Patterns of sets with a bad channel in the middle, as a container keeps them."""
+    path = f"{_folder(spark)}/conn-{uuid.uuid4().hex}"
+    _with_bad(spark, sf).save(path)
+    found = read_connectivity(spark, path).patterns
+    return rounded(found.select("con", "f", "side", "ch", F.abs("value").alias("value")), 2)
+
+
+@query
+def mic_filters_bad(spark, sf):
+    found = _with_bad(spark, sf).filters
+    return rounded(found.select("con", "f", "side", "ch", F.abs("value").alias("value")))
+
+
+@query
+def mim_faverage(spark, sf):
+    frame = covaria.spectral_connectivity_epochs(days(spark, sf), "mim", indices=([[0, 1]], [[2, 3]]), sfreq=SFREQ, mode="fourier", fmin=[2, 5], fmax=[6, 11], faverage=True, rank=([2], [2]), shape=SHAPE)
+    return rounded(frame.df.select("con", "band", "value"))
+
+
+@query
+def mim_from_spectra(spark, sf):
+    """Sets of spectra made before; their ranks are those of their powers."""
+    frame = covaria.spectral_connectivity_epochs(_fourier(days(spark, sf)), "mim", indices=([[0, 1]], [[2, 3]]), shape=(5, 0))
+    return rounded(frame.df.select("con", "f", F.col("value").alias("mim")))
+
+
+def _ranks(found: DataFrame) -> DataFrame:
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("rank")))
+    return found.groupBy("con").agg(of(0).alias("seeds"), of(1).alias("targets"))
+
+
 @query
 def rank_estimate(spark, sf):
-    found = multivariate.ranks(days(spark, sf), [([0, 1], [2, 3, 4])])
-    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(found)], "con int, seeds int, targets int")
+    return _ranks(multivariate.rank_table(days(spark, sf), [([0, 1], [2, 3, 4])]))
+
+
+@query
+def rank_from_spectra(spark, sf):
+    return _ranks(multivariate.rank_table(_fourier(days(spark, sf)), [([0, 1], [2, 3, 4])]))
 
 
 def _granger(spark, sf, methods) -> DataFrame:
@@ -788,10 +844,30 @@ def decomp_transform(spark, sf):
 @query
 def coh_stream(spark, sf):
     """Coherence over a stream of files of epochs: equal to the same query over all epochs at once."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/stream-{uuid.uuid4().hex}"
+    folder = f"{_folder(spark)}/stream-{uuid.uuid4().hex}"
     name = f"coh_{uuid.uuid4().hex}"
     streaming.whole_epochs(days(spark, sf)).repartition(4, "epoch").write.parquet(f"{folder}/in")
     found = streaming.measures(streaming.source(spark, f"{folder}/in", maxFilesPerTrigger="2"), SFREQ, np.array(BINS), ["coh"])
     running = found.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     running.awaitTermination()
     return rounded(spark.table(name).drop("freq"))
+
+
+@query
+def coh_samples_stream(spark, sf):
+    """Coherence over a stream of events by their own time, stopped and started again in between.
+
+    Events arrive in two halves; some of the second are late by up to an hour, and some that the first
+    had come again. It is the coherence of all days that the watermark has passed.
+    """
+    folder = f"{_folder(spark)}/samples-{uuid.uuid4().hex}"
+    events = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    names = [r.name for r in signals.channels_of(events, "event_type").orderBy("ch").collect()]
+    middle = F.lit(events.agg(F.expr("timestamp_micros(div(unix_micros(min(ts)) + unix_micros(max(ts)), 2))")).first()[0])
+    late = (F.col("ts") > middle - F.expr("INTERVAL 1 HOUR")) & (F.col("event_id") % 5 == 0)
+    for k, part in enumerate([(F.col("ts") <= middle) & ~late, (F.col("ts") > middle - F.expr("INTERVAL 1 HOUR"))]):
+        events.where(part).write.parquet(f"{folder}/in/part={k}")
+        arriving = spark.readStream.schema(events.schema).parquet(f"{folder}/in/part=*")
+        closed = samples.closed_epochs(arriving, names, N, "1 day", "2 hours")
+        samples.accumulate(closed, SFREQ, np.array(BINS), ["coh", "wpli2_debiased"], folder).awaitTermination()
+    return rounded(samples.measured(spark, folder, ["coh", "wpli2_debiased"]).drop("freq"))
