@@ -82,9 +82,36 @@ def fit(vectors: DataFrame, lags: int = 1, l2_reg: float | None = 0.0, model: st
     return sums.mapInPandas(of, COEFFICIENTS)
 
 
-def _root(a: np.ndarray) -> np.ndarray:
+def _root(a: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """The real part of the principal square root, by Newton's iteration on the root and its inverse (Denman and Beavers 1976), scaled by determinants (Higham 1997).
+
+    It takes no eigenvectors, so matrices that lack some have a root like others. Eigenvalues on the negative axis, where
+    roots of both signs are as good, are turned off it by less than any other eigenvalue lies from it. A singular
+    matrix has the root that its eigenvectors make, if they make one; one without any root gives NaN.
+    """
+    values = np.linalg.eigvals(a.astype(complex))
+    size = np.abs(values).max(initial=0)
+    angles = np.angle(values)
+    negative = np.pi - np.abs(angles) < 1e-12
+    turn = 0.0
+    if negative.any():
+        turn = min(np.pi / 4, (angles[~negative] + np.pi).min(initial=np.pi) / 2)
+    y = a * np.exp(-1j * turn) if turn else a
+    z, n = np.eye(len(a), dtype=y.dtype), len(a)
+    try:
+        for k in range(rounds):
+            scale = abs(np.linalg.det(y) * np.linalg.det(z)) ** (-0.5 / n) if k < 8 else 1.0
+            y, z, last = (scale * y + np.linalg.inv(scale * z)) / 2, (scale * z + np.linalg.inv(scale * y)) / 2, y
+            if np.linalg.norm(y - last) <= 1e-14 * np.linalg.norm(y) * n and k > 8:
+                break
+        root = y * np.exp(0.5j * turn) if turn else y
+        if np.isfinite(root).all() and np.linalg.norm(root @ root - a) <= 1e-6 * max(size, 1e-300) * n:
+            return root.real
+    except np.linalg.LinAlgError:
+        pass
     values, vectors = np.linalg.eig(a.astype(complex))
-    return (vectors * np.sqrt(values) @ np.linalg.inv(vectors)).real
+    root = vectors * np.sqrt(values) @ np.linalg.pinv(vectors)
+    return root.real if np.linalg.norm(root @ root - a) <= 1e-6 * max(size, 1e-300) * n else np.full(a.shape, np.nan)
 
 
 def residual_covariance(vectors: DataFrame, lags: int = 1, l2_reg: float = 0.0) -> DataFrame:
@@ -161,26 +188,74 @@ def default_max_lags(n: int, k: int) -> int:
     return min(int(round(12 * (n / 100) ** 0.25)), (n - k) // (1 + k))
 
 
-def select_order(vectors: DataFrame, max_lags: int | None = None) -> DataFrame:
-    """(epoch, lags, aic, bic, hqic, fpe) of each order up to max_lags on one sample of an epoch."""
+def criteria(g: np.ndarray, k: int, most: int, seen: int, epochs: int = 1) -> list[tuple]:
+    """(lags, aic, bic, hqic, fpe) of every order up to most, from one Gram matrix of [most lags, now] over seen samples of so many epochs.
 
-    def of(rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(rows.sort_values("ch")["x"].to_numpy())
-        (k, total), out = x.shape, []
+    Orders are nested: the first k * p rows belong to order p. With a Cholesky factor L of the lags'
+    products, the rows of inv(L) @ (products of lags with now) say what each further row explains, so
+    residuals of all orders come from one factor. Where lags are no full set, each order takes the pseudo-inverse of its block.
+    """
+    m = k * most
+    g = np.asarray(g, float).reshape(m + k, m + k)
+    size = np.sqrt(np.where(np.diag(g)[:m] > 0, np.diag(g)[:m], 1.0))
+    zz, zy, yy = g[:m, :m] / np.outer(size, size), g[:m, m:] / size[:, None], g[m:, m:]
+    try:
+        factor = np.linalg.cholesky(zz)
+        if np.diag(factor).min() < 1e-7:
+            raise np.linalg.LinAlgError
+        rows = np.linalg.solve(factor, zy)
+        explained = lambda p: rows[: k * p].T @ rows[: k * p]
+    except np.linalg.LinAlgError:
+        explained = lambda p: zy[: k * p].T @ np.linalg.pinv(zz[: k * p, : k * p], 1e-13, hermitian=True) @ zy[: k * p]
+    out = []
+    for p in range(1, most + 1):
+        total = seen + (most - p) * epochs  # samples that order p alone could predict
+        free, down = k * p, total - k * p
+        ld = np.linalg.slogdet((yy - explained(p)) / (seen - k * p) * down / total)[1]
+        out.append((p, ld + 2 * p * k * k / total, ld + math.log(total) * p * k * k / total, ld + 2 * math.log(math.log(total)) * p * k * k / total, ((total + free) / down) ** k * math.exp(ld)))
+    return out
+
+
+def select_order(vectors: DataFrame, max_lags: int | None = None, model: str = "dynamic") -> DataFrame:
+    """(epoch, lags, aic, bic, hqic, fpe) of each order up to max_lags, all on the same samples.
+
+    model "dynamic": of each epoch. "avg-epochs": of one model for all (epoch null), whose Gram matrices
+    are added up; without max_lags it takes what the shortest epoch bears.
+    """
+    if model not in ("dynamic", "avg-epochs"):
+        raise ValueError("model must be 'dynamic' or 'avg-epochs'")
+    columns = ["epoch", "lags", "aic", "bic", "hqic", "fpe"]
+    schema = "epoch long, lags int, aic double, bic double, hqic double, fpe double"
+
+    def most_of(total: int, k: int) -> int:
         most = default_max_lags(total, k) if max_lags is None else max_lags
         if most > (total - k) // (1 + k):
             raise ValueError(f"{most} lags of {k} signals ask for more than {total} samples")
-        for p in range(1, most + 1):
-            y, z = lagged(x, p, most - p)
-            left = y - np.linalg.lstsq(z.T, y.T, rcond=None)[0].T @ z
-            seen = total - p
-            free, down = k * p, seen - k * p
-            omega = left @ left.T / (y.shape[1] - k * p)
-            ld = np.linalg.slogdet(omega * down / seen)[1]
-            out.append((rows["epoch"].iloc[0], p, ld + 2 * p * k * k / seen, ld + math.log(seen) * p * k * k / seen, ld + 2 * math.log(math.log(seen)) * p * k * k / seen, ((seen + free) / down) ** k * math.exp(ld)))
-        return pd.DataFrame(out, columns=["epoch", "lags", "aic", "bic", "hqic", "fpe"])
-
-    return vectors.select("epoch", "ch", "x").groupBy("epoch").applyInPandas(of, "epoch long, lags int, aic double, bic double, hqic double, fpe double")
+        return most
+
+    if model == "dynamic":
+
+        def of(rows: pd.DataFrame) -> pd.DataFrame:
+            x = np.stack(rows.sort_values("ch")["x"].to_numpy())
+            most = most_of(x.shape[1], len(x))
+            y, z = lagged(x, most)
+            both = np.concatenate([z, y])
+            return pd.DataFrame([(rows["epoch"].iloc[0], *c) for c in criteria(both @ both.T, len(x), most, y.shape[1])], columns=columns)
+
+        return vectors.select("epoch", "ch", "x").groupBy("epoch").applyInPandas(of, schema)
+    if max_lags is None:
+        shortest, top = vectors.agg(F.min(F.size("x")), F.count_distinct("ch")).first()
+        max_lags = default_max_lags(shortest, top) if shortest else 1
+    most, grams = max_lags, gram(vectors, max_lags)
+    epochs = grams.agg(F.count(F.lit(1)).alias("epochs"))
+
+    def pooled(batches):
+        for rows in batches:
+            for r in rows.itertuples():
+                if r.epochs:
+                    yield pd.DataFrame([(None, *c) for c in criteria(r.g, r.k, most, r.n, r.epochs)], columns=columns).astype({"epoch": "Int64"})
+
+    return pooled_gram(grams).crossJoin(F.broadcast(epochs)).mapInPandas(pooled, schema)  # one row with one
 
 
 def best_order(criteria: DataFrame) -> DataFrame:

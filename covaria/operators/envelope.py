@@ -25,24 +25,24 @@ def analytic(vectors: DataFrame) -> DataFrame:
 def correlation(signals: DataFrame, orthogonalize: str | bool = "pairwise", log: bool = False, absolute: bool = True) -> DataFrame:
     """(epoch, seed, target, value) for seed > target, from analytic signals.
 
-    A pair is one row with four arrays: joined on the epoch, each correlation is sums over its arrays.
+    A channel's envelope, and its logarithm, are made before channels meet as pairs. A pair is one row of
+    arrays, joined on the epoch, and each correlation is sums over them.
     Orthogonalised pairs are made absolute and averaged over the two directions; the plain one is
     symmetric and keeps its sign. An envelope that doesn't vary correlates 0.
     """
     if orthogonalize not in (False, "pairwise"):
         raise ValueError("orthogonalize must be False or 'pairwise'")
-    a = signals.select("epoch", F.col("ch").alias("seed"), F.col("re").alias("ar"), F.col("im").alias("ai"))
-    b = signals.select("epoch", F.col("ch").alias("target"), F.col("re").alias("br"), F.col("im").alias("bi"))
-    pairs = a.join(b, "epoch").where("seed > target")
-    magnitude = lambda re, im: f"zip_with({re}, {im}, (r, i) -> sqrt(r * r + i * i))"
     logged = lambda x: f"transform({x}, v -> ln(v * v))" if log else x
-    pairs = pairs.withColumns({"ma": F.expr(magnitude("ar", "ai")), "mb": F.expr(magnitude("br", "bi"))})
+    own = signals.withColumn("m", F.expr("zip_with(re, im, (r, i) -> sqrt(r * r + i * i))")).withColumn("l", F.expr(logged("m")))
+    arrays = {"r": "re", "i": "im", "m": "m", "l": "l"} if orthogonalize else {"l": "l"}
+    side = lambda ch, x: own.select("epoch", F.col("ch").alias(ch), *[F.col(c).alias(f"{x}{k}") for k, c in arrays.items()])
+    pairs = side("seed", "a").join(side("target", "b"), "epoch").where("seed > target")
     if orthogonalize:
         # Im(a conj(b)) has one size in either direction
         cross = "zip_with(zip_with(ar, bi, (x, y) -> x * y), zip_with(ai, br, (x, y) -> x * y), (x, y) -> abs(y - x))"
-        safe = lambda m: f"zip_with({cross}, {m}, (c, m) -> CASE WHEN m = 0 THEN 0d ELSE c / m END)"
-        pairs = pairs.withColumns({"oa": F.expr(logged(safe("mb"))), "ob": F.expr(logged(safe("ma")))})
-    pairs = pairs.withColumns({"ma": F.expr(logged("ma")), "mb": F.expr(logged("mb"))})
+        pairs = pairs.withColumn("cross", F.expr(cross))
+        safe = lambda m: f"zip_with(cross, {m}, (c, m) -> CASE WHEN m = 0 THEN 0d ELSE c / m END)"
+        pairs = pairs.withColumns({"oa": F.expr(logged(safe("bm"))), "ob": F.expr(logged(safe("am")))})
 
     def corr(x: str, y: str):
         # sums in one pass, about the first samples, so that large means cost no digits
@@ -59,9 +59,9 @@ def correlation(signals: DataFrame, orthogonalize: str | bool = "pairwise", log:
         return F.expr(f"element_at({value}, 1)")
 
     if not orthogonalize:
-        value = corr("ma", "mb")
+        value = corr("al", "bl")
     else:
-        first, second = corr("oa", "mb"), corr("ob", "ma")
+        first, second = corr("oa", "bl"), corr("ob", "al")
         value = (F.abs(first) + F.abs(second)) / 2 if absolute else (first + second) / 2
     return pairs.select("epoch", "seed", "target", value.alias("value"))
 

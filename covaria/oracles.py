@@ -447,17 +447,18 @@ SELECT seed, target, f, CAST(f AS DOUBLE) AS freq, {_r(MEASURES['coh'], 'coh')}
 
 
 # orders of an autoregression on one sample of a day: residual products by elimination, their determinant by pivots
-def _order(p: int, most: int, n_times: int = 24) -> str:
-    m, seen = K * p, n_times - p
+def _order(p: int, most: int, n_times: int = 24, many: str = "1", source: str = "l") -> str:
+    """Criteria o{p} of one order by epoch; many epochs count as one if source gives them one number."""
+    m, seen = K * p, f"({many} * {n_times - p})"
     sums = [f"sum(z{i} * z{j}) AS g{i}_{j}" for i in range(m) for j in range(m)] + [f"sum(z{i} * y{r}) AS g{i}_{m + r}" for i in range(m) for r in range(K)]
     more = [f"sum(y{r} * y{q}) AS yy{r}_{q}" for r in range(K) for q in range(K)] + [f"sum(z{i} * y{r}) AS zy{i}_{r}" for i in range(m) for r in range(K)]
-    down, free = seen - m, n_times - most - m
+    down, free = f"({seen} - {m})", f"({many} * {n_times - most} - {m})"
     left = [f"(yy{r}_{q} - ({' + '.join(f'g{i}_{m + r} * zy{i}_{q}' for i in range(m))})) / {free} * {down} / {seen} AS h{r}_{q}" for r in range(K) for q in range(K)]
     pivots = [f"b{p}_{k + 1} AS MATERIALIZED (SELECT epoch, {''.join(f'd{i}, ' for i in range(k))}h{k}_{k} AS d{k}{''.join(f', h{i}_{j} - h{i}_{k} * h{k}_{j} / h{k}_{k} AS h{i}_{j}' for i in range(k + 1, K) for j in range(k + 1, K))} FROM b{p}_{k})" for k in range(K)]
-    cost = p * K * K / seen
-    return f"""g{p} AS (SELECT epoch, {', '.join(sums)} FROM l WHERE t >= {most} GROUP BY epoch), k{p} AS (SELECT epoch, {', '.join(more)} FROM l WHERE t >= {most} GROUP BY epoch), {_eliminated(f'g{p}', 'epoch, ', m, K, f'e{p}_')},
+    cost = f"({p * K * K}::DOUBLE / {seen})"
+    return f"""g{p} AS (SELECT epoch, {', '.join(sums)} FROM {source} WHERE t >= {most} GROUP BY epoch), k{p} AS (SELECT epoch, {', '.join(more)} FROM {source} WHERE t >= {most} GROUP BY epoch), {_eliminated(f'g{p}', 'epoch, ', m, K, f'e{p}_')},
 b{p}_0 AS MATERIALIZED (SELECT epoch, {', '.join(left)} FROM e{p}_{m} JOIN k{p} USING (epoch)), {', '.join(pivots)},
-o{p} AS (SELECT epoch, {p} AS lags, ld + 2 * {cost}::DOUBLE AS aic, ld + ln({seen}) * {cost}::DOUBLE AS bic, ld + 2 * ln(ln({seen})) * {cost}::DOUBLE AS hqic, pow({seen + m}::DOUBLE / {down}, {K}) * exp(ld) AS fpe
+o{p} AS (SELECT epoch, {p} AS lags, ld + 2 * {cost}::DOUBLE AS aic, ld + ln({seen}) * {cost}::DOUBLE AS bic, ld + 2 * ln(ln({seen})) * {cost}::DOUBLE AS hqic, pow(({seen} + {m})::DOUBLE / {down}, {K}) * exp(ld) AS fpe
       FROM (SELECT epoch, {' + '.join(f'ln(d{k})' for k in range(K))} AS ld FROM b{p}_{K}))"""
 
 
@@ -465,6 +466,10 @@ _MOST = 3
 ORACLES["select_order"] = f"""WITH {DAYS}, {_lagged(_MOST)}, {', '.join(_order(p, _MOST) for p in range(1, _MOST + 1))}, o AS ({' UNION ALL '.join(f'SELECT * FROM o{p}' for p in range(1, _MOST + 1))})
 SELECT epoch, {', '.join(f'CAST(arg_min(lags, {c}) AS INT) AS {c}' for c in ('aic', 'bic', 'hqic', 'fpe'))} FROM o GROUP BY epoch"""
 
+ORACLES["select_order_pooled"] = f"""WITH {DAYS}, {_lagged(_MOST)}, lp AS (SELECT * REPLACE (0 AS epoch) FROM l), ne AS (SELECT count(DISTINCT epoch) AS n FROM sig),
+{', '.join(_order(p, _MOST, many='(SELECT n FROM ne)', source='lp') for p in range(1, _MOST + 1))}, o AS ({' UNION ALL '.join(f'SELECT * FROM o{p}' for p in range(1, _MOST + 1))})
+SELECT CAST(lags AS INT) AS lags, {', '.join(_r(c, c, 5) for c in ('aic', 'bic', 'hqic', 'fpe'))} FROM o"""
+
 # the same within each epoch, from means over time
 _BY_EPOCH = "av AS (SELECT epoch, seed, target, f, avg(re) AS re, avg(im) AS im FROM x GROUP BY ALL)"
 ORACLES["gc_time"] = f"""{_wavelets(freqs=tuple(float(f) for f in range(3, 12)), cycles=1.5)}, {_pairs('tf', 't', every=True)}, {_BY_EPOCH}, {_causality(0, [0, 1], 3, False, 9, 'epoch, ')}

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covaria.operators import autoregression
+from covaria.operators import autoregression, selection
 
 #: Pairs of nodes up to which a grid of them is broadcast.
 SMALL_GRID = 1_000_000
@@ -162,7 +162,7 @@ class ConnFrame:
     def strongest(self, n: int, absolute: bool = False, positions: list[tuple[float, ...]] | None = None, min_distance: float = 0.0) -> DataFrame:
         """The n largest values and whatever equals the last of them; then without pairs of nodes nearer than min_distance."""
         size = F.abs(self.values[0]) if absolute else F.col(self.values[0])
-        last = self.df.select(size.alias("v")).orderBy(F.desc("v")).limit(n).agg(F.min("v").alias("_least"))
+        last = self.df.select(size.alias("v")).orderBy(F.desc("v")).limit(n).agg(F.min("v").alias("_least"))  # n rows of each partition meet
         top = self.df.crossJoin(F.broadcast(last)).where(size >= F.col("_least")).drop("_least")  # one row
         if positions is None:
             return top
@@ -215,7 +215,7 @@ def degree(dense: DataFrame, n_nodes: int, threshold_prop: float = 0.2, value: s
     """(node, degree) over the strongest share of edges of a dense (seed, target, value).
 
     Symmetric values (looked for in the data unless said) are counted once and mirrored; edges of value 0 or less don't count; where the
-    share rounds to no edge at all, all are kept. Ties go by seed and target.
+    share rounds to no edge at all, all are kept. Ties go by seed and target; NaN is no edge.
     """
     if not 0 < threshold_prop <= 1:
         raise ValueError("threshold_prop lies between 0 and 1")
@@ -225,8 +225,8 @@ def degree(dense: DataFrame, n_nodes: int, threshold_prop: float = 0.2, value: s
         symmetric = off.join(other, ["seed", "target"]).agg((F.max(F.abs(F.col("v") - F.col("w"))) <= 1e-8).alias("s")).first().s
     half = off.where("seed < target") if symmetric else off
     keep = int(np.round((n_nodes**2 - n_nodes) * threshold_prop / (2 if symmetric else 1)))
-    if keep:
-        half = half.orderBy(F.desc("v"), "seed", "target").limit(keep)
+    if keep:  # exactly, without a sort of all edges
+        half = selection.largest(half.withColumn("place", F.col("seed").cast("long") * n_nodes + F.col("target")), "v", "place", keep)
     edges = half.where("v > 0")
     ends = edges.select(F.col("target").alias("node"))
     ends = ends.unionByName(edges.select(F.col("seed").alias("node"))) if symmetric else ends

@@ -564,6 +564,12 @@ def select_order(spark, sf):
     return autoregression.best_order(autoregression.select_order(days(spark, sf), 3))
 
 
+@query
+def select_order_pooled(spark, sf):
+    """Of one model for all days, from the sum of their Gram matrices."""
+    return rounded(autoregression.select_order(days(spark, sf), 3, "avg-epochs").drop("epoch"), 5)
+
+
 @query
 def select_order_criteria(spark, sf):
     """Over every day of a quarter, as many as it has."""
