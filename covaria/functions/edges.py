@@ -79,6 +79,31 @@ def seed_target_multivariate_indices(seeds: Sequence[Sequence[int]], targets: Se
     return [list(s) for s, _ in pairs], [list(t) for _, t in pairs]
 
 
+def multivariate_grid(seeds: DataFrame, targets: DataFrame) -> DataFrame:
+    """(con, side, place, ch): every set of seeds with every set of targets, from tables (set, ch) with a row for each channel of a set.
+
+    Sets are numbered in order, seeds slowest; places count a set's channels in order. Both tables are lists of channels.
+    """
+    from pyspark.sql.window import Window
+
+    def sized(rows: DataFrame, k: str) -> DataFrame:
+        found = rows.distinct().groupBy("set").agg(F.array_sort(F.collect_list("ch")).alias(f"{k}_chs"))
+        return found.withColumn(k, F.row_number().over(Window.orderBy("set")) - 1).drop("set")
+
+    s, t = sized(seeds, "s"), sized(targets, "t")
+    n = t.agg(F.count(F.lit(1)).alias("n"))
+    pairs = s.crossJoin(F.broadcast(t)).crossJoin(F.broadcast(n)).withColumn("con", (F.col("s") * F.col("n") + F.col("t")).cast("int"))
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("s_chs").alias("chs")), F.struct(F.lit(1).alias("side"), F.col("t_chs").alias("chs")))
+    return pairs.select("con", F.inline(sides)).select("con", "side", F.posexplode("chs").alias("place", "ch"))
+
+
+def connections_of(grid: DataFrame) -> tuple[list[list[int]], list[list[int]]]:
+    """Indices of sets, for estimators, from a table as multivariate_grid gives it."""
+    found = {(r.con, r.side): [c.ch for c in r.chs] for r in grid.groupBy("con", "side").agg(F.array_sort(F.collect_list(F.struct("place", "ch"))).alias("chs")).collect()}
+    cons = sorted({con for con, _ in found})
+    return [found[c, 0] for c in cons], [found[c, 1] for c in cons]
+
+
 def edge_list(spark: SparkSession, indices: tuple) -> DataFrame:
     """(con, seed, target) in the order given."""
     seeds, targets = check_indices(indices)

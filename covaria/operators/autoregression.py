@@ -100,9 +100,10 @@ def _root(a: np.ndarray, rounds: int = 100) -> np.ndarray:
     z, n = np.eye(len(a), dtype=y.dtype), len(a)
     try:
         for k in range(rounds):
-            scale = abs(np.linalg.det(y) * np.linalg.det(z)) ** (-0.5 / n) if k < 8 else 1.0
-            y, z, last = (scale * y + np.linalg.inv(scale * z)) / 2, (scale * z + np.linalg.inv(scale * y)) / 2, y
-            if np.linalg.norm(y - last) <= 1e-14 * np.linalg.norm(y) * n and k > 8:
+            with np.errstate(all="ignore"):
+                scale = abs(np.linalg.det(y) * np.linalg.det(z)) ** (-0.5 / n) if k < 8 else 1.0
+                y, z, last = (scale * y + np.linalg.inv(scale * z)) / 2, (scale * z + np.linalg.inv(scale * y)) / 2, y
+            if not np.isfinite(y).all() or (k > 8 and np.linalg.norm(y - last) <= 1e-14 * np.linalg.norm(y) * n):
                 break
         root = y * np.exp(0.5j * turn) if turn else y
         if np.isfinite(root).all() and np.linalg.norm(root @ root - a) <= 1e-6 * max(size, 1e-300) * n:

@@ -6,12 +6,15 @@ cross-spectrum, and how they make its value. All measures asked for share one tw
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import spectra
+
 _ABS = "sqrt(re * re + im * im)"
 #: State columns by name; ANSI mode raises on division by zero, so each ratio says what zero gives.
 STATES = {
@@ -106,10 +109,31 @@ def over_epochs(cross: DataFrame, methods: list[str]) -> DataFrame:
     return _aggregated(cross, [c for c in PAIR if c in cross.columns], methods, EPOCHS)
 
 
+def _within(cross: DataFrame, keys: list[str], methods: list[str], registry: dict[str, Measure]) -> DataFrame | None:
+    """Values from cross-spectra that are arrays over time, each made of its own row; None if a state isn't a mean of entries."""
+    known = STATES | {k: v for m in methods if m in registry for k, v in registry[m].extra.items()}
+    states = {s: known[s] for m in methods if m in registry for s in registry[m].states}
+    means = {s: re.fullmatch(r"avg\((.*)\)", sql, re.DOTALL) for s, sql in states.items() if s != "n"}
+    if not all(means.values()):
+        return None
+    entry = lambda sql: re.sub(r"\b(re|im|pxx|pyy)\b", r"v.\1", sql)
+    columns = [F.expr(f"aggregate(z, 0d, (s, v) -> s + ({entry(found[1])})) / nullif(size(z), 0)").alias(s) for s, found in means.items()]
+    columns += [F.size("z").cast("double").alias("n")] if "n" in states else []
+    return _values(cross.select(*keys, *columns), keys, methods, registry)
+
+
 def over_time(cross: DataFrame, methods: list[str], average: bool = False) -> DataFrame:
-    """A value for each epoch, pair and bin from the mean over time; averaged over epochs on demand."""
+    """A value for each epoch, pair and bin from the mean over time; averaged over epochs on demand.
+
+    Cross-spectra that are arrays over time (csd with whole, smoothed_csd) are reduced within their
+    row, without a shuffle.
+    """
     keys = [c for c in ("con", "seed", "target", "f", "freq") if c in cross.columns]
-    found = _aggregated(cross, ["epoch", *keys], methods, TIME)
+    found = None
+    if "z" in cross.columns:
+        found = _within(cross, ["epoch", *keys], methods, TIME) if all(m in TIME for m in methods) else None
+        cross = cross if found is not None else spectra.taken_apart(cross)
+    found = _aggregated(cross, ["epoch", *keys], methods, TIME) if found is None else found
     return averaged(found, keys) if average else found
 
 

@@ -66,28 +66,39 @@ def correlation(signals: DataFrame, orthogonalize: str | bool = "pairwise", log:
     return pairs.select("epoch", "seed", "target", value.alias("value"))
 
 
-def symmetric_orth_matrix(data: np.ndarray, n_iter: int = 50, tol: float = 1e-6) -> tuple[np.ndarray, bool]:
-    """Rows made orthogonal to each other and as near to the given ones as can be (Colclough et al. 2015), and whether it converged."""
+def symmetric_orth_matrix(data: np.ndarray, n_iter: int = 50, tol: float = 1e-6) -> tuple[np.ndarray, bool, int]:
+    """Rows made orthogonal to each other and as near to the given ones as can be (Colclough et al. 2015); whether that converged; the rank of the rows.
+
+    The squared distance converges when it falls by less than tol of itself. Of rows of a smaller rank, components beyond it are noise.
+    """
     if data.shape[0] > data.shape[1]:
         raise ValueError(f"{data.shape[0]} signals of {data.shape[1]} samples can't be orthogonal")
-    scale, last = np.ones(len(data)), np.inf
+    scale, last, rank, near = np.ones(len(data)), np.inf, None, data
     for _ in range(n_iter):
-        u, _s, vh = np.linalg.svd(scale[:, None] * data, full_matrices=False)
+        u, s, vh = np.linalg.svd(scale[:, None] * data, full_matrices=False)
+        rank = int((s >= s[0] * 1e-6).sum()) if rank is None else rank
         base = u @ vh
         scale = np.einsum("ij,ij->i", data, base)
         near = scale[:, None] * base
-        error = np.linalg.norm(data - near)
-        if last != np.inf and (last == 0 or abs(last - error) / last < tol):
-            return near, True
+        error = np.linalg.norm(data - near) ** 2
+        if error == 0 or (last - error) / error < tol:
+            return near, True, rank
         last = error
-    return near, False
+    return near, False, rank or 0
 
 
-def symmetric_orth(vectors: DataFrame, n_iter: int = 50, tol: float = 1e-6) -> DataFrame:
-    """Vectors of each epoch orthogonalised together; an epoch is one matrix, so one group."""
+def symmetric_orth(vectors: DataFrame, n_iter: int = 50, tol: float = 1e-6, diagnostics: bool = False) -> DataFrame:
+    """Vectors of each epoch orthogonalised together; an epoch is one matrix, so one group.
+
+    diagnostics adds converged and rank (of the epoch): what isn't converged, or has a rank below the number of channels, is
+    returned all the same, for the caller to judge.
+    """
+    more = ", converged boolean, rank int" if diagnostics else ""
 
     def of(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ch")
-        return rows[["epoch", "ch"]].assign(x=list(symmetric_orth_matrix(np.stack(rows["x"].to_numpy()), n_iter, tol)[0]))
+        found, converged, rank = symmetric_orth_matrix(np.stack(rows["x"].to_numpy()), n_iter, tol)
+        out = rows[["epoch", "ch"]].assign(x=list(found))
+        return out.assign(converged=converged, rank=rank) if diagnostics else out
 
-    return vectors.select("epoch", "ch", "x").groupBy("epoch").applyInPandas(of, "epoch long, ch int, x array<double>")
+    return vectors.select("epoch", "ch", "x").groupBy("epoch").applyInPandas(of, "epoch long, ch int, x array<double>" + more)

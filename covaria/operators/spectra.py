@@ -126,8 +126,8 @@ def wavelet(vectors: DataFrame, sfreq: float, freqs, n_cycles=7.0, zero_mean: bo
     return vectors.select("epoch", "ch", "x").mapInPandas(of, WHOLE if whole else SPECTRUM + ", t int")
 
 
-def tapered_tfr(vectors: DataFrame, sfreq: float, freqs, n_cycles=7.0, time_bandwidth: float = 4.0) -> DataFrame:
-    """Multitaper time-frequency transform: windows of n_cycles, Slepian tapers under each."""
+def tapered_tfr(vectors: DataFrame, sfreq: float, freqs, n_cycles=7.0, time_bandwidth: float = 4.0, decim: int = 1, padding: int = 0, whole: bool = False) -> DataFrame:
+    """Multitaper time-frequency transform: windows of n_cycles, Slepian tapers under each; a row for each taper, freq and time, or if whole for each taper and freq (WHOLE, with taper and weight)."""
     freqs = np.asarray(freqs, float)
     kernels = windows.tapered_waves(sfreq, freqs, n_cycles, time_bandwidth)
 
@@ -136,14 +136,21 @@ def tapered_tfr(vectors: DataFrame, sfreq: float, freqs, n_cycles=7.0, time_band
             if not len(rows):
                 continue
             x = np.stack(rows["x"].to_numpy())
-            n, out = x.shape[1], []
+            n, size, out = x.shape[1], windows.fast_length(x.shape[1] + max(len(w) for group in kernels for w, _ in group) - 1), []
+            spectrum = np.fft.fft(x, size)
             for i, group in enumerate(kernels):
                 for k, (w, weight) in enumerate(group):
-                    y = np.stack([np.convolve(v, w, "full")[(len(w) - 1) // 2 :][:n] for v in x])
-                    out.append(pd.DataFrame({"epoch": np.repeat(rows["epoch"].to_numpy(), n), "ch": np.repeat(rows["ch"].to_numpy(), n), "taper": k, "f": i, "freq": freqs[i], "re": y.real.ravel(), "im": y.imag.ravel(), "weight": weight, "t": np.tile(np.arange(n), len(rows))}))
+                    y = np.fft.ifft(spectrum * np.fft.fft(w, size))[:, (len(w) - 1) // 2 :][:, :n]
+                    y = y[:, ::decim][:, padding : -(-n // decim) - padding]
+                    if whole:
+                        out.append(rows[["epoch", "ch"]].assign(taper=k, f=i, freq=freqs[i], weight=weight, t0=padding, re=list(y.real), im=list(y.imag)))
+                        continue
+                    t = np.arange(y.shape[1]) + padding
+                    out.append(pd.DataFrame({"epoch": np.repeat(rows["epoch"].to_numpy(), len(t)), "ch": np.repeat(rows["ch"].to_numpy(), len(t)), "taper": k, "f": i, "freq": freqs[i], "re": y.real.ravel(), "im": y.imag.ravel(), "weight": weight, "t": np.tile(t, len(rows))}))
             yield pd.concat(out)
 
-    return vectors.select("epoch", "ch", "x").mapInPandas(of, SPECTRUM + ", t int")
+    whole_rows = "epoch long, ch int, taper int, f int, freq double, weight double, t0 int, re array<double>, im array<double>"
+    return vectors.select("epoch", "ch", "x").mapInPandas(of, whole_rows if whole else SPECTRUM + ", t int")
 
 
 def psd(spectra: DataFrame) -> DataFrame:
@@ -166,23 +173,33 @@ def _paired(rows: DataFrame, keys: list[str], edges: DataFrame | None, diagonal:
     return found.select(*keys, "seed", "target", F.col("p.s").alias("a"), F.col("q.s").alias("b")), keys
 
 
-def csd(spectra: DataFrame, edges: DataFrame | None = None, diagonal: bool = False) -> DataFrame:
-    """Cross-spectra (epoch, seed, target, f, freq[, t], re, im, pxx, pyy) of pairs.
+#: What a pair has at one bin over all times, as entries of an array.
+OVER_TIME = "array<struct<re:double,im:double,pxx:double,pyy:double>>"
+
+
+def csd(spectra: DataFrame, edges: DataFrame | None = None, diagonal: bool = False, whole: bool = False) -> DataFrame:
+    """Cross-spectra (epoch, seed, target, f, freq[, t], re, im, pxx, pyy) of pairs; whole: (..., t0, z), z being OVER_TIME.
 
     One shuffle: what an epoch has at a bin (and time) becomes one row with an entry for each channel,
     as long as there are channels and tapers, and pairs are made within the row. Without edges they are
     seed > target. edges, a list, are broadcast and joined by seed, and their targets looked up, so no
     pair is made but theirs; channels that none of them names are dropped before the shuffle.
     diagonal: all pairs, each way, and itself. Spectra that are WHOLE move as arrays over time, and are
-    taken apart once they are pairs.
+    taken apart once they are pairs, unless they shall stay whole.
     """
     if edges is not None:
         named = edges.select(F.explode(F.array("seed", "target")).alias("ch")).distinct()
         spectra = spectra.join(F.broadcast(named), "ch", "left_semi")
+    if "t0" in spectra.columns and "taper" in spectra.columns:
+        found = smoothed_csd(spectra, np.ones((1, 1)), False, edges, diagonal)  # tapers are summed where pairs are made
+        return found if whole else taken_apart(found)
     if "t0" in spectra.columns:
         keys = ["epoch", "f", "freq", "t0"]
         rows = spectra.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ch", F.struct("re", "im").alias("s")))).alias("all"))
         pairs, keys = _paired(rows, keys, edges, diagonal)
+        if whole:
+            entry = "struct(2 * (p.re * q.re + p.im * q.im) as re, 2 * (p.im * q.re - p.re * q.im) as im, 2 * (p.re * p.re + p.im * p.im) as pxx, 2 * (q.re * q.re + q.im * q.im) as pyy)"
+            return pairs.select(*keys, "seed", "target", F.expr(f"zip_with(arrays_zip(a.re, a.im), arrays_zip(b.re, b.im), (p, q) -> {entry})").alias("z"))
         pairs = pairs.select(*keys, "seed", "target", F.posexplode(F.arrays_zip("a.re", "a.im", F.col("b.re").alias("ure"), F.col("b.im").alias("uim"))).alias("at", "z"))
         keys = [F.col("t0") + F.col("at") if k == "t0" else F.col(k) for k in keys]
         keys = [k.cast("int").alias("t") if i == len(keys) - 1 else k for i, k in enumerate(keys)]
@@ -199,11 +216,74 @@ def csd(spectra: DataFrame, edges: DataFrame | None = None, diagonal: bool = Fal
     return pairs.select(*keys, "seed", "target", (total("x.re * y.re + x.im * y.im") / scale).alias("re"), (total("x.im * y.re - x.re * y.im") / scale).alias("im"), own("a").alias("pxx"), own("b").alias("pyy"))
 
 
+#: Bins whose cross-spectra are smoothed together, besides those around them.
+TOGETHER = 16
+
+
+def smoothed_csd(spectra: DataFrame, kernel: np.ndarray, per_freq: bool = False, edges: DataFrame | None = None, diagonal: bool = False, together: int = TOGETHER) -> DataFrame:
+    """Cross-spectra of WHOLE spectra convolved over bin and time with a kernel (freq, time), zero beyond the edges: (epoch, seed, target, f, freq, t0, z) as from csd.
+
+    One shuffle: blocks of bins, each with as many around it as the kernel reaches, are one row for an
+    epoch; its pairs are made, of tapers if there are any summed by weight, and smoothed there, as arrays. A
+    channel's power is smoothed once, whatever its pairs. per_freq: a row of the kernel for each frequency, in order, over time alone. edges are a list.
+    """
+    # how far the kernel reaches to either side of a bin
+    before, after = (0, 0) if per_freq else ((len(kernel) - 1) // 2, len(kernel) - 1 - (len(kernel) - 1) // 2)
+    listed = None if edges is None else [(r.seed, r.target, r["con"] if "con" in edges.columns else None) for r in edges.collect()]
+    if listed is not None:
+        spectra = spectra.where(F.col("ch").isin(sorted({c for s, t, _ in listed for c in (s, t)})))
+    per = together if before or after else 1
+    reach = max(before, after)
+    whole = lambda c: F.floor(c / per).cast("int")
+    block = F.explode(F.sequence(F.greatest(F.lit(0), whole(F.col("f") - reach)), whole(F.col("f") + reach)))
+    tapered = ["taper", "weight"] if "taper" in spectra.columns else []
+    rows = spectra.withColumn("block", block).groupBy("epoch", "block", "t0").agg(F.collect_list(F.struct("ch", "f", "freq", *tapered, "re", "im")).alias("all"))
+
+    def of(batches):
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                chs, fs = sorted({e["ch"] for e in r.all}), sorted({(e["f"], e["freq"]) for e in r.all})
+                own = [k for k, (f, _) in enumerate(fs) if f // per == r.block]
+                if not own:
+                    continue
+                low = fs[0][0]
+                x = np.zeros((len(chs), max(e["taper"] for e in r.all) + 1 if tapered else 1, fs[-1][0] - low + 1, len(r.all[0]["re"])), complex)
+                w2 = np.zeros((len(chs), x.shape[2], 1))
+                for e in r.all:
+                    i, k, weight = chs.index(e["ch"]), e["taper"] if tapered else 0, e["weight"] if tapered else 1.0
+                    x[i, k, e["f"] - low] = weight * (np.asarray(e["re"]) + 1j * np.asarray(e["im"]))
+                    w2[i, e["f"] - low] += weight**2
+                x /= np.sqrt(np.where(w2 > 0, w2, 1.0))[:, None]
+                at = [fs[k][0] - low for k in own]
+                smooth = lambda grid: _convolved(grid, kernel[[fs[0][0]]] if per_freq else kernel, per_freq)[at]  # noqa: E731, B023
+                power = [smooth(2 * (np.abs(v) ** 2).sum(0)) for v in x]
+                pairs = listed or [(a, b, None) for a in chs for b in chs if diagonal or b < a]
+                for a, b, con in pairs:
+                    if a in chs and b in chs:
+                        i, j = chs.index(a), chs.index(b)
+                        c = 2 * (x[i] * x[j].conj()).sum(0)
+                        values = np.stack([smooth(c.real), smooth(c.imag), power[i], power[j]], axis=-1)
+                        for k, v in zip(own, values, strict=True):
+                            out.append((con, r.epoch, a, b, *fs[k], r.t0, [dict(zip(("re", "im", "pxx", "pyy"), e, strict=True)) for e in v.tolist()]))
+            yield pd.DataFrame(out, columns=["con", "epoch", "seed", "target", "f", "freq", "t0", "z"]).astype({"con": "Int64"})
+
+    found = rows.mapInPandas(of, f"con int, epoch long, seed int, target int, f int, freq double, t0 int, z {OVER_TIME}")
+    return found if edges is not None and "con" in edges.columns else found.drop("con")
+
+
+def taken_apart(cross: DataFrame) -> DataFrame:
+    """Cross-spectra that are arrays over time as a row for each time."""
+    keys = [c for c in cross.columns if c not in ("t0", "z")]
+    rows = cross.select(*keys, "t0", F.posexplode("z").alias("at", "z"))
+    return rows.select(*keys, (F.col("t0") + F.col("at")).cast("int").alias("t"), "z.*")
+
+
 def smoothed(cross: DataFrame, kernel: np.ndarray, per_freq: bool = False) -> DataFrame:
     """Cross-spectra convolved over bin and time with a kernel (freq, time), zero beyond the edges.
 
-    per_freq: a row of the kernel for each frequency, in order, over time alone. One shuffle: what an
-    epoch's pair has becomes one row of arrays over bins and times, and is convolved there.
+    per_freq: a row of the kernel for each frequency, in order, over time alone. For spectra that aren't
+    WHOLE: what an epoch's pair has becomes one row of arrays over bins and times, and is convolved there.
     """
     keys = [c for c in ("con", "epoch", "seed", "target") if c in cross.columns]
     values, kinds = ("re", "im", "pxx", "pyy"), dict(cross.dtypes)

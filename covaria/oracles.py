@@ -504,3 +504,19 @@ SELECT CAST(con AS INT) AS con, f, side, CAST(slot AS INT) AS place, {_r('p[slot
 # days that two hours before the latest event have passed
 ORACLES["coh_samples_stream"] = f"""WITH {DAYS}, closed AS (SELECT * FROM sig WHERE DATE '1970-01-01' + CAST(epoch + 1 AS INT) <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)),
 {_fourier('closed')}, {_pairs()} SELECT seed, target, f, {_r(MEASURES['coh'], 'coh')}, {_r(MEASURES['wpli2_debiased'], 'wpli2_debiased')} FROM x GROUP BY ALL"""
+# tapers are summed before phases are averaged over time
+_TAPERED = ORACLES["tfr_multitaper"].split("SELECT epoch, ch, CAST(f AS INT) AS f, 4.0", 1)[0]
+ORACLES["plv_time_multitaper"] = f"""{_TAPERED}, x AS (SELECT a.epoch, a.ch AS seed, b.ch AS target, a.f, a.t, sum(a.weight * b.weight * (a.re * b.re + a.im * b.im)) AS re, sum(a.weight * b.weight * (a.im * b.re - a.re * b.im)) AS im
+  FROM y a JOIN y b ON a.epoch = b.epoch AND a.f = b.f AND a.k = b.k AND a.t = b.t AND a.ch > b.ch GROUP BY ALL)
+SELECT epoch, seed, target, CAST(f AS INT) AS f, {_r(MEASURES['plv'], 'value', 5)} FROM x GROUP BY ALL"""
+ORACLES["spectra_decimated"] = f"{SPECTRA} SELECT epoch, ch, f, {_r('re', 're', 4)}, {_r('im', 'im', 4)} FROM sp WHERE (f BETWEEN 2 AND 6 OR f BETWEEN 5 AND 11) AND (f - 2) % 3 = 0"
+ORACLES["mim_every_set"] = f"""{ALL} SELECT CAST(3 * p.seed + p.target - 2 AS INT) AS con, p.f, {_r('p.im * p.im / (a.re * b.re)', 'value')} FROM av p
+JOIN av a ON a.seed = p.seed AND a.target = p.seed AND a.f = p.f JOIN av b ON b.seed = p.target AND b.target = p.target AND b.f = p.f WHERE p.seed < 2 AND p.target >= 2"""
+ORACLES["edges_sets_of_events"] = """WITH c AS (SELECT event_type, count(*) AS n, row_number() OVER (ORDER BY event_type) - 1 AS ch FROM events WHERE event_type IS NOT NULL GROUP BY event_type),
+g AS (SELECT CAST(ch AS INT) AS ch, ch // 2 AS s, n > (SELECT count(*) / count(DISTINCT event_type) FROM events) AS often FROM c),
+q AS (SELECT often, s, row_number() OVER (PARTITION BY often ORDER BY s) - 1 AS k FROM (SELECT DISTINCT often, s FROM g)),
+p AS (SELECT a.s AS a, b.s AS b, a.k * (SELECT count(*) FROM q WHERE NOT often) + b.k AS con FROM q a JOIN q b ON a.often AND NOT b.often)
+SELECT CAST(con AS INT) AS con, CAST(CASE WHEN often THEN 0 ELSE 1 END AS INT) AS side, CAST(row_number() OVER (PARTITION BY con, often ORDER BY ch) - 1 AS INT) AS place, ch FROM p JOIN g ON g.s = CASE WHEN often THEN a ELSE b END"""
+# days without their first hour: 23 samples, transformed as 24
+ORACLES["analytic_signal_padded"] = f"""{_analytic(f"{DAYS.replace('sig AS', 'whole AS')}, sig AS (SELECT epoch, ch, t - 1 AS t, value FROM whole WHERE t >= 1)")}
+SELECT epoch, ch, t, {_r('re', 're', 4)}, {_r('im', 'im', 4)} FROM z WHERE t < 23"""

@@ -163,9 +163,7 @@ def spectral_connectivity_time(vectors: DataFrame, freqs, method: str | Sequence
     elif mode == "cwt_morlet":
         found = spectra.wavelet(vectors, sfreq, freqs, n_cycles, decim=decim, padding=cropped, whole=True)
     elif mode == "multitaper":
-        found = spectra.tapered_tfr(vectors, sfreq, freqs, n_cycles, mt_bandwidth or 4.0)
-        found = found.where((F.col("t") % decim == 0)).withColumn("t", (F.col("t") / decim).cast("int"))
-        found = found.where((F.col("t") >= cropped) & (F.col("t") < -(-n_times // decim) - cropped))
+        found = spectra.tapered_tfr(vectors, sfreq, freqs, n_cycles, mt_bandwidth or 4.0, decim, cropped, whole=True)
     else:
         raise ValueError("mode must be 'cwt_morlet' or 'multitaper'")
     per_freq = np.ndim(sm_times) > 0
@@ -175,9 +173,12 @@ def spectral_connectivity_time(vectors: DataFrame, freqs, method: str | Sequence
     kernel = (widths if per_freq else widths[0], int(round(max(sm_freqs, 1))))
     meta = Meta("", n_nodes, "all" if indices is None else "raveled", spec_method=mode)
     pairs = None if indices is None or multi else edge.edge_list(vectors.sparkSession, indices)
-    cross = spectra.csd(found, pairs, diagonal=bool(multi))
-    if kernel != (1, 1):
-        cross = spectra.smoothed(cross, windows.smoothing_kernel(*kernel, sm_kernel), per_freq)
+    whole, table = "t0" in found.columns, windows.smoothing_kernel(*kernel, sm_kernel) if kernel != (1, 1) else None
+    if whole and table is not None:
+        cross = spectra.smoothed_csd(found, table, per_freq, pairs, bool(multi))
+    else:
+        cross = spectra.csd(found, pairs, bool(multi), whole)
+        cross = cross if table is None else spectra.smoothed(cross, table, per_freq)
     if faverage:
         bands = list(zip(np.atleast_1d(min(freqs) if fmin is None else fmin).tolist(), np.atleast_1d(max(freqs) if fmax is None else fmax).tolist(), strict=True))
     if multi:

@@ -123,20 +123,27 @@ def edges_prune_channels(spark, sf):
     return rounded(signals.to_long(signals.only(days(spark, sf), named)))
 
 
+def _samples(spark, sf) -> int:
+    """How many samples the longest day of the events has."""
+    return days(spark, sf).agg(F.max(F.size("x"))).first()[0] or 0
+
+
 @query
 def freq_grid(spark, sf):
-    return spark.range(N // 2 + 1).select(F.col("id").cast("int").alias("f"), (F.col("id") * SFREQ / N).alias("freq"))
+    """The frequencies that days of so many samples have."""
+    n = days(spark, sf).agg(F.max(F.size("x")).alias("n"))
+    return n.select("n", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / 2).cast("int"))).alias("f")).select("f", (F.col("f") * SFREQ / F.col("n")).alias("freq"))
 
 
 @query
 def freq_mask_bands(spark, sf):
-    bins = spectra.chosen_bins(N, SFREQ, BANDS)
+    bins = spectra.chosen_bins(_samples(spark, sf), SFREQ, BANDS)
     return spark.createDataFrame([(int(b), float(b)) for b in bins], "f int, freq double")
 
 
 @query
 def freq_decimate(spark, sf):
-    return spark.createDataFrame([(int(b),) for b in spectra.chosen_bins(N, SFREQ, BANDS, 3)], "f int")
+    return spark.createDataFrame([(int(b),) for b in spectra.chosen_bins(_samples(spark, sf), SFREQ, BANDS, 3)], "f int")
 
 
 @query
@@ -149,7 +156,8 @@ def band_nearest(spark, sf):
 @query
 def edges_multivariate(spark, sf):
     """Every set of seeds with every set of targets: a row for each channel of a side."""
-    found = edges.seed_target_multivariate_indices([[0, 1], [2]], [[3], [4, 0]])
+    first, *_, last = sorted(r.ch for r in signals.channels_of(table(spark, sf, "events"), "event_type").collect())
+    found = edges.seed_target_multivariate_indices([[first, first + 1], [first + 2]], [[last - 1], [last, first]])
     rows = [(con, side, at, ch) for side, sets in enumerate(found) for con, channels in enumerate(sets) for at, ch in enumerate(channels)]
     return spark.createDataFrame(rows, "con int, side int, place int, ch int")
 
@@ -157,11 +165,50 @@ def edges_multivariate(spark, sf):
 @query
 def edges_padded(spark, sf):
     """Sets of different sizes, negative channels counted from the end, filled up with -1."""
-    found = edges.padded_indices(([[0, 1, 2], [3]], [[-1], [0, -3]]), 5)
+    n = signals.channels_of(table(spark, sf, "events"), "event_type").count()
+    found = edges.padded_indices(([[0, 1, 2], [3]], [[-1], [0, -3]]), n)
     rows = [(side, con, at, int(ch)) for side, sets in enumerate(found) for con, channels in enumerate(sets) for at, ch in enumerate(channels)]
     return spark.createDataFrame(rows, "side int, con int, place int, ch int")
 
 
+def _channel_sets(spark, sf) -> DataFrame:
+    """Sets from the events: the channels above and those not above the mean number of events as seeds and targets, one or two a set."""
+    events = table(spark, sf, "events")
+    counted = signals.channels_of(events, "event_type").join(events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), F.col("name") == F.col("event_type"))
+    mean = events.agg((F.count(F.lit(1)) / F.count_distinct("event_type")).alias("mean"))
+    rows = counted.crossJoin(F.broadcast(mean)).select("ch", (F.col("n") > F.col("mean")).alias("often"))  # one row
+    sets = lambda often: rows.where("often" if often else "NOT often").select(F.floor(F.col("ch") / 2).cast("int").alias("set"), "ch")
+    return edges.multivariate_grid(sets(True), sets(False))
+
+
+@query
+def edges_sets_of_events(spark, sf):
+    """Every set of frequent event types with every set of rare ones."""
+    return _channel_sets(spark, sf)
+
+
+@query
+def spectra_decimated(spark, sf):
+    """Spectra at every third bin of two bands."""
+    found = spectra.fourier(days(spark, sf), N, SFREQ, spectra.chosen_bins(N, SFREQ, BANDS, 3))
+    return rounded(found.select("epoch", "ch", "f", "re", "im"), 4)
+
+
+@query
+def mim_every_set(spark, sf):
+    """Every seed with every target as sets of one channel, numbered seeds slowest."""
+    channels = signals.channels_of(table(spark, sf, "events"), "event_type").select(F.col("ch").alias("set"), "ch")
+    grid = edges.multivariate_grid(channels.where("ch < 2"), channels.where("ch >= 2"))
+    frame = covaria.spectral_connectivity_epochs(days(spark, sf), "mim", indices=edges.connections_of(grid), sfreq=SFREQ, mode="fourier", fmin=1, fmax=11, rank=([1] * 6, [1] * 6), shape=SHAPE)
+    return rounded(frame.df.select("con", "f", "value"))
+
+
+@query
+def plv_time_multitaper(spark, sf):
+    frame = covaria.spectral_connectivity_time(days(spark, sf), FREQS, "plv", sfreq=SFREQ, mode="multitaper", n_cycles=CYCLES, shape=SHAPE)
+    return rounded(frame.df.select("epoch", "seed", "target", "f", "value"), 5)
+
+
 @query
 def refused(spark, sf):
     """What estimators say to input that makes no sense, by the kind of error."""
@@ -336,7 +383,7 @@ def coh_cwt_epochs(spark, sf):
 
 def _in_time(name: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return rounded(bivariate.over_time(spectra.csd(_tfr(spark, sf, whole=True)), [name]).drop("freq"))
+        return rounded(bivariate.over_time(spectra.csd(_tfr(spark, sf, whole=True), whole=True), [name]).drop("freq"))
 
     return run
 
@@ -347,7 +394,7 @@ for _name in bivariate.TIME:
 
 @query
 def time_average(spark, sf):
-    return rounded(bivariate.over_time(spectra.csd(_tfr(spark, sf, whole=True)), ["coh"], average=True).drop("freq"))
+    return rounded(bivariate.over_time(spectra.csd(_tfr(spark, sf, whole=True), whole=True), ["coh"], average=True).drop("freq"))
 
 
 @query
@@ -358,19 +405,19 @@ def coh_from_tfr(spark, sf):
 
 @query
 def time_faverage(spark, sf):
-    values = bivariate.over_time(spectra.csd(_tfr(spark, sf, whole=True)), ["coh"])
+    values = bivariate.over_time(spectra.csd(_tfr(spark, sf, whole=True), whole=True), ["coh"])
     return rounded(bivariate.foi_banded(values, FREQS, [(4, 6), (6, 8), (8, 8)]).drop("freq"))
 
 
 @query
 def time_smoothed_square(spark, sf):
-    cross = spectra.smoothed(spectra.csd(_tfr(spark, sf, whole=True)), windows.smoothing_kernel(3, 1, "square"))
+    cross = spectra.smoothed_csd(_tfr(spark, sf, whole=True), windows.smoothing_kernel(3, 1, "square"))
     return rounded(bivariate.over_time(cross, ["coh"]).drop("freq"))
 
 
 @query
 def time_smoothed_hanning(spark, sf):
-    cross = spectra.smoothed(spectra.csd(_tfr(spark, sf, whole=True)), windows.smoothing_kernel(5, 3, "hanning"))
+    cross = spectra.smoothed_csd(_tfr(spark, sf, whole=True), windows.smoothing_kernel(5, 3, "hanning"))
     return rounded(bivariate.over_time(cross, ["coh"]).drop("freq"))
 
 
@@ -383,17 +430,17 @@ def time_smoothed_by_freq(spark, sf):
 
 @query
 def time_padding(spark, sf):
-    return rounded(bivariate.over_time(spectra.csd(_tfr(spark, sf, padding=4, whole=True)), ["wpli"]).drop("freq"))
+    return rounded(bivariate.over_time(spectra.csd(_tfr(spark, sf, padding=4, whole=True), whole=True), ["wpli"]).drop("freq"))
 
 
 @query
 def time_decimated(spark, sf):
-    return rounded(bivariate.over_time(spectra.csd(_tfr(spark, sf, decim=2, whole=True)), ["plv"]).drop("freq"))
+    return rounded(bivariate.over_time(spectra.csd(_tfr(spark, sf, decim=2, whole=True), whole=True), ["plv"]).drop("freq"))
 
 
 @query
 def psi_time(spark, sf):
-    cohy = bivariate.over_time(spectra.csd(_tfr(spark, sf, whole=True)), ["cohy"])
+    cohy = bivariate.over_time(spectra.csd(_tfr(spark, sf, whole=True), whole=True), ["cohy"])
     return rounded(bivariate.phase_slope(cohy, [(3, 9)]))
 
 
@@ -441,6 +488,14 @@ def envcorr_combine_custom(spark, sf):
     return rounded(_envelope(spark, sf).combine(lambda v: v.max() - v.min()).df)
 
 
+@query
+def analytic_signal_padded(spark, sf):
+    """Of days without their first hour, whose 23 samples are padded to transform fast."""
+    x = envelope.analytic(signals.window(days(spark, sf), SFREQ, 1 / 24))
+    x = x.select("epoch", "ch", F.posexplode(F.arrays_zip("re", "im")).alias("t", "z"))
+    return rounded(x.select("epoch", "ch", "t", "z.re", "z.im"), 4)
+
+
 @query
 def symmetric_orth(spark, sf):
     """Products of the orthogonalised signals: nothing off the diagonal."""
@@ -669,7 +724,9 @@ def surrogate_pvalue(spark, sf):
 
 @query
 def simulate_band(spark, sf):
-    x = covaria.make_signals_in_freq_bands(spark, 1, 1, (5, 8), n_epochs=30, n_times=N, sfreq=SFREQ, connection_delay=1, seed=1)
+    """As many epochs as the events have days, of one signal that drives another."""
+    n = days(spark, sf).select("epoch").distinct().count()
+    x = covaria.make_signals_in_freq_bands(spark, 1, 1, (5, 8), n_epochs=n, n_times=N, sfreq=SFREQ, connection_delay=1, seed=1)
     return rounded(bivariate.over_epochs(spectra.csd(_fourier(x)), ["coh", "dpli"]).drop("freq"))
 
 

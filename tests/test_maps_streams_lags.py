@@ -283,3 +283,167 @@ def test_epochs_of_a_stream_are_as_before(spark, data):
     x = epochs.whole_epochs(vectors(spark, data))
     rows = epochs.cross_spectra(x, SFREQ, np.array(BINS)).orderBy("epoch", "f", "seed", "target").collect()
     assert all((a.epoch, a.f, a.seed, a.target) < (b.epoch, b.f, b.seed, b.target) for a, b in pairwise(rows))
+
+
+# cross-spectra as arrays over time
+
+
+def exchanges(df):
+    df.count()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning")
+
+
+def values(df, *names):
+    return {(r.epoch, r.seed, r.target, r.f): pytest.approx([r[n] for n in names], abs=1e-9, nan_ok=True) for r in df.collect()}
+
+
+def plain(df, *names):
+    return {(r.epoch, r.seed, r.target, r.f): [r[n] for n in names] for r in df.collect()}
+
+
+def test_arrays_over_time_are_reduced_within_their_row(spark, data):
+    waves = spectra.wavelet(vectors(spark, data[:3]), SFREQ, [10.0, 12.5, 15.0, 20.0], 3.0, whole=True)
+    methods = [m for m in bivariate.TIME if m != "cohy"] + ["cohy"]
+    names = [m for m in bivariate.TIME if m != "cohy"] + ["cohy_re", "cohy_im"]
+    found = bivariate.over_time(spectra.csd(waves, whole=True), methods)
+    assert plain(found, *names) == values(bivariate.over_time(spectra.csd(waves), methods), *names)
+    assert exchanges(found) == 1
+    own = bivariate.Measure(("most",), "most", extra={"most": "max(re)"})  # not a mean of entries
+    bivariate.register("largest_re", own, bivariate.TIME)
+    try:
+        found = bivariate.over_time(spectra.csd(waves, whole=True), ["largest_re"])
+        assert plain(found, "largest_re") == values(bivariate.over_time(spectra.csd(waves), ["largest_re"]), "largest_re")
+        with pytest.raises(ValueError):
+            bivariate.over_time(spectra.csd(waves, whole=True), ["none"])
+    finally:
+        del bivariate.TIME["largest_re"]
+
+
+@pytest.mark.parametrize("kernel", [(3, 1), (5, 3), (4, 2), (3, 7)])
+def test_smoothing_in_blocks_equals_smoothing_of_rows(spark, data, kernel):
+    freqs = np.arange(8.0, 22.0).tolist()
+    waves = spectra.wavelet(vectors(spark, data[:2, :3]), SFREQ, freqs, 2.0, whole=True)
+    table = covaria.functions.windows.smoothing_kernel(*kernel, "square" if 2 in kernel else "hanning")
+    want = values(bivariate.over_time(spectra.smoothed(spectra.csd(waves), table), ["coh", "imcoh"]), "coh", "imcoh")
+    for together in (1, 4, 16):
+        found = bivariate.over_time(spectra.smoothed_csd(waves, table, together=together), ["coh", "imcoh"])
+        assert plain(found, "coh", "imcoh") == want
+    assert exchanges(found) == 1
+    pairs = spark.createDataFrame([(0, 2, 0), (1, 0, 1)], "con int, seed int, target int")
+    listed = bivariate.over_time(spectra.smoothed_csd(waves, table, edges=pairs), ["coh"])
+    rows = bivariate.over_time(spectra.smoothed(spectra.csd(waves, pairs), table), ["coh"])
+    assert plain(listed, "con", "coh") == values(rows, "con", "coh")
+
+
+def test_estimators_smooth_sets_and_pairs_in_arrays(spark, data):
+    x, freqs = vectors(spark, data[:3]), [10.0, 15.0, 20.0]
+    for options in ({"sm_times": 0.1, "sm_freqs": 3, "sm_kernel": "square"}, {"sm_times": [0.1, 0.06, 0.02], "sm_kernel": "square"}):
+        got = covaria.spectral_connectivity_time(x, freqs, "coh", sfreq=SFREQ, n_cycles=3, shape=(5, 64), **options)
+        given = covaria.spectral_connectivity_time(spectra.wavelet(x, SFREQ, freqs, 3.0), freqs, "coh", sfreq=SFREQ, shape=(5, 64), **options)
+        assert plain(got.df, "value") == values(given.df, "value")
+    sets = {"indices": ([[0, 1]], [[3, 4]]), "rank": ([2], [2]), "sfreq": SFREQ, "shape": (5, 64), "sm_times": 0.1, "sm_kernel": "square"}
+    got = covaria.spectral_connectivity_time(x, freqs, "mim", n_cycles=3, **sets).df
+    given = covaria.spectral_connectivity_time(spectra.wavelet(x, SFREQ, freqs, 3.0), freqs, "mim", **sets).df
+    assert of(got, "epoch", "f") == {k: pytest.approx(v, abs=1e-9) for k, v in of(given, "epoch", "f").items()}
+
+
+# orders, selection, roots
+
+
+def slow_criteria(x, most):
+    k, total = x.shape
+    for p in range(1, most + 1):
+        y = x[:, most:]
+        z = np.concatenate([x[:, most - d : total - d] for d in range(1, p + 1)])
+        left = y - np.linalg.lstsq(z.T, y.T, rcond=None)[0].T @ z
+        seen = total - p
+        ld = np.linalg.slogdet(left @ left.T / (y.shape[1] - k * p) * (seen - k * p) / seen)[1]
+        yield ld + 2 * p * k * k / seen, ld + math.log(seen) * p * k * k / seen, ld + 2 * math.log(math.log(seen)) * p * k * k / seen, ((seen + k * p) / (seen - k * p)) ** k * math.exp(ld)
+
+
+def test_all_orders_from_one_gram_matrix(spark, data):
+    from covaria.operators import autoregression
+
+    x = data + 100.0  # a large mean costs no digits
+    got = {(r.epoch, r.lags): [r.aic, r.bic, r.hqic, r.fpe] for r in autoregression.select_order(vectors(spark, x), 4).collect()}
+    assert got == {(e, p): pytest.approx(list(c), rel=1e-6) for e, epoch in enumerate(x) for p, c in enumerate(slow_criteria(epoch, 4), 1)}
+    twice = np.concatenate([data[:1], data[:1, :1]], axis=1)  # lags that are no full set
+    assert autoregression.select_order(vectors(spark, twice), 2).count() == 2
+    pooled = {r.lags: (r.epoch, r.aic) for r in autoregression.select_order(vectors(spark, data), 3, "avg-epochs").collect()}
+    for p, (epoch, aic) in pooled.items():
+        y = np.concatenate([e[:, 3:] for e in data], axis=1)
+        z = np.concatenate([np.concatenate([e[:, 3 - d : 64 - d] for d in range(1, p + 1)]) for e in data], axis=1)
+        left, seen = y - np.linalg.lstsq(z.T, y.T, rcond=None)[0].T @ z, len(data) * (64 - p)
+        want = np.linalg.slogdet(left @ left.T / (y.shape[1] - 5 * p) * (seen - 5 * p) / seen)[1] + 2 * p * 25 / seen
+        assert epoch is None and aic == pytest.approx(want, rel=1e-9)
+    assert set(pooled) == {1, 2, 3} and autoregression.select_order(vectors(spark, data), None, "avg-epochs").count() > 0
+    with pytest.raises(Exception, match="ask for more than 64 samples"):
+        autoregression.select_order(vectors(spark, data), 30).count()
+
+
+def test_exact_selection_among_many_ties(spark):
+    from covaria.operators import selection
+
+    rng = np.random.RandomState(8)
+    for draw in (rng.randint(0, 5, 3000).astype(float), rng.randn(3000), np.ones(3000), np.exp(rng.randn(3000) * 20)):
+        rows = [(i, float(v)) for i, v in enumerate(draw)] + [(5000, float("nan")), (5001, None)]
+        df = spark.createDataFrame(rows, "place long, v double").repartition(5).cache()
+        order = [i for i, _ in sorted(rows[:3000], key=lambda r: (-r[1], r[0]))]
+        for keep in (1, 700, 3000):
+            got = selection.largest(df, "v", "place", keep, bins=16, small=20)
+            assert sorted(r.place for r in got.collect()) == sorted(order[:keep])
+    assert selection.largest(df.limit(0), "v", "place", 3).count() == 0 == selection.largest(df, "v", "place", 0).count()
+
+
+def test_roots_of_matrices_without_a_full_set_of_eigenvectors():
+    from covaria.operators.autoregression import _root
+
+    rng = np.random.default_rng(9)
+    defective = np.array([[4.0, 1.0, 0.0], [0.0, 4.0, 1.0], [0.0, 0.0, 4.0]])
+    assert np.allclose(_root(defective), [[2, 0.25, -1 / 64], [0, 2, 0.25], [0, 0, 2]], atol=1e-9)
+    for n in (1, 2, 5, 9):
+        a = rng.normal(size=(n, n))
+        square = a @ a.T + np.eye(n)
+        assert np.allclose(_root(square) @ _root(square), square)
+        values, v = np.linalg.eig(rng.normal(size=(n, n)))  # any signs: the principal root's real part
+        b = (v * values @ np.linalg.inv(v)).real
+        want = (v * np.sqrt(values.astype(complex)) @ np.linalg.inv(v)).real
+        assert np.allclose(_root(b), want, atol=1e-6)
+    assert np.allclose(_root(np.diag([4.0, 0.0])), np.diag([2.0, 0.0]))
+    assert np.isnan(_root(np.array([[0.0, 1.0], [0.0, 0.0]]))).all()  # has no root
+    assert np.allclose(_root(np.zeros((2, 2))), 0) and np.allclose(_root(1e-9 * np.eye(3)), 1e-9**0.5 * np.eye(3))
+
+
+def test_tapered_coefficients_stay_arrays_until_pairs_are_made(spark, data):
+    x, freqs = vectors(spark, data[:2, :3]), [10.0, 15.0, 20.0]
+    rows, arrays = spectra.tapered_tfr(x, SFREQ, freqs, 3.0), spectra.tapered_tfr(x, SFREQ, freqs, 3.0, whole=True)
+    for method in ("coh", "plv", "imcoh"):
+        found = bivariate.over_time(spectra.csd(arrays, whole=True), [method])
+        assert plain(found, method) == values(bivariate.over_time(spectra.csd(rows), [method]), method)
+    assert exchanges(found) == 1
+    power = {(r.epoch, r.seed, r.target, r.f, r.t): pytest.approx((r.re, r.im, r.pxx, r.pyy), abs=1e-9) for r in spectra.csd(arrays).collect()}
+    assert power == {(r.epoch, r.seed, r.target, r.f, r.t): (r.re, r.im, r.pxx, r.pyy) for r in spectra.csd(rows).collect()}
+    options = {"sfreq": SFREQ, "mode": "multitaper", "n_cycles": 3, "decim": 2, "padding": 0.1, "shape": (3, 64)}
+    got = covaria.spectral_connectivity_time(x, freqs, "coh", sm_times=0.2, sm_kernel="square", **options)
+    kept = rows.where("t % 2 = 0").withColumn("t", (F.col("t") / 2).cast("int")).where("t >= 2 AND t < 30")
+    kernel = covaria.functions.windows.smoothing_kernel(5, 1, "square")
+    assert plain(got.df, "value") == values(bivariate.over_time(spectra.smoothed(spectra.csd(kept), kernel), ["coh"]).withColumnRenamed("coh", "value"), "value")
+    assert multivariate.ranks(arrays, [([0, 1], [2])]) == multivariate.ranks(rows, [([0, 1], [2])])
+
+
+def test_orthogonalisation_says_its_rank_and_whether_it_converged(spark, data):
+    twice = data[:2].copy()
+    twice[1, 4] = twice[1, 0]
+    found = {r.epoch: (r.converged, r.rank) for r in covaria.symmetric_orth(vectors(spark, twice), diagnostics=True).collect()}
+    assert {e: rank for e, (_, rank) in found.items()} == {0: 5, 1: 4} and found[0][0]
+    assert not any(r.converged for r in covaria.symmetric_orth(vectors(spark, data[:1]), n_iter=1, diagnostics=True).collect())
+    assert covaria.symmetric_orth(vectors(spark, data[:1])).columns == ["epoch", "ch", "x"]
+
+
+def test_sets_from_tables(spark):
+    from covaria.functions import edges
+
+    seeds = spark.createDataFrame([(3, 1), (3, 0), (5, 2), (3, 1)], "set int, ch int")
+    targets = spark.createDataFrame([(1, 4), (0, 3)], "set int, ch int")
+    grid = edges.multivariate_grid(seeds, targets)
+    assert edges.connections_of(grid) == covaria.seed_target_multivariate_indices([[0, 1], [2]], [[3], [4]])
