@@ -1,7 +1,7 @@
 """URL filters: rules, and per host a tree of path templates judged by their labelled purity.
 
 Segments that vary (they hold a digit, or are very long) become wildcards at once, keeping their
-extension. Then, level by level down to the longest path, a child of a node stays itself if a
+extension. Then, level by level, a child of a node stays itself if a
 two-proportion z-test tells its share of bad pages from that of its siblings; where a node's segment
 varies, that is where it has more different children than each of them has pages on average, the other
 children become one wildcard. What is left are the templates of a host. Siblings, the templates of one parent, are
@@ -10,6 +10,10 @@ others of its parent stays alone, the rest are counted together. A template is r
 share of bad pages among labelled ones, smoothed towards the share of all pages (or half of ``PURE``
 where that is less, so that no template is rejected for what others are), is at least ``PURE``.
 
+When pages are judged, a node whose subtree has too few bad pages for any branch to be rejected (``FEWEST``)
+is left as it is, and where all templates of a node go on alike they are followed to where they part, so that the rounds
+of the loop are the levels at which rejectable templates part, however long paths are.
+
 Counting by host and first template precedes every other step, so a host with a third of all
 pages is a few counted rows when the tree is built.
 
@@ -32,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 Z, PRIOR, PURE = 1.96, 10.0, 0.5
+#: Bad pages without which no branch is as pure, even if it has no others and the usual share is as large as it may count.
+FEWEST = PRIOR * (PURE - PURE / 2) / (1 - PURE)
 #: Levels of the tree in the SQL only, which is right for tables whose paths have no more segments.
 DEPTH = 8
 #: The number that names a document.
@@ -74,27 +80,41 @@ def told_apart(known: str, bads: str, all_known: str, all_bads: str) -> Column:
     return F.coalesce(z, F.lit(0.0)) > Z
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, path, bad: null where not labelled) to (host, first, template, rejected)."""
+def _prefix(depth: str) -> Column:
+    return F.array_join(F.slice("template", F.lit(1), F.col(depth)), "/")
+
+
+def templates(pages: DataFrame, fewest: float = 0) -> DataFrame:
+    """(host, path, bad: null where not labelled) to (host, first, template, rejected).
+
+    Subtrees with fewer than fewest bad pages keep the templates they have; up to FEWEST that changes no rejection.
+    """
     seen = pages.groupBy("host", first_template(F.col("path")).alias("first")).agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("known"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bads"))
-    tree = cut(seen.withColumn("template", F.col("first")))
-    done, depth = [], 0
-    while True:  # once for each level of the longest path
-        deeper = F.size("template") > depth
-        done.append(tree.where(~deeper))
-        tree = tree.where(deeper)
+    tree, done = cut(seen.withColumns({"template": F.col("first"), "depth": F.lit(0)})), []
+    while True:  # once for each level at which templates of a node that may be rejected part
+        deeper = F.size("template") > F.col("depth")
+        done.append(tree.where(~deeper).drop("depth"))
+        tree = tree.where(deeper).withColumn("above", _prefix("depth"))
+        # of arrays in order the first and the last share what all share
+        nodes = tree.groupBy("host", "above").agg(F.sum("bads").alias("_bads"), F.min("template").alias("_low"), F.max("template").alias("_high"))
+        shared = F.aggregate(F.zip_with("_low", "_high", lambda a, b: a.eqNullSafe(b)), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, same: F.struct((s["n"] + (s["on"] & same).cast("int")).alias("n"), (s["on"] & same).alias("on")))["n"]
+        tree = cut(tree.join(nodes.select("host", "above", "_bads", shared.alias("_shared")), ["host", "above"]))
+        done.append(tree.where(F.col("_bads") < fewest).select(*seen.columns, "template"))
+        tree = tree.where(F.col("_bads") >= fewest).withColumn("depth", F.col("_shared")).drop("above", "_bads", "_shared")
+        done.append(tree.where(F.size("template") <= F.col("depth")).drop("depth"))
+        tree = tree.where(F.size("template") > F.col("depth"))
         if tree.isEmpty():
             break
-        tree = tree.withColumn("above", F.array_join(F.slice("template", 1, depth), "/")).withColumn("here", F.get("template", F.lit(depth)))
+        tree = tree.withColumn("above", _prefix("depth")).withColumn("here", F.get("template", F.col("depth")))
         children = tree.groupBy("host", "above", "here").agg(*[F.sum(c).alias(c) for c in ("n", "known", "bads")])
         nodes = children.groupBy("host", "above").agg(F.count(F.lit(1)).alias("fan"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "known", "bads")]).where(F.col("fan") * F.col("fan") > F.col("all_n"))
         apart = told_apart("known", "bads", "all_known", "all_bads")
         shown = F.when(~apart, F.lit("*")).when(F.col("here") == "*", F.lit(TOLD)).otherwise(F.col("here"))
         shown = children.join(nodes, ["host", "above"]).select("host", "above", "here", shown.alias("shown")).where("shown != here")
         tree = tree.join(shown, ["host", "above", "here"], "left")
-        renamed = F.concat(F.slice("template", 1, depth), F.array(F.col("shown")), F.slice("template", F.lit(depth + 2), F.size("template")))
-        tree = cut(tree.withColumn("template", F.when(F.col("shown").isNotNull(), renamed).otherwise(F.col("template"))).drop("above", "here", "shown"))
-        depth += 1
+        renamed = F.concat(F.slice("template", F.lit(1), F.col("depth")), F.array(F.col("shown")), F.slice("template", F.col("depth") + 2, F.size("template")))
+        tree = tree.withColumn("template", F.when(F.col("shown").isNotNull(), renamed).otherwise(F.col("template")))
+        tree = cut(tree.withColumn("depth", F.col("depth") + 1).drop("above", "here", "shown"))
     tree = reduce(DataFrame.unionAll, done)
     by_template = ["host", "template"]
     tree = cut(tree.withColumn("template", F.array_join("template", "/")))
@@ -116,7 +136,7 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, url_col:
     """pages (with a column bad: boolean, null where not labelled) with host, path, rule, verdict."""
     whole = F.struct(*[F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")]).alias("page")
     known = pages.select(whole, F.col(bad_col).alias("bad"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    found = templates(known.select("host", "path", "bad")).where("rejected").select("host", "first", F.lit("block").alias("by_tree"))
+    found = templates(known.select("host", "path", "bad"), FEWEST).where("rejected").select("host", "first", F.lit("block").alias("by_tree"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     out = known.withColumn("first", first_template(F.col("path"))).join(found, ["host", "first"], "left")
     return out.select("page.*", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.col("by_tree"), F.lit("allow")).alias("verdict"))

@@ -737,3 +737,38 @@ def test_mix_meets_its_targets(spark):
         own = [r for r in got if r.source == source]
         taken, largest = sum(r.size * r.copies for r in own), max(r.size for r in own)
         assert abs(taken - own[0].target) <= (0.03 * own[0].target if len(own) > 5 else largest)
+
+
+def test_a_long_path_costs_no_more_rounds_than_a_short_one(spark, monkeypatch):
+    rounds = []
+    cut = urls.cut
+    monkeypatch.setattr(urls, "cut", lambda df: rounds.append(1) or cut(df))
+    loop = "/a/b" * 500
+    pages = [("x.com", loop + f"/p{chr(97 + i)}", i % 2 == 0) for i in range(12)]  # labelled, parting at their ends
+    pages += [("y.com", loop, True)] * 3 + [("y.com", "/c" * 300 + "/d", None)]
+    found = {}
+    for name, rows in (("long", pages), ("short", [(h, p.replace(loop, "/a/b").replace("/c" * 300, "/c"), b) for h, p, b in pages])):
+        rounds.clear()
+        df = spark.createDataFrame(rows, "host string, path string, bad boolean")
+        found[name] = sorted((r.host, len(r.first) > 4, r.rejected) for r in urls.templates(df, urls.FEWEST).collect()), len(rounds)
+    assert found["long"][1] == found["short"][1] <= 8
+    assert [r[2] for r in found["long"][0]] == [r[2] for r in found["short"][0]]
+
+
+def test_a_section_within_a_loop_is_still_rejected(spark):
+    loop = "/a/b" * 100
+    rows = [("x.com", f"{loop}/bad/{w}/q", True) for w in "abcdefghijklmnopqrstuvwxyz"] + [("x.com", f"{loop}/good/{w}/q", False) for w in "abcdefghijklmnopqrstuvwxyz"]
+    found = urls.templates(spark.createDataFrame(rows, "host string, path string, bad boolean")).collect()
+    assert len(found) == 52 and all(r.rejected == ("bad" in r.first) for r in found)
+
+
+def test_subtrees_without_support_change_no_rejection(spark):
+    rng = random.Random(13)
+    words = [*"abcdef", "x1", "y2.html"]
+    rows = []
+    for _ in range(3000):
+        path = [rng.choice(words[: rng.choice([2, 4, 8])]) for _ in range(rng.randint(0, 6))]
+        rows.append((f"h{rng.randrange(3)}.com", "/" + "/".join(path), None if rng.random() < 0.3 else rng.random() < (0.8 if path[:1] == ["b"] or path[1:2] == ["c"] else 0.1)))
+    df = spark.createDataFrame(rows, "host string, path string, bad boolean").cache()
+    whole, pruned = ({(r.host, tuple(r.first)): r.rejected for r in urls.templates(df, fewest).collect()} for fewest in (0, urls.FEWEST))
+    assert whole == pruned and True in whole.values() and False in whole.values()
