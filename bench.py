@@ -20,7 +20,8 @@ HEADLINE = ["all_measures", "coh", "coh_multitaper", "coh_embeddings", "psi_band
 
 
 def shuffled(spark: SparkSession) -> int:
-    """Bytes written to shuffles by all stages so far."""
+    """Bytes written to shuffles by all stages so far; what the listeners are still told of is waited for."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
     store = spark.sparkContext._jsc.sc().statusStore()
     jvm = spark.sparkContext._jvm
     stages = store.stageList(jvm.java.util.ArrayList(), False, False, getattr(store, "stageList$default$4")(), jvm.java.util.ArrayList())
