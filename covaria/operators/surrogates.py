@@ -30,8 +30,8 @@ def resting(vectors: DataFrame, n_shuffles: int = 1000, seed: int = 0) -> DataFr
     samples move once, in the join.
     """
     keys = vectors.select("epoch", "ch")
-    n = numbering.stretches(keys)
-    ranked = numbering.numbered(keys, ["ch"], ["epoch"], numbering.by_value(keys, "epoch", n))
+    n, stretch = numbering.by_value(keys, "epoch")
+    ranked = numbering.numbered(keys, ["ch"], ["epoch"], stretch)
     drawn = ranked.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_shuffles - 1))).alias("shuffle"))
     drawn = drawn.withColumn("draw", _draw(seed, "shuffle", "ch", "epoch"))
     drawn = numbering.numbered(drawn, ["shuffle", "ch"], ["draw", "epoch"], numbering.by_hash("draw", n), "to")

@@ -100,7 +100,7 @@ def antialiased(vectors: DataFrame, sfreq: float, kernel: int = 3, tau: int = 1,
         return out.assign(x=pd.Series(list(y[own]), index=out.index, dtype=object))
 
     keys = vectors.select("epoch", "ch")
-    placed = numbering.numbered(keys, ["ch"], ["epoch"], numbering.by_value(keys, "epoch"), "at")
+    placed = numbering.numbered(keys, ["ch"], ["epoch"], numbering.by_value(keys, "epoch")[1], "at")
     rows = vectors.select("epoch", "ch", "x").join(placed, ["epoch", "ch"])
     around, per = F.ceil(F.lit(margin) / F.size("x")).cast("long"), F.ceil(F.lit(together) / F.size("x")).cast("long")
     rows = rows.withColumns({"per": per, "block": F.explode(F.sequence(F.floor(F.greatest(F.col("at") - around, F.lit(0)) / per), F.floor((F.col("at") + around) / per)))})
