@@ -520,3 +520,79 @@ SELECT CAST(con AS INT) AS con, CAST(CASE WHEN often THEN 0 ELSE 1 END AS INT) A
 # days without their first hour: 23 samples, transformed as 24
 ORACLES["analytic_signal_padded"] = f"""{_analytic(f"{DAYS.replace('sig AS', 'whole AS')}, sig AS (SELECT epoch, ch, t - 1 AS t, value FROM whole WHERE t >= 1)")}
 SELECT epoch, ch, t, {_r('re', 're', 4)}, {_r('im', 'im', 4)} FROM z WHERE t < 23"""
+
+# leading components of two channels: the longer axis of a symmetric matrix of two rows; projected channels are 0 and 1 of a connection
+_SETS = [([0, 1], [2, 3]), ([4, 2], [1, 0])]
+
+
+def _projected(con: int, by: str, name: str) -> str:
+    """CTEs that end in {name}(seed, target, f, re, im), between the leading components of both sides of a connection; by is 'f' or ''."""
+    key, join = ("f, ", "USING (f)") if by else ("", "ON true")
+    axis = lambda a, b: f"0.5 * atan2(2 * sum(re) FILTER (seed = {a} AND target = {b}), sum(re) FILTER (seed = {a} AND target = {a}) - sum(re) FILTER (seed = {b} AND target = {b}))"
+    (a, b), (c, d) = _SETS[con]
+    weights = f"(VALUES (0, {a}, 0), (0, {b}, 1), (1, {c}, 0), (1, {d}, 1)) v(side, ch, sine)"
+    return f"""ax{con} AS (SELECT {key}{axis(a, b)} AS a0, {axis(c, d)} AS a1 FROM whole {"GROUP BY f" if by else ""}),
+pr{con} AS (SELECT {key}side, ch, CASE sine WHEN 0 THEN cos(CASE side WHEN 0 THEN a0 ELSE a1 END) ELSE sin(CASE side WHEN 0 THEN a0 ELSE a1 END) END AS w FROM ax{con} CROSS JOIN {weights}),
+{name} AS (SELECT p.side AS seed, q.side AS target, x.f, sum(p.w * q.w * x.re) AS re, sum(p.w * q.w * x.im) AS im
+  FROM whole x JOIN pr{con} p ON p.ch = x.seed {"AND p.f = x.f" if by else ""} JOIN pr{con} q ON q.ch = x.target {"AND q.f = x.f" if by else ""} GROUP BY ALL)"""
+
+
+_WHOLE_AV = "whole AS (SELECT seed, target, f, avg(re) AS re, avg(im) AS im FROM x GROUP BY ALL)"
+ORACLES["mim_rank"] = f"WITH {DAYS}, {_fourier()}, {_pairs(every=True)}, {_WHOLE_AV}, {_projected(0, 'f', 'p0')}, {_projected(1, 'f', 'p1')} " + " UNION ALL ".join(
+    f"SELECT CAST({c} AS INT) AS con, f, {_r('max(im) FILTER (seed = 0 AND target = 1) ** 2 / (max(re) FILTER (seed = 0 AND target = 0) * max(re) FILTER (seed = 1 AND target = 1))', 'mim')} FROM p{c} GROUP BY f" for c in range(2)
+)
+ORACLES["gc_rank_pairs"] = f"WITH {DAYS}, {_fourier(low=0, high=12)}, {_pairs(every=True)}, {_WHOLE_AV}, {', '.join(f"""{_projected(c, '', f'p{c}')}, g{c} AS (WITH av AS (SELECT * FROM p{c}), {_causality(c, [0, 1], 4, False)} SELECT con, f, gc FROM gc{c})""" for c in range(2))} " + " UNION ALL ".join(f"SELECT con, f, {_r('gc', 'gc')} FROM g{c}" for c in range(2))
+
+# components of coherence: the largest singular value of a matrix of two rows over the phase, by a grid that closes in; then what is orthogonal to both filters
+_TURNED = [f"(cos(phi) * e{i}{j} + sin(phi) * o{i}{j})" for i in range(2) for j in range(2)]
+_SINGULAR = f"(({' + '.join(f'{t} ** 2' for t in _TURNED)}) / 2 + sqrt(greatest((({' + '.join(f'{t} ** 2' for t in _TURNED)}) / 2) ** 2 - ({_TURNED[0]} * {_TURNED[3]} - {_TURNED[1]} * {_TURNED[2]}) ** 2, 0)))"
+
+
+def _whitened(part: str, out: str) -> str:
+    p = lambda i, j: "(" + " + ".join(f"a{min(i, k)}{max(i, k)} * {part}{k}{2 + m} * b{min(m, j)}{max(m, j)}" for k in range(2) for m in range(2)) + ")"
+    return ", ".join(f"{p(i, j)} AS {out}{i}{j}" for i in range(2) for j in range(2))
+
+
+def _between(part: str, u: tuple[str, str], v: tuple[str, str], rows: tuple[int, int], cols: tuple[int, int]) -> str:
+    return "(" + " + ".join(f"{u[i]} * {part}{rows[i]}{cols[j]} * {v[j]}" for i in range(2) for j in range(2)) + ")"
+
+
+_GA, _GB = ("-fa1", "fa0"), ("-fb1", "fb0")
+ORACLES["cacoh_multi"] = f"""{ALL}, w AS (SELECT f, {_CELLS} FROM av GROUP BY f),
+d AS (SELECT *, sqrt(r00 * r11 - r01 * r01) AS sa, sqrt(r22 * r33 - r23 * r23) AS sb FROM w), h AS (SELECT *, sqrt(r00 + r11 + 2 * sa) AS ta, sqrt(r22 + r33 + 2 * sb) AS tb FROM d),
+q AS (SELECT *, {_ROOT.format(0, 1, 'a')}, {_ROOT.format(2, 3, 'b')} FROM h), e AS MATERIALIZED (SELECT *, {_whitened('r', 'e')}, {_whitened('i', 'o')} FROM q),
+z AS (WITH RECURSIVE z AS (SELECT 0 AS n, f, 0.0::DOUBLE AS mid, pi() / 2 AS half FROM e
+  UNION ALL SELECT n + 1, f, arg_max(phi, {_SINGULAR}), half / 16 FROM (SELECT z.n, z.f, z.half, z.mid + z.half * k / 64 AS phi, e.* EXCLUDE (f) FROM z JOIN e ON e.f = z.f CROSS JOIN (SELECT unnest(range(-64, 65)) AS k) WHERE z.n < 10) GROUP BY n, f, half) SELECT f, mid AS phi FROM z WHERE n = 10),
+m AS (SELECT e.*, phi, {', '.join(f'{t} AS m{k // 2}{k % 2}' for k, t in enumerate(_TURNED))}, {_SINGULAR} AS square FROM e JOIN z ON z.f = e.f),
+u AS (SELECT *, m00 * m10 + m01 * m11 AS u0, square - m00 * m00 - m01 * m01 AS u1 FROM m), v AS (SELECT *, m00 * u0 + m10 * u1 AS v0, m01 * u0 + m11 * u1 AS v1 FROM u),
+g AS (SELECT *, a00 * u0 + a01 * u1 AS fa0, a01 * u0 + a11 * u1 AS fa1, b00 * v0 + b01 * v1 AS fb0, b01 * v0 + b11 * v1 AS fb1 FROM v),
+l AS (SELECT f, square, {_between('r', _GA, _GB, (0, 1), (2, 3))} AS re, {_between('i', _GA, _GB, (0, 1), (2, 3))} AS im, {_between('r', _GA, _GA, (0, 1), (0, 1))} * {_between('r', _GB, _GB, (2, 3), (2, 3))} AS power FROM g)
+SELECT f, CAST(component AS INT) AS component, {_r('CASE component WHEN 1 THEN sqrt(square) ELSE sqrt((re * re + im * im) / power) END', 'cacoh', 5)} FROM l CROSS JOIN (SELECT unnest([1, 2]) AS component)"""
+
+# pairs of channels: sums of products over a day
+_DUO = f"""WITH {DAYS}, two AS (SELECT a.epoch * 100 + a.ch * 10 + b.ch AS epoch, a.t, a.value AS x, b.value AS y FROM sig a JOIN sig b ON b.epoch = a.epoch AND b.t = a.t AND a.ch < b.ch)"""
+# the square root's principal branch: half the turn of each eigenvalue, of two negative ones nothing real
+_FB = {
+    "both": "CASE WHEN half * half < det THEN 0 WHEN half - sqrt(half * half - det) >= 0 THEN 0 WHEN half + sqrt(half * half - det) > 0 THEN 1 ELSE 2 END",
+    "low": "sqrt(greatest(sqrt(greatest(half * half - det, 0)) - half, 0))",
+    "high": "sqrt(greatest(half + sqrt(greatest(half * half - det, 0)), 0))",
+}
+_OPERATOR = lambda z, zz, zw, ww, xz, xw, yz, yw: f"({xz} * {ww} - {xw} * {zw}) / ({zz} * {ww} - {zw} * {zw}) AS {z}00, ({xw} * {zz} - {xz} * {zw}) / ({zz} * {ww} - {zw} * {zw}) AS {z}01, ({yz} * {ww} - {yw} * {zw}) / ({zz} * {ww} - {zw} * {zw}) AS {z}10, ({yw} * {zz} - {yz} * {zw}) / ({zz} * {ww} - {zw} * {zw}) AS {z}11"
+_OPERATORS = f"{_OPERATOR('a', 'oo', 'op', 'pp', 'xo', 'xp', 'yo', 'yp')}, {_OPERATOR('b', 'xx', 'xy', 'yy', 'xo', 'yo', 'xp', 'yp')}"
+ORACLES["var_fb_pairs"] = f"""{_DUO}, l AS (SELECT *, lag(x) OVER (PARTITION BY epoch ORDER BY t) AS o, lag(y) OVER (PARTITION BY epoch ORDER BY t) AS p FROM two),
+s AS (SELECT epoch, sum(o * o) AS oo, sum(o * p) AS op, sum(p * p) AS pp, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy, sum(x * o) AS xo, sum(x * p) AS xp, sum(y * o) AS yo, sum(y * p) AS yp FROM l WHERE t >= 1 GROUP BY epoch),
+o AS (SELECT epoch, {_OPERATORS} FROM s), i AS (SELECT *, b00 * b11 - b01 * b10 AS d FROM o),
+q AS (SELECT epoch, (a00 * b11 - a01 * b10) / d AS q00, (a01 * b00 - a00 * b01) / d AS q01, (a10 * b11 - a11 * b10) / d AS q10, (a11 * b00 - a10 * b01) / d AS q11 FROM i),
+k AS (SELECT *, (q00 + q11) / 2 AS half, q00 * q11 - q01 * q10 AS det FROM q), c AS (SELECT *, {_FB['both']} AS below, {_FB['low']} AS lo, {_FB['high']} AS hi FROM k),
+r AS (SELECT *, CASE below WHEN 0 THEN 1 / sqrt(2 * half + 2 * sqrt(det)) WHEN 1 THEN hi / (hi * hi + lo * lo) ELSE 0 END AS times, CASE below WHEN 0 THEN sqrt(det) / sqrt(2 * half + 2 * sqrt(det)) WHEN 1 THEN hi * lo * lo / (hi * hi + lo * lo) ELSE 0 END AS plus FROM c)
+SELECT epoch, CAST(i AS INT) AS i, CAST(j AS INT) AS j, CAST(1 AS INT) AS lag, {_r('[q00, q01, q10, q11][2 * i + j + 1] * times + CASE WHEN i = j THEN plus ELSE 0 END', 'value', 4)}
+FROM r CROSS JOIN (SELECT unnest([0, 1]) AS i) CROSS JOIN (SELECT unnest([0, 1]) AS j)"""
+# orthogonalisation in turns on the matrix of products alone: the inverse root of that of the scaled signals, then new scales
+ORACLES["symmetric_orth_pairs"] = f"""{_DUO}, g AS (SELECT epoch, sum(x * x) AS g00, sum(x * y) AS g01, sum(y * y) AS g11 FROM two GROUP BY epoch),
+z AS (WITH RECURSIVE z AS (SELECT 0 AS n, epoch, g00, g01, g11, 1.0::DOUBLE AS s0, 1.0::DOUBLE AS s1, 0.0::DOUBLE AS b01, 0.0::DOUBLE AS b10, NULL::DOUBLE AS error, false AS done FROM g
+  UNION ALL SELECT n + 1, epoch, g00, g01, g11, new0, new1, w00 * s0 * g01 + w01 * s1 * g11, w01 * s0 * g00 + w11 * s1 * g01, now, coalesce((error - now) / now < 1e-6, false) OR now = 0
+  FROM (SELECT *, g00 + g11 - new0 * new0 - new1 * new1 AS now FROM (SELECT *, w00 * s0 * g00 + w01 * s1 * g01 AS new0, w01 * s0 * g01 + w11 * s1 * g11 AS new1
+    FROM (SELECT *, (s1 * s1 * g11 + root) / (root * long) AS w00, -s0 * s1 * g01 / (root * long) AS w01, (s0 * s0 * g00 + root) / (root * long) AS w11
+      FROM (SELECT *, sqrt(s0 * s0 * g00 + s1 * s1 * g11 + 2 * root) AS long FROM (SELECT *, s0 * s1 * sqrt(g00 * g11 - g01 * g01) AS root FROM z WHERE NOT done AND n < 50)))))) SELECT * FROM z),
+e AS (SELECT * FROM z QUALIFY n = max(n) OVER (PARTITION BY epoch))
+SELECT epoch, CAST(i AS INT) AS i, CAST(j AS INT) AS j, {_r('[s0 * s0, s0 * b01, s1 * b10, s1 * s1][2 * i + j + 1]', 'product', 2)} FROM e CROSS JOIN (SELECT unnest([0, 1]) AS i) CROSS JOIN (SELECT unnest([0, 1]) AS j)"""

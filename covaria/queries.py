@@ -504,6 +504,22 @@ def symmetric_orth(spark, sf):
     return rounded(a.join(b, ["epoch", "t"]).where("i >= j").groupBy("epoch", "i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("product")), 3)
 
 
+def _pairs(vectors: DataFrame) -> DataFrame:
+    """Every pair of channels as two channels, 0 and 1, of an epoch of its own: (epoch * 100 + pair)."""
+    number = F.col("a") * 10 + F.col("b")  # of five channels
+    a, b = vectors.select("epoch", F.col("ch").alias("a"), F.col("x").alias("xa")), vectors.select("epoch", F.col("ch").alias("b"), F.col("x").alias("xb"))
+    return a.join(b, "epoch").where("a < b").select((F.col("epoch") * 100 + number).alias("epoch"), F.posexplode(F.array("xa", "xb")).alias("ch", "x"))
+
+
+@query
+def symmetric_orth_pairs(spark, sf):
+    """Products of the signals of each pair, orthogonalised, with those that they come from."""
+    pairs = _pairs(days(spark, sf))
+    near, x = signals.to_long(covaria.symmetric_orth(pairs)), signals.to_long(pairs)
+    joined = near.select("epoch", "t", F.col("ch").alias("i"), F.col("value").alias("v")).join(x.select("epoch", "t", F.col("ch").alias("j"), F.col("value").alias("w")), ["epoch", "t"])
+    return rounded(joined.groupBy("epoch", "i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("product")), 2)
+
+
 # symbols
 
 
@@ -613,6 +629,12 @@ def var_fb(spark, sf):
     return rounded(autoregression.fit(days(spark, sf), forward_backward=True), 4)
 
 
+@query
+def var_fb_pairs(spark, sf):
+    """Forward-backward operators of every pair of channels."""
+    return rounded(autoregression.fit(_pairs(days(spark, sf)), forward_backward=True), 4)
+
+
 @query
 def select_order(spark, sf):
     """Of all channels: a day's 24 samples bear three lags of five."""
@@ -791,6 +813,12 @@ def cacoh_multi(spark, sf):
     return rounded(found.select("f", "component", F.hypot("cacoh_re", "cacoh_im").alias("cacoh")), 5)
 
 
+@query
+def mim_rank(spark, sf):
+    """Interaction of the leading components of sets of two channels."""
+    return rounded(_sets(spark, sf, [([0, 1], [2, 3]), ([4, 2], [1, 0])], ["mim"], ranks=[(1, 1), (1, 1)]).select("con", "f", "mim"))
+
+
 #: A set of seeds whose middle channel is bad.
 BAD = {"indices": ([[0, 1, 2]], [[3, 4]]), "bads": [1]}
 
@@ -870,6 +898,13 @@ def gc_rank(spark, sf):
     return rounded(multivariate.causality(_matrices(spark, sf, connections, range(13)), connections, 4, ["gc"], [(1, 2)]).select("con", "f", "gc"))
 
 
+@query
+def gc_rank_pairs(spark, sf):
+    """Causality between the leading components of sets of two channels."""
+    connections = [([0, 1], [2, 3]), ([4, 2], [1, 0])]
+    return rounded(multivariate.causality(_matrices(spark, sf, connections, range(13)), connections, 4, ["gc"], [(1, 1), (1, 1)]).select("con", "f", "gc"))
+
+
 @query
 def gc_time(spark, sf):
     freqs = [float(f) for f in range(3, 12)]
