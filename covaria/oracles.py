@@ -577,14 +577,25 @@ _FB = {
     "low": "sqrt(greatest(sqrt(greatest(half * half - det, 0)) - half, 0))",
     "high": "sqrt(greatest(half + sqrt(greatest(half * half - det, 0)), 0))",
 }
-_OPERATOR = lambda z, zz, zw, ww, xz, xw, yz, yw: f"({xz} * {ww} - {xw} * {zw}) / ({zz} * {ww} - {zw} * {zw}) AS {z}00, ({xw} * {zz} - {xz} * {zw}) / ({zz} * {ww} - {zw} * {zw}) AS {z}01, ({yz} * {ww} - {yw} * {zw}) / ({zz} * {ww} - {zw} * {zw}) AS {z}10, ({yw} * {zz} - {yz} * {zw}) / ({zz} * {ww} - {zw} * {zw}) AS {z}11"
-_OPERATORS = f"{_OPERATOR('a', 'oo', 'op', 'pp', 'xo', 'xp', 'yo', 'yp')}, {_OPERATOR('b', 'xx', 'xy', 'yy', 'xo', 'yo', 'xp', 'yp')}"
+
+
+def _operator(z: str, a: str, b: str, d: str, past: list[tuple[str, str]]) -> str:
+    """{z}ij from the products (a, b, b, d) of the lagged with themselves, and of each channel with both of them; by the pseudoinverse of a singular matrix."""
+    solved = lambda p, q: (f"({p} * {d} - {q} * {b}) / ({a} * {d} - {b} * {b})", f"({q} * {a} - {p} * {b}) / ({a} * {d} - {b} * {b})")
+    pseudo = lambda p, q: (f"coalesce(({p} * {a} + {q} * {b}) / nullif({a} * {a} + 2 * {b} * {b} + {d} * {d}, 0), 0)", f"coalesce(({p} * {b} + {q} * {d}) / nullif({a} * {a} + 2 * {b} * {b} + {d} * {d}, 0), 0)")
+    return ", ".join(f"CASE WHEN {a} * {d} = {b} * {b} THEN {pseudo(*pq)[j]} ELSE {solved(*pq)[j]} END AS {z}{i}{j}" for i, pq in enumerate(past) for j in range(2))
+
+
+_OPERATORS = f"{_operator('a', 'oo', 'op', 'pp', [('xo', 'xp'), ('yo', 'yp')])}, {_operator('b', 'xx', 'xy', 'yy', [('xo', 'yo'), ('xp', 'yp')])}"
+_INVERSE = [("b11", "b00"), ("-b01", "b10"), ("-b10", "b01"), ("b00", "b11")]
+_INVERTED = ", ".join(f"CASE WHEN d = 0 THEN coalesce({turned} / nullif(b00 * b00 + b01 * b01 + b10 * b10 + b11 * b11, 0), 0) ELSE {cofactor} / d END AS i{k // 2}{k % 2}" for k, (cofactor, turned) in enumerate(_INVERSE))
+_TIMES = "sqrt(2 * half + 2 * sqrt(det))"
 ORACLES["var_fb_pairs"] = f"""{_DUO}, l AS (SELECT *, lag(x) OVER (PARTITION BY epoch ORDER BY t) AS o, lag(y) OVER (PARTITION BY epoch ORDER BY t) AS p FROM two),
 s AS (SELECT epoch, sum(o * o) AS oo, sum(o * p) AS op, sum(p * p) AS pp, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy, sum(x * o) AS xo, sum(x * p) AS xp, sum(y * o) AS yo, sum(y * p) AS yp FROM l WHERE t >= 1 GROUP BY epoch),
-o AS (SELECT epoch, {_OPERATORS} FROM s), i AS (SELECT *, b00 * b11 - b01 * b10 AS d FROM o),
-q AS (SELECT epoch, (a00 * b11 - a01 * b10) / d AS q00, (a01 * b00 - a00 * b01) / d AS q01, (a10 * b11 - a11 * b10) / d AS q10, (a11 * b00 - a10 * b01) / d AS q11 FROM i),
+o AS (SELECT epoch, {_OPERATORS} FROM s), n AS (SELECT *, b00 * b11 - b01 * b10 AS d FROM o), i AS (SELECT *, {_INVERTED} FROM n),
+q AS (SELECT epoch, {', '.join(f'a{i}0 * i0{j} + a{i}1 * i1{j} AS q{i}{j}' for i in range(2) for j in range(2))} FROM i),
 k AS (SELECT *, (q00 + q11) / 2 AS half, q00 * q11 - q01 * q10 AS det FROM q), c AS (SELECT *, {_FB['both']} AS below, {_FB['low']} AS lo, {_FB['high']} AS hi FROM k),
-r AS (SELECT *, CASE below WHEN 0 THEN 1 / sqrt(2 * half + 2 * sqrt(det)) WHEN 1 THEN hi / (hi * hi + lo * lo) ELSE 0 END AS times, CASE below WHEN 0 THEN sqrt(det) / sqrt(2 * half + 2 * sqrt(det)) WHEN 1 THEN hi * lo * lo / (hi * hi + lo * lo) ELSE 0 END AS plus FROM c)
+r AS (SELECT *, CASE below WHEN 0 THEN CASE WHEN half = 0 AND det = 0 THEN CASE WHEN abs(q01) + abs(q10) > 0 THEN NULL ELSE 0 END ELSE 1 / {_TIMES} END WHEN 1 THEN hi / (hi * hi + lo * lo) ELSE 0 END AS times, CASE below WHEN 0 THEN coalesce(sqrt(det) / nullif({_TIMES}, 0), 0) WHEN 1 THEN hi * lo * lo / (hi * hi + lo * lo) ELSE 0 END AS plus FROM c)
 SELECT epoch, CAST(i AS INT) AS i, CAST(j AS INT) AS j, CAST(1 AS INT) AS lag, {_r('[q00, q01, q10, q11][2 * i + j + 1] * times + CASE WHEN i = j THEN plus ELSE 0 END', 'value', 4)}
 FROM r CROSS JOIN (SELECT unnest([0, 1]) AS i) CROSS JOIN (SELECT unnest([0, 1]) AS j)"""
 # orthogonalisation in turns on the matrix of products alone: the inverse root of that of the scaled signals, then new scales
