@@ -45,7 +45,7 @@ from .quality import labelled
 
 MAX_ROWS = 12000
 STEMS, COMPLETIONS, LONG, LIFT = (4, 5, 6, 7), 4, 5, 4.0
-MISSPELLED, QUOTED, BESIDE, WINDOW = 0.6, 0.25, 1.25, 6
+MISSPELLED, QUOTED, BESIDE, WINDOW = 0.75, 0.25, 1.25, 6
 HELD_OUT = (3, 1)
 THRESHOLD = 0.7
 

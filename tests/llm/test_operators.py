@@ -420,6 +420,35 @@ def test_misspelled_stems_and_lesser_terms():
     assert spared and all(toxicity.Automaton(terms, stems, spared, every=True).hit(w) == terms.get(w, 0.0) for w in sorted(spared)[:40])
 
 
+def test_planted_misspellings_and_quotations(spark):
+    """Held-out documents whose only abuse is misspelled are caught; those that only quote it, spelled right or not, and clean ones are left alone."""
+    rng = random.Random(12)
+    clean = lambda: [rng.choice(WORDS) + rng.choice(WORDS)[:3] for _ in range(40)]
+    bad = ["wretch", "vermin", "nitwit", "scoundrel", "blockhead"]
+
+    def misspelled(word: str) -> str:
+        at, kind = rng.randrange(1, len(word)), rng.randrange(3)
+        return word[:at] + ("", "q", "q")[kind] + word[at + (kind != 2) :]
+
+    def spread(words: list[str], of) -> str:
+        for _ in range(3):
+            words.insert(rng.randrange(len(words)), of())
+        return " ".join(words)
+
+    rows = [(i, spread(clean(), lambda: rng.choice(bad)) if i % 5 == 0 else " ".join(clean()), "en", "s", 0) for i in range(600)]
+    held = [i for i in range(1000, 1400) if zlib.crc32(str(i).encode()) % 3 == 1][:120]
+    off, quoted, plain = held[::3], held[1::3], held[2::3]
+    rows += [(i, spread(clean(), lambda: misspelled(rng.choice(bad))), "en", "s", 0) for i in off]
+    # one quoted passage a document, every other one misspelled
+    rows += [(i, " ".join(clean()) + ' they said "you ' + (bad[k % 5] if k % 2 else misspelled(bad[k % 5])) + '" and left', "en", "s", 0) for k, i in enumerate(quoted)]
+    rows += [(i, " ".join(clean()), "en", "s", 0) for i in plain]
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(600)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.digest(documents(spark, rows), labels).collect()}
+    assert all(got[i].held_out for i in held)
+    assert sum(got[i].predicted for i in off) >= 0.9 * len(off)
+    assert all(got[i].score < toxicity.THRESHOLD for i in [*quoted, *plain])
+
+
 def test_families_keep_their_misspellings(spark):
     rng = random.Random(10)
     clean = lambda: [rng.choice(WORDS) + rng.choice(WORDS)[:3] for _ in range(40)]
