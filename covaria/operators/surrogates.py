@@ -99,3 +99,47 @@ def signals_in_band(spark: SparkSession, n_seeds: int, n_targets: int, freq_band
             yield pd.DataFrame(out, columns=["epoch", "ch", "x"])
 
     return spark.range(n_epochs).mapInPandas(of, "epoch long, ch int, x array<double>")
+
+
+def band_passed(vectors: DataFrame, freq_band: tuple[float, float], sfreq: float, trans_bandwidth: float = 1.0, n_taps: int | None = None) -> DataFrame:
+    """(epoch, ch, x): each signal through the linear-phase band-pass, without its delay; map-only.
+
+    Samples before and after an epoch count as zero. n_taps, an odd number, is what the transition takes unless given.
+    """
+    n_taps = n_taps or 2 * int(3.3 * sfreq / trans_bandwidth / 2) + 1
+    if n_taps % 2 == 0:
+        raise ValueError("n_taps must be odd, so that the delay is a whole number of samples")
+    taps = windows.band_pass(n_taps, *freq_band, trans_bandwidth, sfreq)
+
+    def of(batches):
+        for rows in batches:
+            found = [np.convolve(x, taps)[n_taps // 2 : n_taps // 2 + len(x)] if len(x) else x for x in rows["x"]]
+            yield rows.assign(x=pd.Series(found, index=rows.index, dtype=object))
+
+    return vectors.select("epoch", "ch", F.col("x").cast("array<double>").alias("x")).mapInPandas(of, "epoch long, ch int, x array<double>")
+
+
+def coupled(vectors: DataFrame, source: int, seeds: list[int], targets: list[int], freq_band: tuple[float, float], sfreq: float, snr: float = 0.7, connection_delay: int = 0, trans_bandwidth: float = 1.0, n_taps: int | None = None) -> DataFrame:
+    """Recorded signals in which targets follow seeds in a band: (epoch, ch, x) of the channels named.
+
+    Each gets snr of the source channel's band and keeps the rest of its own signal, both of unit deviation;
+    in targets the source comes connection_delay samples later than in seeds, or in seeds if that is negative.
+    An epoch without the source, and a signal that doesn't vary, add nothing. One join on the epoch.
+    """
+    if not 0 <= snr <= 1 or not seeds or not targets or set(seeds) & set(targets):
+        raise ValueError("snr lies between 0 and 1, and there are seeds and targets, none of them both")
+
+    def scaled(x):
+        total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, e: s + e)
+        n = F.nullif(F.size(x), F.lit(0))
+        level = total(x) / n
+        deviation = F.sqrt(total(F.transform(x, lambda e: (e - level) * (e - level))) / n)
+        return F.when(deviation > 0, F.transform(x, lambda e: e / deviation)).otherwise(F.transform(x, lambda e: F.lit(0.0)))
+
+    driving = band_passed(vectors.where(F.col("ch") == source), freq_band, sfreq, trans_bandwidth, n_taps).select("epoch", scaled(F.col("x")).alias("s"))
+    own = vectors.where(F.col("ch").isin([*seeds, *targets])).select("epoch", "ch", scaled(F.col("x").cast("array<double>")).alias("x"))
+    late = F.when(F.col("ch").isin(targets if connection_delay >= 0 else seeds), abs(connection_delay)).otherwise(0)
+    # before its first sample the source is zero
+    heard = lambda i: F.when(i >= late, F.coalesce(F.get("s", i - late), F.lit(0.0))).otherwise(0.0)
+    mixed = F.transform("x", lambda e, i: snr * heard(i) + (1 - snr) * e)
+    return own.join(driving, "epoch", "left").select("epoch", "ch", mixed.alias("x"))

@@ -6,6 +6,9 @@ rounds it, and 0.0 is added so that no negative zero is left.
 
 from __future__ import annotations
 
+import cmath
+import math
+
 from covaria.functions import windows
 
 ORACLES: dict[str, str] = {}
@@ -218,6 +221,35 @@ ORACLES["wsmi_tau2"] = f"{_symbols(2)} SELECT epoch, seed, target, {_r('v', 'val
 ORACLES["wsmi_avg"] = f"{_symbols()} SELECT seed, target, {_r('avg(v)', 'value')} FROM v GROUP BY ALL"
 
 
+# the low-pass before symbols two samples apart: poles on a circle, moved by the bilinear map, a pair a section of unit gain at zero
+def _low_pass(order: int, cutoff: float) -> list[tuple[float, float, float]]:
+    poles = [2 * math.tan(math.pi * cutoff / 2) * cmath.exp(1j * math.pi * (2 * k + order + 1) / (2 * order)) for k in range(order // 2)]
+    return [((1 - 2 * z.real + abs(z) ** 2) / 4, -2 * z.real, abs(z) ** 2) for z in ((2 + p) / (2 - p) for p in poles)]
+
+
+def _recursed(source: str, name: str, sections: list[tuple[float, float, float]]) -> str:
+    """(ch, i, v): v through all sections along i, which begin as if the first value had been there for ever."""
+    start = ", ".join(f"({2 * g - a!r}::DOUBLE + {g - b!r}::DOUBLE) * v AS y{k}, {g - b!r}::DOUBLE * v AS z{k}" for k, (g, a, b) in enumerate(sections))
+    rows = f"SELECT r.* EXCLUDE (i, v), p.i, p.v AS o FROM r JOIN {source} p ON p.ch = r.ch AND p.i = r.i + 1"
+    for k, (g, _, _) in enumerate(sections):
+        rows = f"SELECT *, {g!r}::DOUBLE * {f'o{k - 1}' if k else 'o'} + y{k} AS o{k} FROM ({rows})"
+    states = ", ".join(f"{2 * g!r}::DOUBLE * {f'o{k - 1}' if k else 'o'} - {a!r}::DOUBLE * o{k} + z{k}, {g!r}::DOUBLE * {f'o{k - 1}' if k else 'o'} - {b!r}::DOUBLE * o{k}" for k, (g, a, b) in enumerate(sections))
+    return f"""{name} AS MATERIALIZED (WITH RECURSIVE r AS (SELECT ch, CAST(-1 AS BIGINT) AS i, v, {start} FROM {source} WHERE i = 0
+  UNION ALL SELECT ch, i, o{len(sections) - 1}, {states} FROM ({rows})) SELECT ch, i, v FROM r WHERE i >= 0)"""
+
+
+_SECTIONS = _low_pass(6, 1 / 3)
+_LOW = f"""line AS MATERIALIZED (SELECT *, least({3 * (2 * len(_SECTIONS) + 1)}, n - 1) AS pad FROM (SELECT epoch, ch, t, value AS v, row_number() OVER (PARTITION BY ch ORDER BY epoch, t) - 1 AS i, count(*) OVER (PARTITION BY ch) AS n FROM sig)),
+ends AS (SELECT ch, max(v) FILTER (i = 0) AS head, max(v) FILTER (i = n - 1) AS tail FROM line GROUP BY ch),
+long AS MATERIALIZED (SELECT ch, i + pad AS i, v FROM line UNION ALL SELECT ch, pad - i, 2 * head - v FROM line JOIN ends USING (ch) WHERE i BETWEEN 1 AND pad
+  UNION ALL SELECT ch, pad + 2 * n - 2 - i, 2 * tail - v FROM line JOIN ends USING (ch) WHERE i BETWEEN n - 1 - pad AND n - 2),
+{_recursed('long', 'there', _SECTIONS)},
+turned AS MATERIALIZED (SELECT ch, max(i) OVER (PARTITION BY ch) - i AS i, v FROM there),
+{_recursed('turned', 'back', _SECTIONS)},
+low AS (SELECT epoch, line.ch, t, back.v AS value FROM line JOIN back ON back.ch = line.ch AND back.i = n + pad - 1 - line.i)"""
+ORACLES["wsmi_antialias"] = f"{_symbols(2, source='low').replace(f'WITH {DAYS},', f'WITH {DAYS}, {_LOW},', 1)} SELECT epoch, seed, target, {_r('v', 'value')} FROM v"
+
+
 # autoregression of all five channels: Gram sums, then elimination column by column
 K = 5
 
@@ -607,3 +639,27 @@ z AS (WITH RECURSIVE z AS (SELECT 0 AS n, epoch, g00, g01, g11, 1.0::DOUBLE AS s
       FROM (SELECT *, sqrt(s0 * s0 * g00 + s1 * s1 * g11 + 2 * root) AS long FROM (SELECT *, s0 * s1 * sqrt(g00 * g11 - g01 * g01) AS root FROM z WHERE NOT done AND n < 50)))))) SELECT * FROM z),
 e AS (SELECT * FROM z QUALIFY n = max(n) OVER (PARTITION BY epoch))
 SELECT epoch, CAST(i AS INT) AS i, CAST(j AS INT) AS j, {_r('[s0 * s0, s0 * b01, s1 * b10, s1 * s1][2 * i + j + 1]', 'product', 2)} FROM e CROSS JOIN (SELECT unnest([0, 1]) AS i) CROSS JOIN (SELECT unnest([0, 1]) AS j)"""
+
+
+# a band-pass by its frequency response: gains in between by straight lines, half a spectrum summed up to taps, a Hamming window
+_EDGES = [(1.0, 0.0), (3.0, 1.0), (6.0, 1.0), (8.0, 0.0)]
+_GRID, _N_TAPS = 1024, 11
+
+
+def _gain(f: float) -> float:
+    return next((g + (h - g) * (f - a) / (b - a) for (a, g), (b, h) in zip(_EDGES, _EDGES[1:], strict=False) if a <= f <= b), 0.0)
+
+
+def _tap(i: int) -> float:
+    turn = [(1 if 0 < k < _GRID else 0.5) * _gain(12 * k / _GRID) * math.cos(math.pi * k / _GRID * (i - (_N_TAPS - 1) / 2)) for k in range(_GRID + 1)]
+    return sum(turn) / _GRID * (0.54 - 0.46 * math.cos(2 * math.pi * i / (_N_TAPS - 1)))
+
+
+_BAND = f"""fir(j, h) AS (VALUES {", ".join(f"({i - _N_TAPS // 2}, {_tap(i)!r}::DOUBLE)" for i in range(_N_TAPS))}),
+band AS (SELECT a.epoch, a.ch, a.t, sum(h * coalesce(b.value, 0)) AS v FROM sig a CROSS JOIN fir LEFT JOIN sig b ON b.epoch = a.epoch AND b.ch = a.ch AND b.t = a.t - j GROUP BY ALL)"""
+ORACLES["events_band_passed"] = f"WITH {DAYS}, {_BAND} SELECT epoch, ch, t, {_r('v', 'value', 4)} FROM band"
+_COUPLED = f"""WITH {DAYS}, {_BAND}, drive AS (SELECT epoch, t, CASE WHEN stddev_pop(v) OVER w > 0 THEN v / stddev_pop(v) OVER w ELSE 0 END AS s FROM band WHERE ch = 0 WINDOW w AS (PARTITION BY epoch)),
+own AS (SELECT epoch, ch, t, CASE WHEN stddev_pop(value) OVER w > 0 THEN value / stddev_pop(value) OVER w ELSE 0 END AS v FROM sig WHERE ch > 0 WINDOW w AS (PARTITION BY epoch, ch)),
+cpl AS (SELECT own.epoch, ch, own.t, 0.6::DOUBLE * coalesce(s, 0) + 0.4::DOUBLE * v AS value FROM own LEFT JOIN drive ON drive.epoch = own.epoch AND drive.t = own.t - CASE WHEN ch >= 3 THEN 2 ELSE 0 END)"""
+ORACLES["events_coupled"] = f"{_COUPLED} SELECT epoch, ch, t, {_r('value', 'value')} FROM cpl"
+ORACLES["events_coupled_coherence"] = f"{_COUPLED}, {_fourier('cpl')}, {_pairs()} SELECT seed, target, f, {_r(MEASURES['coh'], 'coh')}, {_r(MEASURES['dpli'], 'dpli')} FROM x GROUP BY ALL"

@@ -752,6 +752,24 @@ def simulate_band(spark, sf):
     return rounded(bivariate.over_epochs(spectra.csd(_fourier(x)), ["coh", "dpli"]).drop("freq"))
 
 
+@query
+def events_band_passed(spark, sf):
+    """Each day of the events between two frequencies."""
+    return rounded(signals.to_long(surrogates.band_passed(days(spark, sf), (3, 6), SFREQ, 2, 11)), 4)
+
+
+@query
+def events_coupled(spark, sf):
+    """The events, where some types follow the band of another."""
+    return rounded(signals.to_long(surrogates.coupled(days(spark, sf), 0, [1, 2], [3, 4], (3, 6), SFREQ, 0.6, 2, 2, 11)))
+
+
+@query
+def events_coupled_coherence(spark, sf):
+    found = surrogates.coupled(days(spark, sf), 0, [1, 2], [3, 4], (3, 6), SFREQ, 0.6, 2, 2, 11)
+    return rounded(bivariate.over_epochs(spectra.csd(_fourier(found)), ["coh", "dpli"]).drop("freq"))
+
+
 # sets of signals
 
 

@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from covaria import oracles, queries
 
 SF = "/root/testdata/sf0.01"
-FEW = ["coh", "wpli2_debiased", "psi_bands", "coh_multitaper", "plv_time", "envcorr_pairwise", "wsmi_k3", "var1_dynamic", "conn_topn", "surrogate_evoked", "mim_2x2", "mim_rank", "gc_rank_pairs", "cacoh_multi", "var_fb_pairs", "symmetric_orth_pairs"]
+FEW = ["coh", "wpli2_debiased", "psi_bands", "coh_multitaper", "plv_time", "envcorr_pairwise", "wsmi_k3", "var1_dynamic", "conn_topn", "surrogate_evoked", "mim_2x2", "mim_rank", "gc_rank_pairs", "cacoh_multi", "var_fb_pairs", "symmetric_orth_pairs", "wsmi_antialias", "events_coupled"]
 
 
 @pytest.mark.parametrize("name", FEW)
